@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitree.llm.near_dedup import near_duplicates
+from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.shared import table
 
 
@@ -14,8 +15,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_near_dedup]
+    found = [op5_near_dedup, op6_substring_dedup]
     return {query.__name__: query for query in found}
 
 
