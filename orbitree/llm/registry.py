@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitree.llm.decontaminate import contaminated
 from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.phrases import repeated_phrases
+from orbitree.llm.quality import quality
 from orbitree.llm.shared import table
 
 
@@ -19,8 +21,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_phrases(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_near_dedup, op6_substring_dedup]
+    found = [op5_near_dedup, op6_substring_dedup, op9_decontamination, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
