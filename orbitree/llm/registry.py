@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitree.llm.decontaminate import contaminated
+from orbitree.llm.line_dedup import line_dedup_report
 from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.quality import quality
 from orbitree.llm.shared import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
@@ -30,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_near_dedup, op6_substring_dedup, op9_decontamination, op10_quality_rules]
+    found = [op1_line_dedup, op5_near_dedup, op6_substring_dedup, op9_decontamination, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
