@@ -6,16 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitree.llm.decontaminate import drop_contaminated
+from orbitree.llm.line_dedup import delete_repeated_lines
+from orbitree.llm.mixing import mix
 from orbitree.llm.near_dedup import drop_near_duplicates
+from orbitree.llm.quality import keep_quality
 from orbitree.llm.shared import materialize, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; lines above the limits of their host go from the others."""
+    return keep_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go; a document that loses every line goes."""
+    return delete_repeated_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays (five words, similarity 0.8)."""
+    return drop_near_duplicates(docs, threshold=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix with the number of times each is taken."""
+    return mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
 #: MinHash and suffix ranks have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL: str | None = None

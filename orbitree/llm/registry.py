@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitree.llm.decontaminate import contaminated
 from orbitree.llm.line_dedup import line_dedup_report
+from orbitree.llm.mixing import mix, mix_sql
 from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.quality import quality
@@ -26,6 +27,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_phrases(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,9 +40,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op5_near_dedup, op6_substring_dedup, op9_decontamination, op10_quality_rules]
+    found = [op1_line_dedup, op5_near_dedup, op6_substring_dedup, op7_mixing, op9_decontamination, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mix_sql()}
