@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitree.llm.chat import CHAT_SQL, format_chats
 from orbitree.llm.decontaminate import contaminated
 from orbitree.llm.line_dedup import line_dedup_report
 from orbitree.llm.mixing import mix, mix_sql
@@ -19,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
@@ -40,9 +45,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op5_near_dedup, op6_substring_dedup, op7_mixing, op9_decontamination, op10_quality_rules]
+    found = [op1_line_dedup, op2_chat_formatting, op5_near_dedup, op6_substring_dedup, op7_mixing, op9_decontamination, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mix_sql()}
+    return {"op2_chat_formatting": CHAT_SQL, "op7_mixing": mix_sql()}
