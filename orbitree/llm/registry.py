@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitree.llm.chat import CHAT_SQL, format_chats
 from orbitree.llm.decontaminate import contaminated
+from orbitree.llm.html import extract_text, train_on
+from orbitree.llm.licenses import license_report
 from orbitree.llm.line_dedup import line_dedup_report
 from orbitree.llm.mixing import mix, mix_sql
 from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.quality import quality
+from orbitree.llm.secrets import secret_report
 from orbitree.llm.shared import table
 
 
@@ -24,6 +27,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train_on(pages))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
@@ -36,6 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_chat_formatting, op5_near_dedup, op6_substring_dedup, op7_mixing, op9_decontamination, op10_quality_rules]
+    found = [op1_line_dedup, op2_chat_formatting, op3_secret_scan, op4_html_extraction, op5_near_dedup, op6_substring_dedup, op7_mixing, op8_license_scan, op9_decontamination, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 

@@ -113,8 +113,10 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist()))
 
 
-def word_slices(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
-    """Scan a text column in slices of bounded size; a null text counts as empty."""
+def word_slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, fold: np.ndarray | None = None) -> Iterator[Words]:
+    """Scan a text column in slices of bounded size; a null text counts as empty. ``fold`` maps
+    bytes before words are cut; ``lower`` folds A-Z."""
+    fold = _LOWER if lower else fold
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -124,13 +126,13 @@ def word_slices(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iter
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
-        yield _scan(i, everything[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        yield _scan(i, everything[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold)
         i = j
 
 
-def _scan(first: int, data: np.ndarray, text_offsets: np.ndarray, lower: bool) -> Words:
-    if lower:
-        data = _LOWER[data]
+def _scan(first: int, data: np.ndarray, text_offsets: np.ndarray, fold: np.ndarray | None) -> Words:
+    if fold is not None:
+        data = fold[data]
     n = len(data)
     if n == 0:
         none = np.empty(0, dtype=np.int64)
