@@ -14,9 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from orbitree.functions.geometry import segment_end_2d, segment_end_3d, square_vertices, vertices_mbr
-from orbitree.functions.predicates import point_in_polygon
+from orbitree.functions.geometry import segment_end_2d, segment_end_3d, vertices_mbr
 
 
 def linf_point(a: Column, b: Column) -> Column:
@@ -34,10 +34,23 @@ def linf_vertices(vertices: Column, px: Column, py: Column) -> Column:
     return F.coalesce(near, F.lit(float("inf")))
 
 
+def _corners(x0: Column, y0: Column, size: Column, theta: Column) -> list[tuple[Column, Column]]:
+    """Corners as scalar columns, which keeps the metric inside generated code."""
+    h, c, s = size / 2, F.cos(theta), F.sin(theta)
+    return [(x0 + sx * h * c - sy * h * s, y0 + sx * h * s + sy * h * c) for sx, sy in ((-1, -1), (-1, 1), (1, 1), (1, -1))]
+
+
 def linf_square(x0: Column, y0: Column, size: Column, theta: Column, px: Column, py: Column) -> Column:
-    """0 inside, else the least Chebyshev distance to a corner (an over-estimate along edges)."""
-    corners = square_vertices(x0, y0, size, theta)
-    return F.when(point_in_polygon(px, py, corners), 0.0).otherwise(linf_vertices(corners, px, py))
+    """0 inside (even-odd rule), else the least Chebyshev distance to a corner (an over-estimate
+    along edges)."""
+    corners = _corners(x0, y0, size, theta)
+    crossings = F.lit(0)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        cross = ax + (py - ay) * (bx - ax) / F.when(ay != by, by - ay)
+        hit = (py > F.least(ay, by)) & (py <= F.greatest(ay, by)) & (px <= F.greatest(ax, bx)) & ((ax == bx) | (px <= cross))
+        crossings = crossings + F.when(hit, 1).otherwise(0)
+    near = F.least(*(F.greatest(F.abs(x - px), F.abs(y - py)) for x, y in corners))
+    return F.when(crossings % 2 == 1, 0.0).otherwise(near)
 
 
 def linf_square_exact(x0: Column, y0: Column, size: Column, theta: Column, px: Column, py: Column) -> Column:
@@ -45,10 +58,9 @@ def linf_square_exact(x0: Column, y0: Column, size: Column, theta: Column, px: C
 
     Along an edge the larger of |x| and |y| is least at an end or where the edge crosses a
     diagonal through the point; crossings outside the edge are moved to its ends."""
-    corners = [(F.get(square_vertices(x0, y0, size, theta), F.lit(i))["x"] - px, F.get(square_vertices(x0, y0, size, theta), F.lit(i))["y"] - py) for i in range(4)]
+    corners = [(x - px, y - py) for x, y in _corners(x0, y0, size, theta)]
     tries = []
-    for i, (ax, ay) in enumerate(corners):
-        bx, by = corners[(i + 1) % 4]
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
         dx, dy = bx - ax, by - ay
         for t in (F.lit(0.0), _ratio(ay - ax, dx - dy), _ratio(-ay - ax, dx + dy)):
             t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
@@ -143,7 +155,7 @@ def ellipse_kernel(a: np.ndarray, b: np.ndarray, dx: np.ndarray, dy: np.ndarray,
     return np.hypot(x - u, y - v)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ellipse_udf(a: pd.Series, b: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
     return pd.Series(ellipse_kernel(a.to_numpy(float), b.to_numpy(float), dx.to_numpy(float), dy.to_numpy(float)))
 
@@ -179,8 +191,7 @@ def _square_box(o: dict[str, Column]) -> list[tuple[Column, Column]]:
 
 
 def _square_corner(o: dict[str, Column]) -> list[Column]:
-    v = F.get(square_vertices(o["x0"], o["y0"], o["size"], o["theta"]), F.lit(0))
-    return [v["x"], v["y"]]
+    return list(_corners(o["x0"], o["y0"], o["size"], o["theta"])[0])
 
 
 def _ends(o: dict[str, Column]) -> list[tuple[Column, Column]]:

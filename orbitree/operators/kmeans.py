@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitree.functions.metrics import Metric
+from orbitree.functions.metrics import METRICS, Metric
 from orbitree.storage import materialize
 
 MAX_K = 10
@@ -29,13 +29,12 @@ def assign_nearest_centroid(objects: DataFrame, centroids: DataFrame, metric: Me
     """objects with ``label`` (idx of the nearest centroid) and ``dist``; ties go to the smaller idx."""
     o = metric.of()
     joined = objects.join(_arrayed(centroids), "path")
-    each = []
-    for i in range(k):
-        c = F.get("cs", F.lit(i))
-        dist = metric.distance(o, [F.get(c["c"], F.lit(j)) for j in range(metric.dim)])
-        each.append(F.when(c.isNotNull(), F.struct(F.round(dist, 9).alias("r"), c["idx"].alias("idx"), dist.alias("dist"))))
+    at = [F.get("cs", F.lit(i)) for i in range(k)]
+    # the distances get a projection of their own, so each is computed once
+    dists = joined.select("*", *(metric.distance(o, [F.get(c["c"], F.lit(j)) for j in range(metric.dim)]).alias(f"d{i}_") for i, c in enumerate(at)))
+    each = [F.when(c.isNotNull(), F.struct(F.round(f"d{i}_", 9).alias("r"), c["idx"].alias("idx"), F.col(f"d{i}_").alias("dist"))) for i, c in enumerate(at)]
     best = F.least(*each) if k > 1 else each[0]
-    return joined.withColumn("best_", best).select(*objects.columns, F.col("best_.idx").cast("long").alias("label"), F.col("best_.dist").alias("dist"))
+    return dists.select("*", best.alias("best_")).select(*objects.columns, F.col("best_.idx").cast("long").alias("label"), F.col("best_.dist").alias("dist"))
 
 
 def contribution(kind: str, reference_update: bool = False) -> tuple[list[Column], Column]:
@@ -49,8 +48,6 @@ def contribution(kind: str, reference_update: bool = False) -> tuple[list[Column
         return [c("x0") + c("size") * 0.5 * F.cos("theta"), c("y0") + c("size") * 0.5 * F.sin("theta")], one
     if kind == "polygons":
         return [F.aggregate("vertices", F.lit(0.0), lambda s, v: s + v["x"]), F.aggregate("vertices", F.lit(0.0), lambda s, v: s + v["y"])], F.size("vertices").cast("double")
-    from orbitree.functions.metrics import METRICS
-
     return METRICS[kind].centre(METRICS[kind].of()), one
 
 

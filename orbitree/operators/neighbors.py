@@ -95,8 +95,7 @@ def candidates(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by
     for i in range(d):
         gap = F.greatest(F.get("lo", F.lit(i)) - F.col(axes[i]), F.col(axes[i]) - F.get("hi", F.lit(i)))
         met = met.where((F.col(cells[i]) == F.greatest(f"f{i}", f"g{i}")) & (gap <= F.col("reach")))
-    exact = met.withColumn("dist", metric.distance(metric.of(), [F.col(c) for c in axes]))
-    return exact.where("dist <= reach").select("point_id", *key, "object_id", "dist")
+    return met.select("point_id", *key, "object_id", metric.distance(metric.of(), [F.col(c) for c in axes]).alias("dist"))
 
 
 def nearest_neighbor(objects: DataFrame, points: DataFrame, metric: Metric, by: str | None = None, tie: str = "first", only: DataFrame | None = None) -> DataFrame:
