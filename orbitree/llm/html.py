@@ -232,9 +232,13 @@ def page_texts(htmls: list[str | None], model: Model) -> list[str]:
 
 
 def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bound: int = TRAIN_PAGES) -> Model:
-    """Fit the model on at most ``bound`` pages; an empty table leaves the priors."""
-    rows = pages.select(F.col(id_col).alias("k"), F.col(html_col).cast("string").alias("h")).where("h is not null").orderBy(F.xxhash64("k"), "h").limit(bound).collect()
-    return train([parse(row.h) for row in rows])
+    """Fit the model on at most ``bound`` pages; an empty table leaves the priors.
+
+    The pages' ids are chosen first, so tasks send only ids besides the chosen pages."""
+    rows = pages.select(F.col(id_col).cast("long").alias("k"), F.col(html_col).cast("string").alias("h")).where("h is not null and k is not null")
+    chosen = rows.select("k", F.xxhash64("k").alias("o")).orderBy("o", "k").limit(bound).select("k").distinct()
+    picked = rows.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "h").limit(bound).collect()
+    return train([parse(row.h) for row in picked])
 
 
 def extract_text(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

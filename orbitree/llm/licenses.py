@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from orbitree.llm.textkernel import mix64, word_slices
 
-#: Lines of the corpus in the training sample at most; chosen by hash.
-TRAIN_LINES = 2000
+#: Documents that give ordinary lines to the training sample at most; chosen by the hash of their id.
+TRAIN_DOCS = 600
 LEAST_CHANCE = 0.6
 LEAST_OVERLAP = 0.6
 _DIM = 1 << 15
@@ -218,10 +218,15 @@ def train(ordinary: list[str], steps: int = 60, rate: float = 30.0, decay: float
     return Model(weights.astype(np.float32), bias.astype(np.float32), min(losses, key=losses.get), templates)
 
 
-def train_on(docs: DataFrame, text_col: str = "text", bound: int = TRAIN_LINES) -> Model:
-    """Train with at most ``bound`` ordinary lines of the table (without words of licences)."""
-    lines = docs.select(F.explode(F.slice(F.split(F.col(text_col).cast("string"), "\n"), 1, 3)).alias("line")).where(F.length("line").between(20, 400) & ~F.lower("line").rlike("licen[sc]e|copyright|permission|public domain|redistribut"))
-    return train([row.line for row in lines.orderBy(F.xxhash64("line"), "line").limit(bound).collect()])
+def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_DOCS) -> Model:
+    """Train with the first lines of at most ``bound`` documents (without words of licences).
+
+    The documents' ids are chosen first, so tasks send only ids besides the chosen lines."""
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null")
+    chosen = rows.select("k", F.xxhash64("k").alias("o")).orderBy("o", "k").limit(bound).select("k").distinct()
+    lines = rows.join(F.broadcast(chosen), "k").select("k", F.explode(F.slice(F.split("t", "\n"), 1, 3)).alias("line"))
+    plain = lines.where(F.length("line").between(20, 400) & ~F.lower("line").rlike("licen[sc]e|copyright|permission|public domain|redistribut"))
+    return train([row.line for row in plain.orderBy("k", "line").limit(3 * bound).collect()])
 
 
 def _found(model: Model, least_chance: float, least_overlap: float):
@@ -259,6 +264,6 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, families, n_confirmed, n_doubtful): confirmed families, comma-joined in order."""
-    found = scan_licenses(docs, train_on(docs, text_col), id_col, text_col)
+    found = scan_licenses(docs, train_on(docs, id_col, text_col), id_col, text_col)
     sure = F.filter("licenses", lambda x: x["confirmed"])
     return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), F.size(sure).cast("long").alias("n_confirmed"), (F.size("licenses") - F.size(sure)).cast("long").alias("n_doubtful"))
