@@ -55,7 +55,7 @@ def _prior() -> np.ndarray:
         if name[0] == "-" or name.strip("<>") in _NOISE_TAGS:
             w[_AT[name]] = -5.0
         elif name[0] == "+":
-            w[_AT[name]] = 0.5
+            w[_AT[name]] = 2.5
     for name, value in (("<article>", 3.0), ("<main>", 2.0), ("<p>", 0.8), ("<h>", 0.4), ("<pre>", 0.8), ("links", -3.0), ("long", 1.0), ("short", -0.3), ("stops", 0.5)):
         w[_AT[name]] = value
     return w

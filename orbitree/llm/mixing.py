@@ -95,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens.alias("n_tokens"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"))
     rows = materialize(named.where("n_tokens > 0").withColumn("domain", domain_of(F.col("source"))), "tokens")
     leaf = ["domain", "lang", "source"]
-    budgets = materialize(leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))), "budgets")
+    budgets = materialize(leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), budget_share, max_epochs), "budgets")
     plan = budgets.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*leaf, "whole", "rest")
     placed = rows.join(plan, leaf).withColumn("place", _draw(seed, F.col("whole"))).withColumn("bucket", (F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % BUCKETS))
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("inside"))
