@@ -953,8 +953,10 @@ def exact_voronoi_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def critic_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assign, _, _, table = _tree(spark, sf_dir)
-    return accuracy.critic_accuracy(_points(spark, sf_dir), table, assign, _SEGMENTS)
+    """Every router over random points of the root's box."""
+    assign, nodes, _, table = _tree(spark, sf_dir)
+    spots = grids.random_points(nodes.where("path = '0'"), 300, 4, 2).select("point_id", *(F.get("p", F.lit(i)).alias(a) for i, a in enumerate("xy")))
+    return accuracy.critic_accuracy(spots, table, assign, _SEGMENTS)
 
 
 def _layers(spark: SparkSession, sf_dir: str, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int, int]:
