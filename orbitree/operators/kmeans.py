@@ -37,23 +37,23 @@ def assign_nearest_centroid(objects: DataFrame, centroids: DataFrame, metric: Me
     return dists.select("*", best.alias("best_")).select(*objects.columns, F.col("best_.idx").cast("long").alias("label"), F.col("best_.dist").alias("dist"))
 
 
-def contribution(kind: str, reference_update: bool = False) -> tuple[list[Column], Column]:
+def contribution(kind: str, shifted_update: bool = False) -> tuple[list[Column], Column]:
     """What an object adds to its centroid: sums per axis and a weight.
 
-    squares (reference update): x + size/2 cos(theta), y + size/2 sin(theta); else the centre.
+    squares (shifted update): x + size/2 cos(theta), y + size/2 sin(theta); else the centre.
     ellipses and cuboids: the centre. segments: both ends. polygons: all vertices."""
     c = F.col
     one = F.lit(1.0)
-    if kind == "squares" and reference_update:
+    if kind == "squares" and shifted_update:
         return [c("x0") + c("size") * 0.5 * F.cos("theta"), c("y0") + c("size") * 0.5 * F.sin("theta")], one
     if kind == "polygons":
         return [F.aggregate("vertices", F.lit(0.0), lambda s, v: s + v["x"]), F.aggregate("vertices", F.lit(0.0), lambda s, v: s + v["y"])], F.size("vertices").cast("double")
     return METRICS[kind].centre(METRICS[kind].of()), one
 
 
-def update_centroids(labelled: DataFrame, kind: str, reference_update: bool = False) -> DataFrame:
+def update_centroids(labelled: DataFrame, kind: str, shifted_update: bool = False) -> DataFrame:
     """(path, idx, c, n) of the groups that exist; labels without objects have no row."""
-    sums, weight = contribution(kind, reference_update)
+    sums, weight = contribution(kind, shifted_update)
     means = F.array(*(F.sum(s) / F.sum(weight) for s in sums))
     return labelled.groupBy("path", F.col("label").cast("int").alias("idx")).agg(means.alias("c"), F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ def kmeanspp_seed(objects: DataFrame, metric: Metric, k: int, seed: int = 0) ->
     return chosen
 
 
-def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int, k: int = MAX_K, reference_update: bool = False, lagged_labels: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int, k: int = MAX_K, shifted_update: bool = False, lagged_labels: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labelled objects, centroids, divergence per round).
 
     Each round assigns, updates and drops empty clusters. After the last update the objects are
@@ -103,7 +103,7 @@ def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int
         labelled = assign_nearest_centroid(objects, centroids, metric, k)
         step = divergence(labelled).withColumn("iteration", F.lit(i))
         history = step if history is None else history.union(step)
-        centroids = materialize(update_centroids(labelled, metric.name, reference_update).select("path", "idx", "c"), "centroids")
+        centroids = materialize(update_centroids(labelled, metric.name, shifted_update).select("path", "idx", "c"), "centroids")
     if not lagged_labels or labelled is None:
         labelled = assign_nearest_centroid(objects, centroids, metric, k)
     return labelled, centroids, history

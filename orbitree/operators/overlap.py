@@ -56,21 +56,18 @@ def thin_non_overlapping(objects: DataFrame, box: Box) -> DataFrame:
     That is the first maximal independent set of the overlap graph. In rounds, an undecided object
     without an undecided earlier neighbour is kept and its neighbours are refused."""
     edges = materialize(overlap_join(objects, box), "overlaps")
-    state = objects.select("object_id")
-    hit = edges.select(F.col("b").alias("object_id")).distinct()
-    kept = materialize(state.join(hit, "object_id", "left_anti"), "kept")
-    open_ = materialize(hit, "open")
-    first = True
+    later = edges.select(F.col("b").alias("object_id")).distinct()
+    fresh = kept = materialize(objects.select("object_id").join(later, "object_id", "left_anti"), "kept")
+    undecided = materialize(later, "undecided")
     while True:
-        gone = edges.join(kept if first else fresh, edges.a == F.col("object_id"), "left_semi").select(F.col("b").alias("object_id"))  # noqa: F821
-        open_ = materialize(open_.join(gone.distinct(), "object_id", "left_anti"), "open")
-        if open_.isEmpty():
+        refused = edges.join(fresh, edges.a == fresh.object_id, "left_semi").select(F.col("b").alias("object_id")).distinct()
+        undecided = materialize(undecided.join(refused, "object_id", "left_anti"), "undecided")
+        if undecided.isEmpty():
             return kept
-        waits = edges.join(open_.withColumnRenamed("object_id", "a"), "a", "left_semi").select(F.col("b").alias("object_id")).distinct()
-        fresh = materialize(open_.join(waits, "object_id", "left_anti"), "fresh")
+        waiting = edges.join(undecided.withColumnRenamed("object_id", "a"), "a", "left_semi").select(F.col("b").alias("object_id")).distinct()
+        fresh = materialize(undecided.join(waiting, "object_id", "left_anti"), "fresh")
         kept = materialize(kept.union(fresh), "kept")
-        open_ = materialize(open_.join(fresh, "object_id", "left_anti"), "open")
-        first = False
+        undecided = materialize(undecided.join(fresh, "object_id", "left_anti"), "undecided")
 
 
 def ranked(kept: DataFrame, id_col: str = "object_id", slices: int = 256) -> DataFrame:

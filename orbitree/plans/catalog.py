@@ -642,7 +642,7 @@ def assign_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_LABELLED} SELECT label, round(avg(x0 + 0.5 * size * cos(theta)), 6) AS x, round(avg(y0 + 0.5 * size * sin(theta)), 6) AS y, count(*) AS n FROM l GROUP BY label")
 def update_centroids_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _updated(kmeans.update_centroids(_labelled(spark, sf_dir), "squares", reference_update=True))
+    return _updated(kmeans.update_centroids(_labelled(spark, sf_dir), "squares", shifted_update=True))
 
 
 def _updated(rows: DataFrame, axes: str = "xy") -> DataFrame:
