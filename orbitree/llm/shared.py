@@ -1,36 +1,13 @@
-"""Where intermediate tables live, and small helpers for registered queries."""
+"""Small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitree.storage import materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster
-    names it. Where it is unset (single-machine sessions, tests) a new temporary folder is
-    set once for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.conf.get("orbitree.shared.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="orbitree-")
-        spark.conf.set("orbitree.shared.dir", known)
-    return known
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder as Parquet and read it back.
-
-    Reading it again needs no earlier stage, so a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orbitree-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["has_repeats", "materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
