@@ -5,11 +5,15 @@ its document. A suffix starts at each line. Prefix doubling ranks the suffixes b
 1, 2, 4, ... lines: the rank for 2k lines refines the rank for k by the rank of the suffix k
 lines on. Equal ranks at depth k are an LCP interval of the suffix array with a common prefix
 of at least k lines. A suffix whose rank is its own has no repeat of that length and leaves,
-so the rounds run on repeated lines alone and end after the longest repeated run.
+so the rounds run on repeated lines alone.
 
-In each interval all suffixes but the first of the corpus are later copies; where their k
-lines hold at least ``min_chars`` characters, those lines are deleted. A repeated run of any
-length is covered by two of its power-of-two blocks, so runs go whole.
+A repeated run of any length with at least ``min_chars`` characters loses its later copies whole.
+Only its least blocks need a look: from each line the shortest block forward, and to each line the
+shortest block backward, that holds ``min_chars``. Each line of such a run lies in a least block
+inside the run, a copy of a least block is one too, and a least block that repeats is such a run
+itself, so the later copies of least blocks cover just the lines that go. Two blocks of m lines,
+k <= m < 2k, are equal if they have equal ranks at depth k at their first line and k lines before
+their end. The rounds end when no least block is longer.
 
 Ranks keep the order of the suffixes: a group's rank is its parent's rank plus the suffixes of
 smaller groups under the same parent. Only one row per repeated group takes part in that sum,
@@ -49,11 +53,36 @@ def _doubled(suffixes: DataFrame, k: int) -> DataFrame:
     return pairs.join(ranks, ["rank", "next"]).select("doc_id", "line", "chars", F.col("refined").alias("rank"))
 
 
-def _later(suffixes: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """Blocks [start, end) of k lines that are later copies in their interval."""
-    place = F.struct("doc_id", "line")
-    first = suffixes.where(F.col("chars") >= min_chars).groupBy("rank").agg(F.min(place).alias("first"))
-    return suffixes.join(first, "rank").where(place > F.col("first")).select("doc_id", F.col("line").alias("start"), (F.col("line") + k).alias("end"))
+def _least_blocks(suffixes: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, start, m): least blocks of repeated lines that hold ``min_chars``."""
+    if min_chars < 1:
+        return suffixes.select("doc_id", F.col("line").alias("start"), F.lit(1).alias("m"))
+    by_line = Window.partitionBy("doc_id").orderBy("line")
+    island = Window.partitionBy("doc_id", "island")
+    held = suffixes.withColumn("island", F.col("line") - F.row_number().over(by_line))
+    held = held.select("doc_id", "island", "line", "chars", (F.sum("chars").over(island.orderBy("line")) - F.col("chars")).alias("before"), F.lead("line").over(island.orderBy("line")).isNull().alias("last"))
+    here = F.struct("line", "before")
+    end = F.struct((F.col("line") + 1).alias("line"), (F.col("before") + F.col("chars")).alias("before"))
+    bounds = held.select("doc_id", "island", F.explode(F.when(F.col("last"), F.array(here, end)).otherwise(F.array(here))).alias("b")).select("doc_id", "island", "b.line", "b.before")
+    stop = F.min("line").over(island.orderBy(F.col("before").desc()).rangeBetween(Window.unboundedPreceding, -min_chars))
+    start = F.max("line").over(island.orderBy("before").rangeBetween(Window.unboundedPreceding, -min_chars))
+    sides = bounds.select("doc_id", "line", stop.alias("stop"), start.alias("start"))
+    pairs = sides.select("doc_id", F.explode(F.array(F.struct(F.col("line").alias("start"), "stop"), F.struct("start", F.col("line").alias("stop")))).alias("b"))
+    return pairs.where("b.start is not null and b.stop is not null").select("doc_id", "b.start", (F.col("b.stop") - F.col("b.start")).alias("m")).distinct()
+
+
+def _later(suffixes: DataFrame, least: DataFrame, k: int) -> DataFrame:
+    """Least blocks [start, end) of k to 2k - 1 lines that are later copies."""
+    head = suffixes.select("doc_id", F.col("line").alias("start"), "rank")
+    tail = suffixes.select("doc_id", F.col("line").alias("tail"), F.col("rank").alias("rank_"))
+    mine = least.where(F.col("m").between(k, 2 * k - 1)).join(head, ["doc_id", "start"])
+    if k > 1:
+        mine = mine.withColumn("tail", F.col("start") + F.col("m") - k).join(tail, ["doc_id", "tail"])
+    else:
+        mine = mine.withColumn("rank_", F.col("rank"))
+    key, place = ["m", "rank", "rank_"], F.struct("doc_id", "start")
+    first = mine.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return mine.join(first, key).where(place > F.col("first")).select("doc_id", "start", (F.col("start") + F.col("m")).alias("end"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -68,19 +97,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = source.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     suffixes = materialize(lines.select("doc_id", "line", F.length(F.translate("body", _SPACE, "")).cast("long").alias("chars"), F.md5("body").alias("line_id")), "suffixes")
     suffixes, k, blocks = materialize(_ranked(suffixes), "ranked"), 1, []
-    while not suffixes.isEmpty():
-        blocks.append(materialize(_later(suffixes, k, min_chars), "later"))
-        suffixes, k = materialize(_doubled(suffixes, k), "ranked"), 2 * k
+    least = materialize(_least_blocks(suffixes, min_chars), "least")
+    longest = least.agg(F.max("m")).first()[0] or 0
+    while k <= longest and not suffixes.isEmpty():
+        blocks.append(materialize(_later(suffixes, least, k), "later"))
+        k *= 2
+        if k <= longest:
+            suffixes = materialize(_doubled(suffixes, k // 2), "ranked")
     if not blocks:
         return source.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("spans")).limit(0)
     found = blocks[0]
     for more in blocks[1:]:
         found = found.union(more)
-    longest = found.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    furthest = found.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     order = Window.partitionBy("doc_id").orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(order)
-    runs = longest.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = furthest.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 

@@ -53,3 +53,35 @@ def test_edge_cases(spark):
     got = sorted((str(r.doc_id), r.text, r.n_chars) for r in out.collect())
     assert out.columns == ["doc_id", "text", "n_chars", "spans"]
     assert got == sorted([("1", f"{line}\nend", 304), ("3", None, None), ("4", "", 0), ("None", line, 300), ("5", "head", 4)])
+
+
+def brute_all(rows, min_chars):
+    """Lines to delete by comparing blocks of every length."""
+    docs = {i: t.split("\n") for i, t in sorted(rows)}
+    gone = {i: set() for i in docs}
+    for k in range(1, max(map(len, docs.values())) + 1):
+        seen = set()
+        for i, lines in docs.items():
+            for p in range(len(lines) - k + 1):
+                block = "\n".join(lines[p : p + k])
+                if block in seen and len(re.sub(r"[\x20\x09-\x0d]", "", block)) >= min_chars:
+                    gone[i] |= set(range(p, p + k))
+                seen.add(block)
+    return {i: v for i, v in gone.items() if v}
+
+
+def test_runs_of_every_length_go_whole(spark):
+    def run(name, *sizes):
+        return [(f"{name}{i}" + "z" * n)[:n] for i, n in enumerate(sizes)]
+
+    runs = [run("a", 80, 80, 80), run("b", *[49] * 7), run("c", 150, 150, 10), run("d", 90, 0, 0, 90, 0, 30, 0), run("e", 60, 60, 60), run("f", 10, 199, 0, 0, 1)]
+    rows = [(i, "\n".join([f"own {i}", *r, "", f"end {i}"])) for i, r in enumerate(runs + runs)]
+    rows += [(50, "\n".join(runs[0][1:] + runs[1][:5] + runs[2][1:])), (51, "\n".join(runs[1][2:] + runs[1]))]
+    draw = random.Random(5)
+    pool = ["", "p" * 30, "q" * 70, "r" * 110, "s" * 5]
+    rows += [(60 + i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 14)))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for min_chars in (0, 1, 200):
+        spans = {r.doc_id: {n for s in r.spans for n in range(s.start, s.end)} for r in repeated_lines(docs, min_chars=min_chars).collect()}
+        assert spans == brute_all(rows, min_chars)
+    assert spans[6] >= {1, 2, 3} and len(spans[7]) >= 7 and spans[8] >= {1, 2, 3}
