@@ -7,12 +7,14 @@ windows of the benchmark are joined by hash with windows of the documents. Windo
 shared run of 2 * window - 1 tokens always meets. Items shorter than that take windows of
 half their length. Pairs that meet are compared in full: all windows of the document against
 the item give the covered tokens, and the slots under them must be consistent, that is each
-value of the item stands for one value in the document.
+value of the item stands for one value in the occurrence. A document can hold an item several
+times with other values: each shift, each run of neighbouring shifts, and at last the document
+as a whole are judged by themselves, and one of them that passes makes the pair a leak.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitree.llm.shared import materialize
@@ -82,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns doc_id, item_id, n_covered and n_tokens of the item's template, n_slots (slot values
     compared), n_changed (those whose value differs), n_clashes (item values with more than one
-    value in the document), kind ('verbatim' or 'reparameterised'). A pair whose slots mostly
-    clash is no leak. Null ids and texts on either side take no part; repeated rows of an id
+    value there), kind ('verbatim' or 'reparameterised'), all of the occurrence that covers most.
+    A pair whose slots mostly clash in every occurrence is no leak. Null ids and texts on either side take no part; repeated rows of an id
     count once; items of fewer than five tokens are left out; empty tables give no rows. Other
     columns are ignored."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -114,19 +116,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = pairs.select("doc_id", "item_id", *(F.lit(0).alias(c) for c in ("width", "n_tokens", "at", "shift")))
     spots = hits.select("doc_id", "item_id", "n_tokens", "shift", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct()
     spots = materialize(spots, "spots")
-    cover = spots.groupBy("doc_id", "item_id", "n_tokens").agg(F.countDistinct("at").alias("n_covered"))
-    cover = cover.where((F.col("n_covered") >= least_share * F.col("n_tokens")) | (F.col("n_covered") >= least_tokens))
+    enough = (F.col("n_covered") >= least_share * F.col("n_tokens")) | (F.col("n_covered") >= least_tokens)
+    able = spots.groupBy("doc_id", "item_id", "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough).select("doc_id", "item_id")
+    placed = materialize(_occurrences(spots.join(able, ["doc_id", "item_id"], "left_semi"), window), "placed")
+    here = ["doc_id", "item_id", "scope", "occurrence"]
+    cover = placed.select("*", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "n_tokens", "o.scope", "o.occurrence", "at").groupBy(*here, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough)
 
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(_slots(F.col(item_text_col))).alias("at", "slot")).where(F.col("slot.token").contains("<"))
     asked = asked.select("item_id", "at", F.col("slot.token").alias("token"), _value(F.col("slot.value")).alias("value")).distinct()
-    compared = spots.join(asked, ["item_id", "at"]).join(cover.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(held, "doc_id")
-    compared = compared.withColumn("there", _value(F.get("slots", F.col("shift") + F.col("at"))["value"]))
-    values = compared.groupBy("doc_id", "item_id", "token", "value").agg(F.countDistinct("there").alias("ways"), F.max(F.col("there") != F.col("value")).alias("changed"))
-    slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"), F.sum((F.col("ways") > 1).cast("long")).alias("n_clashes"))
+    compared = placed.join(asked, ["item_id", "at"]).join(held, "doc_id").withColumn("there", _value(F.get("slots", F.col("shift") + F.col("at"))["value"]))
+    compared = compared.select("doc_id", "item_id", "token", "value", "there", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "o.scope", "o.occurrence", "token", "value", "there")
+    values = compared.groupBy(*here, "token", "value").agg(F.countDistinct("there").alias("ways"), F.max(F.col("there") != F.col("value")).alias("changed"))
+    slots = values.groupBy(*here).agg(F.count("*").alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"), F.sum((F.col("ways") > 1).cast("long")).alias("n_clashes"))
     zero = F.lit(0).cast("long")
-    out = cover.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "n_covered", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_changed", "n_clashes")))
+    out = cover.join(slots, here, "left").select(*here, "n_covered", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_changed", "n_clashes")))
     leaks = out.where((F.col("n_slots") < 2) | (2 * F.col("n_clashes") <= F.col("n_slots")))
-    return leaks.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))
+    told = F.struct("n_covered", "n_tokens", "n_slots", "n_changed", "n_clashes")
+    best = leaks.groupBy("doc_id", "item_id").agg(F.min_by(told, F.struct(F.col("scope") == "document", -F.col("n_covered"), "n_changed", "n_clashes", "n_slots")).alias("b")).select("doc_id", "item_id", "b.*")
+    return best.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))
+
+
+def _occurrences(spots: DataFrame, window: int) -> DataFrame:
+    """Adds the occurrences that a spot belongs to: its shift, its run of shifts that differ by
+    at most ``window`` (and half the item) from one to the next, and the document."""
+    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    near = F.least(F.lit(window), F.floor(F.col("n_tokens") / 2))
+    shifts = spots.groupBy("doc_id", "item_id", "shift").agg(F.max("n_tokens").alias("n_tokens"))
+    shifts = shifts.withColumn("first", F.coalesce((F.col("shift") - F.lag("shift").over(order) > near).cast("long"), F.lit(1).cast("long")))
+    runs = shifts.select("doc_id", "item_id", "shift", F.sum("first").over(order).alias("run"))
+
+    def one(scope: str, occurrence: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), occurrence.cast("long").alias("occurrence"))
+
+    return spots.join(runs, ["doc_id", "item_id", "shift"]).withColumn("occurrences", F.array(one("shift", F.col("shift")), one("run", F.col("run")), one("document", F.lit(0)))).drop("run")
 
 
 def _value(word: Column) -> Column:

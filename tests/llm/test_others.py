@@ -185,3 +185,19 @@ def test_leaks(spark):
     assert sorted(str(r.doc_id) for r in drop_contaminated(table, bench).collect()) == ["3", "5", "6", "7", "8", "None"]
     assert contaminated(table.limit(0), bench).count() == 0
     assert contaminated(table, bench.limit(0)).count() == 0
+
+
+# several occurrences of an item
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    def told(name, other, *n):
+        return f"{name} had {n[0]} apples and gave {n[1]} apples to {other}. How many apples does {name} have left after walking {n[2]} km to the market"
+
+    filler = " ".join(f"f{i}" for i in range(40))
+    docs = [
+        (1, f"{filler}. {told('Maria', 'Paul', 31, 7, 9)}. {told('Eva', 'Max', 88, 6, 4)}. {told('Ida', 'Jon', 17, 2, 8)}"),
+        (2, f"{filler}. {told('Anna', 'Tom', 12, 5, 3)}. {filler}. {told('Eva', 'Max', 88, 6, 4)}"),
+    ]
+    found = {(r.doc_id, r.item_id): r.kind for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert found == {(1, 1): "reparameterised", (2, 1): "verbatim"}
