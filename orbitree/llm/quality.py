@@ -4,9 +4,10 @@ Base rules look at one text. The method is cross-document line frequency: normal
 are hashed, the distinct documents of a host (column ``source``) that hold a line are counted,
 lines above the limit are removed, and documents depleted by it are rejected.
 
-Copies of one document count once for a line: a document is known by the least hash among
-its three-word windows, which exact and near copies share. So a large group of copies does
-not make its own content look like page furniture.
+Copies of one document count once, for a line and for its host: a document is known by the hash
+of its whole text in lower case and with single spaces. So a large group of copies does not make
+its own content look like page furniture, and documents that share most of their text, near
+copies among them, still count as different.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _described(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.coalesce(F.array_min("triples"), F.xxhash64("text")).alias("known_by"),
+        F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " ")))).alias("known_by"),
         F.transform("lines", lambda line: F.struct(_line_key(line).alias("key"), F.length(F.translate(line, _SPACE, "")).alias("chars"))).alias("lines"),
     )
 
@@ -85,7 +86,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
 def _common_lines(described: DataFrame, max_share: float, min_docs: int) -> DataFrame:
     """(host, key) of lines above the limits of their host."""
-    hosts = described.groupBy(F.col("host").alias("host_")).agg(F.count("*").alias("docs"))
+    hosts = described.groupBy(F.col("host").alias("host_"), "known_by").agg(F.count("*").alias("n_")).groupBy("host_").agg(F.count("*").alias("docs"))
     held = described.select("host", "known_by", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
     lines = held.groupBy("host", "key", "known_by").agg(F.count("*").alias("n_")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     return lines.join(hosts, lines.host == hosts.host_).where(F.col("n") > max_share * F.col("docs")).select("host", "key")
