@@ -29,36 +29,64 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 _CLASSES = (("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 
 #: Candidates that are no secrets: numbers with separators, words (joined by separators, with
-#: a short number), UUIDs, paths of words.
+#: a short number), UUIDs, paths of words. No pattern can match a string in two ways, so each
+#: takes time in proportion to its length. Words must look like words besides (``_wordlike``).
 ALLOWED = (
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"[A-Za-z]+(?:[+/_=-]+[A-Za-z]*)*[0-9]{0,4}"),
+    re.compile(r"[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*[0-9]{0,4}"),
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
     re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,4}[+/_=-]+)*[A-Za-z]{2,}[0-9]{0,4}[+/_=-]*"),
 )
 
+#: Words by case in a run of letters, and what words of natural language keep to (fixed values).
+_CASED = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_LONGEST_WORD = 30
+_LEAST_MEAN = 3.0
+_LEAST_VOWELS = 0.28
+_MOST_RARE = 0.2
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{7}", re.IGNORECASE)
+
 _SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 _LOG = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
+def _wordlike(candidate: str) -> bool:
+    """Whether the letters of a candidate look like words: by case pattern, length, vowels,
+    rare letters and runs of consonants. A candidate without letters does."""
+    letters = "".join(c for c in candidate.lower() if "a" <= c <= "z")
+    if not letters:
+        return True
+    words = _CASED.findall(candidate)
+    if max(map(len, words)) > _LONGEST_WORD or len(letters) < _LEAST_MEAN * len(words) or _CONSONANTS.search(candidate):
+        return False
+    return sum(c in "aeiouy" for c in letters) >= _LEAST_VOWELS * len(letters) and sum(c in "jkqvwxz" for c in letters) <= _MOST_RARE * len(letters)
+
+
+def _allowed(candidate: str) -> bool:
+    numbers, words, uuid, paths = ALLOWED
+    if numbers.fullmatch(candidate) or uuid.fullmatch(candidate):
+        return True
+    return bool(words.fullmatch(candidate) or paths.fullmatch(candidate)) and _wordlike(candidate)
+
+
 def entropy_spans(candidate: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
     """Ranges of a candidate covered by windows of high entropy."""
     kind = next((name for name, shape in _CLASSES if shape.fullmatch(candidate)), None)
-    if kind is None or len(candidate) < window or any(shape.fullmatch(candidate) for shape in ALLOWED):
+    if kind is None or len(candidate) < window or _allowed(candidate):
         return []
     need = (log2(window) - thresholds[kind]) * window
     counts: dict[str, int] = {}
     total = 0.0
     found: list[tuple[int, int]] = []
     for i, c in enumerate(candidate):
-        n = counts.get(c, 0)
-        total += _LOG[n + 1] - _LOG[n]
-        counts[c] = n + 1
         if i >= window:
             gone = candidate[i - window]
             n = counts[gone]
             total += _LOG[n - 1] - _LOG[n]
             counts[gone] = n - 1
+        n = counts.get(c, 0)
+        total += _LOG[n + 1] - _LOG[n]
+        counts[c] = n + 1
         if i >= window - 1 and total <= need + 1e-9:
             start = i - window + 1
             if found and start <= found[-1][1]:
