@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates (operator 9), DataFrame functions only.
 
 Texts become templates: numbers, units after numbers and names (capitalised words inside a
-sentence) turn into typed placeholders, other words lose case and punctuation. Template
+sentence) turn into typed placeholders, other words lose case and punctuation. A second template
+also takes capitalised words at the start of a sentence for names, but for common words; a window
+meets if either of its templates does, so a text in other case still meets by the first. Template
 windows of the benchmark are joined by hash with windows of the documents. Windows are
-``window`` tokens long; a document gives every ``window``-th one and an item gives all, so a
-shared run of 2 * window - 1 tokens always meets. Items shorter than that take windows of
+``window`` tokens long; documents and items give all of theirs, so a shared run of ``window``
+tokens always meets, wherever it lies. Items shorter than 2 * window - 1 tokens take windows of
 half their length. Pairs that meet are compared in full: all windows of the document against
 the item give the covered tokens, and the slots under them must be consistent, that is each
 value of the item stands for one value in the occurrence. A document can hold an item several
@@ -31,6 +33,9 @@ BROADCAST_ROWS = 1_000_000
 #: Units that count after a number (fixed values).
 UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "oz", "l", "ml", "liters", "litres", "s", "sec", "seconds", "second", "min", "minutes", "minute", "h", "hr", "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "mph", "kmh", "usd", "eur", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees", "degree")
 
+#: Words that start sentences and are no names (fixed values).
+STARTERS = ("a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "did", "do", "does", "during", "each", "every", "explain", "find", "first", "for", "from", "given", "had", "has", "have", "he", "her", "his", "how", "however", "i", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "no", "not", "now", "of", "on", "one", "or", "our", "she", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
+
 _RUN = r"[ \t-\r]+"
 
 
@@ -39,22 +44,25 @@ def _flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " "))
 
 
-def template(flat: Column) -> Column:
-    """A flat text's template; word i of the template stands for word i of the text."""
+def template(flat: Column, starts: bool = False) -> Column:
+    """A flat text's template; word i of the template stands for word i of the text. With
+    ``starts``, names at the start of a sentence are placeholders too."""
     named = F.regexp_replace(flat, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}'’-]*", "<name>")
+    if starts:
+        named = F.regexp_replace(named, r"(^|[.!?][\"'”’)\]]* )(?![\"'“‘(\[]*(?i:" + "|".join(STARTERS) + r")(?![\p{L}\p{N}]))[\"'“‘(\[]*\p{Lu}[\p{L}'’-]*", "$1<name>")
     numbered = F.lower(F.regexp_replace(named, r"[+-]?\d[\d.,:/]*", "<num>"))
     united = F.regexp_replace(numbered, r"(?<=<num> ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", "<unit>")
     return F.regexp_replace(united, r"[^\p{L}\p{N}<> ]+", "")
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(template(_flat(text)), " "), lambda w: w != "")
+def _tokens(text: Column, starts: bool = False) -> Column:
+    return F.filter(F.split(template(_flat(text), starts), " "), lambda w: w != "")
 
 
-def _slots(text: Column) -> Column:
+def _slots(text: Column, starts: bool = False) -> Column:
     """(token, value) of each template token, aligned with ``_tokens``."""
     flat = _flat(text)
-    pairs = F.arrays_zip(F.split(template(flat), " ").alias("token"), F.split(flat, " ").alias("value"))
+    pairs = F.arrays_zip(F.split(template(flat, starts), " ").alias("token"), F.split(flat, " ").alias("value"))
     return F.filter(pairs, lambda p: p["token"] != "")
 
 
@@ -65,17 +73,17 @@ def _literal(tokens: Column) -> Column:
 
 def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, width, n_tokens, at, hash), half of each window's tokens being literal."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _tokens(F.col(text_col)).alias("tokens")).where(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array_distinct(F.array(_tokens(F.col(text_col)), _tokens(F.col(text_col), True)))).alias("tokens")).where(F.col("item_id").isNotNull())
     sized = items.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= SHORTEST)
     sized = sized.withColumn("width", F.least(F.lit(window), F.floor((F.col("n_tokens") + 1) / 2).cast("int")))
     rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("width"))).alias("at")).withColumn("w", F.slice("tokens", F.col("at") + 1, F.col("width")))
     return rows.where(2 * _literal(F.col("w")) >= F.col("width")).select("item_id", "width", "n_tokens", "at", F.xxhash64("width", "w").alias("hash")).distinct()
 
 
-def _windows(tokens: str, width: int, step: int) -> Column:
+def _windows(tokens: str, width: int) -> Column:
     """(at, hash) of windows of a token column that is computed already."""
     n = F.size(tokens)
-    made = F.transform(F.sequence(F.lit(0), n - width, F.lit(step)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice(tokens, i + 1, width)).alias("hash")))
+    made = F.transform(F.sequence(F.lit(0), n - width, F.lit(1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice(tokens, i + 1, width)).alias("hash")))
     return F.explode(F.when(n >= width, made)).alias("w")
 
 
@@ -94,22 +102,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     widths = sorted(row.width for row in items.select("width").distinct().collect())  # window sizes, at most ``window``
-    tokens = source.select("doc_id", _tokens(F.col("text")).alias("tokens"))
+    tokens = source.select("doc_id", F.explode(F.array_distinct(F.array(_tokens(F.col("text")), _tokens(F.col("text"), True)))).alias("tokens"))
     met = None
     for width in widths:
-        rows = tokens.select("doc_id", _windows("tokens", width, width)).select("doc_id", F.col("w.hash").alias("hash")).join(known, "hash").select("doc_id", "item_id")
+        rows = tokens.select("doc_id", _windows("tokens", width)).select("doc_id", F.col("w.hash").alias("hash")).join(known, "hash").select("doc_id", "item_id")
         met = rows if met is None else met.union(rows)
     if met is None:
         met = source.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)
     pairs = materialize(met.distinct(), "met")
 
     texts = source.join(pairs.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    held = materialize(texts.select("doc_id", _slots(F.col("text")).alias("slots")), "slots")
-    sides = held.select("doc_id", F.transform("slots", lambda s: s["token"]).alias("tokens"))
+    held = materialize(texts.select("doc_id", _slots(F.col("text")).alias("slots"), _tokens(F.col("text"), True).alias("started")), "slots")
+    sides = held.select("doc_id", F.explode(F.array_distinct(F.array(F.transform("slots", lambda s: s["token"]), F.col("started")))).alias("tokens"))
+    held = held.drop("started")
     hits = None
     for width in widths:
         mine = items.where(F.col("width") == width)
-        placed = sides.select("doc_id", _windows("tokens", width, 1)).select("doc_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
+        placed = sides.select("doc_id", _windows("tokens", width)).select("doc_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
         rows = placed.join(pairs, "doc_id").join(mine, ["item_id", "hash"]).select("doc_id", "item_id", "width", "n_tokens", "at", (F.col("there") - F.col("at")).alias("shift"))
         hits = rows if hits is None else hits.union(rows)
     if hits is None:
@@ -122,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     here = ["doc_id", "item_id", "scope", "occurrence"]
     cover = placed.select("*", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "n_tokens", "o.scope", "o.occurrence", "at").groupBy(*here, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough)
 
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(_slots(F.col(item_text_col))).alias("at", "slot")).where(F.col("slot.token").contains("<"))
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(_slots(F.col(item_text_col), True)).alias("at", "slot")).where(F.col("slot.token").contains("<"))
     asked = asked.select("item_id", "at", F.col("slot.token").alias("token"), _value(F.col("slot.value")).alias("value")).distinct()
     compared = placed.join(asked, ["item_id", "at"]).join(held, "doc_id").withColumn("there", _value(F.get("slots", F.col("shift") + F.col("at"))["value"]))
     compared = compared.select("doc_id", "item_id", "token", "value", "there", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "o.scope", "o.occurrence", "token", "value", "there")
