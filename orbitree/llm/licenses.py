@@ -1,10 +1,13 @@
 """License scans (operator 8).
 
-Every line of a text is a paragraph. A softmax regression over hashed word unigrams and
-bigrams, trained here on licence notices and on a bounded sample of ordinary lines, gives each
-paragraph a family or the unknown class. Probabilities are calibrated by a temperature fitted
-on held-out examples, and a family needs at least ``least_chance``. A prediction is confirmed if
-the paragraph holds most bigrams of a notice of that family.
+Consecutive lines with words are a paragraph; comment marks are no words, so hard-wrapped notices
+in comments stay together. A softmax regression over hashed word unigrams and bigrams, trained
+here on licence notices and on a bounded sample of ordinary lines, gives each paragraph, each of
+its lines and each of its overlapping word windows a family or the unknown class. Probabilities
+are calibrated by a temperature fitted on held-out examples, and a family needs at least
+``least_chance``. A prediction is confirmed if the paragraph, in the reach of a notice around the
+place, holds most bigrams of a notice of that family. Of predictions whose matched words overlap,
+the best one counts; unconfirmed ones count for lines and paragraphs only.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ TRAIN_DOCS = 600
 LEAST_CHANCE = 0.6
 LEAST_OVERLAP = 0.6
 _DIM = 1 << 15
+#: Word windows inside a paragraph, and the words from one to the next.
+_WINDOWS = ((8, 2), (24, 8), (48, 16))
+#: Words around a place that can belong to its notice, longer than any notice.
+_REACH = 64
 
 #: Notices by family (fixed values).
 NOTICES = {
@@ -117,6 +124,7 @@ class Lines:
     hi: np.ndarray
     words: np.ndarray
     pairs: np.ndarray
+    lines: np.ndarray  # line number of each word
 
 
 def _bigrams(hashes: np.ndarray) -> np.ndarray:
@@ -134,19 +142,34 @@ def _lines(column: pa.Array) -> Iterator[Lines]:
         lo = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]))))
         hi = np.concatenate((lo[1:], [len(owner)]))
         pairs = _bigrams(w.hashes)
-        yield Lines(w.first + owner[lo], line[lo], lo, hi, w.hashes, np.concatenate((pairs, np.zeros(1, np.uint64))))
-
-
-def _scores(lines: Lines, model: Model) -> np.ndarray:
-    """Class scores per line: summed weights of its words and bigrams over the root of their number."""
-    last = np.zeros(len(lines.words), dtype=bool)
-    last[lines.hi - 1] = True
+        yield Lines(w.first + owner[lo], line[lo], lo, hi, w.hashes, np.concatenate((pairs, np.zeros(1, np.uint64))), line)
+
+
+def _units(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges to be scored: (lo, hi, paragraph, whether a window), and the paragraphs' bounds."""
+    apart = np.concatenate(([True], (lines.owner[1:] != lines.owner[:-1]) | (lines.line[1:] > lines.line[:-1] + 1)))
+    first = np.flatnonzero(apart)
+    lo, hi = lines.lo[first], lines.hi[np.concatenate((first[1:], [len(apart)])) - 1]
+    bounds = np.stack((lo, hi), axis=1)
+    several = np.flatnonzero(np.diff(np.concatenate((first, [len(apart)]))) > 1)
+    los, his, of, window = [lines.lo, lo[several]], [lines.hi, hi[several]], [np.cumsum(apart) - 1, several], [np.zeros(len(apart) + len(several), dtype=bool)]
+    for width, step in _WINDOWS:
+        n = np.maximum(-(-(hi - lo - width) // step), -1) + 1
+        at = np.repeat(np.arange(len(lo)), n)
+        start = lo[at] + step * (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+        los.append(start)
+        his.append(np.minimum(start + width, hi[at]))
+        of.append(at)
+        window.append(np.ones(len(at), dtype=bool))
+    return np.concatenate(los), np.concatenate(his), np.concatenate(of), np.concatenate(window), bounds
+
+
+def _scores(lines: Lines, lo: np.ndarray, hi: np.ndarray, model: Model) -> np.ndarray:
+    """Class scores per word range: summed weights of its words and bigrams over the root of their number."""
     each = model.weights[(lines.words % np.uint64(_DIM)).astype(np.int64)]
     pair = model.weights[(lines.pairs % np.uint64(_DIM)).astype(np.int64)]
-    pair[last] = 0
-    each += pair
-    n = 2 * (lines.hi - lines.lo) - 1
-    return np.add.reduceat(each, lines.lo, axis=0) / np.sqrt(n)[:, None] + model.bias
+    total = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each + pair, axis=0, dtype=np.float64)))
+    return (total[hi] - total[lo] - pair[hi - 1]) / np.sqrt(2 * (hi - lo) - 1)[:, None] + model.bias
 
 
 def _chances(scores: np.ndarray, temperature: float) -> np.ndarray:
@@ -229,6 +252,19 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bo
     return train([row.line for row in plain.orderBy("k", "line").limit(3 * bound).collect()])
 
 
+def _match(template: np.ndarray, pairs: np.ndarray, begin: int, end: int) -> tuple[float, int, int]:
+    """Share of a template's bigrams in words [begin, end), and the words they span (the first negated)."""
+    at = np.flatnonzero(np.isin(pairs[begin : end - 1], template)) + begin
+    if not len(at):
+        return 0.0, -begin, begin
+    share = len(np.unique(pairs[at])) / len(template)
+    if len(at) > 1 and at[-1] - at[0] > 2 * len(template) + 8:  # stray bigrams far from the notice don't widen its span
+        dense = np.searchsorted(at, at + len(template) + 4) - np.arange(len(at))
+        k = int(dense.argmax())
+        at = at[k : k + dense[k]]
+    return share, -int(at[0]), int(at[-1]) + 2
+
+
 def _found(model: Model, least_chance: float, least_overlap: float):
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("chance", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]))
 
@@ -236,18 +272,33 @@ def _found(model: Model, least_chance: float, least_overlap: float):
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lines in _lines(batch.column(1)):
-                scores = _scores(lines, model)
+                lo, hi, of, window, bounds = _units(lines)
+                scores = _scores(lines, lo, hi, model)
                 best = scores.argmax(axis=1)
                 at = np.flatnonzero(best < len(FAMILIES))
                 if not len(at):
                     continue
                 chance = _chances(scores[at], model.temperature)[np.arange(len(at)), best[at]]
+                owners = np.repeat(lines.owner, lines.hi - lines.lo)
+                hits: dict[int, list[tuple]] = {}
                 for i, p in zip(at.tolist(), chance.tolist()):
                     if p < least_chance:
                         continue
-                    own = lines.pairs[lines.lo[i] : lines.hi[i] - 1]
-                    overlap = max(float(np.isin(t, own).mean()) for t in model.templates[best[i]])
-                    found[lines.owner[i]].append({"line": int(lines.line[i]), "family": FAMILIES[best[i]], "chance": round(p, 4), "overlap": round(overlap, 4), "confirmed": overlap >= least_overlap})
+                    begin, end = max(bounds[of[i], 0], lo[i] - _REACH), min(bounds[of[i], 1], hi[i] + _REACH)
+                    overlap, first, last = max(_match(t, lines.pairs, int(begin), int(end)) for t in model.templates[best[i]])
+                    sure = overlap >= least_overlap
+                    if sure or not window[i]:
+                        span = (-first, last) if sure else (int(lo[i]), int(hi[i]))
+                        hits.setdefault(int(of[i]), []).append((sure, overlap, p, span, int(best[i])))
+                for group in hits.values():
+                    taken: list[tuple[int, int]] = []
+                    for sure, overlap, p, span, family in sorted(group, reverse=True):
+                        if any(s < span[1] and span[0] < e for s, e in taken):
+                            continue
+                        taken.append(span)
+                        found[owners[span[0]]].append({"line": int(lines.lines[span[0]]), "family": FAMILIES[family], "chance": round(p, 4), "overlap": round(overlap, 4), "confirmed": sure})
+            for one in found:
+                one.sort(key=lambda x: (x["line"], x["family"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "licenses"])
 
     return run
