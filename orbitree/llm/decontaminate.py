@@ -1,17 +1,23 @@
 """Benchmark decontamination by templates (operator 9), DataFrame functions only.
 
-Texts become templates: numbers, units after numbers and names (capitalised words inside a
-sentence) turn into typed placeholders, other words lose case and punctuation. A second template
-also takes capitalised words at the start of a sentence for names, but for common words; a window
-meets if either of its templates does, so a text in other case still meets by the first. Template
-windows of the benchmark are joined by hash with windows of the documents. Windows are
-``window`` tokens long; documents and items give all of theirs, so a shared run of ``window``
-tokens always meets, wherever it lies. Items shorter than 2 * window - 1 tokens take windows of
-half their length. Pairs that meet are compared in full: all windows of the document against
-the item give the covered tokens, and the slots under them must be consistent, that is each
-value of the item stands for one value in the occurrence. A document can hold an item several
-times with other values: each shift, each run of neighbouring shifts, and at last the document
-as a whole are judged by themselves, and one of them that passes makes the pair a leak.
+Texts become templates, word by word: numbers, units and names (words with one capital letter in
+front, but for common words) turn into typed placeholders, other words lose case and punctuation.
+A word's placeholder doesn't depend on its neighbours, so a passage has the same template wherever
+it stands. Items have a second template of their lower-case text, so documents in other case meet
+by that one. Windows of ``window`` template tokens are joined by hash; documents and items give all
+of theirs, so a shared run of ``window`` tokens always meets. A window in which placeholders
+outnumber words says too little: it carries the values themselves and meets equal values only.
+Items shorter than 2 * window - 1 tokens take windows of half their length, those of fewer than
+``short`` tokens one window, the whole item with its values.
+
+The windows of a document against an item give the covered tokens, and the slots under them must be
+consistent, that is each value of the item stands for one value in the occurrence. A document can
+hold an item several times with other values: each shift, each run of neighbouring shifts, and at
+last the document as a whole are judged by themselves, and one of them that passes makes the pair
+a leak.
+
+A text is a row with arrays of its tokens and window hashes, so a task needs memory in proportion
+to its longest text (some forty times its words); texts are never cut.
 """
 
 from __future__ import annotations
@@ -25,143 +31,153 @@ WINDOW = 6
 #: An item leaks if this share of its tokens, or so many of them, are covered.
 LEAST_SHARE = 0.5
 LEAST_TOKENS = 20
-#: Items of fewer tokens say too little to be told from ordinary text.
-SHORTEST = 5
-#: Benchmark windows up to this number are broadcast (24 bytes each); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Items of fewer tokens are met as a whole, with their values.
+SHORT = 5
+#: Benchmark windows up to this number are broadcast (40 bytes each); more are shuffled.
+BROADCAST_ROWS = 500_000
 
-#: Units that count after a number (fixed values).
+#: Units (fixed values).
 UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "oz", "l", "ml", "liters", "litres", "s", "sec", "seconds", "second", "min", "minutes", "minute", "h", "hr", "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "mph", "kmh", "usd", "eur", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees", "degree")
 
-#: Words that start sentences and are no names (fixed values).
+#: Words that are often written with a capital letter and are no names (fixed values).
 STARTERS = ("a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "did", "do", "does", "during", "each", "every", "explain", "find", "first", "for", "from", "given", "had", "has", "have", "he", "her", "his", "how", "however", "i", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "no", "not", "now", "of", "on", "one", "or", "our", "she", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
 
 _RUN = r"[ \t-\r]+"
+_MARKS = r"[^\p{L}\p{N} ]*"
+#: Replacements on a text whose words stand between two spaces of their own: names, then, in
+#: lower case, numbers and units, then punctuation. Java and RE2 read them alike.
+_NAMES = (
+    (rf" {_MARKS}(\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*){_MARKS} ", r" <name>\1 "),
+    (r" <name>(" + "|".join(s.capitalize() for s in STARTERS if len(s) > 1) + r") ", r" \1 "),
+    (r" <name>[^ <]+ ", " <name> "),
+)
+_REST = (
+    (rf" {_MARKS}[0-9][0-9.,:/]*(?:{'|'.join(UNITS)}){_MARKS} ", " <num><unit> "),
+    (rf" [^\p{{L}}\p{{N}} <]*[0-9][0-9.,:/]*{_MARKS} ", " <num> "),
+    (rf" [^\p{{L}}\p{{N}} <]*(?:{'|'.join(UNITS)}){_MARKS} ", " <unit> "),
+    (r"[^\p{L}\p{N}<> ]+", ""),
+)
+#: What turns the words into values for comparison.
+_VALUES = ((r" [^\p{L}\p{N} ]+", " "), (r"[^\p{L}\p{N} ]+ ", " "))
+
+
+def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, into in steps:
+        text = F.regexp_replace(text, pattern, into.replace("\\1", "$1"))
+    return text
+
+
+def _spaced(text: Column) -> Column:
+    """The text with one space in front of and behind each word."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " "))
+    return F.concat(F.lit(" "), F.replace(F.translate(flat, "<>", ""), F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def _parts(spaced: Column) -> Column:
+    return F.split(F.substr(spaced, F.lit(2), F.length(spaced) - 2), "  ")
+
+
+def tokens(text: Column, named: bool = True) -> Column:
+    """(token, value) of each word that has a letter or digit, in order; ``named`` tells names."""
+    spaced = _spaced(text)
+    template = _replaced(F.lower(_replaced(spaced, _NAMES) if named else spaced), _REST)
+    pairs = F.arrays_zip(_parts(template).alias("token"), _parts(_replaced(F.lower(spaced), _VALUES)).alias("value"))
+    return F.filter(pairs, lambda p: p["token"] != "")
 
 
-def _flat(text: Column) -> Column:
-    """The text with one space between words."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " "))
-
-
-def template(flat: Column, starts: bool = False) -> Column:
-    """A flat text's template; word i of the template stands for word i of the text. With
-    ``starts``, names at the start of a sentence are placeholders too."""
-    named = F.regexp_replace(flat, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}'’-]*", "<name>")
-    if starts:
-        named = F.regexp_replace(named, r"(^|[.!?][\"'”’)\]]* )(?![\"'“‘(\[]*(?i:" + "|".join(STARTERS) + r")(?![\p{L}\p{N}]))[\"'“‘(\[]*\p{Lu}[\p{L}'’-]*", "$1<name>")
-    numbered = F.lower(F.regexp_replace(named, r"[+-]?\d[\d.,:/]*", "<num>"))
-    united = F.regexp_replace(numbered, r"(?<=<num> ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", "<unit>")
-    return F.regexp_replace(united, r"[^\p{L}\p{N}<> ]+", "")
-
-
-def _tokens(text: Column, starts: bool = False) -> Column:
-    return F.filter(F.split(template(_flat(text), starts), " "), lambda w: w != "")
-
-
-def _slots(text: Column, starts: bool = False) -> Column:
-    """(token, value) of each template token, aligned with ``_tokens``."""
-    flat = _flat(text)
-    pairs = F.arrays_zip(F.split(template(flat, starts), " ").alias("token"), F.split(flat, " ").alias("value"))
-    return F.filter(pairs, lambda p: p["token"] != "")
+def _hashed(pairs: Column) -> Column:
+    """(t, v, named) of each token: hashes of token and value, and 1 for a placeholder."""
+    return F.transform(pairs, lambda p: F.struct(F.xxhash64(p["token"]).alias("t"), F.xxhash64(p["token"], p["value"]).alias("v"), F.when(p["token"].contains("<"), 1).otherwise(0).alias("slot")))
 
 
-def _literal(tokens: Column) -> Column:
-    """How many tokens hold no placeholder."""
-    return F.size(F.filter(tokens, lambda w: ~w.contains("<")))
+def _windows(hashed: str, width: int, exact: bool = False) -> Column:
+    """(width, at, hash) of all windows of a width, from a column of ``_hashed``."""
+    n = F.size(hashed)
 
+    def window(i: Column) -> Column:
+        part = [F.get(hashed, i + j) for j in range(width)]
+        values = F.xxhash64(F.lit(-width), *(p["v"] for p in part))
+        slots = sum((p["slot"] for p in part[1:]), part[0]["slot"])
+        found = values if exact else F.when(2 * slots > width, values).otherwise(F.xxhash64(F.lit(width), *(p["t"] for p in part)))
+        return F.struct(F.lit(width).alias("width"), i.alias("at"), found.alias("hash"))
 
-def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(item_id, width, n_tokens, at, hash), half of each window's tokens being literal."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array_distinct(F.array(_tokens(F.col(text_col)), _tokens(F.col(text_col), True)))).alias("tokens")).where(F.col("item_id").isNotNull())
-    sized = items.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= SHORTEST)
-    sized = sized.withColumn("width", F.least(F.lit(window), F.floor((F.col("n_tokens") + 1) / 2).cast("int")))
-    rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("width"))).alias("at")).withColumn("w", F.slice("tokens", F.col("at") + 1, F.col("width")))
-    return rows.where(2 * _literal(F.col("w")) >= F.col("width")).select("item_id", "width", "n_tokens", "at", F.xxhash64("width", "w").alias("hash")).distinct()
+    none = F.array().cast("array<struct<width:int,at:int,hash:long>>")
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), window)).otherwise(none)
 
 
-def _windows(tokens: str, width: int) -> Column:
-    """(at, hash) of windows of a token column that is computed already."""
-    n = F.size(tokens)
-    made = F.transform(F.sequence(F.lit(0), n - width, F.lit(1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice(tokens, i + 1, width)).alias("hash")))
-    return F.explode(F.when(n >= width, made)).alias("w")
+def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, short: int) -> DataFrame:
+    """(item_id, n_tokens, width, at, hash) of both templates of each item."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array(tokens(F.col(text_col)), tokens(F.col(text_col), False))).alias("pairs")).where("item_id is not null")
+    sized = items.select("item_id", F.size("pairs").alias("n_tokens"), _hashed(F.col("pairs")).alias("hashed")).where("n_tokens > 0")
+    half = F.least(F.lit(window), F.floor((F.col("n_tokens") + 1) / 2).cast("int"))
+    made = None
+    for width in range(1, max(window, short - 1) + 1):
+        typed = sized.where((F.col("n_tokens") >= short) & (half == width)).select("item_id", "n_tokens", F.explode(_windows("hashed", width)).alias("w"))
+        whole = sized.where((F.col("n_tokens") < short) & (F.col("n_tokens") == width)).select("item_id", "n_tokens", F.explode(_windows("hashed", width, True)).alias("w"))
+        made = typed.union(whole) if made is None else made.union(typed).union(whole)
+    return made.select("item_id", "n_tokens", "w.*").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS, short: int = SHORT) -> DataFrame:
     """Leaks of benchmark items, one row per (doc_id, item_id).
 
     Returns doc_id, item_id, n_covered and n_tokens of the item's template, n_slots (slot values
     compared), n_changed (those whose value differs), n_clashes (item values with more than one
     value there), kind ('verbatim' or 'reparameterised'), all of the occurrence that covers most.
-    A pair whose slots mostly clash in every occurrence is no leak. Null ids and texts on either side take no part; repeated rows of an id
-    count once; items of fewer than five tokens are left out; empty tables give no rows. Other
-    columns are ignored."""
+    A pair whose slots mostly clash in every occurrence is no leak. Null ids and texts on either
+    side take no part, nor do items without a word; rows that repeat an id are judged each by its
+    text, and one of them that leaks makes the pair; empty tables give no rows. Other columns are
+    ignored."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    items = materialize(_item_windows(benchmark, item_col, item_text_col, window), "items")
-    known = items.select("hash", "item_id").distinct()
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    widths = sorted(row.width for row in items.select("width").distinct().collect())  # window sizes, at most ``window``
-    tokens = source.select("doc_id", F.explode(F.array_distinct(F.array(_tokens(F.col("text")), _tokens(F.col("text"), True)))).alias("tokens"))
-    met = None
-    for width in widths:
-        rows = tokens.select("doc_id", _windows("tokens", width)).select("doc_id", F.col("w.hash").alias("hash")).join(known, "hash").select("doc_id", "item_id")
-        met = rows if met is None else met.union(rows)
-    if met is None:
-        met = source.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)
-    pairs = materialize(met.distinct(), "met")
-
-    texts = source.join(pairs.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    held = materialize(texts.select("doc_id", _slots(F.col("text")).alias("slots"), _tokens(F.col("text"), True).alias("started")), "slots")
-    sides = held.select("doc_id", F.explode(F.array_distinct(F.array(F.transform("slots", lambda s: s["token"]), F.col("started")))).alias("tokens"))
-    held = held.drop("started")
-    hits = None
-    for width in widths:
-        mine = items.where(F.col("width") == width)
-        placed = sides.select("doc_id", _windows("tokens", width)).select("doc_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
-        rows = placed.join(pairs, "doc_id").join(mine, ["item_id", "hash"]).select("doc_id", "item_id", "width", "n_tokens", "at", (F.col("there") - F.col("at")).alias("shift"))
-        hits = rows if hits is None else hits.union(rows)
-    if hits is None:
-        hits = pairs.select("doc_id", "item_id", *(F.lit(0).alias(c) for c in ("width", "n_tokens", "at", "shift")))
-    spots = hits.select("doc_id", "item_id", "n_tokens", "shift", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct()
-    spots = materialize(spots, "spots")
+    items = materialize(_item_windows(benchmark, item_col, item_text_col, window, short), "items")
+    seen = items.select("width", "n_tokens").distinct().collect()  # one row per length of an item and width, at most some thousand
+    typed = sorted({r.width for r in seen if r.n_tokens >= short})
+    whole = sorted({r.width for r in seen if r.n_tokens < short})
+    known = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
+    hashed = source.select("doc_id", "text", _hashed(tokens(F.col("text"))).alias("hashed"))
+    windows = [_windows("hashed", w) for w in typed] + [_windows("hashed", w, True) for w in whole]
+    if not windows:
+        windows = [F.array().cast("array<struct<width:int,at:int,hash:long>>")]
+    met = hashed.select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.concat(*windows)).alias("w")).select("doc_id", "version", F.col("w.width").alias("width"), F.col("w.hash").alias("hash"), F.col("w.at").alias("there"))
+    hits = met.join(known, ["hash", "width"]).select("doc_id", "version", "item_id", "n_tokens", "width", "at", (F.col("there") - F.col("at")).alias("shift"))
+    spots = materialize(hits.select("doc_id", "version", "item_id", "n_tokens", "shift", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct(), "spots")
+
+    pair = ["doc_id", "version", "item_id"]
     enough = (F.col("n_covered") >= least_share * F.col("n_tokens")) | (F.col("n_covered") >= least_tokens)
-    able = spots.groupBy("doc_id", "item_id", "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough).select("doc_id", "item_id")
-    placed = materialize(_occurrences(spots.join(able, ["doc_id", "item_id"], "left_semi"), window), "placed")
-    here = ["doc_id", "item_id", "scope", "occurrence"]
-    cover = placed.select("*", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "n_tokens", "o.scope", "o.occurrence", "at").groupBy(*here, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough)
-
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(_slots(F.col(item_text_col), True)).alias("at", "slot")).where(F.col("slot.token").contains("<"))
-    asked = asked.select("item_id", "at", F.col("slot.token").alias("token"), _value(F.col("slot.value")).alias("value")).distinct()
-    compared = placed.join(asked, ["item_id", "at"]).join(held, "doc_id").withColumn("there", _value(F.get("slots", F.col("shift") + F.col("at"))["value"]))
-    compared = compared.select("doc_id", "item_id", "token", "value", "there", F.explode("occurrences").alias("o")).select("doc_id", "item_id", "o.scope", "o.occurrence", "token", "value", "there")
+    able = spots.groupBy(*pair, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough).select(*pair)
+    placed = materialize(_occurrences(spots.join(able, pair, "left_semi"), window), "placed")
+    here = [*pair, "scope", "occurrence"]
+    cover = placed.select("*", F.explode("occurrences").alias("o")).select(*pair, "n_tokens", "o.scope", "o.occurrence", "at").groupBy(*here, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough)
+
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(tokens(F.col(item_text_col))).alias("at", "slot")).where(F.col("slot.token").contains("<")).select("item_id", "at", "slot.token", "slot.value").distinct()
+    texts = source.withColumn("version", F.xxhash64("text")).join(placed.select("doc_id", "version").distinct(), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    held = materialize(texts.select("doc_id", "version", F.transform(tokens(F.col("text")), lambda p: p["value"]).alias("values")), "values")
+    compared = placed.join(asked, ["item_id", "at"]).join(held, ["doc_id", "version"]).withColumn("there", F.get("values", F.col("shift") + F.col("at")))
+    compared = compared.select(*pair, "token", "value", "there", F.explode("occurrences").alias("o")).select(*pair, "o.scope", "o.occurrence", "token", "value", "there")
     values = compared.groupBy(*here, "token", "value").agg(F.countDistinct("there").alias("ways"), F.max(F.col("there") != F.col("value")).alias("changed"))
     slots = values.groupBy(*here).agg(F.count("*").alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"), F.sum((F.col("ways") > 1).cast("long")).alias("n_clashes"))
     zero = F.lit(0).cast("long")
     out = cover.join(slots, here, "left").select(*here, "n_covered", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_changed", "n_clashes")))
     leaks = out.where((F.col("n_slots") < 2) | (2 * F.col("n_clashes") <= F.col("n_slots")))
     told = F.struct("n_covered", "n_tokens", "n_slots", "n_changed", "n_clashes")
-    best = leaks.groupBy("doc_id", "item_id").agg(F.min_by(told, F.struct(F.col("scope") == "document", -F.col("n_covered"), "n_changed", "n_clashes", "n_slots")).alias("b")).select("doc_id", "item_id", "b.*")
+    best = leaks.groupBy("doc_id", "item_id").agg(F.min_by(told, F.struct(F.col("scope") == "document", -F.col("n_covered"), "n_changed", "n_clashes", "n_slots", "n_tokens")).alias("b")).select("doc_id", "item_id", "b.*")
     return best.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))
 
 
 def _occurrences(spots: DataFrame, window: int) -> DataFrame:
     """Adds the occurrences that a spot belongs to: its shift, its run of shifts that differ by
     at most ``window`` (and half the item) from one to the next, and the document."""
-    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    pair = ["doc_id", "version", "item_id"]
+    order = Window.partitionBy(*pair).orderBy("shift")
     near = F.least(F.lit(window), F.floor(F.col("n_tokens") / 2))
-    shifts = spots.groupBy("doc_id", "item_id", "shift").agg(F.max("n_tokens").alias("n_tokens"))
+    shifts = spots.groupBy(*pair, "shift").agg(F.max("n_tokens").alias("n_tokens"))
     shifts = shifts.withColumn("first", F.coalesce((F.col("shift") - F.lag("shift").over(order) > near).cast("long"), F.lit(1).cast("long")))
-    runs = shifts.select("doc_id", "item_id", "shift", F.sum("first").over(order).alias("run"))
+    runs = shifts.select(*pair, "shift", F.sum("first").over(order).alias("run"))
 
     def one(scope: str, occurrence: Column) -> Column:
         return F.struct(F.lit(scope).alias("scope"), occurrence.cast("long").alias("occurrence"))
 
-    return spots.join(runs, ["doc_id", "item_id", "shift"]).withColumn("occurrences", F.array(one("shift", F.col("shift")), one("run", F.col("run")), one("document", F.lit(0)))).drop("run")
-
-
-def _value(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return spots.join(runs, [*pair, "shift"]).withColumn("occurrences", F.array(one("shift", F.col("shift")), one("run", F.col("run")), one("document", F.lit(0)))).drop("run")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -2,12 +2,17 @@
 
 Base rules look at one text. The method is cross-document line frequency: normalised lines
 are hashed, the distinct documents of a host (column ``source``) that hold a line are counted,
-lines above the limit are removed, and documents depleted by it are rejected.
+lines above the limits are removed, and documents depleted by it are rejected. Lines are equal if
+they differ in case and white space only.
 
-Copies of one document count once, for a line and for its host: a document is known by the hash
-of its whole text in lower case and with single spaces. So a large group of copies does not make
-its own content look like page furniture, and documents that share most of their text, near
-copies among them, still count as different.
+With ``copies_once`` (the default) copies of one document count once, for a line and for its host:
+a document is then known by the hash of its whole text in lower case and with single spaces, which
+no single line decides. So a large group of copies does not make its own content look like page
+furniture; documents that share most of their text, near copies among them, still count as
+different. Without it, every document counts by its id.
+
+A text is one row with arrays of its words, lines and hashes, so a task needs memory in proportion
+to its longest text (about ten times its bytes); texts are never cut.
 """
 
 from __future__ import annotations
@@ -37,15 +42,15 @@ def _word_lines(text: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    """Lines that differ in case, digits or white space only are the same line."""
-    return F.xxhash64(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"[ \t-\r]+", " "))), r"[0-9]+", "0"))
+    """Lines that differ in case or white space only are the same line."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[ \t-\r]+", " "))))
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """Adds the base columns to rows of (doc_id, host, text)."""
+def _described(docs: DataFrame, copies_once: bool) -> DataFrame:
+    """The base columns, the normalised lines and a row number of rows of (doc_id, host, text)."""
     words = docs.withColumn("words", words_of(F.col("text")))
     n = F.size("words")
-    triples = F.when(n >= 3, F.transform(F.arrays_zip(F.slice("words", 1, n - 2).alias("a"), F.slice("words", 2, n - 2).alias("b"), F.slice("words", 3, n - 2).alias("c")), lambda t: F.xxhash64(t["a"], t["b"], t["c"])))
+    triples = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     counted = words.select(
         "doc_id",
         "host",
@@ -67,7 +72,9 @@ def _described(docs: DataFrame) -> DataFrame:
     )
     # a window starts at each of these words; up to the next start it covers three words at most
     covered = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, x: F.struct((s["n"] + F.least(F.lit(3), x - s["last"])).alias("n"), x.alias("last")), lambda s: s["n"])
+    known_by = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " ")))) if copies_once else F.col("doc_id")
     return placed.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "host",
         "n_words",
@@ -75,7 +82,7 @@ def _described(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " ")))).alias("known_by"),
+        known_by.alias("known_by"),
         F.transform("lines", lambda line: F.struct(_line_key(line).alias("key"), F.length(F.translate(line, _SPACE, "")).alias("chars"))).alias("lines"),
     )
 
@@ -85,46 +92,48 @@ def _source(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
 
 def _common_lines(described: DataFrame, max_share: float, min_docs: int) -> DataFrame:
-    """(host, key) of lines above the limits of their host."""
-    hosts = described.groupBy(F.col("host").alias("host_"), "known_by").agg(F.count("*").alias("n_")).groupBy("host_").agg(F.count("*").alias("docs"))
-    held = described.select("host", "known_by", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    """(host, key) of lines above the limits of their host. Each distinct count is a count of
+    groups, so a host or a line with a third of all rows is summed in parts before it meets."""
+    named = described.where("known_by is not null")
+    hosts = named.groupBy(F.col("host").alias("host_"), "known_by").agg(F.count("*").alias("n_")).groupBy("host_").agg(F.count("*").alias("docs"))
+    held = named.select("host", "known_by", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
     lines = held.groupBy("host", "key", "known_by").agg(F.count("*").alias("n_")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     return lines.join(hosts, lines.host == hosts.host_).where(F.col("n") > max_share * F.col("docs")).select("host", "key")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, min_docs: int, least_left: int) -> tuple[DataFrame, DataFrame]:
-    """The verdict of each row, and (doc_id, host, key, chars) of each line that goes."""
-    described = materialize(_described(_source(docs, id_col, text_col, host_col)), "quality")
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, min_docs: int, least_left: int, copies_once: bool) -> tuple[DataFrame, DataFrame]:
+    """The verdict of each row, and (doc_id, key) of each line that goes."""
+    described = materialize(_described(_source(docs, id_col, text_col, host_col), copies_once), "quality")
     common = materialize(_common_lines(described, max_share, min_docs), "common")
-    lines = described.select("doc_id", "host", F.explode("lines").alias("line"))
-    hit = lines.select("doc_id", "host", F.col("line.key").alias("key"), F.col("line.chars").alias("chars")).join(common, ["host", "key"])
-    removed = hit.groupBy("doc_id", "host").agg(F.sum("chars").alias("removed")).select(F.col("doc_id").alias("id_"), F.col("host").alias("in_"), "removed")
-    out = described.drop("lines").join(removed, (F.col("doc_id") == F.col("id_")) & (F.col("host") == F.col("in_")), "left")
+    lines = described.select("row", "doc_id", "host", F.explode("lines").alias("line"))
+    hit = lines.select("row", "doc_id", "host", F.col("line.key").alias("key"), F.col("line.chars").alias("chars")).join(common, ["host", "key"])
+    removed = hit.groupBy(F.col("row").alias("row_")).agg(F.sum("chars").alias("removed"))
+    out = described.drop("lines").join(removed, F.col("row") == F.col("row_"), "left")
     out = out.withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     depleted = 100 * (F.col("word_chars") - F.col("removed_chars")) < least_left * F.col("word_chars")
     verdict = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "removed_chars")
-    return verdict, hit
+    return verdict, hit.select("doc_id", "key")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, least_left: int = LEAST_LEFT, copies_once: bool = True) -> DataFrame:
     """Quality columns and verdict, one row per input row.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, removed_chars. A null text counts as empty, a null host as a host of its own; empty
-    texts fail the base rule on n_words. Rows that repeat an id are judged each by its own
-    text for the base rules and share the count of removed characters. A null id names no
-    document, so such a row loses no line. Other columns are ignored."""
-    return _judged(docs, id_col, text_col, host_col, max_share, min_docs, least_left)[0]
+    kept, removed_chars. A null text counts as empty, null hosts as one host; empty texts fail the
+    base rule on n_words. Rows that repeat an id, also with another text, and rows with a null id
+    are judged each by its own text; without ``copies_once`` repeated ids count once and null ids
+    not at all. A line at a limit stays. Empty tables give no rows. Other columns are ignored."""
+    return _judged(docs, id_col, text_col, host_col, max_share, min_docs, least_left, copies_once)[0]
 
 
-def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
+def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, least_left: int = LEAST_LEFT, copies_once: bool = True) -> DataFrame:
     """The documents that pass, with all columns, without the lines above the limits.
 
     Where a text changes, ``chars_col`` (if the table has it) is set to its new length. Rows
     with a null id can't be told apart and pass unjudged; rows that repeat an id pass if one
     of them does."""
-    verdict, hit = _judged(docs, id_col, text_col, host_col, max_share, min_docs, least_left)
+    verdict, hit = _judged(docs, id_col, text_col, host_col, max_share, min_docs, least_left, copies_once)
     good = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
     gone = hit.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     plan = good.join(gone, "doc_id", "left").select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
