@@ -13,6 +13,7 @@ from orbitree.llm.licenses import license_report
 from orbitree.llm.line_dedup import line_dedup_report
 from orbitree.llm.mixing import mix, mix_sql
 from orbitree.llm.near_dedup import near_duplicates
+from orbitree.llm.oracles import decontamination_sql, line_dedup_sql, near_dedup_sql, phrases_sql, quality_sql
 from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.quality import quality
 from orbitree.llm.secrets import secret_report
@@ -66,4 +67,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op7_mixing": mix_sql()}
+    return {
+        "op1_line_dedup": line_dedup_sql(),
+        "op2_chat_formatting": CHAT_SQL,
+        "op5_near_dedup": near_dedup_sql(),
+        "op6_substring_dedup": phrases_sql(),
+        "op7_mixing": mix_sql(),
+        "op9_decontamination": decontamination_sql(),
+        "op10_quality_rules": quality_sql(),
+    }
