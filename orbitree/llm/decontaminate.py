@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates (operator 9), DataFrame functions only.
 
 Texts become templates, word by word: numbers, units and names (words with one capital letter in
-front, but for common words) turn into typed placeholders, other words lose case and punctuation.
+front, but for common words) turn into typed placeholders; other words lose case and punctuation.
 A word's placeholder doesn't depend on its neighbours, so a passage has the same template wherever
 it stands. Items have a second template of their lower-case text, so documents in other case meet
 by that one. Windows of ``window`` template tokens are joined by hash; documents and items give all
@@ -43,79 +43,74 @@ UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "in
 STARTERS = ("a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "did", "do", "does", "during", "each", "every", "explain", "find", "first", "for", "from", "given", "had", "has", "have", "he", "her", "his", "how", "however", "i", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "no", "not", "now", "of", "on", "one", "or", "our", "she", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
 
 _RUN = r"[ \t-\r]+"
-_MARKS = r"[^\p{L}\p{N} ]*"
-#: Replacements on a text whose words stand between two spaces of their own: names, then, in
-#: lower case, numbers and units, then punctuation. Java and RE2 read them alike.
-_NAMES = (
-    (rf" {_MARKS}(\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*){_MARKS} ", r" <name>\1 "),
-    (r" <name>(" + "|".join(s.capitalize() for s in STARTERS if len(s) > 1) + r") ", r" \1 "),
-    (r" <name>[^ <]+ ", " <name> "),
-)
-_REST = (
-    (rf" {_MARKS}[0-9][0-9.,:/]*(?:{'|'.join(UNITS)}){_MARKS} ", " <num><unit> "),
-    (rf" [^\p{{L}}\p{{N}} <]*[0-9][0-9.,:/]*{_MARKS} ", " <num> "),
-    (rf" [^\p{{L}}\p{{N}} <]*(?:{'|'.join(UNITS)}){_MARKS} ", " <unit> "),
-    (r"[^\p{L}\p{N}<> ]+", ""),
-)
-#: What turns the words into values for comparison.
-_VALUES = ((r" [^\p{L}\p{N} ]+", " "), (r"[^\p{L}\p{N} ]+ ", " "))
-
-
-def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, into in steps:
-        text = F.regexp_replace(text, pattern, into.replace("\\1", "$1"))
-    return text
-
-
-def _spaced(text: Column) -> Column:
-    """The text with one space in front of and behind each word."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " "))
-    return F.concat(F.lit(" "), F.replace(F.translate(flat, "<>", ""), F.lit(" "), F.lit("  ")), F.lit(" "))
-
-
-def _parts(spaced: Column) -> Column:
-    return F.split(F.substr(spaced, F.lit(2), F.length(spaced) - 2), "  ")
-
-
-def tokens(text: Column, named: bool = True) -> Column:
-    """(token, value) of each word that has a letter or digit, in order; ``named`` tells names."""
-    spaced = _spaced(text)
-    template = _replaced(F.lower(_replaced(spaced, _NAMES) if named else spaced), _REST)
-    pairs = F.arrays_zip(_parts(template).alias("token"), _parts(_replaced(F.lower(spaced), _VALUES)).alias("value"))
-    return F.filter(pairs, lambda p: p["token"] != "")
-
-
-def _hashed(pairs: Column) -> Column:
-    """(t, v, named) of each token: hashes of token and value, and 1 for a placeholder."""
-    return F.transform(pairs, lambda p: F.struct(F.xxhash64(p["token"]).alias("t"), F.xxhash64(p["token"], p["value"]).alias("v"), F.when(p["token"].contains("<"), 1).otherwise(0).alias("slot")))
-
-
-def _windows(hashed: str, width: int, exact: bool = False) -> Column:
-    """(width, at, hash) of all windows of a width, from a column of ``_hashed``."""
-    n = F.size(hashed)
-
-    def window(i: Column) -> Column:
-        part = [F.get(hashed, i + j) for j in range(width)]
-        values = F.xxhash64(F.lit(-width), *(p["v"] for p in part))
-        slots = sum((p["slot"] for p in part[1:]), part[0]["slot"])
-        found = values if exact else F.when(2 * slots > width, values).otherwise(F.xxhash64(F.lit(width), *(p["t"] for p in part)))
-        return F.struct(F.lit(width).alias("width"), i.alias("at"), found.alias("hash"))
-
-    none = F.array().cast("array<struct<width:int,at:int,hash:long>>")
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), window)).otherwise(none)
-
-
-def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, short: int) -> DataFrame:
-    """(item_id, n_tokens, width, at, hash) of both templates of each item."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array(tokens(F.col(text_col)), tokens(F.col(text_col), False))).alias("pairs")).where("item_id is not null")
-    sized = items.select("item_id", F.size("pairs").alias("n_tokens"), _hashed(F.col("pairs")).alias("hashed")).where("n_tokens > 0")
-    half = F.least(F.lit(window), F.floor((F.col("n_tokens") + 1) / 2).cast("int"))
-    made = None
-    for width in range(1, max(window, short - 1) + 1):
-        typed = sized.where((F.col("n_tokens") >= short) & (half == width)).select("item_id", "n_tokens", F.explode(_windows("hashed", width)).alias("w"))
-        whole = sized.where((F.col("n_tokens") < short) & (F.col("n_tokens") == width)).select("item_id", "n_tokens", F.explode(_windows("hashed", width, True)).alias("w"))
-        made = typed.union(whole) if made is None else made.union(typed).union(whole)
-    return made.select("item_id", "n_tokens", "w.*").distinct()
+#: Replacements on a text before it is cut into words, read alike by Java and RE2: marks between
+#: digits stay as an x, other marks go.
+_CLEAN = ((r"([0-9])[.,:/]([0-9])", r"\1x\2"), (r"[!-/:-@\[-`{-~¡-¿×÷‐-⁞]+", ""))
+_NUMBER = "^[0-9][0-9x]*$"
+_NUMBER_UNIT = "^[0-9][0-9x]*(?:" + "|".join(UNITS) + ")$"
+_SLOTS = ("<num>", "<num><unit>", "<name>", "<unit>")
+
+
+def words_of(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    for pattern, into in _CLEAN:
+        text = F.regexp_replace(text, pattern, into.replace("\\", "$"))
+    return F.filter(F.split(text, _RUN), lambda w: w != "")
+
+
+def token(word: Column) -> Column:
+    """A word's template token: a number, a name (a capital letter, then none), a unit, or the word."""
+    low, first = F.lower(word), F.substring(word, 1, 1)
+    number = F.when(word.rlike(_NUMBER), _SLOTS[0]).when(low.rlike(_NUMBER_UNIT), _SLOTS[1]).otherwise(low)
+    name = (first != F.lower(first)) & (F.length(word) > 1) & (F.substring(word, 2, 1) == F.lower(F.substring(word, 2, 1))) & ~low.isin(*STARTERS)
+    return F.when((first >= "0") & (first <= "9"), number).when(name, _SLOTS[2]).when(low.isin(*UNITS), _SLOTS[3]).otherwise(low)
+
+
+def _hashed(words: Column) -> Column:
+    """(t, v): hashes of each word's token and of the word itself."""
+    return F.transform(words, lambda w: F.struct(F.xxhash64(token(w)).alias("t"), F.xxhash64(F.lower(w)).alias("v")))
+
+
+def _window(hashed: str, at: str, width: int, exact: bool) -> Column:
+    """The hash of ``width`` tokens from a place on. Written for rows of places, so that Spark
+    compiles it."""
+    part = [F.get(hashed, F.col(at) + j) for j in range(width)]
+    values = F.xxhash64(F.lit(-width), *(p["v"] for p in part))
+    if exact:
+        return values
+    slots = sum(F.when(p["t"].isin(*(F.xxhash64(F.lit(s)) for s in _SLOTS)), 1).otherwise(0) for p in part)
+    return F.when(2 * slots > width, values).otherwise(F.xxhash64(F.lit(width), *(p["t"] for p in part)))
+
+
+def _windows(rows: DataFrame, columns: list[str], typed: list[int], whole: list[int]) -> DataFrame:
+    """(columns, width, at, hash): all windows of the widths in ``typed``, and those by value of the
+    widths in ``whole``, of rows with a column ``hashed``."""
+    kinds = [(w, False) for w in typed] + [(w, True) for w in whole]
+    if not kinds:
+        return rows.select(*columns, F.lit(0).alias("width"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash")).limit(0)
+    n, least = F.size("hashed"), min(w for w, _ in kinds)
+    places = rows.select(*columns, "hashed", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("at"))
+    if len(kinds) == 1:
+        return places.select(*columns, F.lit(least).alias("width"), "at", _window("hashed", "at", *kinds[0]).alias("hash"))
+    fits = [F.when(F.col("at") + w <= n, F.struct(F.lit(w).alias("width"), _window("hashed", "at", w, exact).alias("hash"))) for w, exact in kinds]
+    return places.select(*columns, "at", F.explode(F.array(*fits)).alias("w")).where("w is not null").select(*columns, "w.width", "at", "w.hash")
+
+
+def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, short: int) -> tuple[DataFrame, list[int], list[int]]:
+    """(item_id, n_tokens, width, at, hash) of both templates of each item, the widths of its
+    windows, and the widths of those that are met by value."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array(F.col(text_col), F.lower(text_col))).alias("text")).where("item_id is not null")
+    sized = materialize(items.select("item_id", _hashed(words_of(F.col("text"))).alias("hashed")).withColumn("n_tokens", F.size("hashed")).where("n_tokens > 0"), "tokens")
+    lengths = [r.n_tokens for r in sized.select(F.least("n_tokens", F.lit(2 * window + short)).alias("n_tokens")).distinct().collect()]  # a few dozen numbers
+    half = lambda n: min(window, (n + 1) // 2)
+    typed, whole = sorted({half(n) for n in lengths if n >= short}), sorted({n for n in lengths if n < short})
+    columns, n = ["item_id", "n_tokens"], F.col("n_tokens")
+    parts = [_windows(sized.where((n >= short) & (F.least(F.lit(window), F.floor((n + 1) / 2)) == w)), columns, [w], []) for w in typed]
+    parts += [_windows(sized.where((n < short) & (n == w)), columns, [], [w]) for w in whole]
+    made = parts[0] if parts else _windows(sized, columns, [], [])
+    for part in parts[1:]:
+        made = made.union(part)
+    return materialize(made.distinct(), "items"), typed, whole
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS, short: int = SHORT) -> DataFrame:
@@ -129,16 +124,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text, and one of them that leaks makes the pair; empty tables give no rows. Other columns are
     ignored."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    items = materialize(_item_windows(benchmark, item_col, item_text_col, window, short), "items")
-    seen = items.select("width", "n_tokens").distinct().collect()  # one row per length of an item and width, at most some thousand
-    typed = sorted({r.width for r in seen if r.n_tokens >= short})
-    whole = sorted({r.width for r in seen if r.n_tokens < short})
+    items, typed, whole = _item_windows(benchmark, item_col, item_text_col, window, short)
     known = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    hashed = source.select("doc_id", "text", _hashed(tokens(F.col("text"))).alias("hashed"))
-    windows = [_windows("hashed", w) for w in typed] + [_windows("hashed", w, True) for w in whole]
-    if not windows:
-        windows = [F.array().cast("array<struct<width:int,at:int,hash:long>>")]
-    met = hashed.select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.concat(*windows)).alias("w")).select("doc_id", "version", F.col("w.width").alias("width"), F.col("w.hash").alias("hash"), F.col("w.at").alias("there"))
+    hashed = source.select("doc_id", F.xxhash64("text").alias("version"), _hashed(words_of(F.col("text"))).alias("hashed"))
+    met = _windows(hashed, ["doc_id", "version"], typed, whole).withColumnRenamed("at", "there")
     hits = met.join(known, ["hash", "width"]).select("doc_id", "version", "item_id", "n_tokens", "width", "at", (F.col("there") - F.col("at")).alias("shift"))
     spots = materialize(hits.select("doc_id", "version", "item_id", "n_tokens", "shift", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct(), "spots")
 
@@ -149,9 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     here = [*pair, "scope", "occurrence"]
     cover = placed.select("*", F.explode("occurrences").alias("o")).select(*pair, "n_tokens", "o.scope", "o.occurrence", "at").groupBy(*here, "n_tokens").agg(F.countDistinct("at").alias("n_covered")).where(enough)
 
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(tokens(F.col(item_text_col))).alias("at", "slot")).where(F.col("slot.token").contains("<")).select("item_id", "at", "slot.token", "slot.value").distinct()
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.posexplode(words_of(F.col(item_text_col))).alias("at", "word"))
+    asked = asked.select("item_id", "at", token(F.col("word")).alias("token"), F.lower("word").alias("value")).where(F.col("token").isin(*_SLOTS)).distinct()
     texts = source.withColumn("version", F.xxhash64("text")).join(placed.select("doc_id", "version").distinct(), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    held = materialize(texts.select("doc_id", "version", F.transform(tokens(F.col("text")), lambda p: p["value"]).alias("values")), "values")
+    held = materialize(texts.select("doc_id", "version", F.transform(words_of(F.col("text")), F.lower).alias("values")), "values")
     compared = placed.join(asked, ["item_id", "at"]).join(held, ["doc_id", "version"]).withColumn("there", F.get("values", F.col("shift") + F.col("at")))
     compared = compared.select(*pair, "token", "value", "there", F.explode("occurrences").alias("o")).select(*pair, "o.scope", "o.occurrence", "token", "value", "there")
     values = compared.groupBy(*here, "token", "value").agg(F.countDistinct("there").alias("ways"), F.max(F.col("there") != F.col("value")).alias("changed"))

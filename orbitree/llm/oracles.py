@@ -121,26 +121,22 @@ def phrases_sql(rel: str = "documents", window: int = 50) -> str:
 # --- decontamination -------------------------------------------------------------------------
 
 
-def _replaced(text: str, steps: tuple[tuple[str, str], ...]) -> str:
-    for pattern, into in steps:
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{into}', 'g')"
-    return text
-
-
-def _tokens(text: str, named: bool = True) -> str:
+def _tokens(text: str) -> str:
     """A list of {t, v}: template token and value."""
-    spaced = rf"(' ' || replace(translate(trim(regexp_replace(COALESCE({text}, ''), '[ \t-\r]+', ' ', 'g')), '<>', ''), ' ', '  ') || ' ')"
-    parts = lambda x: f"string_split(substr({x}, 2, length({x}) - 2), '  ')"
-    template = parts(_replaced(f"lower({_replaced(spaced, d._NAMES) if named else spaced})", d._REST))
-    value = parts(_replaced(f"lower({spaced})", d._VALUES))
-    return f"list_filter(list_transform(list_zip({template}, {value}), lambda p: {{'t': p[1], 'v': p[2]}}), lambda p: p.t <> '')"
+    for pattern, into in d._CLEAN:
+        text = f"regexp_replace({text}, '{pattern}', '{into}', 'g')"
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    num, num_unit, name, unit = (f"'{s}'" for s in d._SLOTS)
+    token = f"""CASE WHEN w[1] >= '0' AND w[1] <= '9' THEN CASE WHEN regexp_matches(w, '{d._NUMBER}') THEN {num} WHEN regexp_matches(lower(w), '{d._NUMBER_UNIT}') THEN {num_unit} ELSE lower(w) END
+        WHEN w[1] <> lower(w[1]) AND length(w) > 1 AND w[2] = lower(w[2]) AND lower(w) NOT IN ({listed(d.STARTERS)}) THEN {name} WHEN lower(w) IN ({listed(d.UNITS)}) THEN {unit} ELSE lower(w) END"""
+    return f"list_transform({_WORDS.format(text=text)}, lambda w: {{'t': {token}, 'v': lower(w)}})"
 
 
 def _window_rows(rel: str, key: str, windows: str) -> str:
     """(key, width, pos, h): windows of the widths in ``windows`` (key, width, exact) of each row."""
     part = "p[pos + 1:pos + width]"
-    slots = f"len(list_filter({part}, lambda x: contains(x.t, '<')))"
-    return f"""(SELECT {key}, width, pos, CASE WHEN exact OR 2 * {slots} > width THEN '=' || array_to_string(list_transform({part}, lambda x: x.t || chr(1) || x.v), ' ') ELSE array_to_string(list_transform({part}, lambda x: x.t), ' ') END AS h
+    slots = f"len(list_filter({part}, lambda x: x.t[1] = '<'))"
+    return f"""(SELECT {key}, width, pos, CASE WHEN exact OR 2 * {slots} > width THEN '=' || array_to_string(list_transform({part}, lambda x: x.v), ' ') ELSE array_to_string(list_transform({part}, lambda x: x.t), ' ') END AS h
         FROM (SELECT {key}, p, width, exact, unnest(range(0, len(p) - width + 1)) AS pos FROM {rel} JOIN {windows} ON len(p) >= width))"""
 
 
@@ -148,9 +144,9 @@ def _leaks(rel: str, bench: str) -> str:
     """CTEs up to ``best`` (doc_id, item_id and figures), for unique ids."""
     w, enough = d.WINDOW, f"(n_covered >= {d.LEAST_SHARE} * n_tokens OR n_covered >= {d.LEAST_TOKENS})"
     here = "doc_id, item_id, scope, occurrence"
-    return f"""items AS MATERIALIZED (SELECT item_id, v, CASE WHEN v = 0 THEN {_tokens('text')} ELSE {_tokens('text', False)} END AS p FROM {bench}, range(2) AS r(v) WHERE item_id IS NOT NULL),
+    return f"""items AS MATERIALIZED (SELECT item_id, v, {_tokens('body')} AS p FROM (SELECT item_id, v, CASE WHEN v = 0 THEN COALESCE(text, '') ELSE lower(COALESCE(text, '')) END AS body FROM {bench}, range(2) AS r(v)) WHERE item_id IS NOT NULL),
     plan AS (SELECT item_id, v, p, len(p) AS n_tokens, len(p) < {d.SHORT} AS exact, CASE WHEN len(p) < {d.SHORT} THEN len(p) ELSE least({w}, (len(p) + 1) // 2) END AS width FROM items WHERE len(p) > 0),
-    known AS MATERIALIZED (SELECT DISTINCT item_id, n_tokens, width, pos, h FROM (SELECT item_id, n_tokens, width, pos, CASE WHEN exact OR 2 * len(list_filter(part, lambda x: contains(x.t, '<'))) > width THEN '=' || array_to_string(list_transform(part, lambda x: x.t || chr(1) || x.v), ' ') ELSE array_to_string(list_transform(part, lambda x: x.t), ' ') END AS h
+    known AS MATERIALIZED (SELECT DISTINCT item_id, n_tokens, width, pos, h FROM (SELECT item_id, n_tokens, width, pos, CASE WHEN exact OR 2 * len(list_filter(part, lambda x: x.t[1] = '<')) > width THEN '=' || array_to_string(list_transform(part, lambda x: x.v), ' ') ELSE array_to_string(list_transform(part, lambda x: x.t), ' ') END AS h
         FROM (SELECT *, p[pos + 1:pos + width] AS part FROM (SELECT *, unnest(range(0, len(p) - width + 1)) AS pos FROM plan)))),
     texts AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS p FROM {rel} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     met AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, n_tokens, k.width, k.pos, w.pos - k.pos AS shift FROM {_window_rows('texts', 'doc_id', '(SELECT DISTINCT width, exact FROM plan) q')} w JOIN known k ON k.width = w.width AND k.h = w.h),
@@ -161,7 +157,7 @@ def _leaks(rel: str, bench: str) -> str:
     runs AS (SELECT doc_id, item_id, shift, sum(first) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS run FROM steps),
     placed AS MATERIALIZED (SELECT doc_id, item_id, n_tokens, shift, pos, unnest(['shift', 'run', 'document']) AS scope, unnest([CAST(shift AS BIGINT), CAST(run AS BIGINT), 0]) AS occurrence FROM spots JOIN runs USING (doc_id, item_id, shift)),
     cover AS (SELECT * FROM (SELECT {here}, n_tokens, count(DISTINCT pos) AS n_covered FROM placed GROUP BY ALL) WHERE {enough}),
-    asked AS (SELECT item_id, pos, p[pos + 1].t AS token, p[pos + 1].v AS val FROM (SELECT item_id, p, unnest(range(0, len(p))) AS pos FROM items WHERE v = 0) WHERE contains(p[pos + 1].t, '<')),
+    asked AS (SELECT item_id, pos, p[pos + 1].t AS token, p[pos + 1].v AS val FROM (SELECT item_id, p, unnest(range(0, len(p))) AS pos FROM items WHERE v = 0) WHERE p[pos + 1].t[1] = '<'),
     vals AS (SELECT {here}, token, val, count(DISTINCT texts.p[shift + pos + 1].v) AS ways, bool_or(texts.p[shift + pos + 1].v <> val) AS changed FROM placed JOIN asked USING (item_id, pos) JOIN texts USING (doc_id) GROUP BY ALL),
     slots AS (SELECT {here}, count(*) AS n_slots, sum(CASE WHEN changed THEN 1 ELSE 0 END) AS n_changed, sum(CASE WHEN ways > 1 THEN 1 ELSE 0 END) AS n_clashes FROM vals GROUP BY ALL),
     told AS (SELECT {here}, n_covered, n_tokens, COALESCE(n_slots, 0) AS n_slots, COALESCE(n_changed, 0) AS n_changed, COALESCE(n_clashes, 0) AS n_clashes FROM cover LEFT JOIN slots USING ({here})),

@@ -48,3 +48,31 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(2, text, "a"), (2, text, "b"), (None, text, "c"), (5, text, "d")], "doc_id long, text string, phrases string")
     got = sorted((str(r.doc_id), r.n_removed, len(r.spans)) for r in repeated_phrases(docs).collect())
     assert got == [("2", 0, 0), ("2", 0, 0), ("5", 60, 1), ("None", 0, 0)]
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    draw = random.Random(9)
+    make = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    passage = make(70)
+    rows = [(1, f"{make(20)} {passage}"), (2, f"{passage} {make(150)}"), (2, make(12)), (2, f"{make(300)} {passage}"), (3, passage), (3, passage)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 90, 0), (2, 12, 0), (2, 220, 70), (2, 370, 70), (3, 70, 70), (3, 70, 70)]
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    from orbitree.llm import phrases
+
+    text = " ".join(f"t{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"a {text}"), (2, f"b c {text}")], "doc_id long, text string")
+    assert [r.n_removed for r in repeated_phrases(docs).orderBy("doc_id").collect()] == [0, 80]
+    table = phrases.pa.table({"words": phrases.pa.array([], phrases.pa.binary())})
+    assert phrases._compiled(table) is None
+
+
+def test_a_very_long_text(spark):
+    draw = random.Random(10)
+    passage = [f"p{draw.randrange(10**6)}" for _ in range(60)]
+    long = [f"x{draw.randrange(10**5)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_100] + passage)), (3, " ".join(long[:1000] + passage))]
+    got = {r.doc_id: r.n_removed for r in repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 100, 3: 1060}
