@@ -4,11 +4,15 @@ Fixed patterns find assignments, access keys and hex strings. The method adds st
 entropy: candidate strings are scanned with a sliding window whose Shannon entropy is kept by
 incremental counts, with a threshold for each character class; an allow-list suppresses
 numbers, words and identifiers that are not secret.
+
+A text of any length is scanned whole, in time in proportion to its length, and needs memory for
+its text and spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -96,16 +100,30 @@ def entropy_spans(candidate: str, window: int = WINDOW, thresholds: dict[str, fl
     return found
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that sorted spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every secret, sorted; kind is an index of KINDS."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted(found)
+    starts, ends = _merged(sorted((s, e) for s, _, e in found))
     for m in _CANDIDATE.finditer(text):
         for lo, hi in entropy_spans(m.group()):
             start, end = m.start() + lo, m.start() + hi
-            if not any(s < end and start < e for s, _, e in base):
+            last = bisect_left(starts, end) - 1  # the last range that starts before the span's end
+            if last < 0 or ends[last] <= start:
                 found.append((start, 3, end))
     return sorted(found)
 
@@ -121,7 +139,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of each text: (doc_id, spans array<struct<kind,start,end>>), one row per input row.
 
     Offsets are code points, the end exclusive; spans are sorted by start, then kind. Null and
-    empty texts have none. Null or repeated ids are kept as they are; other columns are ignored."""
+    empty texts have none. Null or repeated ids are kept as they are; an empty table gives no rows;
+    other columns are ignored."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan_batches, _SPANS)
 
 
