@@ -3,17 +3,26 @@
 A page's element tree is the graph: block elements and text blocks are nodes labelled content
 or not. Node evidence is a logistic model over tags, class and id words, length and links;
 parent-child potentials tie an element to its parent. Sum-product messages run from the leaves
-up and from the root down, for all pages of a batch at once, level by level; text blocks with
+up and from the root down, for the pages of a slice at once, level by level; text blocks with
 a content marginal of at least one half make the text.
 
-Training pages label themselves: those with an article or main element. What is inside counts
-as content, but for parts marked as navigation, forms, comments and the like. The weights start
-from priors that say what such marks mean and stay there for marks that the pages don't show.
+Training pages label themselves: those with an article or main element. What is outside is noise.
+What is inside counts as content, but for blocks that several of the training pages repeat word by
+word; parts inside that a tag or class word calls navigation, form, comments and the like are left
+out of the fit, so those words don't label what they are a feature of. Every page is
+learned twice, the second time without its article and main tags and without class words, so that
+tags, lengths and links have to tell. Evidence and potentials are fitted together by pseudo-likelihood (each node given its
+neighbours), so that a list inside a menu doesn't speak against lists. The weights start from
+priors that say what such marks mean and stay there for marks that the pages don't show.
+
+A page is parsed whole, whatever its length; slices end after ``SLICE_NODES`` nodes, so a task
+needs memory in proportion to that or to its largest page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,10 +35,14 @@ from pyspark.sql import functions as F
 
 #: Bound of the training sample; pages are chosen by the hash of their id.
 TRAIN_PAGES = 300
+#: Nodes whose messages run together, about.
+SLICE_NODES = 50_000
+#: A block that so many training pages repeat is no content.
+REPEATED = 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
 
 _RAW = frozenset("script style template noscript title textarea svg iframe object".split())
@@ -43,7 +56,7 @@ _CONTENT_TAGS = ("article", "main")
 _NOISE_TAGS = ("nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "head")
 #: Words of class, id and role attributes that mark content and what is not (fixed values).
 _CONTENT_WORDS = ("article", "content", "main", "post", "entry", "story", "body")
-_NOISE_WORDS = ("nav", "navigation", "menu", "navbar", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "share", "social", "related", "recommended", "comment", "comments", "reply", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar", "copyright", "legal", "skip")
+_NOISE_WORDS = ("nav", "navigation", "menu", "navbar", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "share", "social", "related", "recommended", "comment", "comments", "reply", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar", "copyright", "legal", "skip", "adsbygoogle", "werbung", "anzeige", "anzeigen", "kommentar", "kommentare", "seitenleiste", "hinweis", "fusszeile", "kopfzeile", "publicite", "commentaire", "commentaires", "pied", "entete", "publicidad", "anuncio", "anuncios", "comentario", "comentarios", "pie", "cabecera", "barra")
 
 _FEATURES = ["bias", "text", *(f"<{t}>" for t in _CONTENT_TAGS), *(f"<{t}>" for t in _NOISE_TAGS), "<p>", "<h>", "<li>", "<div>", "<table>", "<pre>", *(f"+{w}" for w in _CONTENT_WORDS), *(f"-{w}" for w in _NOISE_WORDS), "links", "long", "short", "stops"]
 _AT = {name: i for i, name in enumerate(_FEATURES)}
@@ -52,18 +65,21 @@ _AT = {name: i for i, name in enumerate(_FEATURES)}
 def _prior() -> np.ndarray:
     w = np.zeros(len(_FEATURES))
     for name in _FEATURES:
-        if name[0] == "-" or name.strip("<>") in _NOISE_TAGS:
-            w[_AT[name]] = -5.0
+        if name.strip("<>") in _NOISE_TAGS:
+            w[_AT[name]] = -20.0
+        elif name[0] == "-":
+            w[_AT[name]] = -8.0
         elif name[0] == "+":
             w[_AT[name]] = 2.5
-    for name, value in (("<article>", 3.0), ("<main>", 2.0), ("<p>", 0.8), ("<h>", 0.4), ("<pre>", 0.8), ("links", -3.0), ("long", 1.0), ("short", -0.3), ("stops", 0.5)):
+    for name, value in (("<article>", 20.0), ("<main>", 15.0), ("<p>", 0.8), ("<h>", 0.4), ("<pre>", 0.8), ("links", -1.2), ("long", 1.0), ("short", -0.2), ("stops", 0.5)):
         w[_AT[name]] = value
     return w
 
 
 @dataclass
 class Page:
-    """Nodes in document order: parent index, depth, features, whether a mark says noise or content."""
+    """Nodes in document order: parent index, depth, features, whether an element of noise or of
+    content holds them, and the text of text blocks."""
 
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
@@ -86,8 +102,8 @@ class Page:
 def _element_features(tag: str, attributes: str) -> tuple[list[tuple[int, float]], bool]:
     names = {f"<{'h' if re.fullmatch('h[1-6]', tag) else tag}>"}
     for m in _MARKS.finditer(attributes):
-        for word in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-            names |= {f"+{word}", f"-{word}"}
+        for word in _WORD.findall(m[1] or m[2] or m[3] or ""):
+            names |= {f"+{word.lower()}", f"-{word.lower()}"}
     known = [(_AT[n], 1.0) for n in sorted(names) if n in _AT]
     return [(_AT["bias"], 1.0), *known], tag in _NOISE_TAGS or any(_FEATURES[i][0] == "-" for i, _ in known)
 
@@ -161,41 +177,77 @@ def parse(html: str) -> Page:
 @dataclass
 class Model:
     weights: np.ndarray
-    edge: np.ndarray  # [child is text][parent label][child label], log potentials
+    edge: np.ndarray  # [kind of child][parent label][child label], log potentials
 
 
-def _matrix(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Evidence matrix, parents, depths and text marks of all pages' nodes."""
+@dataclass
+class Forest:
+    """The nodes of some pages: evidence as (node, feature, value), parents, depths, and kinds:
+    element, text, and element with a noise mark. The last says little about what holds it."""
+
+    node: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+    parent: np.ndarray
+    depth: np.ndarray
+    kind: np.ndarray
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.node, weights[self.feature] * self.value, len(self.parent))
+
+
+def _forest(pages: list[Page]) -> Forest:
     sizes = np.cumsum([0] + [len(p.parent) for p in pages])
-    x = np.zeros((sizes[-1], len(_FEATURES)), dtype=np.float32)
-    parent = np.empty(sizes[-1], dtype=np.int64)
-    for base, page in zip(sizes.tolist(), pages):
-        for i, (up, features) in enumerate(zip(page.parent, page.features)):
-            parent[base + i] = up + base if up >= 0 else -1
-            for j, value in features:
-                x[base + i, j] = value
+    parent = np.array([up + base if up >= 0 else -1 for base, p in zip(sizes.tolist(), pages) for up in p.parent], dtype=np.int64)
+    marks = [(base + i, j, v) for base, p in zip(sizes.tolist(), pages) for i, features in enumerate(p.features) for j, v in features if v]
+    node, feature, value = (np.array(c) for c in zip(*marks)) if marks else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     depth = np.array([d for p in pages for d in p.depth], dtype=np.int64)
-    is_text = np.array([t is not None for p in pages for t in p.text], dtype=np.int64)
-    return x, parent, depth, is_text
+    kind = np.array([1 if t is not None else 2 * any(_FEATURES[j][0] == "-" or _FEATURES[j][1:-1] in _NOISE_TAGS for j, _ in features) for p in pages for t, features in zip(p.text, p.features)], dtype=np.int64)
+    return Forest(node, feature, value, parent, depth, kind)
 
 
-def train(pages: list[Page], steps: int = 100, rate: float = 1.0, pull: float = 0.02) -> Model:
-    """Weights near the prior that fit pages with an article or main element, and edge counts."""
+def _blind(page: Page) -> Page:
+    """The page without its article and main tags and its class and id words."""
+    hidden = {_AT[f"<{t}>"] for t in _CONTENT_TAGS} | {i for i, name in enumerate(_FEATURES) if name[0] in "+-"}
+    return Page(page.parent, page.depth, [[f for f in features if f[0] not in hidden] for features in page.features], page.noise, page.inside, page.text)
+
+
+def train(pages: list[Page], steps: int = 200, rate: float = 1.0, pull: float = 0.02) -> Model:
+    """Evidence weights and potentials near their priors that fit the pages with an article or main
+    element, by gradient descent on the pseudo-likelihood."""
     weights = _prior()
-    counts = np.full((2, 2, 2), 1.0)
-    counts[:, 0, 0] += 30
-    counts[:, 1, 1] += 30
+    edge = np.log(np.array([[[60.0, 1.0], [1.0, 120.0]], [[60.0, 1.0], [1.0, 60.0]], [[1.0, 1.0], [1.0, 1.0]]]))
     shown = [p for p in pages if any(p.inside)]
-    if shown:
-        x, parent, _, is_text = _matrix(shown)
-        label = np.array([i and not n for p in shown for i, n in zip(p.inside, p.noise)], dtype=np.int64)
-        first = weights.copy()
-        for _ in range(steps):
-            guess = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            weights -= rate * (x.T @ (guess - label) / len(label) + pull * (weights - first))
-        child = np.flatnonzero(parent >= 0)
-        np.add.at(counts, (is_text[child], label[parent[child]], label[child]), 1)
-    return Model(weights, np.log(counts / counts.sum(axis=2, keepdims=True)))
+    if not shown:
+        return Model(weights, edge)
+    seen = Counter(t for p in shown for t in {t for t in p.text if t is not None})
+    label = np.array([inside and not noise and not (text is not None and seen[text] >= REPEATED) for p in shown for inside, noise, text in zip(p.inside, p.noise, p.text)] * 2, dtype=np.int64)
+    told = np.array([not (inside and noise) for p in shown for inside, noise in zip(p.inside, p.noise)] * 2)
+    f = _forest(shown + [_blind(p) for p in shown])
+    child = np.flatnonzero((f.parent >= 0) & told)
+    up, text = f.parent[child], f.kind[child]
+    used = told[f.node]
+    mass = np.bincount(f.feature[used], f.value[used], len(weights)) + 1
+    first, tied = weights.copy(), edge.copy()
+    each = np.zeros_like(edge)
+    np.add.at(each, (text, label[up], label[child]), 1)
+    each = each.sum(axis=2, keepdims=True) + 1
+    n = len(label)
+    for _ in range(steps):
+        logit = f.score(weights)
+        logit[child] += edge[text, label[up], 1] - edge[text, label[up], 0]
+        logit += np.bincount(up, edge[text, 1, label[child]] - edge[text, 0, label[child]], n)
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label) * told
+        # every parameter moves by the mean error of the nodes that have it
+        weights -= rate * (np.bincount(f.feature, error[f.node] * f.value, len(weights)) / mass + pull * (weights - first))
+        slope = np.zeros_like(edge)
+        np.add.at(slope, (text, label[up], 1), error[child])
+        np.add.at(slope, (text, label[up], 0), -error[child])
+        np.add.at(slope, (text, 1, label[child]), error[up])
+        np.add.at(slope, (text, 0, label[child]), -error[up])
+        slope[2] = 0  # inside an article such elements are left out, so the sample can't tell
+        edge -= rate * (slope / each / 4 + 0.3 * (edge - tied))
+    return Model(weights, edge)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -205,29 +257,43 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 def marginals(pages: list[Page], model: Model) -> np.ndarray:
     """Content marginals of all nodes by one pass of messages up and one down."""
-    x, parent, depth, is_text = _matrix(pages)
-    score = x @ model.weights
+    f = _forest(pages)
+    parent, depth, kind = f.parent, f.depth, f.kind
+    score = f.score(model.weights)
     belief = np.stack([-score / 2, score / 2], axis=1)
     up = np.zeros_like(belief)
     levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
     for nodes in reversed(levels[1:]):
-        up[nodes] = _lse(model.edge[is_text[nodes]] + belief[nodes][:, None, :], 2)
+        up[nodes] = _lse(model.edge[kind[nodes]] + belief[nodes][:, None, :], 2)
         np.add.at(belief, parent[nodes], up[nodes])
     for nodes in levels[1:]:
         rest = belief[parent[nodes]] - up[nodes]
         rest -= _lse(rest, 1)[:, None]
-        belief[nodes] += _lse(model.edge[is_text[nodes]] + rest[:, :, None], 1)
+        belief[nodes] += _lse(model.edge[kind[nodes]] + rest[:, :, None], 1)
     return np.exp(belief[:, 1] - _lse(belief, 1))
 
 
+def _slices(htmls: list[str | None]) -> Iterator[list[Page]]:
+    held: list[Page] = []
+    nodes = 0
+    for html in htmls:
+        held.append(parse(html or ""))
+        nodes += len(held[-1].parent)
+        if nodes >= SLICE_NODES:
+            yield held
+            held, nodes = [], 0
+    if held:
+        yield held
+
+
 def page_texts(htmls: list[str | None], model: Model) -> list[str]:
-    pages = [parse(h or "") for h in htmls]
-    chance = marginals(pages, model) if pages else np.empty(0)
-    out, at = [], 0
-    for page in pages:
-        own = chance[at : at + len(page.text)]
-        at += len(page.text)
-        out.append("\n".join(t for t, p in zip(page.text, own) if t is not None and p >= 0.5))
+    out = []
+    for pages in _slices(htmls):
+        chance, at = marginals(pages, model), 0
+        for page in pages:
+            own = chance[at : at + len(page.text)]
+            at += len(page.text)
+            out.append("\n".join(t for t, p in zip(page.text, own) if t is not None and p >= 0.5))
     return out
 
 
@@ -247,10 +313,8 @@ def extract_text(pages: DataFrame, model: Model, id_col: str = "page_id", url_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = page_texts(part.column(2).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts = page_texts(batch.column(2).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
