@@ -14,7 +14,12 @@ Groups are never expanded into all pairs:
    For members x, y of centre c, the intersection of x and y is at most
    min(|x & c|, |y & c|) plus what x has outside c that another member also has outside c.
    Pairs that this bound or the set sizes rule out cannot be links and are not made; all
-   others of different components are compared exactly.
+   others of different components are compared exactly. The bounds are first taken over the
+   members of one component and size together, so a family that is linked already isn't
+   paired with itself.
+
+A centre's text travels once for each block of its members. A text of any length is one row and is
+never cut; a task needs memory in proportion to its longest text (about thirty times its bytes).
 
 So no link between documents that share a bucket is lost. With 28 bands of 4 coordinates, a
 pair at similarity 0.8 shares no bucket with a chance of 4e-7, at 0.85 with 1e-9.
@@ -36,6 +41,8 @@ from orbitree.llm.textkernel import Words, mix32, mix64, word_slices
 SHINGLE = 5
 BANDS = 28
 ROWS = 4
+#: Members of a centre that are compared with it in one go, about.
+PIECE = 256
 
 _SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 _OVERLAPS = "a long, b long, shared long, size_a long, size_b long, rest_b array<long>"
@@ -98,25 +105,26 @@ def _describe(k: int, bands: int, rows: int):
 
 
 def _overlap(k: int):
-    """Rows (a, b, text_a, text_b) to set sizes, intersection size and the shingles only b has."""
+    """Rows (a, piece, kind, id, text), each piece led by its centre a (kind 0), to set sizes,
+    intersection size and the shingles that only the member b has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kept = None, np.empty(0, np.uint64)
+        kept = np.empty(0, np.uint64)
         for batch in batches:
-            a, b = (np.asarray(batch.column(i)) for i in (0, 1))
+            a, kind, ids = (np.asarray(batch.column(i)) for i in (0, 2, 3))
             rows = []
-            texts_a, texts_b = batch.column(2), batch.column(3)
-            for words in word_slices(texts_b, lower=True):
+            for words in word_slices(batch.column(4), lower=True):
                 values, offsets = _sets(words, k)
                 for d in range(len(words)):
                     i = words.first + d
-                    if seen is None or a[i] != seen:
-                        seen, kept = a[i], _sets(next(word_slices(texts_a.slice(i, 1), lower=True)), k)[0]
                     own = values[offsets[d] : offsets[d + 1]]
+                    if kind[i] == 0:
+                        kept = own.copy()
+                        continue
                     at = np.searchsorted(kept, own)
                     at[at == len(kept)] = 0
                     common = kept[at] == own if len(kept) else np.zeros(len(own), bool)
-                    rows.append((a[i], b[i], int(common.sum()), len(kept), len(own), own[~common].view(np.int64)))
+                    rows.append((a[i], ids[i], int(common.sum()), len(kept), len(own), own[~common].view(np.int64)))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))], names=["a", "b", "shared", "size_a", "size_b", "rest_b"])
 
@@ -124,11 +132,13 @@ def _overlap(k: int):
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Exact set overlap of pairs (a, b). The text of b travels to a; equal a's stay together,
-    and a hot a may be split over tasks, for each row holds both texts."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(k), _OVERLAPS)
+    """Exact set overlap of pairs (a, b). The members b of a centre are dealt to pieces of about
+    ``PIECE``; each piece gets the centre's text once, in front."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    dealt = materialize(pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b"), "pieces")
+    members = dealt.join(texts, dealt.b == texts.doc_id).select("a", "piece", F.lit(1).alias("kind"), F.col("b").alias("id"), "text")
+    centres = dealt.select("a", "piece").distinct().join(texts, F.col("a") == texts.doc_id).select("a", "piece", F.lit(0).alias("kind"), F.col("a").alias("id"), "text")
+    return members.union(centres).repartition("a", "piece").sortWithinPartitions("a", "piece", "kind").mapInArrow(_overlap(k), _OVERLAPS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -183,13 +193,19 @@ def _rest_pairs(tested: DataFrame, parts: DataFrame, threshold: int) -> DataFram
     bound = active.drop("rest_b").join(extra, ["a", "b"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     bound = bound.withColumn("cap", F.floor((100 + threshold) * (F.col("shared") + F.col("extra")) / F.lit(threshold)).cast("long") - F.col("size"))
     bound = materialize(bound.where("cap >= least").select("a", "b", "shared", "extra", "size", "cap", "part", "outside", "least", "most"), "bounds")
+    kin = bound.groupBy("a", "part", "size").agg(*(F.max(c).alias(c) for c in ("shared", "extra", "cap", "outside", "least", "most")))
+    kin = materialize(kin, "kin")
     low = F.greatest("least", F.ceil(threshold * F.col("size") / F.lit(100)).cast("long"))
     high = F.least("most", "cap", F.floor(100 * F.col("size") / F.lit(threshold)).cast("long"))
-    seek = bound.where("outside").withColumn("low", low).withColumn("high", high).where("low <= high")
-    seek = seek.select("a", F.col("b").alias("x"), F.col("shared").alias("sx"), F.col("extra").alias("ex"), F.col("size").alias("nx"), F.col("part").alias("px"), F.explode(F.sequence("low", "high")).alias("size"))
-    met = seek.join(bound.select("a", "b", "shared", "extra", "size", "cap", "part", "outside"), ["a", "size"])
+    seek = kin.where("outside").withColumn("low", low).withColumn("high", high).where("low <= high")
+    seek = seek.select("a", F.col("shared").alias("sx"), F.col("extra").alias("ex"), F.col("size").alias("nx"), F.col("part").alias("px"), F.explode(F.sequence("low", "high")).alias("size"))
     most = F.least("sx", "shared") + F.least("ex", "extra")
-    met = met.where((F.col("px") != F.col("part")) & (F.col("cap") >= F.col("nx")) & ((100 + threshold) * most >= threshold * (F.col("nx") + F.col("size"))) & (~F.col("outside") | (F.col("x") < F.col("b"))))
+    may = (F.col("px") != F.col("part")) & (F.col("cap") >= F.col("nx")) & ((100 + threshold) * most >= threshold * (F.col("nx") + F.col("size")))
+    open_ = materialize(seek.join(kin.drop("least", "most"), ["a", "size"]).where(may).select("a", "px", "nx", "part", "size").distinct(), "open")
+    members = bound.select("a", "b", "shared", "extra", "size", "cap", "part", "outside")
+    left = members.where("outside").select("a", F.col("b").alias("x"), F.col("shared").alias("sx"), F.col("extra").alias("ex"), F.col("size").alias("nx"), F.col("cap").alias("cx"), F.col("part").alias("px"))
+    met = left.join(open_, ["a", "px", "nx"]).join(members, ["a", "part", "size"])
+    met = met.where(may & (F.col("cx") >= F.col("size")) & (~F.col("outside") | (F.col("x") < F.col("b"))))
     return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
 
