@@ -11,7 +11,8 @@ they fit the leaf's budget, then the longest prefix of the next epoch's order th
 Prefixes are found over two levels, hash buckets and then the one bucket where the budget
 ends, so a leaf that holds a third of all rows is never sorted in one task.
 
-All amounts are whole tokens and all divisions round down, so results don't depend on the
+A text is counted whole; a task needs memory in proportion to its longest text. All amounts are
+whole tokens and all divisions round down, so results don't depend on the
 order of summation.
 """
 
@@ -37,14 +38,20 @@ BUCKETS = 4096
 _AMOUNT = "decimal(38,0)"
 
 
-def domain_of(source: Column) -> Column:
-    """The domain of a source: its number modulo four names it; sources without one are web."""
+def domain_of(source: Column, domains: dict[str, str] | None = None) -> Column:
+    """The domain of a source as ``domains`` maps it (what it doesn't name is in the domain '').
+    Without a map its number modulo four names it; sources without one are web."""
+    if domains is not None:
+        pairs = [F.lit(x) for pair in domains.items() for x in pair]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), source), F.lit("")) if pairs else F.lit("")
     digits = F.regexp_extract(source, r"([0-9]+)$", 1)
     picks = F.array(*(F.lit(d) for d in DOMAINS))
     return F.when(digits == "", F.lit(DOMAINS[0])).otherwise(F.get(picks, (F.substring(digits, -4, 4).cast("int") % len(DOMAINS))))
 
 
 def _weight(value: Column, weights: dict[str, int]) -> Column:
+    if any(int(w) != w or w < 1 for w in weights.values()):
+        raise ValueError("weights are whole numbers of at least 1")
     out = F.lit(1)
     for name, weight in weights.items():
         out = F.when(value == name, weight).otherwise(out)
@@ -67,16 +74,17 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     return rows.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(part).cast(_AMOUNT)).drop("filled", "open", "full", "spent", "sharing")
 
 
-def leaf_budgets(leaves: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Budgets of (domain, lang, source, tokens) rows, one row per leaf."""
+def leaf_budgets(leaves: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, source_weights: dict[str, int] | None = None) -> DataFrame:
+    """Budgets of (domain, lang, source, tokens) rows, one row per leaf. Weights are whole numbers
+    of at least 1; what is not named weighs 1."""
     held = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast(_AMOUNT)).where("capacity > 0")
     langs = held.groupBy("domain", "lang").agg(F.sum("capacity").cast(_AMOUNT).alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").cast(_AMOUNT).alias("capacity"))
     root = held.agg(F.sum("tokens").alias("all_")).select(F.least(F.floor(F.col("all_") * F.lit(budget_share)), F.col("all_") * max_epochs).cast(_AMOUNT).alias("budget"))
-    top = domains.crossJoin(F.broadcast(root)).withColumn("root", F.lit(0)).withColumn("weight", _weight(F.col("domain"), DOMAIN_WEIGHTS).cast(_AMOUNT))
+    top = domains.crossJoin(F.broadcast(root)).withColumn("root", F.lit(0)).withColumn("weight", _weight(F.col("domain"), domain_weights).cast(_AMOUNT))
     top = share_out(top, ["root"], "domain").select("domain", "budget")
-    middle = share_out(langs.join(top, "domain").withColumn("weight", _weight(F.col("lang"), LANG_WEIGHTS).cast(_AMOUNT)), ["domain"], "lang").select("domain", "lang", "budget")
-    low = share_out(held.join(middle, ["domain", "lang"]).withColumn("weight", F.lit(1).cast(_AMOUNT)), ["domain", "lang"], "source")
+    middle = share_out(langs.join(top, "domain").withColumn("weight", _weight(F.col("lang"), lang_weights).cast(_AMOUNT)), ["domain"], "lang").select("domain", "lang", "budget")
+    low = share_out(held.join(middle, ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), source_weights or {}).cast(_AMOUNT)), ["domain", "lang"], "source")
     return low.select("domain", "lang", "source", "tokens", F.col("budget").cast("long").alias("budget"))
 
 
@@ -85,17 +93,18 @@ def _draw(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: dict[str, str] | None = None, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, source_weights: dict[str, int] | None = None) -> DataFrame:
     """The mix: (doc_id, domain, lang, source, n_tokens, copies), documents taken at least once.
 
-    Tokens are words. Null languages and sources form leaves named ''. Null and empty texts
+    Tokens are words. ``domains`` maps sources to domains; the weights are targets within a domain's,
+    a language's and a source's parent. Null languages and sources form leaves named ''. Null and empty texts
     have no tokens and are never taken. Rows that repeat an id and a text are drawn apart as
     separate rows of the same place. Empty tables give no rows. Other columns are ignored."""
     n_tokens = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[ \t-\r]+"), lambda w: w != "")).cast("long")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens.alias("n_tokens"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"))
-    rows = materialize(named.where("n_tokens > 0").withColumn("domain", domain_of(F.col("source"))), "tokens")
+    rows = materialize(named.where("n_tokens > 0").withColumn("domain", domain_of(F.col("source"), domains)), "tokens")
     leaf = ["domain", "lang", "source"]
-    budgets = materialize(leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), budget_share, max_epochs), "budgets")
+    budgets = materialize(leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), budget_share, max_epochs, domain_weights, lang_weights, source_weights), "budgets")
     plan = budgets.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*leaf, "whole", "rest")
     placed = rows.join(plan, leaf).withColumn("place", _draw(seed, F.col("whole"))).withColumn("bucket", (F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % BUCKETS))
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("inside"))
@@ -110,8 +119,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return chosen.where("copies > 0").select("doc_id", *leaf, "n_tokens", "copies")
 
 
-def mix_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
-    """The mix of ``documents`` in DuckDB SQL."""
+def mix_sql(rel: str = "documents", budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
+    """The mix of a relation in DuckDB SQL, with the standard weights."""
     case = lambda col, weights: f"CASE {' '.join(f"WHEN {col} = '{k}' THEN {v}" for k, v in weights.items())} ELSE 1 END"
 
     def shared(rows: str, parent: str, child: str) -> str:
@@ -125,7 +134,7 @@ def mix_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, se
     return f"""
     WITH raw AS (
         SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, COALESCE(text, '') AS body,
-            CAST(len(list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \\t-\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens FROM documents),
+            CAST(len(list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \\t-\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens FROM {rel}),
     toks AS (
         SELECT doc_id, lang, source, n_tokens, md5(body) AS digest, {domains} AS domain
         FROM (SELECT *, TRY_CAST(right(regexp_extract(source, '([0-9]+)$', 1), 4) AS INTEGER) AS num FROM raw WHERE n_tokens > 0)),

@@ -201,3 +201,14 @@ def test_each_occurrence_is_judged_by_itself(spark):
     ]
     found = {(r.doc_id, r.item_id): r.kind for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
     assert found == {(1, 1): "reparameterised", (2, 1): "verbatim"}
+
+
+def test_mix_with_given_weights_and_domains(spark):
+    rows = [(i, "w " * 9 + str(i), "en", ("a", "b", "c", "d")[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mix(docs, budget_share=0.2, domains={"a": "x", "b": "x", "c": "y", "d": "y"}, domain_weights={"x": 3}, source_weights={"a": 4})
+    taken = {r.source: r.t for r in got.groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "t").collect()}
+    assert taken == {"a": 480, "b": 120, "c": 100, "d": 100}
+    assert {r.domain for r in mix(docs, budget_share=0.2, domains={"a": "x"}).collect()} == {"x", ""}
+    with pytest.raises(ValueError):
+        mix(docs, domain_weights={"x": 0})
