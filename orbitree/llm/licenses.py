@@ -3,11 +3,16 @@
 Consecutive lines with words are a paragraph; comment marks are no words, so hard-wrapped notices
 in comments stay together. A softmax regression over hashed word unigrams and bigrams, trained
 here on licence notices and on a bounded sample of ordinary lines, gives each paragraph, each of
-its lines and each of its overlapping word windows a family or the unknown class. Probabilities
-are calibrated by a temperature fitted on held-out examples, and a family needs at least
-``least_chance``. A prediction is confirmed if the paragraph, in the reach of a notice around the
+its lines and each of its overlapping word windows a family or the unknown class. The unknown class
+also learns lines of the sample that speak of licences but hold no notice. Probabilities are
+calibrated by a temperature: a first model is fitted without every third line and without the last
+notice of each family that has three, the temperature fits its losses on these, and the final model is
+fitted on all. A family needs at least ``least_chance``. A prediction is confirmed if the paragraph, in the reach of a notice around the
 place, holds most bigrams of a notice of that family. Of predictions whose matched words overlap,
 the best one counts; unconfirmed ones count for lines and paragraphs only.
+
+A text of any length is scanned whole in slices of words; a task needs memory in proportion to its
+longest text (about a hundred times its words).
 """
 
 from __future__ import annotations
@@ -39,12 +44,15 @@ NOTICES = {
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
         "SPDX-License-Identifier: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "GPL-3.0": (
@@ -70,10 +78,14 @@ NOTICES = {
     "BSD": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "ISC": (
@@ -95,6 +107,10 @@ NEAR_MISSES = (
     "The software is distributed in two forms to any person who asks for a copy.",
     "The terms of the contract were modified at the option of the buyer.",
     "Permission to enter the source of the river was granted by the law.",
+    "The talk compares the MIT license with other licenses and asks which license a project should choose.",
+    "Many authors prefer the Apache License because their lawyers know it.",
+    "The GNU General Public License has been discussed in court more than once.",
+    "Which Creative Commons license fits photographs was the question of the evening.",
 )
 
 #: Letters, digits and bytes of other scripts stay, in lower case; line ends stay; the rest is space.
@@ -178,13 +194,13 @@ def _chances(scores: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _examples(ordinary: list[str], seed: int) -> tuple[list[str], list[int]]:
+def _examples(notices: dict[str, tuple[str, ...]], ordinary: list[str], seed: int) -> tuple[list[str], list[int]]:
     """Notices with words dropped and text around them, near misses, and ordinary lines."""
     draw = random.Random(seed)
     texts, labels = [], []
     plain = ordinary or list(NEAR_MISSES)
-    for label, notices in enumerate(NOTICES.values()):
-        for notice in notices:
+    for family, own in notices.items():
+        for notice in own:
             for kind in range(24):
                 words = notice.split()
                 if kind >= 8 and len(words) > 6:
@@ -194,7 +210,7 @@ def _examples(ordinary: list[str], seed: int) -> tuple[list[str], list[int]]:
                 if kind % 4 == 2:
                     words += draw.choice(plain).split()[:6]
                 texts.append(" ".join(words))
-                labels.append(label)
+                labels.append(FAMILIES.index(family))
     unknown = [*ordinary, *(list(NEAR_MISSES) * 12)]
     return texts + unknown, labels + [len(NOTICES)] * len(unknown)
 
@@ -217,10 +233,9 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, column, n) for column in values.T], axis=1)
 
 
-def train(ordinary: list[str], steps: int = 60, rate: float = 30.0, decay: float = 1e-4) -> Model:
-    """Softmax regression by gradient descent, then a temperature on held-out examples."""
+def _fitted(texts: list[str], labels: list[int], steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression by gradient descent."""
     classes = len(FAMILIES) + 1
-    texts, labels = _examples(ordinary, 1)
     columns, rows, values, held = _design(texts)
     y = np.eye(classes)[np.array(labels)[held]]
     weights = np.zeros((_DIM, classes))
@@ -233,23 +248,49 @@ def train(ordinary: list[str], steps: int = 60, rate: float = 30.0, decay: float
         small -= rate * (_sums(place, error[rows] * values[:, None], len(used)) / len(held) + decay * small)
         bias -= error.mean(axis=0)
     weights[used] = small
-    texts, labels = _examples(ordinary[::-1], 2)
+    return weights, bias
+
+
+def _temperature(weights: np.ndarray, bias: np.ndarray, texts: list[str], labels: list[int]) -> float:
+    """The temperature of least loss on examples that the weights don't know."""
     columns, rows, values, held = _design(texts)
     scores, truth = _sums(rows, weights[columns] * values[:, None], len(held)) + bias, np.array(labels)[held]
     losses = {t: -np.log(_chances(scores, t)[np.arange(len(held)), truth] + 1e-12).mean() for t in (0.1, 0.15, 0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
-    templates = [[np.unique(_bigrams(next(word_slices(pa.array([n]), fold=_FOLD)).hashes)) for n in notices] for notices in NOTICES.values()]
-    return Model(weights.astype(np.float32), bias.astype(np.float32), min(losses, key=losses.get), templates)
+    return min(losses, key=losses.get)
+
+
+def train(ordinary: list[str], steps: int = 60, rate: float = 30.0, decay: float = 1e-4) -> Model:
+    """The temperature by held-out notices and lines, then the model on all of them."""
+    known = {f: n[:-1] if len(n) >= 3 else n for f, n in NOTICES.items()}
+    other = {f: n[-1:] for f, n in NOTICES.items() if len(n) >= 3}
+    kept, out = [t for i, t in enumerate(ordinary) if i % 3], ordinary[::3]
+    first = _fitted(*_examples(known, kept, 1), steps, rate, decay)
+    temperature = _temperature(*first, *_examples(other, out, 2))
+    weights, bias = _fitted(*_examples(NOTICES, ordinary, 3), steps, rate, decay)
+    return Model(weights.astype(np.float32), bias.astype(np.float32), temperature, _templates())
+
+
+def _templates() -> list[list[np.ndarray]]:
+    return [[np.unique(_bigrams(next(word_slices(pa.array([n]), fold=_FOLD)).hashes)) for n in notices] for notices in NOTICES.values()]
+
+
+def _holds_notice(line: str, templates: list[list[np.ndarray]], least: float) -> bool:
+    words = next(iter(word_slices(pa.array([line]), fold=_FOLD))).hashes
+    pairs = _bigrams(words) if len(words) > 1 else np.empty(0, np.uint64)
+    return any(np.isin(t, pairs).mean() >= least for notices in templates for t in notices)
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_DOCS) -> Model:
-    """Train with the first lines of at most ``bound`` documents (without words of licences).
+    """Train with the first lines of at most ``bound`` documents, and with lines of theirs that speak of
+    licences; lines that hold a third of a notice are left out.
 
     The documents' ids are chosen first, so tasks send only ids besides the chosen lines."""
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null")
     chosen = rows.select("k", F.xxhash64("k").alias("o")).orderBy("o", "k").limit(bound).select("k").distinct()
-    lines = rows.join(F.broadcast(chosen), "k").select("k", F.explode(F.slice(F.split("t", "\n"), 1, 3)).alias("line"))
-    plain = lines.where(F.length("line").between(20, 400) & ~F.lower("line").rlike("licen[sc]e|copyright|permission|public domain|redistribut"))
-    return train([row.line for row in plain.orderBy("k", "line").limit(3 * bound).collect()])
+    lines = rows.join(F.broadcast(chosen), "k").select("k", F.posexplode(F.split("t", "\n")).alias("i", "line")).where(F.length("line").between(20, 400))
+    lines = lines.where((F.col("i") < 3) | F.lower("line").rlike("licen[sc]e|copyright|permission|public domain|redistribut"))
+    templates = _templates()
+    return train([row.line for row in lines.orderBy("k", "i", "line").limit(3 * bound).collect() if not _holds_notice(row.line, templates, 1 / 3)])
 
 
 def _match(template: np.ndarray, pairs: np.ndarray, begin: int, end: int) -> tuple[float, int, int]:
@@ -308,7 +349,7 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """Licence paragraphs: (doc_id, licenses array<struct<line,family,chance,overlap,confirmed>>).
 
     One row per input row. Null and empty texts have none; null and repeated ids stay as they
-    are; other columns are ignored."""
+    are; an empty table gives no rows; other columns are ignored."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_found(model, least_chance, least_overlap), "doc_id long, licenses array<struct<line:int,family:string,chance:double,overlap:double,confirmed:boolean>>")
 
