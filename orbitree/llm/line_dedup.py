@@ -17,13 +17,16 @@ their end. The rounds end when no least block is longer.
 
 Ranks keep the order of the suffixes: a group's rank is its parent's rank plus the suffixes of
 smaller groups under the same parent. Only one row per repeated group takes part in that sum,
-and the first ranks are summed within slices of the id space and over the slices, so no window
-holds the table.
+which runs within slices (of the id space, or of the ranks that follow a line) and then over the
+slices, so neither the table nor the followers of a blank line meet in one window.
+
+A text is a row with an array of its lines, so a task needs memory in proportion to its longest
+text; texts are never cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orbitree.llm.shared import has_repeats, materialize
@@ -32,13 +35,15 @@ MIN_CHARS = 200
 _SPACE = " \t\n\x0b\x0c\r"
 #: Hex digits of a line id that name its slice for the first ranks.
 _SLICE = 3
+#: Ranks of the following line that share a slice, for ranks of two lines.
+_NEXT_SLICE = 1 << 16
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:
     """Ranks at depth 1; lines that occur once leave."""
     groups = materialize(suffixes.groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1"), "lines").withColumn("slice", F.substring("line_id", 1, _SLICE))
-    slices = groups.groupBy("slice").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("slice").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = groups.groupBy("slice").agg(F.sum("n").alias("n")).withColumn("base", _before(Window.orderBy("slice")))
+    inside = _before(Window.partitionBy("slice").orderBy("line_id"))
     ranks = groups.withColumn("inside", inside).join(slices.select("slice", "base"), "slice").select("line_id", (F.col("base") + F.col("inside")).alias("rank"))
     return suffixes.join(ranks, "line_id").select("doc_id", "line", "chars", "rank")
 
@@ -48,11 +53,19 @@ def _doubled(suffixes: DataFrame, k: int) -> DataFrame:
     ahead = suffixes.select("doc_id", (F.col("line") - k).alias("line"), F.col("chars").alias("chars_"), F.col("rank").alias("next"))
     pairs = materialize(suffixes.join(ahead, ["doc_id", "line"]).select("doc_id", "line", (F.col("chars") + F.col("chars_")).alias("chars"), "rank", "next"), "pairs")
     groups = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
-    smaller = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = groups.select("rank", "next", (F.col("rank") + smaller).alias("refined"))
+    groups = materialize(groups.withColumn("slice", F.floor(F.col("next") / F.lit(_NEXT_SLICE))), "groups")
+    sliced = groups.groupBy("rank", "slice").agg(F.sum("n").alias("n"))
+    sliced = sliced.withColumn("base", _before(Window.partitionBy("rank").orderBy("slice"))).select("rank", "slice", "base")
+    inside = groups.withColumn("inside", _before(Window.partitionBy("rank", "slice").orderBy("next")))
+    ranks = inside.join(sliced, ["rank", "slice"]).select("rank", "next", (F.col("rank") + F.col("base") + F.col("inside")).alias("refined"))
     return pairs.join(ranks, ["rank", "next"]).select("doc_id", "line", "chars", F.col("refined").alias("rank"))
 
 
+def _before(order: WindowSpec) -> Column:
+    """The sum of n over the rows before."""
+    return F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _least_blocks(suffixes: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, start, m): least blocks of repeated lines that hold ``min_chars``."""
     if min_chars < 1:

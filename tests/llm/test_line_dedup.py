@@ -6,23 +6,19 @@ import re
 from orbitree.llm.line_dedup import delete_repeated_lines, repeated_lines
 
 
-def brute(rows, min_chars):
-    """Lines to delete by comparing all blocks of 1, 2, 4, ... lines."""
+def brute_all(rows, min_chars):
+    """Lines to delete by comparing blocks of every length."""
     docs = {i: t.split("\n") for i, t in sorted(rows)}
     gone = {i: set() for i in docs}
-    k, more = 1, True
-    while more:
-        seen, more = set(), False
+    for k in range(1, max(map(len, docs.values())) + 1):
+        seen = set()
         for i, lines in docs.items():
             for p in range(len(lines) - k + 1):
                 block = "\n".join(lines[p : p + k])
-                if block in seen:
-                    more = True
-                    if len(re.sub(r"[\x20\x09-\x0d]", "", block)) >= min_chars:
-                        gone[i] |= set(range(p, p + k))
+                if block in seen and len(re.sub(r"[\x20\x09-\x0d]", "", block)) >= min_chars:
+                    gone[i] |= set(range(p, p + k))
                 seen.add(block)
-        k *= 2
-    return gone
+    return {i: v for i, v in gone.items() if v}
 
 
 def test_matches_brute_force(spark):
@@ -38,7 +34,7 @@ def test_matches_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for min_chars in (1, 25, 60):
         spans = {r.doc_id: {n for s in r.spans for n in range(s.start, s.end)} for r in repeated_lines(docs, min_chars=min_chars).collect()}
-        assert {i: v for i, v in brute(rows, min_chars).items() if v} == spans
+        assert brute_all(rows, min_chars) == spans
         for r in delete_repeated_lines(docs, min_chars=min_chars, drop_emptied=False).collect():
             lines = dict(rows)[r.doc_id].split("\n")
             assert r.text == "\n".join(x for n, x in enumerate(lines) if n not in spans.get(r.doc_id, set()))
@@ -55,21 +51,6 @@ def test_edge_cases(spark):
     assert got == sorted([("1", f"{line}\nend", 304), ("3", None, None), ("4", "", 0), ("None", line, 300), ("5", "head", 4)])
 
 
-def brute_all(rows, min_chars):
-    """Lines to delete by comparing blocks of every length."""
-    docs = {i: t.split("\n") for i, t in sorted(rows)}
-    gone = {i: set() for i in docs}
-    for k in range(1, max(map(len, docs.values())) + 1):
-        seen = set()
-        for i, lines in docs.items():
-            for p in range(len(lines) - k + 1):
-                block = "\n".join(lines[p : p + k])
-                if block in seen and len(re.sub(r"[\x20\x09-\x0d]", "", block)) >= min_chars:
-                    gone[i] |= set(range(p, p + k))
-                seen.add(block)
-    return {i: v for i, v in gone.items() if v}
-
-
 def test_runs_of_every_length_go_whole(spark):
     def run(name, *sizes):
         return [(f"{name}{i}" + "z" * n)[:n] for i, n in enumerate(sizes)]
