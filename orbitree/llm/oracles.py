@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from orbitree.llm import decontaminate as d
 from orbitree.llm import line_dedup, quality
+from orbitree.llm.mixing import mix_sql
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[ \t-\r]+'), lambda w: w <> '')"
@@ -171,3 +172,19 @@ def decontamination_sql(rel: str = "documents", bench: str = "benchmark") -> str
 
 def drop_contaminated_sql(rel: str, bench: str = "benchmark") -> str:
     return f"WITH {_leaks(rel, bench)} SELECT * FROM {rel} WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM best)"
+
+
+# --- pipeline --------------------------------------------------------------------------------
+
+
+def drop_near_duplicates_sql(rel: str, threshold: int = 80) -> str:
+    return f"SELECT s.* FROM {rel} s JOIN (SELECT doc_id, kept FROM ({near_dedup_sql(rel, threshold)})) n USING (doc_id) WHERE n.kept"
+
+
+def pipeline_sql() -> str:
+    """The stages of the pipeline, one after the other."""
+    return f"""WITH good_docs AS MATERIALIZED ({keep_quality_sql('documents')}),
+    line_docs AS MATERIALIZED ({delete_lines_sql('good_docs')}),
+    unique_docs AS MATERIALIZED ({drop_near_duplicates_sql('line_docs')}),
+    clean_docs AS MATERIALIZED ({drop_contaminated_sql('unique_docs')})
+    SELECT * FROM ({mix_sql('clean_docs')})"""

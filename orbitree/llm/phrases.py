@@ -37,7 +37,7 @@ from orbitree.llm.shared import materialize
 from orbitree.llm.textkernel import WINDOW_BASES, Words, _rolled, mix64, word_slices
 
 #: Words of the documents of a shard, about.
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 17
 
 _DESCRIBED = "doc_id long, n_words long, key1 long, key2 long, sha256 string, phrases array<long>"
 _PACKED = "doc_id long, packed binary"
@@ -79,6 +79,7 @@ def _describe(window: int, phrase: int):
                 raw = words.data.tobytes()
                 shas = [hashlib.sha256(b" ".join(raw[s:e].split())).hexdigest() for s, e in zip(words.text_offsets[:-1].tolist(), words.text_offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(words.first, len(words)), pa.array(sizes), pa.array(keys[0]), pa.array(keys[1]), pa.array(shas, pa.string()), lists], names=["doc_id", "n_words", "key1", "key2", "sha256", "phrases"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -162,6 +163,7 @@ def _located(window: int, phrase: int):
                     inside = np.cumsum(edge[:-1]) > 0
                     for s, e in np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))).reshape(-1, 2).tolist():
                         rows.append((int(ids[words.first + d]), versions[d], s, h1[lo + s : lo + e], h2[lo + s : lo + e]))
+        pa.default_memory_pool().release_unused()
         columns = list(zip(*rows)) if rows else [[]] * 5
         kinds = [("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))]
         return pa.table({name: pa.array(list(c), kind) for c, (name, kind) in zip(columns, kinds)})
