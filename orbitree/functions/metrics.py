@@ -2,8 +2,8 @@
 
 Most are Column expressions. The ellipse distance has no closed form that is stable, so it is a
 vectorised kernel behind a pandas UDF. ``METRICS`` is the registry that the neighbour search,
-k-means and the tree use; a user adds a metric by giving it an expression over the object's
-columns and the point's coordinates, a box and an anchor (see ``Metric``)."""
+k-means and the tree use; a user adds a metric as an expression, a vectorised kernel or a plain
+function (see ``Metric`` and ``metric_of``)."""
 
 from __future__ import annotations
 
@@ -165,25 +165,101 @@ def ellipse_dist(a: Column, b: Column, h: Column, k: Column, px: Column, py: Col
     return _ellipse_udf(a, b, px - h, py - k)
 
 
+Kernel = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Metric:
     """A distance between objects and points for the operators.
 
-    distance(object columns, point columns) gives the distance. box(object columns) gives (lo, hi)
-    per axis; the distance is never less than the Chebyshev distance to that box. anchor gives a
-    point from which the Euclidean distance to a point is never less than the metric."""
+    distance(object columns, point columns) gives the distance as a Column, or kernel(arrays of n
+    objects by column, array of m points x dim) gives it as an n x m matrix; one of them is enough
+    (see ``metric_of`` for a plain function). box(object columns) gives (lo, hi) per axis; the
+    distance is never less than the Chebyshev distance to that box. anchor gives a point from which
+    the Euclidean distance to a point is never less than the metric. Without box and anchor,
+    neighbours are found by comparing blocks. centre gives the point that stands for an object in
+    means; clustering needs it."""
 
     name: str
     columns: tuple[str, ...]
     dim: int
-    distance: Callable[[dict[str, Column], list[Column]], Column]
-    box: Callable[[dict[str, Column]], list[tuple[Column, Column]]]
-    anchor: Callable[[dict[str, Column]], list[Column]]
-    centre: Callable[[dict[str, Column]], list[Column]]
+    distance: Callable[[dict[str, Column], list[Column]], Column] | None = None
+    box: Callable[[dict[str, Column]], list[tuple[Column, Column]]] | None = None
+    anchor: Callable[[dict[str, Column]], list[Column]] | None = None
+    centre: Callable[[dict[str, Column]], list[Column]] | None = None
+    kernel: Kernel | None = None
+
+    def __post_init__(self) -> None:
+        if self.distance is None and self.kernel is None:
+            raise ValueError("a metric needs a distance or a kernel")
+        if self.distance is None:
+            object.__setattr__(self, "distance", _by_kernel(self))
+
+    @property
+    def axes(self) -> tuple[str, ...]:
+        """Columns of a point: x, y, z, or one array p in more dimensions."""
+        return ("x", "y", "z")[: self.dim] if self.dim <= 3 else ("p",)
 
     def of(self, prefix: str = "") -> dict[str, Column]:
         return {c: F.col(prefix + c) for c in self.columns}
 
+    def matrix(self, objects: dict[str, pd.Series], points: np.ndarray) -> np.ndarray:
+        """Distances of n objects to m points, by the kernel."""
+        if self.kernel is None:
+            raise ValueError(f"the metric {self.name} has no bounds, so it needs a kernel")
+        return np.asarray(self.kernel({c: _stacked(v) for c, v in objects.items()}, points), dtype=float)
+
+
+def _stacked(values: pd.Series) -> np.ndarray:
+    """A column as an array; arrays of one length become a matrix."""
+    if len(values) and values.dtype == object and len({np.size(v) for v in values}) == 1 and np.ndim(values.iloc[0]) == 1 and np.asarray(values.iloc[0]).dtype != object:
+        return np.array(values.tolist(), dtype=float)
+    return values.to_numpy()
+
+
+def _by_kernel(metric: Metric) -> Callable[[dict[str, Column], list[Column]], Column]:
+    """The kernel as a Column: one call for each different point of a batch."""
+
+    def rows(objects: pd.DataFrame, points: pd.Series) -> pd.Series:
+        out = np.full(len(points), np.nan)
+        known = np.flatnonzero(points.map(lambda p: p is not None and not any(v is None or v != v for v in p)))
+        if len(known):
+            different, which = np.unique(np.array(points.iloc[known].tolist(), dtype=float), axis=0, return_inverse=True)
+            for i, point in enumerate(different):
+                at = known[which.ravel() == i]
+                out[at] = metric.matrix({c: objects[c].iloc[at] for c in metric.columns}, point[None])[:, 0]
+        return pd.Series(out).where(~np.isnan(out), None)
+
+
+    def distance(o: dict[str, Column], p: list[Column]) -> Column:
+        point = p[0] if metric.dim > 3 and len(p) == 1 else F.array(*p)
+        return F.pandas_udf(rows, DoubleType())(F.struct(*(v.alias(c) for c, v in o.items())), point)
+
+    return distance
+
+
+def metric_of(name: str, columns: tuple[str, ...], dim: int, function: Callable[[np.ndarray, np.ndarray], float], **bounds: Callable) -> Metric:
+    """A metric from a plain function of one object (its columns as an array) and one point."""
+
+    def kernel(objects: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+        entries = np.column_stack([objects[c] for c in columns])
+        return np.array([[function(e, p) for p in points] for e in entries], dtype=float).reshape(len(entries), len(points))
+
+    return Metric(name, columns, dim, kernel=kernel, **bounds)
+
+
+def linf_kernel(column: str) -> Kernel:
+    """Chebyshev distance of vectors in a column of arrays."""
+
+    def kernel(objects: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+        vectors = objects[column]
+        out = np.zeros((len(vectors), len(points)))
+        for d in range(points.shape[1]):
+            np.maximum(out, np.abs(vectors[:, d, None] - points[None, :, d]), out=out)
+        return out
+
+    return kernel
+
 
 def _square_box(o: dict[str, Column]) -> list[tuple[Column, Column]]:
     reach = o["size"] / 2 * (F.abs(F.cos(o["theta"])) + F.abs(F.sin(o["theta"])))

@@ -1,7 +1,7 @@
 """Metric k-means over geometric objects, for one set or for many groups (tree nodes) at once.
 
 A group is named by the column ``path``. Centroids are a small table (path, idx, c array<double>),
-at most ten per group. Objects are never shuffled: each is compared with its group's centroids,
+at most 36 per group. Objects are never shuffled: each is compared with its group's centroids,
 which come by a join on the path, and only sums per (path, label) move."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orbitree.functions.metrics import METRICS, Metric
 from orbitree.storage import materialize
 
-MAX_K = 10
+MAX_K = 36
 
 
 def centroid_table(df: DataFrame, groups: dict[str, list[list[float]]]) -> DataFrame:
@@ -25,10 +25,11 @@ def _arrayed(centroids: DataFrame) -> DataFrame:
     return centroids.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "c"))).alias("cs"))
 
 
-def assign_nearest_centroid(objects: DataFrame, centroids: DataFrame, metric: Metric, k: int = MAX_K) -> DataFrame:
-    """objects with ``label`` (idx of the nearest centroid) and ``dist``; ties go to the smaller idx."""
+def assign_nearest_centroid(objects: DataFrame, centroids: DataFrame, metric: Metric, k: int = MAX_K, few: bool = False) -> DataFrame:
+    """objects with ``label`` (idx of the nearest centroid) and ``dist``; ties go to the smaller idx.
+    ``few`` says that the number of paths has been checked to be small, so their row is broadcast."""
     o = metric.of()
-    joined = objects.join(_arrayed(centroids), "path")
+    joined = objects.join(F.broadcast(_arrayed(centroids)) if few else _arrayed(centroids), "path")
     at = [F.get("cs", F.lit(i)) for i in range(k)]
     # the distances get a projection of their own, so each is computed once
     dists = joined.select("*", *(metric.distance(o, [F.get(c["c"], F.lit(j)) for j in range(metric.dim)]).alias(f"d{i}_") for i, c in enumerate(at)))
@@ -75,7 +76,7 @@ def hashed_uniform(key: Column, seed: int) -> Column:
     return ((key.cast("long") % 1000003 * 48271 + (seed * 69621 + 12345)) % 2147483647 * 16807 % 2147483647 + 0.5) / 2147483647.0
 
 
-def kmeanspp_seed(objects: DataFrame, metric: Metric, k: int, seed: int = 0) -> DataFrame:
+def kmeanspp_seed(objects: DataFrame, metric: Metric, k: int, seed: int = 0, few: bool = False) -> DataFrame:
     """(path, idx, c): k seeds per path, each drawn with chance in proportion to the distance to the
     seeds so far, as the least of -ln(u) / dist over hashed uniforms u. The first is drawn evenly."""
     centre = F.array(*metric.centre(metric.of()))
@@ -85,7 +86,7 @@ def kmeanspp_seed(objects: DataFrame, metric: Metric, k: int, seed: int = 0) ->
         if chosen is None:
             rows, race = objects, u
         else:
-            rows = assign_nearest_centroid(objects, chosen, metric, i)
+            rows = assign_nearest_centroid(objects, chosen, metric, i, few)
             race = F.when(F.col("dist") > 0, u / F.when(F.col("dist") > 0, F.col("dist"))).otherwise(F.lit(float("inf")))
         draw = rows.withColumn("race", race).groupBy("path").agg(F.min(F.struct("race", "object_id", centre.alias("c"))).alias("m"))
         row = draw.select("path", F.lit(i).alias("idx"), F.col("m.c").alias("c"))
@@ -93,17 +94,25 @@ def kmeanspp_seed(objects: DataFrame, metric: Metric, k: int, seed: int = 0) ->
     return chosen
 
 
-def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int, k: int = MAX_K, shifted_update: bool = False, lagged_labels: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int, k: int = MAX_K, shifted_update: bool = False, lagged_labels: bool = False, until_stable: bool = False, few: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labelled objects, centroids, divergence per round).
 
     Each round assigns, updates and drops empty clusters. After the last update the objects are
-    assigned once more, unless ``lagged_labels`` keeps the labels from before it."""
-    centroids, history, labelled = seeds, None, None
+    assigned once more, unless ``lagged_labels`` keeps the labels from before it. ``until_stable``
+    ends the rounds when no centroid has moved; more rounds would change nothing. Centroids are
+    written after each round, or, if their paths are ``few``, after every fifth: they are broadcast
+    then, so the rounds between pass over the objects without moving them."""
+    centroids, history, labelled, written = seeds, None, None, seeds
     for i in range(n_iter):
-        labelled = assign_nearest_centroid(objects, centroids, metric, k)
+        labelled = assign_nearest_centroid(objects, centroids, metric, k, few)
         step = divergence(labelled).withColumn("iteration", F.lit(i))
         history = step if history is None else history.union(step)
-        centroids = materialize(update_centroids(labelled, metric.name, shifted_update).select("path", "idx", "c"), "centroids")
+        centroids = update_centroids(labelled, metric.name, shifted_update).select("path", "idx", "c")
+        if not few or i % 5 == 4 or i == n_iter - 1:
+            centroids = materialize(centroids, "centroids")
+            if until_stable and i % 5 == 4 and centroids.join(written.select("path", "idx", F.col("c").alias("c_")), ["path", "idx"], "full").where("c is null or c_ is null or c != c_").isEmpty():
+                break
+            written = centroids
     if not lagged_labels or labelled is None:
-        labelled = assign_nearest_centroid(objects, centroids, metric, k)
+        labelled = assign_nearest_centroid(objects, centroids, metric, k, few)
     return labelled, centroids, history

@@ -1,115 +1,139 @@
 """Nearest-neighbour joins between objects and points.
 
-Exact, without a cross join: a pyramid of grids bounds each point's k-th distance, and only
-objects whose box comes that close are compared.
-
-1. Every object has an anchor point from which the Euclidean distance is never less than the
-   metric. At the finest level where a point's cell holds k anchors, the cell's diagonal
-   bounds the k-th distance.
-2. The point is dealt to the cells of that level around it, objects to the cells of their
-   boxes; they meet by cell. A pair that shares several cells is compared in the first.
-3. The distance orders by (distance rounded to 9 digits, object id).
-
-Levels stop where cells would be smaller than the largest object, so an object lies in at
-most 2**dim cells of a level.
+Exact, and without comparing all pairs: a search down a pyramid of grid cells, for all points at
+once, one join a level.
+
+1. Every object lives in one cell: the cell of its box's centre at the level whose cells are about
+   as wide as the object, or at the finest level if it is smaller. So one large object
+   doesn't change where the others live.
+2. A cell's row knows the box around all its objects and the box around their anchors. A metric is
+   never less than the Chebyshev distance to an object's box, and never more than the Euclidean
+   distance to its anchor, so the two boxes bound the distances to a cell's objects from below
+   and, if the cell holds k of them, the k-th distance from above.
+3. Points start at the root. At each level, cells that can't hold one of the k nearest are dropped;
+   what lives in the cells that are left is compared.
+4. The distance orders by (distance rounded to 9 digits, object id).
+
+A metric without such bounds, or in more than ``GRID_DIM`` dimensions, is compared block by block
+(see ``blocks``).
 """
 
 from __future__ import annotations
 
-from math import ceil, log2, sqrt
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
+from orbitree.operators.blocks import knn_blocks
 from orbitree.storage import materialize
 
-_AXES = ("x", "y", "z")
 _MAX_LEVEL = 20
+#: Grids of more dimensions prune too little.
+GRID_DIM = 3
 
 
-def _cell(value: Column, low: float, side: Column, level: Column) -> Column:
-    """Index of a coordinate's cell; what lies outside counts to the border cell."""
-    top = F.pow(F.lit(2.0), level).cast("long") - 1
-    return F.least(F.greatest(F.floor((value - low) / side).cast("long"), F.lit(0).cast("long")), top)
-
-
-def _pyramid(objects: DataFrame, points: DataFrame, metric: Metric, k: int) -> tuple[list[float], float, int]:
-    """Origin, side of the top cell, and finest level (a few numbers from two aggregates)."""
-    o = metric.of()
-    boxes = metric.box(o)
-    a = objects.agg(F.count("*"), *(F.min(lo) for lo, _ in boxes), *(F.max(hi) for _, hi in boxes), *(F.max(hi - lo) for lo, hi in boxes)).first()
-    p = points.agg(*(F.min(c) for c in _AXES[: metric.dim]), *(F.max(c) for c in _AXES[: metric.dim])).first()
+def _pyramid(objects: DataFrame, metric: Metric, k: int, by: str | None) -> tuple[list[float], float, int, int]:
+    """Origin, side of the top cell, finest level and levels per step (from one aggregate)."""
     d = metric.dim
-    known = lambda *v: [x for x in v if x is not None]
-    low = [min(known(a[1 + i], p[i]), default=0.0) for i in range(d)]
-    high = [max(known(a[1 + d + i], p[d + i]), default=0.0) for i in range(d)]
-    side = max(max(h - w for h, w in zip(high, low)), 1e-12) * (1 + 1e-9)
-    largest = max(known(*(a[1 + 2 * d + i] for i in range(d))), default=0.0)
-    by_count = ceil(log2(max(1.0, a[0] / k)) / d) + 1
-    by_size = int(log2(side / largest)) if largest > 0 else _MAX_LEVEL
-    return low, side, max(0, min(by_count, by_size, _MAX_LEVEL))
+    groups = F.approx_count_distinct(by) if by else F.lit(1)
+    lows, highs = ([F.get(c, F.lit(i)) for i in range(d)] for c in ("lo", "hi"))
+    a = objects.agg(F.count("*"), groups, *(F.min(c) for c in lows), *(F.max(c) for c in highs)).first()
+    low = [0.0 if v is None else v for v in a[2 : 2 + d]]
+    side = max([h - w for h, w in zip(a[2 + d :], low) if h is not None] + [1e-12]) * (1 + 1e-9)
+    step = 2 if d <= 2 else 1
+    levels = ceil(log2(max(1.0, a[0] / max(a[1], 1) / (2 * k))) / d / step)
+    return low, side, min(_MAX_LEVEL // step, levels + (levels > 0)) * step, step
+
+
+def _cells(objects: DataFrame, metric: Metric, key: list[str], low: list[float], side: float, top: int, step: int) -> DataFrame:
+    """Objects with ``home`` (level) and c0, c1, ... (cell at that level)."""
+    d = metric.dim
+    wide = F.greatest(*(F.get("hi", F.lit(i)) - F.get("lo", F.lit(i)) for i in range(d))) if d > 1 else F.get("hi", F.lit(0)) - F.get("lo", F.lit(0))
+    fits = F.when(wide > 0, F.floor(F.log2(F.lit(side) / F.when(wide > 0, wide)))).otherwise(top)
+    home = (F.floor(F.greatest(F.least(fits, F.lit(top)), F.lit(0)) / step) * step).cast("int")
+    out = objects.withColumn("home", home)
+    scale = F.pow(F.lit(2.0), F.col("home")) / side
+    for i in range(d):
+        at = F.floor(((F.get("lo", F.lit(i)) + F.get("hi", F.lit(i))) / 2 - low[i]) * scale).cast("long")
+        out = out.withColumn(f"c{i}", F.least(F.greatest(at, F.lit(0).cast("long")), F.pow(F.lit(2.0), F.col("home")).cast("long") - 1))
+    return out
 
 
 def candidates(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """(point_id, [by], object_id, dist) of all pairs that can be among a point's k nearest.
 
     With ``by``, the nearest of each group of objects are meant; ``only`` (point_id, by) names the
-    groups that a point asks for, otherwise all. Points with a null
-    coordinate and objects with a null box are left out."""
-    d = metric.dim
-    axes = _AXES[:d]
-    o = metric.of()
+    groups that a point asks for, otherwise all. Points with a null coordinate and objects with a
+    null box are left out; a group of fewer than k objects is compared whole."""
+    d, axes, o = metric.dim, list(metric.axes), metric.of()
     key = [by] if by else []
-    rows = objects.select("object_id", *key, *metric.columns, F.array(*(lo for lo, _ in metric.box(o))).alias("lo"), F.array(*(hi for _, hi in metric.box(o))).alias("hi"), F.array(*metric.anchor(o)).alias("anchor")).where("!exists(lo, v -> v is null)")
-    spots = points.select("point_id", *axes).where(" and ".join(f"{c} is not null" for c in axes))
-    low, side, top = _pyramid(rows, spots, metric, k)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
-    width = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
     cells = [f"c{i}" for i in range(d)]
-
-    held = rows.select(*key, "anchor", levels).groupBy(*key, "level", *(_cell(F.get("anchor", F.lit(i)), low[i], width, F.col("level")).alias(cells[i]) for i in range(d))).agg(F.count("*").alias("n"))
-    dense = held.where((F.col("n") >= k) | (F.col("level") == 0)).drop("n")
-    placed = spots.select("*", levels).select("*", *(_cell(F.col(axes[i]), low[i], width, F.col("level")).alias(cells[i]) for i in range(d)))
-    asked = placed.join(only.select("point_id", *key), "point_id") if only is not None else placed
-    best = asked.join(dense, [*(key if only is not None else []), "level", *cells]).groupBy("point_id", *key, *axes).agg(F.max("level").alias("level"))
-    reach = F.when(F.col("level") == 0, F.lit(2 * side * sqrt(d))).otherwise(width * sqrt(d)) * (1 + 1e-9) + 1e-9
-    seek = materialize(best.withColumn("reach", reach), "reach")
-
-    used = [row.level for row in seek.select("level").distinct().collect()]  # at most 21 small numbers
-    if not used:
-        used = [0]
-    span = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    for i in range(d):
-        seek = seek.withColumn(f"f{i}", _cell(F.col(axes[i]) - F.col("reach"), low[i], width, F.col("level")))
-        seek = seek.withColumn(f"t{i}", _cell(F.col(axes[i]) + F.col("reach"), low[i], width, F.col("level")))
-    for i in range(d):
-        seek = seek.withColumn(cells[i], span(F.col(f"f{i}"), F.col(f"t{i}"))).drop(f"t{i}")
-    dealt = rows.drop("anchor").withColumn("level", F.explode(F.array(*(F.lit(v) for v in sorted(used)))))
-    for i in range(d):
-        dealt = dealt.withColumn(f"g{i}", _cell(F.get("lo", F.lit(i)), low[i], width, F.col("level")))
-        dealt = dealt.withColumn(f"u{i}", _cell(F.get("hi", F.lit(i)), low[i], width, F.col("level")))
-    for i in range(d):
-        dealt = dealt.withColumn(cells[i], span(F.col(f"g{i}"), F.col(f"u{i}"))).drop(f"u{i}")
-    met = seek.join(dealt, [*key, "level", *cells])
-    for i in range(d):
-        gap = F.greatest(F.get("lo", F.lit(i)) - F.col(axes[i]), F.col(axes[i]) - F.get("hi", F.lit(i)))
-        met = met.where((F.col(cells[i]) == F.greatest(f"f{i}", f"g{i}")) & (gap <= F.col("reach")))
+    rows = objects.select("object_id", *key, *metric.columns, F.array(*(lo for lo, _ in metric.box(o))).alias("lo"), F.array(*(hi for _, hi in metric.box(o))).alias("hi"), F.array(*metric.anchor(o)).alias("anchor")).where("!exists(lo, v -> v is null) and !exists(anchor, v -> v is null)")
+    spots = points.select("point_id", *axes).where(" and ".join(f"{c} is not null" for c in axes))
+    low, side, top, step = _pyramid(rows, metric, k, by)
+    homed = _cells(rows, metric, key, low, side, top, step)
+
+    levels = homed.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("home"), F.lit(step))))
+    placed = levels.select(*key, "level", "home", "lo", "hi", "anchor", *(F.expr(f"shiftright({c}, home - level)").alias(c) for c in cells))
+    bounds = [f(F.get(v, F.lit(i))).alias(f"{n}{i}") for i in range(d) for n, f, v in (("lo", F.min, "lo"), ("hi", F.max, "hi"), ("al", F.min, "anchor"), ("ah", F.max, "anchor"))]
+    nodes = materialize(placed.groupBy(*key, "level", *cells).agg(F.count("*").alias("n"), F.sum((F.col("home") == F.col("level")).cast("long")).alias("residents"), *bounds), "cells")
+
+    def approached(met: DataFrame) -> DataFrame:
+        """Cells near a point: (point_id, [by], axes, reach, cell, residents, least)."""
+        least = F.greatest(F.lit(0.0), *(F.greatest(F.col(f"lo{i}") - F.col(axes[i]), F.col(axes[i]) - F.col(f"hi{i}")) for i in range(d)))
+        far = [F.greatest(F.abs(F.col(axes[i]) - F.col(f"al{i}")), F.abs(F.col(axes[i]) - F.col(f"ah{i}"))) for i in range(d)]
+        most = F.when(F.col("n") >= k, F.sqrt(sum((x * x for x in far[1:]), far[0] * far[0])) * (1 + 1e-9) + 1e-9)
+        near = met.withColumn("least", least).where("least <= reach").withColumn("most", most)
+        own = Window.partitionBy("point_id", *key)
+        near = near.withColumn("reach", F.least("reach", F.min("most").over(own))).where("least <= reach")
+        return near.select("point_id", *key, *axes, "reach", *cells, "residents", "least")
+
+    asked = spots.join(only.select("point_id", *key), "point_id") if only is not None else spots
+    asked = asked.withColumn("reach", F.lit(float("inf")))
+    for c in cells:
+        asked = asked.withColumn(c, F.lit(0).cast("long"))
+    root = nodes.where("level = 0").drop("level")
+    front = approached(asked.join(root, [*(key if only is not None else []), *cells]))
+    visited = None
+    for level in range(0, top + 1, step):
+        if level:
+            below = nodes.where(f"level = {level}").drop("level")
+            for c in cells:
+                below = below.withColumn(f"p{c}", F.shiftright(c, step))
+            above = front.select("point_id", *key, *axes, "reach", *(F.col(c).alias(f"p{c}") for c in cells))
+            front = approached(above.join(below, [*key, *(f"p{c}" for c in cells)]))
+        front = materialize(front, "front")
+        here = front.where("residents > 0").withColumn("home", F.lit(level))
+        visited = here if visited is None else visited.union(here)
+    final = visited.withColumn("reach", F.min("reach").over(Window.partitionBy("point_id", *key))).where("least <= reach").drop("residents", "least")
+    met = final.join(homed.drop("anchor"), [*key, "home", *cells])
+    gaps = [F.greatest(F.get("lo", F.lit(i)) - F.col(axes[i]), F.col(axes[i]) - F.get("hi", F.lit(i))) <= F.col("reach") for i in range(d)]
+    for gap in gaps:
+        met = met.where(gap)
     return met.select("point_id", *key, "object_id", metric.distance(metric.of(), [F.col(c) for c in axes]).alias("dist"))
 
 
+def _bounded(metric: Metric) -> bool:
+    return metric.box is not None and metric.anchor is not None and metric.dim <= GRID_DIM
+
+
 def nearest_neighbor(objects: DataFrame, points: DataFrame, metric: Metric, by: str | None = None, tie: str = "first", only: DataFrame | None = None) -> DataFrame:
     """(point_id, [by], object_id, dist) of the nearest object; ties by ``tie`` id."""
     key = ["point_id", *([by] if by else [])]
     sign = 1 if tie == "first" else -1
-    near = candidates(objects, points, metric, 1, by, only).groupBy(*key).agg(F.min(F.struct(F.round("dist", 9).alias("r"), (F.col("object_id") * sign).alias("o"), "dist")).alias("m"))
+    pairs = candidates(objects, points, metric, 1, by, only) if _bounded(metric) else knn_blocks(objects, points, metric, 1, by, only, last=tie != "first")
+    near = pairs.groupBy(*key).agg(F.min(F.struct(F.round("dist", 9).alias("r"), (F.col("object_id") * sign).alias("o"), "dist")).alias("m"))
     return near.select(*key, (F.col("m.o") * sign).alias("object_id"), F.col("m.dist").alias("dist"))
 
 
 def knn(objects: DataFrame, points: DataFrame, metric: Metric, k: int) -> DataFrame:
-    """(point_id, rank, object_id, dist) of the k nearest objects of each point."""
+    """(point_id, rank, object_id, dist) of the k nearest objects of each point. The filter on the
+    rank lets Spark keep k rows a point before the shuffle."""
     order = Window.partitionBy("point_id").orderBy(F.round("dist", 9), "object_id")
-    return candidates(objects, points, metric, k).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("point_id", "rank", "object_id", "dist")
+    pairs = candidates(objects, points, metric, k) if _bounded(metric) else knn_blocks(objects, points, metric, k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", F.col("rank").cast("long").alias("rank"), "object_id", "dist")
 
 
 def nn_per_cluster(objects: DataFrame, points: DataFrame, metric: Metric, cluster: str = "label") -> DataFrame:
@@ -120,5 +144,5 @@ def nn_per_cluster(objects: DataFrame, points: DataFrame, metric: Metric, cluste
 def distance_matrix(objects: DataFrame, centroids: list[list[float]], metric: Metric) -> DataFrame:
     """(object_id, c_idx, dist) to a short list of centroids (k points, k <= 10)."""
     o = metric.of()
-    each = F.array(*(F.struct(F.lit(i).cast("long").alias("c_idx"), metric.distance(o, [F.lit(float(v)) for v in c]).alias("dist")) for i, c in enumerate(centroids)))
-    return objects.select("object_id", F.explode(each).alias("d")).select("object_id", "d.c_idx", "d.dist")
+    each: list[Column] = [F.struct(F.lit(i).cast("long").alias("c_idx"), metric.distance(o, [F.lit(float(v)) for v in c]).alias("dist")) for i, c in enumerate(centroids)]
+    return objects.select("object_id", F.explode(F.array(*each)).alias("d")).select("object_id", "d.c_idx", "d.dist")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from orbitree.storage import materialize
 
 Box = Callable[[str], list[tuple[Column, Column]]]
+#: Levels of size that are told apart; smaller boxes share the finest.
+MAX_LEVELS = 24
 
 
 def square_boxes(prefix: str) -> list[tuple[Column, Column]]:
@@ -23,24 +25,38 @@ def cuboid_boxes(prefix: str) -> list[tuple[Column, Column]]:
 
 
 def overlap_join(objects: DataFrame, box: Box) -> DataFrame:
-    """(a, b), a < b: ids of objects whose closed boxes overlap.
+    """(a, b), a < b: ids of objects whose closed boxes overlap. Objects with a null side are left out.
 
-    Boxes are dealt to grid cells as wide as the largest side, so each lies in at most 2**dim;
-    a pair that meets in several cells counts in the first one they share."""
+    A box is dealt to the cells of the level of its own size, whose width is the power of two at or
+    above its largest side, so it lies in at most 2**dim cells. It also asks in its cells of every
+    coarser level that is in use, where larger boxes live; so one large box is compared
+    with the boxes of its few cells and changes nothing for the others. A pair that meets in
+    several cells counts in the first one it shares."""
     sides = box("")
     dim = len(sides)
-    wide = objects.agg(*(F.max(hi - lo) for lo, hi in sides)).first()
-    side = max([v for v in wide if v], default=1.0)
+    names = [f"{n}{i}" for n in ("lo", "hi") for i in range(dim)]
     rows = objects.select("object_id", *(lo.alias(f"lo{i}") for i, (lo, _) in enumerate(sides)), *(hi.alias(f"hi{i}") for i, (_, hi) in enumerate(sides)))
+    rows = rows.where(" and ".join(f"{n} is not null" for n in names))
+    wide = F.greatest(*(F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dim)))
+    level = F.when(wide > 0, F.ceil(F.log2(F.when(wide > 0, wide)))).cast("int")
+    rows = rows.withColumn("level", level)
+    span = rows.agg(F.min("level"), F.max("level")).first()
+    top = 0 if span[1] is None else span[1]
+    least = top if span[0] is None else max(span[0], top - MAX_LEVELS)
+    rows = rows.withColumn("level", F.greatest(F.coalesce("level", F.lit(least)), F.lit(least)))
+    used = sorted(r.level for r in rows.select("level").distinct().collect())  # at most MAX_LEVELS + 1 numbers
+    asked = rows.withColumn("at", F.explode(F.filter(F.array(*(F.lit(v) for v in used or [0])), lambda v: v >= F.col("level"))))
+    scale = F.pow(F.lit(2.0), -F.col("at"))
     for i in range(dim):
-        rows = rows.withColumn(f"f{i}", F.floor(F.col(f"lo{i}") / side)).withColumn(f"c{i}", F.explode(F.sequence(F.floor(F.col(f"lo{i}") / side), F.floor(F.col(f"hi{i}") / side))))
-    cells = [f"c{i}" for i in range(dim)]
-    left = rows.select(F.col("object_id").alias("a"), *cells, *(F.col(f"{n}{i}").alias(f"a_{n}{i}") for n in ("lo", "hi", "f") for i in range(dim)))
-    right = rows.select(F.col("object_id").alias("b"), *cells, *(F.col(f"{n}{i}").alias(f"b_{n}{i}") for n in ("lo", "hi", "f") for i in range(dim)))
-    met = left.join(right, cells).where("a < b")
+        asked = asked.withColumn(f"f{i}", F.floor(F.col(f"lo{i}") * scale)).withColumn(f"c{i}", F.explode(F.sequence(F.floor(F.col(f"lo{i}") * scale), F.floor(F.col(f"hi{i}") * scale))))
+    cells = ["at", *(f"c{i}" for i in range(dim))]
+    held = [*names, *(f"f{i}" for i in range(dim))]
+    left = asked.where("level = at").select(F.col("object_id").alias("a"), *cells, *(F.col(n).alias(f"a_{n}") for n in held))
+    right = asked.select(F.col("object_id").alias("b"), (F.col("level") < F.col("at")).alias("finer"), *cells, *(F.col(n).alias(f"b_{n}") for n in held))
+    met = left.join(right, cells).where("finer or a < b")
     for i in range(dim):
         met = met.where((F.col(f"a_lo{i}") <= F.col(f"b_hi{i}")) & (F.col(f"b_lo{i}") <= F.col(f"a_hi{i}")) & (F.col(f"c{i}") == F.greatest(f"a_f{i}", f"b_f{i}")))
-    return met.select("a", "b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def intersects_any(objects: DataFrame, box: Box) -> DataFrame:
@@ -71,11 +87,15 @@ def thin_non_overlapping(objects: DataFrame, box: Box) -> DataFrame:
 
 
 def ranked(kept: DataFrame, id_col: str = "object_id", slices: int = 256) -> DataFrame:
-    """A global rank by id without one window over all rows: counts of id ranges, then ranks within."""
-    ends = kept.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = (0, 0) if ends[0] is None else ends
-    width = max(1, -(-(high - low + 1) // slices))
-    parts = kept.withColumn("slice", F.floor((F.col(id_col) - low) / F.lit(width)))
+    """A global rank by id without one window over all rows: counts of id ranges, then ranks within.
+    The ranges are cut at quantiles, so sparse or clustered ids fill them alike."""
+    cuts = kept.select(F.percentile_approx(id_col, [i / slices for i in range(1, slices)], 100 * slices)).first()[0] or []
+    bounds = sorted(set(cuts))
+    slice_ = F.lit(len(bounds))
+    if bounds:
+        after = F.array_position(F.transform(F.array(*(F.lit(v) for v in bounds)), lambda v: F.col(id_col) <= v), F.lit(True))
+        slice_ = F.when(after == 0, len(bounds)).otherwise(after - 1)
+    parts = kept.withColumn("slice", slice_.cast("int"))
     base = parts.groupBy("slice").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.withColumn("inside", F.row_number().over(Window.partitionBy("slice").orderBy(id_col))).join(base.select("slice", "base"), "slice").withColumn("rank", (F.col("base") + F.col("inside")).cast("long")).drop("slice", "inside", "base")
 

@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
 from orbitree.operators.neighbors import nearest_neighbor
+from orbitree.operators.tree import DIGITS
 
 #: Nodes that routing ships to tasks at most; deeper trees are routed in parts.
 MAX_NODES = 50_000
 
-_ROUTER = "path string, shapes array<int>, weights array<double>, accuracy double"
+_ROUTER = "path string, shapes array<int>, weights array<double>, accuracy double, history array<double>"
 
 
 def label_uncertainty(points: DataFrame, children: DataFrame, metric: Metric) -> DataFrame:
     """(path, grid_id, p, label): the child whose nearest object is closest to each point.
 
-    children: (object_id, object columns, path, label), objects with their node and child."""
+    children: (object_id, object columns, path, label), objects with their node and the child's digit."""
     axes = ["x", "y", "z"][: metric.dim]
     named = points.withColumn("point_id", F.xxhash64("path", "grid_id"))
     spots = named.select("point_id", *(F.get("p", F.lit(i)).alias(a) for i, a in enumerate(axes)))
@@ -35,7 +36,7 @@ def label_uncertainty(points: DataFrame, children: DataFrame, metric: Metric) ->
     asked = named.select("point_id", "path").join(groups.select("path", "child").distinct(), "path").select("point_id", "child")
     near = nearest_neighbor(groups, spots, metric, by="child", only=asked)
     best = near.groupBy("point_id").agg(F.min(F.struct(F.round("dist", 9).alias("r"), "child")).alias("m"))
-    return named.join(best, "point_id").select("path", "grid_id", "p", F.substring("m.child", -1, 1).cast("long").alias("label"))
+    return named.join(best, "point_id").select("path", "grid_id", "p", F.conv(F.substring("m.child", -1, 1), 36, 10).cast("long").alias("label"))
 
 
 def _forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -55,8 +56,9 @@ def _unpack(shapes: list[int], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return centre, scale, layers
 
 
-def _train(x: np.ndarray, y: np.ndarray, classes: int, width: int, depth: int, epochs: int, rate: float, seed: int) -> tuple[list[int], np.ndarray, float]:
-    """Full-batch Adam on softmax cross-entropy; the best epoch's weights stay."""
+def _train(x: np.ndarray, y: np.ndarray, classes: int, width: int, depth: int, epochs: int, rate: float, seed: int) -> tuple[list[int], np.ndarray, float, list[float]]:
+    """Full-batch Adam on softmax cross-entropy; the best epoch's weights stay. The accuracy is
+    recorded ten times on the way."""
     centre, scale = x.mean(0), x.std(0) + 1e-12
     z = (x - centre) / scale
     shapes = [x.shape[1], *[width] * depth, classes]
@@ -64,12 +66,14 @@ def _train(x: np.ndarray, y: np.ndarray, classes: int, width: int, depth: int, e
     layers = [(rng.normal(0, np.sqrt(2 / m), (m, n)), np.zeros(n)) for m, n in zip(shapes[:-1], shapes[1:])]
     state = [[np.zeros_like(p) for _ in range(2)] for layer in layers for p in layer]
     target = np.eye(classes)[y]
-    best, kept = np.inf, layers
+    best, kept, history = np.inf, layers, []
     for epoch in range(1, epochs + 1):
         acts = _forward(z, layers)
         chance = np.exp(acts[-1] - acts[-1].max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
         loss = -np.log(chance[np.arange(len(y)), y] + 1e-12).mean()
+        if epoch % max(1, epochs // 10) == 0:
+            history.append(float((acts[-1].argmax(1) == y).mean()))
         if loss < best:
             best, kept = loss, [(w.copy(), b.copy()) for w, b in layers]
         grad, grads = (chance - target) / len(y), []
@@ -81,17 +85,19 @@ def _train(x: np.ndarray, y: np.ndarray, classes: int, width: int, depth: int, e
             s[1] = 0.999 * s[1] + 0.001 * g * g
             p -= rate * (s[0] / (1 - 0.9**epoch)) / (np.sqrt(s[1] / (1 - 0.999**epoch)) + 1e-8)
     hit = float((_forward(z, kept)[-1].argmax(1) == y).mean())
-    return shapes, np.concatenate([centre, scale, *(np.concatenate([w.ravel(), b]) for w, b in kept)]), hit
+    return shapes, np.concatenate([centre, scale, *(np.concatenate([w.ravel(), b]) for w, b in kept)]), hit, history
 
 
-def fit_router(labelled: DataFrame, width: int = 24, depth: int = 2, epochs: int = 150, rate: float = 0.02, seed: int = 0) -> DataFrame:
-    """(path, shapes, weights, accuracy) per node from (path, grid_id, p, label, children)."""
+def fit_router(labelled: DataFrame, width: int = 300, depth: int = 5, epochs: int = 2000, rate: float = 0.001, seed: int = 0) -> DataFrame:
+    """(path, shapes, weights, accuracy, history) per node from (path, grid_id, p, label, children).
+
+    accuracy is that of the weights that stay, history that of the training points over the epochs."""
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("grid_id")
         x = np.array(rows.p.tolist(), dtype=float)
-        shapes, weights, hit = _train(x, rows.label.to_numpy(int), int(rows.children.iloc[0]), width, depth, epochs, rate, seed)
-        return pd.DataFrame({"path": [key[0]], "shapes": [shapes], "weights": [weights.tolist()], "accuracy": [hit]})
+        shapes, weights, hit, history = _train(x, rows.label.to_numpy(int), int(rows.children.iloc[0]), width, depth, epochs, rate, seed)
+        return pd.DataFrame({"path": [key[0]], "shapes": [shapes], "weights": [weights.tolist()], "accuracy": [hit], "history": [history]})
 
     return labelled.groupBy("path").applyInPandas(fit, _ROUTER)
 
@@ -114,7 +120,7 @@ def inner_nodes(nodes: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
     inner = nodes.where("!is_leaf").select("path", "centroids")
     if inner.count() > MAX_NODES:
         raise ValueError("too many nodes to ship: route one subtree at a time")
-    rows = inner.join(routers.drop("accuracy"), "path", "left") if routers is not None else inner.withColumn("shapes", F.lit(None)).withColumn("weights", F.lit(None))
+    rows = inner.join(routers.drop("accuracy", "history"), "path", "left") if routers is not None else inner.withColumn("shapes", F.lit(None)).withColumn("weights", F.lit(None))
     return {r.path: Node(np.array(r.centroids, dtype=float), _unpack(list(r.shapes), np.array(r.weights)) if r.shapes else None) for r in rows.collect()}
 
 
@@ -138,7 +144,7 @@ def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFram
                 for path in sorted(set(at.tolist()) & tree.keys()):
                     rows = np.flatnonzero(at == path)
                     for i, z in zip(rows, tree[path].logits(x[rows]).argmax(1)):
-                        at[i] = f"{path}{z}"
+                        at[i] = path + DIGITS[z]
                         seen[i].append(at[i])
                     moved = True
                 if not moved:
@@ -175,7 +181,7 @@ def route_by_sums(points: DataFrame, tree: dict[str, Node], leaves: list[str], d
                 scores = tree[path].logits(x)
                 for z in range(scores.shape[1]):
                     own = sums[path][0] + scores[:, z]
-                    sums[f"{path}{z}"] = (own, sums[path][1] + own)
+                    sums[path + DIGITS[z]] = (own, sums[path][1] + own)
             table = np.stack([sums[leaf][int(running)] for leaf in leaves], axis=1)
             best = table.argmax(1)
             yield pdf[["point_id", *axes]].assign(path=np.array(leaves, dtype=object)[best], score=table[np.arange(len(pdf)), best])
@@ -204,7 +210,7 @@ def route_beam(points: DataFrame, tree: dict[str, Node], dim: int, k: int, eps:
                 for path, rows in by_node.items():
                     scores = tree[path].logits(x[[i for i, _ in rows]])
                     for (i, _), own in zip(rows, scores):
-                        grown.setdefault(i, []).extend((-float(s), f"{path}{z}") for z, s in enumerate(own))
+                        grown.setdefault(i, []).extend((-float(s), path + DIGITS[z]) for z, s in enumerate(own))
                 layer = []
                 for i, options in grown.items():
                     options.sort()

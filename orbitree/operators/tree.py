@@ -2,11 +2,13 @@
 
 Tables: ``assign`` (object_id, object columns, path), one row per object with its leaf, and
 ``nodes`` (path, parent, depth, n, bbox, centroids, is_leaf). A path is the string of child
-numbers from the root "0"; an ancestor is a prefix."""
+numbers from the root "0", one digit to the base 36 for each level; an ancestor is a prefix."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
@@ -15,29 +17,39 @@ from orbitree.operators.kmeans import assign_nearest_centroid, kmeans_fit, kmean
 from orbitree.storage import materialize
 
 
+#: Digits of a path; their order is the order of strings.
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def digit(label: Column) -> Column:
+    return F.lower(F.conv(label.cast("string"), 10, 36))
+
+
 def divide(labelled: DataFrame) -> DataFrame:
-    """Children paths: the path with the label behind it (labels below 10)."""
-    return labelled.withColumn("path", F.concat("path", F.col("label").cast("string")))
+    """Children paths: the path with the label behind it."""
+    return labelled.withColumn("path", F.concat("path", digit(F.col("label"))))
 
 
-def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n_iter: int = 5, seed: int = 0, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
+def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n_iter: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(assign, nodes). All nodes of a level with more than ``threshold`` objects are split in the
-    same jobs; a node whose clusters collapse into one stays a leaf. k = 0 means 2**dim."""
+    same jobs, level by level until none is left; a node whose clusters collapse into one stays a
+    leaf. Children are smaller than their parent, so the levels end. k = 0 means 2**dim."""
     k = k or 2**metric.dim
-    if k > 10:
-        raise ValueError("a path has one digit per level: at most 10 children")
+    if k > len(DIGITS):
+        raise ValueError(f"a path has one digit per level: at most {len(DIGITS)} children")
     cols = ["object_id", *metric.columns]
     active = materialize(objects.select(*cols, F.lit("0").alias("path")), "level")
     done, nodes = None, None
-    for depth in range(max_depth + 1):
+    for depth in count():
         boxes = bounding_boxes(active, metric.name)
-        split = materialize(boxes.withColumn("split", (F.col("n") > threshold) & F.lit(depth < max_depth)), "boxes")
+        split = materialize(boxes.withColumn("split", F.col("n") > threshold), "boxes")
         go = split.where("split").select("path")
-        rows = active.join(F.broadcast(go), "path") if _few(go) else active.join(go, "path")
+        few = _few(go)
+        rows = active.join(F.broadcast(go) if few else go, "path")
         rows = materialize(rows.select(*cols, "path"), "split")
         centroids = None
         if not rows.isEmpty():
-            labelled, found, _ = kmeans_fit(rows, metric, kmeanspp_seed(rows, metric, k, seed + depth), n_iter, k)
+            labelled, found, _ = kmeans_fit(rows, metric, kmeanspp_seed(rows, metric, k, seed + depth, few), n_iter, k, until_stable=True, few=few)
             labelled = materialize(labelled, "labelled")
             dense = relabel_dense(labelled)
             parts = dense.groupBy("path").agg(F.count("*").alias("parts"))

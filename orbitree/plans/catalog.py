@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitree.functions import geometry as g
@@ -49,19 +50,23 @@ def _r(c: Column, digits: int = 6) -> Column:
 
 c = F.col
 
-# --- pairs: every point with one object, which covers both tables -------------------------
+# --- pairs: points and objects dealt to each other, so that both tables are read whole --------
 
-_PAIR = "SELECT p.*, o.* FROM {points} p JOIN {objects} o ON o.object_id = 1 + p.point_id % (SELECT count(*) FROM {objects})"
+
+def _ids_sql(objects: str, points: str) -> str:
+    return f"ids AS (SELECT i % n_o AS object_id, i % n_p AS point_id FROM (SELECT n_o, n_p, unnest(range(greatest(n_o, n_p))) AS i FROM (SELECT (SELECT count(DISTINCT object_id) FROM {objects}) AS n_o, (SELECT count(*) FROM {points}) AS n_p)))"
 
 
 def _pairs(spark: SparkSession, sf_dir: str, objects: str, points: str = "points2d") -> DataFrame:
+    """As many pairs as the larger table has rows; ids run from 0 without gaps."""
     o, q = fixture(spark, sf_dir, objects), fixture(spark, sf_dir, points)
-    n = o.count()
-    return q.join(o, c("object_id") == 1 + c("point_id") % F.lit(max(n, 1)))
+    n_o, n_p = o.count(), q.count()
+    ids = spark.range(max(n_o, n_p) if n_o and n_p else 0).select((c("id") % max(n_o, 1)).alias("object_id"), (c("id") % max(n_p, 1)).alias("point_id"))
+    return ids.join(q, "point_id").join(o, "object_id")
 
 
 def _pair_sql(objects: str, select: str, points: str = "points2d", extra: str = "") -> str:
-    return f"{with_sql(points, objects)}, pairs AS ({_PAIR.format(points=points, objects=objects)}){extra} SELECT {select} FROM pairs"
+    return f"{with_sql(points, objects)}, {_ids_sql(objects, points)}, pairs AS (SELECT * FROM ids JOIN {points} USING (point_id) JOIN {objects} USING (object_id)){extra} SELECT object_id, {select} FROM pairs"
 
 
 def _corner(i: int, cx: str = "x0", cy: str = "y0", size: str = "size", theta: str = "theta") -> tuple[str, str]:
@@ -103,6 +108,10 @@ _FX, _FY, _FZ = _face("x0", "w", "x"), _face("y0", "h", "y"), _face("z0", "d", "
 _LINF_CUBOID = f"CASE WHEN NOT ({_FX[0]}) THEN greatest({_FX[1]}, {_FY[1]}, {_FZ[1]}) WHEN NOT ({_FY[0]}) THEN greatest({_FY[1]}, {_FZ[1]}) WHEN NOT ({_FZ[0]}) THEN {_FZ[1]} ELSE CAST(0.0000001 AS DOUBLE) END"
 _EDGES = f"""edges AS (SELECT a.object_id, a.i, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM vertices a JOIN vertices b ON a.object_id = b.object_id AND b.i = (a.i + 1) % a.m)"""
 
+def _uniform_sql(key: str, seed: int) -> str:
+    return f"((({key} % 1000003 * 48271 + {seed * 69621 + 12345}) % 2147483647 * 16807 % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE))"
+
+
 # --- sources -------------------------------------------------------------------------------
 
 
@@ -144,6 +153,16 @@ def write_prefix_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, path, 5000).select("object_id", "rank", "snapshot")
 
 
+@_query(f"{with_sql('segments2d')}, r AS (SELECT *, row_number() OVER (ORDER BY object_id) - 1 AS pos FROM segments2d) SELECT pos // 1000 AS part, pos % 1000 AS object_id, x0, y0, length, theta FROM r")
+def read_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments as .npy matrices of a thousand rows and back."""
+    from orbitree.sources.objects import pack_npy, unpack_npy
+
+    files = materialize(pack_npy(fixture(spark, sf_dir, "segments2d"), "segments2d", 1000), "npy")
+    rows = unpack_npy(files, "segments2d")
+    return rows.select(F.regexp_extract("file", r"part-([0-9]+)\.npy", 1).cast("long").alias("part"), "object_id", "x0", "y0", "length", "theta")
+
+
 def _fresh(spark: SparkSession, tag: str) -> str:
     import uuid
 
@@ -222,13 +241,13 @@ def cuboid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_pair_sql("squares_raw", "point_id, round(x0 + (x - x0) * cos(radians(theta)) - (y - y0) * sin(radians(theta)), 6) AS rx, round(y0 + (x - x0) * sin(radians(theta)) + (y - y0) * cos(radians(theta)), 6) AS ry"))
 def rotate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir, "squares_raw").withColumn("v", g.rotate_point(c("x"), c("y"), c("x0"), c("y0"), c("theta")))
-    return rows.select("point_id", _r(c("v.x")).alias("rx"), _r(c("v.y")).alias("ry"))
+    return rows.select("object_id", "point_id", _r(c("v.x")).alias("rx"), _r(c("v.y")).alias("ry"))
 
 
 @_query(_pair_sql("segments3d", "point_id, round(x0 + (x - x0) * cos(theta) - (y - y0) * sin(theta), 6) AS rx, round(y0 + (x - x0) * sin(theta) + (y - y0) * cos(theta), 6) AS ry, round(z - z0, 6) AS rz", "unit_points"))
 def rotate_point3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir, "segments3d", "unit_points").withColumn("v", g.rotate_point3(*(c(x) for x in ("x", "y", "z", "x0", "y0", "z0", "theta"))))
-    return rows.select("point_id", *(_r(c(f"v.{a}")).alias(f"r{a}") for a in "xyz"))
+    return rows.select("object_id", "point_id", *(_r(c(f"v.{a}")).alias(f"r{a}") for a in "xyz"))
 
 
 @_query(f"{with_sql('segments2d')} SELECT object_id, round(x0 + length * cos(theta), 6) AS x1, round(y0 + length * sin(theta), 6) AS y1 FROM segments2d")
@@ -301,16 +320,16 @@ def path_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{with_sql('points2d', 'vertices')}, n AS (SELECT count(DISTINCT object_id) AS n FROM vertices), {_EDGES},
-pairs AS (SELECT point_id, object_id, ox + (x - 150) / 75 AS x, oy + (y - 150) / 75 AS y FROM (SELECT p.*, 1 + p.point_id % n.n AS object_id FROM points2d p, n) q JOIN (SELECT object_id, avg(x) AS ox, avg(y) AS oy FROM vertices GROUP BY object_id) o USING (object_id)),
-hits AS (SELECT point_id, count(*) FILTER (WHERE y > least(ay, ey) AND y <= greatest(ay, ey) AND x <= greatest(ax, ex) AND (ax = ex OR x <= ax + (y - ay) * (ex - ax) / (ey - ay))) AS k FROM pairs JOIN edges USING (object_id) GROUP BY point_id)
-SELECT point_id, k % 2 = 1 AS inside FROM hits"""
+    f"""{with_sql('points2d', 'vertices')}, {_ids_sql('vertices', 'points2d')}, {_EDGES},
+pairs AS (SELECT point_id, object_id, ox + (x - 150) / 75 AS x, oy + (y - 150) / 75 AS y FROM ids JOIN points2d USING (point_id) JOIN (SELECT object_id, avg(x) AS ox, avg(y) AS oy FROM vertices GROUP BY object_id) o USING (object_id)),
+hits AS (SELECT point_id, object_id, count(*) FILTER (WHERE y > least(ay, ey) AND y <= greatest(ay, ey) AND x <= greatest(ax, ex) AND (ax = ex OR x <= ax + (y - ay) * (ex - ax) / (ey - ay))) AS k FROM pairs JOIN edges USING (object_id) GROUP BY point_id, object_id)
+SELECT object_id, point_id, k % 2 = 1 AS inside FROM hits"""
 )
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each point moved close to its polygon."""
     rows = _pairs(spark, sf_dir, "polygons").withColumn("mid", g.vertex_mean(c("vertices")))
     x, y = c("mid.x") + (c("x") - 150) / 75, c("mid.y") + (c("y") - 150) / 75
-    return rows.select("point_id", p.point_in_polygon(x, y, c("vertices")).alias("inside"))
+    return rows.select("object_id", "point_id", p.point_in_polygon(x, y, c("vertices")).alias("inside"))
 
 
 _NEIGHBOURS = "SELECT a.*, b.x0 AS bx0, b.y0 AS by0, b.size AS bsize, b.theta AS btheta FROM squares a JOIN squares b ON b.object_id = a.object_id + 1"
@@ -415,7 +434,7 @@ _NEAR_ELLIPSE = "h + (x - 150) / 100 AS nx, k + (y - 150) / 100 AS ny"
 @_query(_pair_sql("ellipses", "point_id, nx > h - a / 2 AND nx < h + a / 2 AND ny > k - b / 2 AND ny < k + b / 2 AS inside", extra=f", near AS (SELECT *, {_NEAR_ELLIPSE} FROM pairs)").replace("FROM pairs", "FROM near").replace("FROM near)", "FROM pairs)"))
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir, "ellipses").withColumn("b_", g.ellipse_box(c("a"), c("b"), c("h"), c("k")))
-    return rows.select("point_id", p.point_in_box(c("h") + (c("x") - 150) / 100, c("k") + (c("y") - 150) / 100, c("b_.x_min"), c("b_.x_max"), c("b_.y_min"), c("b_.y_max")).alias("inside"))
+    return rows.select("object_id", "point_id", p.point_in_box(c("h") + (c("x") - 150) / 100, c("k") + (c("y") - 150) / 100, c("b_.x_min"), c("b_.x_max"), c("b_.y_min"), c("b_.y_max")).alias("inside"))
 
 
 # --- metrics -------------------------------------------------------------------------------
@@ -431,17 +450,17 @@ def linf_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_pair_sql("squares", "point_id, round(sqrt((x - x0) ** 2 + (y - y0) ** 2), 6) AS dist"))
 def euclid_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "squares").select("point_id", _r(m.euclid_point(c("x"), c("y"), c("x0"), c("y0"))).alias("dist"))
+    return _pairs(spark, sf_dir, "squares").select("object_id", "point_id", _r(m.euclid_point(c("x"), c("y"), c("x0"), c("y0"))).alias("dist"))
 
 
 @_query(_pair_sql("squares", f"point_id, round({_CORNER_DIST}, 6) AS dist"))
 def linf_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "squares").select("point_id", _r(m.linf_vertices(g.square_vertices(c("x0"), c("y0"), c("size"), c("theta")), c("x"), c("y"))).alias("dist"))
+    return _pairs(spark, sf_dir, "squares").select("object_id", "point_id", _r(m.linf_vertices(g.square_vertices(c("x0"), c("y0"), c("size"), c("theta")), c("x"), c("y"))).alias("dist"))
 
 
 @_query(_pair_sql("squares", f"point_id, round({_LINF_SQUARE}, 6) AS dist"))
 def linf_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "squares").select("point_id", _r(m.linf_square(*(c(x) for x in ("x0", "y0", "size", "theta", "x", "y")))).alias("dist"))
+    return _pairs(spark, sf_dir, "squares").select("object_id", "point_id", _r(m.linf_square(*(c(x) for x in ("x0", "y0", "size", "theta", "x", "y")))).alias("dist"))
 
 
 def _edge_linf(a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -455,13 +474,13 @@ def _edge_linf(a: tuple[str, str], b: tuple[str, str]) -> str:
 
 @_query(_pair_sql("squares", f"point_id, round(least({', '.join(_edge_linf(_CORNERS[i], _CORNERS[(i + 1) % 4]) for i in range(4))}), 6) AS dist"))
 def linf_square_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "squares").select("point_id", _r(m.linf_square_exact(*(c(x) for x in ("x0", "y0", "size", "theta", "x", "y")))).alias("dist"))
+    return _pairs(spark, sf_dir, "squares").select("object_id", "point_id", _r(m.linf_square_exact(*(c(x) for x in ("x0", "y0", "size", "theta", "x", "y")))).alias("dist"))
 
 
 @_query(_pair_sql("cuboids", f"point_id, round({_LINF_CUBOID}, 9) AS dist, round(greatest(abs(x0 - x) - w / 2, abs(y0 - y) - h / 2, abs(z0 - z) - d / 2, 0), 9) AS exact", "points3d"))
 def linf_cuboid(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = [c(x) for x in ("x0", "y0", "z0", "w", "h", "d", "x", "y", "z")]
-    return _pairs(spark, sf_dir, "cuboids", "points3d").select("point_id", _r(m.linf_cuboid(*args), 9).alias("dist"), _r(m.linf_cuboid_exact(*args), 9).alias("exact"))
+    return _pairs(spark, sf_dir, "cuboids", "points3d").select("object_id", "point_id", _r(m.linf_cuboid(*args), 9).alias("dist"), _r(m.linf_cuboid_exact(*args), 9).alias("exact"))
 
 
 @_query()
@@ -471,23 +490,23 @@ def ellipse_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_pair_sql("segments2d", f"point_id, round({_SEG2}, 6) AS dist", "unit_points"))
 def segment_dist_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "segments2d", "unit_points").select("point_id", _r(m.segment_dist_2d(*(c(x) for x in ("x0", "y0", "length", "theta", "x", "y")))).alias("dist"))
+    return _pairs(spark, sf_dir, "segments2d", "unit_points").select("object_id", "point_id", _r(m.segment_dist_2d(*(c(x) for x in ("x0", "y0", "length", "theta", "x", "y")))).alias("dist"))
 
 
 @_query(_pair_sql("segments3d", f"point_id, round({_SEG3}, 6) AS dist", "unit_points"))
 def segment_dist_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "segments3d", "unit_points").select("point_id", _r(m.segment_dist_3d(*(c(x) for x in ("x0", "y0", "z0", "length", "theta", "phi", "x", "y", "z")))).alias("dist"))
+    return _pairs(spark, sf_dir, "segments3d", "unit_points").select("object_id", "point_id", _r(m.segment_dist_3d(*(c(x) for x in ("x0", "y0", "z0", "length", "theta", "phi", "x", "y", "z")))).alias("dist"))
 
 
-@_query(f"{with_sql('points2d', 'vertices')}, n AS (SELECT count(DISTINCT object_id) AS n FROM vertices), {_EDGES} SELECT point_id, round({_edge_sql('x', 'y', 'ax', 'ay', 'ex', 'ey')}, 6) AS dist FROM (SELECT p.*, 1 + p.point_id % n.n AS object_id FROM points2d p, n) q JOIN edges USING (object_id) WHERE i = 0")
+@_query(f"{with_sql('points2d', 'vertices')}, {_ids_sql('vertices', 'points2d')}, {_EDGES} SELECT object_id, point_id, round({_edge_sql('x', 'y', 'ax', 'ay', 'ex', 'ey')}, 6) AS dist FROM ids JOIN points2d USING (point_id) JOIN edges USING (object_id) WHERE i = 0")
 def edge_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.get("vertices", F.lit(0)), F.get("vertices", F.lit(1))
-    return _pairs(spark, sf_dir, "polygons").select("point_id", _r(m.edge_dist(c("x"), c("y"), a["x"], a["y"], b["x"], b["y"])).alias("dist"))
+    return _pairs(spark, sf_dir, "polygons").select("object_id", "point_id", _r(m.edge_dist(c("x"), c("y"), a["x"], a["y"], b["x"], b["y"])).alias("dist"))
 
 
-@_query(f"{with_sql('points2d', 'vertices')}, n AS (SELECT count(DISTINCT object_id) AS n FROM vertices), {_EDGES} SELECT point_id, round(min({_edge_sql('x', 'y', 'ax', 'ay', 'ex', 'ey')}), 6) AS dist FROM (SELECT p.*, 1 + p.point_id % n.n AS object_id FROM points2d p, n) q JOIN edges USING (object_id) GROUP BY point_id")
+@_query(f"{with_sql('points2d', 'vertices')}, {_ids_sql('vertices', 'points2d')}, {_EDGES} SELECT object_id, point_id, round(min({_edge_sql('x', 'y', 'ax', 'ay', 'ex', 'ey')}), 6) AS dist FROM ids JOIN points2d USING (point_id) JOIN edges USING (object_id) GROUP BY point_id, object_id")
 def polygon_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "polygons").select("point_id", _r(m.polygon_dist(c("vertices"), c("x"), c("y"))).alias("dist"))
+    return _pairs(spark, sf_dir, "polygons").select("object_id", "point_id", _r(m.polygon_dist(c("vertices"), c("x"), c("y"))).alias("dist"))
 
 
 def _axis_sql(lo: str, hi: str, q: str) -> str:
@@ -497,21 +516,49 @@ def _axis_sql(lo: str, hi: str, q: str) -> str:
 @_query(_pair_sql("ellipses", f"point_id, round(greatest({_axis_sql('h - a / 2', 'h + a / 2', 'x')}, {_axis_sql('k - b / 2', 'k + b / 2', 'y')}), 6) AS dist"))
 def box_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir, "ellipses").withColumn("b_", g.ellipse_box(c("a"), c("b"), c("h"), c("k")))
-    return rows.select("point_id", _r(m.box_dist(c("b_.x_min"), c("b_.x_max"), c("b_.y_min"), c("b_.y_max"), c("x"), c("y"))).alias("dist"))
+    return rows.select("object_id", "point_id", _r(m.box_dist(c("b_.x_min"), c("b_.x_max"), c("b_.y_min"), c("b_.y_max"), c("x"), c("y"))).alias("dist"))
 
 
 def _centre_metric() -> m.Metric:
-    """A user's metric: Chebyshev distance to a square's centre."""
+    """A user's metric with bounds: Chebyshev distance to a square's centre."""
     mid = lambda o: [o["x0"], o["y0"]]
     return m.Metric("centres", ("x0", "y0"), 2, lambda o, q: F.greatest(F.abs(o["x0"] - q[0]), F.abs(o["y0"] - q[1])), lambda o: [(o["x0"], o["x0"]), (o["y0"], o["y0"])], mid, mid)
 
 
-@_query(f"{with_sql('squares', 'points2d')} SELECT point_id, arg_min(object_id, (round(d, 9), object_id)) AS object_id, round(min(d), 6) AS dist FROM (SELECT point_id, object_id, greatest(abs(x0 - x), abs(y0 - y)) AS d FROM points2d, squares) GROUP BY point_id")
+_CENTRES = f"{with_sql('squares', 'points2d')} SELECT point_id, arg_min(object_id, (round(d, 9), object_id)) AS object_id, round(min(d), 6) AS dist FROM (SELECT point_id, object_id, greatest(abs(x0 - x), abs(y0 - y)) AS d FROM points2d, squares) GROUP BY point_id"
+
+
+@_query(_CENTRES)
 def user_metric_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "squares"), fixture(spark, sf_dir, "points2d"), _centre_metric())
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
 
 
+@_query(_CENTRES)
+def user_kernel_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metric as a kernel only: no bounds, so blocks are compared."""
+    kernel = lambda o, q: np.maximum(np.abs(o["x0"][:, None] - q[None, :, 0]), np.abs(o["y0"][:, None] - q[None, :, 1]))
+    near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "squares"), fixture(spark, sf_dir, "points2d"), m.Metric("centres", ("x0", "y0"), 2, kernel=kernel))
+    return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
+
+
+@_query("""WITH p AS (SELECT vec_id AS point_id, embedding AS u FROM embeddings), o AS (SELECT vec_id AS object_id, embedding AS v FROM embeddings),
+d AS (SELECT point_id, object_id, list_max(list_transform(list_zip(u, v), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d FROM p, o WHERE point_id <> object_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), object_id) AS rank FROM d)
+SELECT point_id, rank, object_id, round(d, 6) AS dist FROM r WHERE rank <= 3""")
+def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest other vectors in 64 dimensions, by a kernel."""
+    vectors = fixture(spark, sf_dir, "vectors")
+    metric = m.Metric("vectors", ("embedding",), 64, kernel=m.linf_kernel("embedding"))
+    points = vectors.select(c("vec_id").alias("point_id"), F.transform("embedding", lambda v: v.cast("double")).alias("p"))
+    near = neighbors.knn(vectors.select(c("vec_id").alias("object_id"), "embedding"), points, metric, 4)
+    # a vector is its own nearest, unless copies with smaller ids come first
+    other = near.where("point_id <> object_id").drop("rank")
+    order = Window.partitionBy("point_id").orderBy(F.round("dist", 9), "object_id")
+    ranked = other.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3")
+    return ranked.select("point_id", "rank", "object_id", _r(c("dist")).alias("dist"))
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 _SEEDS = [[75.0, 75.0], [225.0, 75.0], [150.0, 225.0]]
@@ -539,19 +586,34 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("point_id", "rank", "object_id", _r(c("dist")).alias("dist"))
 
 
-@_query()
+def _nearest_sql(tables: tuple[str, ...], objects: str, points: str, dist: str, digits: int = 6, k: int = 1) -> str:
+    """The k nearest by two passes: the k-th distance of each point, then what is as near. ``objects``
+    is a query; an object can have several rows, of which the nearest counts."""
+    rows = f"(SELECT point_id, object_id, {dist} AS d FROM p_, o_)"
+    return f"""{with_sql(*tables)}, o_ AS MATERIALIZED ({objects}), p_ AS MATERIALIZED (SELECT * FROM {points}), b_ AS MATERIALIZED (SELECT point_id, list_max(min(d, {k})) + 0.00000001 AS most FROM {rows} GROUP BY point_id),
+near AS (SELECT point_id, object_id, min(d) AS d FROM {rows} JOIN b_ USING (point_id) WHERE d <= most GROUP BY point_id, object_id),
+r_ AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), object_id) AS rank FROM near) SELECT point_id, {'rank, ' if k > 1 else ''}object_id, round(d, {digits}) AS dist FROM r_ WHERE rank <= {k}"""
+
+
+_SEGMENT_ENDS = "SELECT object_id, x0, y0, x0 + length * cos(theta) AS ex, y0 + length * sin(theta) AS ey FROM segments2d"
+_SEGMENT_SPANS = f"SELECT object_id, x0, y0, z0, {_D3[0]} AS dx, {_D3[1]} AS dy, {_D3[2]} AS dz FROM segments3d"
+_SPAN_T = "least(greatest(COALESCE(((x - x0) * dx + (y - y0) * dy + (z - z0) * dz) / NULLIF(dx ** 2 + dy ** 2 + dz ** 2, 0), 0), 0), 1)"
+_SPAN_DIST = f"sqrt((x - x0 - {_SPAN_T} * dx) ** 2 + (y - y0 - {_SPAN_T} * dy) ** 2 + (z - z0 - {_SPAN_T} * dz) ** 2)"
+
+
+@_query(_nearest_sql(("segments2d", "unit_points"), _SEGMENT_ENDS, "unit_points", _edge_sql("x", "y", "x0", "y0", "ex", "ey"), 6, 3))
 def knn_segments2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.knn(fixture(spark, sf_dir, "segments2d"), fixture(spark, sf_dir, "unit_points"), m.METRICS["segments2d"], 3)
-    return near.select("point_id", "rank", "object_id", _r(c("dist"), 9).alias("dist"))
+    return near.select("point_id", "rank", "object_id", _r(c("dist")).alias("dist"))
 
 
-@_query()
+@_query(_nearest_sql(("segments3d", "unit_points"), _SEGMENT_SPANS, "unit_points", _SPAN_DIST))
 def nearest_segment3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "segments3d"), fixture(spark, sf_dir, "unit_points"), m.METRICS["segments3d"])
-    return near.select("point_id", "object_id", _r(c("dist"), 9).alias("dist"))
+    return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
 
 
-@_query()
+@_query(_nearest_sql(("cuboids", "points3d"), "SELECT * FROM cuboids", "points3d", _LINF_CUBOID))
 def nearest_cuboid(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "cuboids"), fixture(spark, sf_dir, "points3d"), m.METRICS["cuboids"])
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
@@ -563,7 +625,7 @@ def nearest_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
 
 
-@_query()
+@_query(_nearest_sql(("vertices", "points2d"), f"WITH {_EDGES} SELECT object_id, ax, ay, ex, ey FROM edges", "points2d", _edge_sql("x", "y", "ax", "ay", "ex", "ey")))
 def nearest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "polygons"), fixture(spark, sf_dir, "points2d"), m.METRICS["polygons"])
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
@@ -611,7 +673,11 @@ def thin_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.thin_non_overlapping(fixture(spark, sf_dir, "squares"), square_boxes)
 
 
-@_query()
+@_query(f"""{_THIN.rsplit("SELECT object_id FROM r", 1)[0]}, kept AS (SELECT object_id FROM r WHERE state = 1 AND step = (SELECT max(step) FROM r)),
+numbered AS (SELECT object_id, row_number() OVER (ORDER BY object_id) AS rank FROM squares),
+leads AS (SELECT object_id, rank - row_number() OVER (ORDER BY object_id) AS lead_ FROM numbered JOIN kept USING (object_id)),
+gaps AS (SELECT object_id, lead_ - COALESCE(lag(lead_) OVER (ORDER BY object_id), 0) AS gap FROM leads)
+SELECT object_id FROM kept WHERE object_id < COALESCE((SELECT min(object_id) FROM gaps WHERE gap >= greatest(1, floor(0.05 * (SELECT count(*) FROM squares)))), 9223372036854775807)""")
 def thin_until_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thinning with the stop after a run of refused candidates."""
     squares = fixture(spark, sf_dir, "squares")
@@ -714,7 +780,15 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("object_id", "label", _r(c("dist")).alias("dist"))
 
 
-@_query()
+def _seed_sql(k: int = 3) -> str:
+    parts = [f"{with_sql('squares')}, s0 AS MATERIALIZED (SELECT 0 AS idx, x0 AS x, y0 AS y FROM squares ORDER BY -ln({_uniform_sql('object_id', 0)}), object_id LIMIT 1)"]
+    for i in range(1, k):
+        near = f"SELECT object_id, any_value(x0) AS x0, any_value(y0) AS y0, arg_min(dist, (round(dist, 9), idx)) AS dist FROM (SELECT squares.*, idx, {_LINF_SQUARE} AS dist FROM squares, s{i - 1}) GROUP BY object_id"
+        parts.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL (SELECT {i} AS idx, x0 AS x, y0 AS y FROM ({near}) ORDER BY CASE WHEN dist > 0 THEN -ln({_uniform_sql('object_id', i)}) / dist ELSE CAST('inf' AS DOUBLE) END, object_id LIMIT 1))")
+    return ", ".join(parts) + f" SELECT '0' AS path, idx, round(x, 6) AS x, round(y, 6) AS y FROM s{k - 1}"
+
+
+@_query(_seed_sql())
 def kmeanspp_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = kmeans.kmeanspp_seed(_in_root(fixture(spark, sf_dir, "squares")), m.METRICS["squares"], 3)
     return seeds.select("path", "idx", *(_r(F.get("c", F.lit(i))).alias(a) for i, a in enumerate("xy")))
@@ -763,10 +837,6 @@ def energy_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.energy_surface(grids.lattice(nodes, 60, 2), kmeans.centroid_table(nodes, {"0": _SEEDS}), 3).select("grid_id", _r(c("energy")).alias("energy"), "label")
 
 
-def _uniform_sql(key: str, seed: int) -> str:
-    return f"((({key} % 1000003 * 48271 + {seed * 69621 + 12345}) % 2147483647 * 16807 % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE))"
-
-
 @_query(f"{with_sql('squares')}, {_ROOT_BOX} SELECT CAST(i // 300 AS BIGINT) AS repeat, i AS point_id, round(lx + (hx - lx) * {_uniform_sql('i', 1)}, 6) AS x, round(ly + (hy - ly) * {_uniform_sql('i', 8)}, 6) AS y FROM b, range(1200) AS r(i)")
 def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grids.random_points(_root(spark, sf_dir), 300, 4, 2)
@@ -806,59 +876,94 @@ def divide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.divide(_labelled(spark, sf_dir)).select("object_id", "path")
 
 
+_SEGMENTS = m.METRICS["segments2d"]
+
 # --- tree and routers ----------------------------------------------------------------------
 
-THRESHOLD = 1500
-_built: dict[tuple[str, str], tuple] = {}
+#: A node of more objects is split; rounds of k-means; lattice points per axis of a node, points
+#: kept, and width of a decision border.
+THRESHOLD, ROUNDS, LATTICE, BORDER, EPSILON = 300, 10, 30, 899, 0.15
+#: Routers of the registered queries: units, layers, epochs and rate. The operator's defaults are
+#: larger (see the README).
+ROUTER = (24, 2, 150, 0.02)
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make: Query, anew: bool = False) -> DataFrame:
+    """A table of the tree that is saved in the shared folder: the session remembers where, and
+    what isn't there yet, or is wanted anew, is made and saved."""
+    mark = f"orbitree.saved.{name}.{sf_dir}"
+    path = spark.conf.get(mark, None)
+    if path is None or anew:
+        path = _fresh(spark, name)
+        make(spark, sf_dir).write.parquet(path)
+        spark.conf.set(mark, path)
+    return spark.read.parquet(path)
+
+
+def _nodes(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        assign, nodes = tree.build_tree(fixture(spark, sf_dir, "segments2d"), _SEGMENTS, THRESHOLD, 3, ROUNDS)
+        _stored(spark, sf_dir, "assign", lambda *_: assign, True)
+        return nodes
+
+    return _stored(spark, sf_dir, "nodes", make, anew)
+
+
+def _assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _nodes(spark, sf_dir)
+    return _stored(spark, sf_dir, "assign", lambda *_: None)
+
+
+def _labelled_border(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
+    """Points near the decision borders of all inner nodes, with the child that is right."""
+
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inner = _nodes(spark, sf_dir).where("!is_leaf")
+        cents = inner.select("path", F.posexplode("centroids").alias("idx", "c"))
+        border = materialize(grids.uncertainty_points(grids.lattice(inner, LATTICE, 2), cents, inner, EPSILON, 2, BORDER), "border")
+        held = router.prefixes(_assign(spark, sf_dir), _SEGMENTS).where(F.length("node") > 1)
+        children = held.select("object_id", *_SEGMENTS.columns, F.expr("substring(node, 1, length(node) - 1)").alias("path"), F.expr("substring(node, length(node), 1)").alias("label"))
+        labelled = router.label_uncertainty(border, materialize(children, "children"), _SEGMENTS)
+        return labelled.join(inner.select("path", F.size("centroids").alias("children")), "path")
+
+    return _stored(spark, sf_dir, "labelled", make, anew)
+
+
+def _routers(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
+    return _stored(spark, sf_dir, "routers", lambda spark, sf_dir: router.fit_router(_labelled_border(spark, sf_dir), *ROUTER), anew)
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """(assign, nodes, routers, routing table) of the 2-D segments, built once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        metric = m.METRICS["segments2d"]
-        assign, nodes = tree.build_tree(fixture(spark, sf_dir, "segments2d"), metric, THRESHOLD, 3, 5)
-        inner = nodes.where("!is_leaf")
-        routers = None
-        if not inner.isEmpty():
-            cents = inner.select("path", F.posexplode("centroids").alias("idx", "c"))
-            border = materialize(grids.uncertainty_points(grids.lattice(inner, 30, 2), cents, inner, 0.15, 2, 899), "border")
-            held = router.prefixes(assign, metric).where(F.length("node") > 1)
-            children = held.select("object_id", *metric.columns, F.expr("substring(node, 1, length(node) - 1)").alias("path"), F.expr("substring(node, length(node), 1)").alias("label"))
-            labelled = router.label_uncertainty(border, materialize(children, "children"), metric)
-            labelled = materialize(labelled.join(inner.select("path", F.size("centroids").alias("children")), "path"), "labelled")
-            routers = materialize(router.fit_router(labelled), "routers")
-            _built[(*key, "labelled")] = (labelled,)
-        _built[key] = (assign, nodes, routers, router.inner_nodes(nodes, routers))
-    return _built[key]
+    """(assign, nodes, routers, routing table) of the 2-D segments, from the saved tables."""
+    nodes, routers = _nodes(spark, sf_dir), _routers(spark, sf_dir)
+    return _assign(spark, sf_dir), nodes, routers, router.inner_nodes(nodes, routers)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "unit_points").select("point_id", "x", "y")
 
 
-_SEGMENTS = m.METRICS["segments2d"]
-
-
 @_query()
 def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)[0].select("object_id", "path")
+    """Built anew at each call; the other queries read what was saved."""
+    _nodes(spark, sf_dir, anew=True)
+    return _assign(spark, sf_dir).select("object_id", "path")
 
 
 @_query()
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.tree_leaves(_tree(spark, sf_dir)[1])
+    return tree.tree_leaves(_nodes(spark, sf_dir))
 
 
 @_query()
 def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.tree_stats(_tree(spark, sf_dir)[1])
+    return tree.tree_stats(_nodes(spark, sf_dir))
 
 
 @_query()
 def save_load_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved, loaded, and the objects assigned again from the root."""
-    assign, nodes, _, _ = _tree(spark, sf_dir)
+    assign, nodes = _assign(spark, sf_dir), _nodes(spark, sf_dir)
     path = _fresh(spark, "saved")
     tree.save_tree(assign, nodes, path)
     again, _ = tree.load_tree(spark, path, fixture(spark, sf_dir, "segments2d"), _SEGMENTS)
@@ -867,18 +972,17 @@ def save_load_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def label_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tree(spark, sf_dir)
-    return _built[(spark.sparkContext.applicationId, sf_dir, "labelled")][0].select("path", "grid_id", "label")
+    return _labelled_border(spark, sf_dir, anew=True).select("path", "grid_id", "label")
 
 
 @_query()
 def fit_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)[2].select("path", F.size("weights").cast("long").alias("n_weights"), F.round("accuracy", 4).alias("accuracy"))
+    return _routers(spark, sf_dir, anew=True).select("path", F.size("weights").cast("long").alias("n_weights"), F.round("accuracy", 4).alias("accuracy"))
 
 
 @_query()
 def router_training_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy.router_training_accuracy(_tree(spark, sf_dir)[2])
+    return accuracy.router_training_accuracy(_routers(spark, sf_dir))
 
 
 @_query()
@@ -908,6 +1012,18 @@ def route_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.route_greedy(_points(spark, sf_dir), _tree(spark, sf_dir)[3], 2).select("point_id", F.element_at("visited", -1).alias("path"))
 
 
+@_query()
+def route_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as a stream of files; the routes are those of the batch."""
+    from orbitree.streaming.routing import route_stream as route
+
+    source, out = _fresh(spark, "stream"), _fresh(spark, "routes")
+    points = _points(spark, sf_dir)
+    points.repartition(4).write.parquet(source)
+    route(spark.readStream.schema(points.schema).parquet(source), _tree(spark, sf_dir)[3], 2, out, _fresh(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).select("point_id", F.element_at("visited", -1).alias("path"))
+
+
 @_query()
 def query_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     assign, _, _, table = _tree(spark, sf_dir)
@@ -948,7 +1064,7 @@ def query_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def exact_voronoi_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.exact_voronoi_cells(fixture(spark, sf_dir, "segments2d"), _points(spark, sf_dir), _SEGMENTS, _tree(spark, sf_dir)[0])
+    return grids.exact_voronoi_cells(fixture(spark, sf_dir, "segments2d"), _points(spark, sf_dir), _SEGMENTS, _assign(spark, sf_dir))
 
 
 @_query()
@@ -969,14 +1085,14 @@ def _layers(spark: SparkSession, sf_dir: str, points: DataFrame, k: int) -> tupl
 
 @_query()
 def layer_accuracy_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _tree(spark, sf_dir)[1].where("path = '0'")
+    nodes = _nodes(spark, sf_dir).where("path = '0'")
     spots = grids.random_points(nodes, 300, 4, 2).select("point_id", *(F.get("p", F.lit(i)).alias(a) for i, a in enumerate("xy")))
     return accuracy.layer_accuracy(*_layers(spark, sf_dir, spots, 1))
 
 
 @_query()
 def layer_accuracy_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _tree(spark, sf_dir)[1].where("path = '0'")
+    nodes = _nodes(spark, sf_dir).where("path = '0'")
     spots = grids.lattice(nodes, 22, 2, last_fastest=True).select(c("grid_id").alias("point_id"), *(F.get("p", F.lit(i)).alias(a) for i, a in enumerate("xy")))
     return accuracy.layer_accuracy(*_layers(spark, sf_dir, spots, 3))
 

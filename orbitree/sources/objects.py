@@ -40,22 +40,40 @@ def read_npy(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Raw .npy matrices, one object per row; the object id is the row number in its file.
 
     Files are read whole, one at a time per task; pickled arrays are refused."""
+    return unpack_npy(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), kind)
+
+
+def unpack_npy(files: DataFrame, kind: str) -> DataFrame:
+    """Objects of (file, content) rows, each content a .npy matrix."""
     names = [part.split()[0] for part in SCHEMAS[kind].split(", ")][1:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf.path, pdf.content):
+            for name, content in zip(pdf.file, pdf.content):
                 rows = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
                 out = pd.DataFrame(rows[:, : len(names)], columns=names[: rows.shape[1]])
                 for missing in names[rows.shape[1] :]:
                     out[missing] = 0.0
                 yield out.assign(object_id=np.arange(len(out)), file=name)[["file", "object_id", *names]]
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    df = files.mapInPandas(run, f"file string, {SCHEMAS[kind]}")
+    df = files.select("file", "content").mapInPandas(run, f"file string, {SCHEMAS[kind]}")
     return deg2rad_last(df, _DEGREES[kind]) if kind in _DEGREES else df
 
 
+def pack_npy(df: DataFrame, kind: str, rows: int = 1_000_000) -> DataFrame:
+    """(file, content): objects in id order as .npy matrices of ``rows`` rows, named part-0.npy and so
+    on; one task holds one matrix."""
+    names = [part.split()[0] for part in SCHEMAS[kind].split(", ")][1:]
+    placed = ranked(df.select("object_id", *names)).withColumn("part", F.floor((F.col("rank") - 1) / F.lit(rows)))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        body = io.BytesIO()
+        np.save(body, pdf.sort_values("rank")[names].to_numpy(dtype=float), allow_pickle=False)
+        return pd.DataFrame({"file": [f"part-{key[0]}.npy"], "content": [body.getvalue()]})
+
+    return placed.groupBy("part").applyInPandas(pack, "file string, content binary")
+
+
 def write_prefix_snapshots(kept: DataFrame, path: str, sizes: tuple[int, ...] = (1000, 5000, 10000, 25000, 35000, 45000, 50000)) -> DataFrame:
     """Write the ranked objects, partitioned by the smallest snapshot that holds them."""
     snap = F.lit(None).cast("int")

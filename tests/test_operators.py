@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbitree.functions.metrics import METRICS
+from orbitree.functions.metrics import METRICS, Metric, linf_kernel, metric_of
 from orbitree.operators import accuracy, grids, kmeans, neighbors, overlap, router, tree
 from orbitree.operators.overlap import square_boxes
 
@@ -128,7 +128,7 @@ def test_tree_and_routing(spark, tmp_path):
     held = router.prefixes(assign, metric).where(F.length("node") > 1)
     children = held.select("object_id", *metric.columns, F.expr("substring(node, 1, length(node) - 1)").alias("path"), F.expr("substring(node, length(node), 1)").alias("label"))
     labelled = router.label_uncertainty(border, children, metric).join(inner.select("path", F.size("centroids").alias("children")), "path")
-    routers = router.fit_router(labelled, epochs=60)
+    routers = router.fit_router(labelled, 24, 2, 60, 0.02)
     assert all(r.accuracy > 0.5 for r in routers.collect())
     table, points = router.inner_nodes(nodes, routers), _points(spark, 40, wide=0.0)
     exact = {r.point_id: r.object_id for r in neighbors.nearest_neighbor(objects, points, metric).collect()}
@@ -152,3 +152,58 @@ def test_collapsed_node_stays_a_leaf(spark):
     same = spark.createDataFrame([(i, 0.5, 0.5, 0.0, 0.0) for i in range(30)], SEGMENT)
     assign, nodes = tree.build_tree(same, METRICS["segments2d"], 10, 3, 2)
     assert [(r.path, r.is_leaf, r.n) for r in nodes.collect()] == [("0", True, 30)] and assign.count() == 30
+
+
+SQUARE = "object_id long, x0 double, y0 double, size double, theta double"
+
+
+def test_one_large_object_adds_a_pair_a_point(spark):
+    draw, metric = random.Random(6), METRICS["squares"]
+    rows = [(i, draw.uniform(0, 100), draw.uniform(0, 100), 1.0, 0.3) for i in range(2000)]
+    points = spark.createDataFrame([(i, draw.uniform(-50, 150), draw.uniform(0, 100)) for i in range(300)], "point_id long, x double, y double")
+    counts = []
+    for more in ([], [(9000, 50.0, 50.0, 100.0, 0.0)]):
+        objects = spark.createDataFrame(rows + more, SQUARE)
+        counts.append(neighbors.candidates(objects, points, metric, 1).count())
+        got = {r.point_id: [r.object_id] for r in neighbors.nearest_neighbor(objects, points, metric).collect()}
+        assert got == _brute(objects, points, metric, 1)
+    assert counts[0] < 300 * 60 and counts[1] <= counts[0] + 600
+
+
+def test_overlaps_of_very_different_sizes(spark):
+    draw = random.Random(7)
+    rows = [(i, draw.uniform(0, 60), draw.uniform(0, 60), draw.choice([0.0, 0.01, 0.3, 1.0, 2.0, 5.0]), 0.0) for i in range(300)] + [(900, 30.0, 30.0, 64.0, 0.0), (901, 10.0, 10.0, None, 0.0)]
+    hit = lambda a, b: abs(a[1] - b[1]) <= (a[3] + b[3]) / 2 and abs(a[2] - b[2]) <= (a[3] + b[3]) / 2
+    pairs = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and hit(a, b)}
+    found = [(r.a, r.b) for r in overlap.overlap_join(spark.createDataFrame(rows, SQUARE), square_boxes).collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+
+
+def test_a_plain_function_and_many_dimensions(spark):
+    objects, points, metric = _segments(spark, 90), _points(spark, 25), METRICS["segments2d"]
+
+    def distance(o, p):
+        a, d = o[:2], o[2] * np.array([np.cos(o[3]), np.sin(o[3])])
+        t = np.clip((p - a) @ d / (d @ d), 0, 1)
+        return float(np.hypot(*(p - a - t * d)))
+
+    mine = metric_of("mine", metric.columns, 2, distance, centre=metric.centre)
+    nearest = lambda m: {(r.point_id, r.rank): r.object_id for r in neighbors.knn(objects, points, m, 3).collect()}
+    assert nearest(mine) == nearest(metric)
+    labels = lambda m: {r.object_id: r.label for r in kmeans.assign_nearest_centroid(objects.withColumn("path", F.lit("0")), kmeans.centroid_table(objects, {"0": [[0.2, 0.2], [0.8, 0.1]]}), m, 2).collect()}
+    assert labels(mine) == labels(metric)
+
+    draw = random.Random(8)
+    vectors = [(i, [draw.random() for _ in range(20)]) for i in range(120)]
+    near = neighbors.knn(spark.createDataFrame(vectors, "object_id long, v array<double>"), spark.createDataFrame(vectors[:30] + [(500, None)], "point_id long, p array<double>"), Metric("v", ("v",), 20, kernel=linf_kernel("v")), 2)
+    want = {(i, r): o for i, v in vectors[:30] for r, (_, o) in enumerate(sorted((max(abs(a - b) for a, b in zip(v, w)), j) for j, w in vectors)[:2], 1)}
+    assert {(r.point_id, r.rank): r.object_id for r in near.collect()} == want
+
+
+def test_more_than_ten_children(spark):
+    objects, metric = _segments(spark, 200), METRICS["segments2d"]
+    assign, nodes = tree.build_tree(objects, metric, 30, 14, 2)
+    assert assign.count() == 200 and nodes.where("is_leaf and n > 30").isEmpty()
+    assert nodes.where("path rlike '[a-d]$'").count() > 0
+    again = tree.assign_by_centroids(objects, nodes, metric)
+    assert {(r.object_id, r.path) for r in again.collect()} == {(r.object_id, r.path) for r in assign.collect()}
