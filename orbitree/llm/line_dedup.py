@@ -141,7 +141,7 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that lose all their lines with a word are left out if ``drop_emptied``; documents that came
     empty or null stay as they are."""
     spans = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left")
+    joined = docs.join(spans.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left")  # the same plan at every size
     hit = F.col("_spans").isNotNull()
     out = joined.withColumn(text_col, F.when(hit, F.array_join(_kept_lines(F.col(text_col)), "\n")).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
@@ -155,7 +155,7 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_lines, n_removed, kept_md5), one row per input row; a null text has no lines
     and counts as empty."""
     spans = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(spans, F.col("doc_id") == F.col("_id"), "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(spans.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     gone = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     kept = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(_kept_lines(F.col("text")), "\n"))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.md5(F.coalesce(kept, F.lit(""))).alias("kept_md5"))

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = shared.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("a"))
     star = shared.join(centre, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")  # the same plan at every size
     texts = source.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if has_repeats(described, "doc_id") else source.join(wanted, "doc_id")
     texts = materialize(texts.select("doc_id", "text"), "texts")
     tested = materialize(_compare(star, texts, shingle), "star")
