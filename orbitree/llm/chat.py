@@ -3,7 +3,8 @@
 A logged conversation that is a prefix of a longer one is a snapshot of it. Every turn gets a
 rolling hash of the turns up to it; a conversation whose last hash is an inner prefix hash of
 another one goes (anti-join), and of equal conversations the smallest id stays. The rest is
-rendered with chat markers.
+rendered with chat markers. A conversation's turns are one row and are never cut; a task needs
+memory in proportion to its longest conversation.
 """
 
 from __future__ import annotations

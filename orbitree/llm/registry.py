@@ -21,43 +21,53 @@ from orbitree.llm.shared import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated line runs of every document: lines, lines removed and a digest of the rest."""
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts by kind, digest of the base spans, all spans."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a model trained on a bounded sample of the pages."""
     pages = table(spark, sf_dir, "pages")
     return extract_text(pages, train_on(pages))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated words of every document by windows of 50 words, and a digest of the rest."""
     return repeated_phrases(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mix under the standard weights, with their copies."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
     return license_report(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of benchmark items in all documents."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality columns and verdict of every document."""
     return quality(table(spark, sf_dir, "documents"))
 
 

@@ -41,6 +41,10 @@ def test_chat_matches_sql(spark):
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     assert _same(format_chats(turns).collect(), con.execute(CHAT_SQL))
     assert format_chats(turns.limit(0)).count() == 0
+    named = turns.selectExpr("*", "'x' AS hash", "1 AS n_equal", "'y' AS turns", "role AS hashes")
+    assert sorted(map(str, format_chats(named).collect())) == sorted(map(str, format_chats(turns).collect()))
+    long = spark.createDataFrame([(1, 0, "user", "z" * 1_000_000), (2, 0, "user", "z" * 1_000_000), (2, 1, "assistant", "ok")], turns.schema)
+    assert [(r.conv_id, r.n_chars) for r in format_chats(long).collect()] == [(2, 1_000_000 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"))]
 
 
 # secrets
