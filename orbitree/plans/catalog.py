@@ -112,6 +112,20 @@ def _uniform_sql(key: str, seed: int) -> str:
     return f"((({key} % 1000003 * 48271 + {seed * 69621 + 12345}) % 2147483647 * 16807 % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647.0 AS DOUBLE))"
 
 
+def _ellipse_sql(rel: str, keep: str) -> str:
+    """(keep, d): distances of the rows (a, b, h, k, x, y) of a relation, by bisection on the foot
+    point's parameter."""
+    outside = "(long_ * u / (m + long_ * long_)) ** 2 + (short_ * v / (m + short_ * short_)) ** 2 > 1"
+    halved = f"lambda acc, e: list_transform([(acc.lo + acc.hi) / 2], lambda m: CASE WHEN {outside} THEN {{'lo': m, 'hi': acc.hi}} ELSE {{'lo': acc.lo, 'hi': m}} END)[1]"
+    steps = "list_transform(range(80), lambda i: {'lo': CAST(0 AS DOUBLE), 'hi': CAST(0 AS DOUBLE)})"
+    first = "{'lo': short_ * v - short_ * short_, 'hi': sqrt((long_ * u) ** 2 + (short_ * v) ** 2) - short_ * short_}"
+    foot = "CASE WHEN v = 0 AND long_ * u < long_ * long_ - short_ * short_ THEN long_ * long_ * u / (long_ * long_ - short_ * short_) WHEN v = 0 THEN long_ ELSE long_ * long_ * u / (t + long_ * long_) END"
+    return f"""(SELECT {keep}, sqrt((px - u) ** 2 + (CASE WHEN v = 0 THEN short_ * sqrt(greatest(least(1 - (px / long_) ** 2, 1), 0)) ELSE py END - v) ** 2) AS d FROM (
+  SELECT *, least(greatest({foot}, 0), long_) AS px, CASE WHEN v = 0 THEN 0 ELSE short_ * short_ * v / (t + short_ * short_) END AS py FROM (
+  SELECT *, (s.lo + s.hi) / 2 AS t FROM (SELECT *, list_reduce({steps}, {halved}, {first}) AS s FROM (
+  SELECT *, greatest(a, b) AS long_, least(a, b) AS short_, CASE WHEN a >= b THEN abs(x - h) ELSE abs(y - k) END AS u, CASE WHEN a >= b THEN abs(y - k) ELSE abs(x - h) END AS v FROM {rel})))))"""
+
+
 # --- sources -------------------------------------------------------------------------------
 
 
@@ -395,7 +409,24 @@ def aabb_overlap_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _next_cuboids(spark, sf_dir).select("object_id", hit.alias("hit"))
 
 
-@_query()
+def _bend_sql(p_: str, q_: str, r_: str) -> str:
+    return f"sign(({q_}y - {p_}y) * ({r_}x - {q_}x) - ({q_}x - {p_}x) * ({r_}y - {q_}y))"
+
+
+def _within_sql(p_: str, q_: str, r_: str) -> str:
+    return f"({q_}x BETWEEN least({p_}x, {r_}x) AND greatest({p_}x, {r_}x) AND {q_}y BETWEEN least({p_}y, {r_}y) AND greatest({p_}y, {r_}y))"
+
+
+_BENDS = [_bend_sql("a.p", "a.q", "b.p"), _bend_sql("a.p", "a.q", "b.q"), _bend_sql("b.p", "b.q", "a.p"), _bend_sql("b.p", "b.q", "a.q")]
+_SHADOW = f"({_BENDS[0]} <> {_BENDS[1]} AND {_BENDS[2]} <> {_BENDS[3]}) OR ({_BENDS[0]} = 0 AND {_within_sql('a.p', 'b.p', 'a.q')}) OR ({_BENDS[1]} = 0 AND {_within_sql('a.p', 'b.q', 'a.q')}) OR ({_BENDS[2]} = 0 AND {_within_sql('b.p', 'a.p', 'b.q')}) OR ({_BENDS[3]} = 0 AND {_within_sql('b.p', 'a.q', 'b.q')})"
+
+
+@_query(
+    f"""{_CUBE_NEXT}, s AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b, _) in enumerate(_SIGNS))}) AS s(i, sx, sy)),
+va AS (SELECT object_id, i, x0 + sx * w / 2 AS x, y0 + sy * h / 2 AS y FROM q, s), vb AS (SELECT object_id, i, mx + sx * bw / 2 AS x, my + sy * bh / 2 AS y FROM q, s),
+la AS (SELECT f.object_id, f.x AS px, f.y AS py, g.x AS qx, g.y AS qy FROM va f JOIN va g ON f.object_id = g.object_id AND f.i < g.i), lb AS (SELECT f.object_id, f.x AS px, f.y AS py, g.x AS qx, g.y AS qy FROM vb f JOIN vb g ON f.object_id = g.object_id AND f.i < g.i)
+SELECT a.object_id, bool_or({_SHADOW}) AS hit FROM la a JOIN lb b ON a.object_id = b.object_id GROUP BY a.object_id"""
+)
 def cuboids_edge_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _next_cuboids(spark, sf_dir)
     rows = rows.withColumn("va", g.cuboid_vertices(*(c(x) for x in ("x0", "y0", "z0", "w", "h", "d")))).withColumn("vb", g.cuboid_vertices(*(c(x) for x in ("bx", "by", "bz", "bw", "bh", "bd"))))
@@ -483,7 +514,7 @@ def linf_cuboid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir, "cuboids", "points3d").select("object_id", "point_id", _r(m.linf_cuboid(*args), 9).alias("dist"), _r(m.linf_cuboid_exact(*args), 9).alias("exact"))
 
 
-@_query()
+@_query(f"{with_sql('points2d', 'ellipses')}, {_ids_sql('ellipses', 'points2d')}, pairs AS (SELECT * FROM ids JOIN points2d USING (point_id) JOIN ellipses USING (object_id)) SELECT point_id, object_id, round(d, 6) AS dist FROM {_ellipse_sql('pairs', 'point_id, object_id')}")
 def ellipse_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir, "ellipses").select("point_id", "object_id", _r(m.ellipse_dist(*(c(x) for x in ("a", "b", "h", "k", "x", "y")))).alias("dist"))
 
@@ -619,7 +650,12 @@ def nearest_cuboid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
 
 
-@_query()
+@_query(
+    f"""{with_sql('ellipses', 'points2d')}, e_ AS MATERIALIZED (SELECT * FROM ellipses), p_ AS MATERIALIZED (SELECT * FROM points2d),
+most AS (SELECT point_id, min(sqrt((h + a - x) ** 2 + (k - y) ** 2)) + 0.00000001 AS most FROM p_, e_ GROUP BY point_id),
+near AS MATERIALIZED (SELECT point_id, object_id, a, b, h, k, x, y FROM p_ JOIN most USING (point_id), e_ WHERE greatest(abs(x - h) - a, abs(y - k) - b) <= most)
+SELECT point_id, arg_min(object_id, (round(d, 9), object_id)) AS object_id, round(min(d), 6) AS dist FROM {_ellipse_sql('near', 'point_id, object_id')} GROUP BY point_id"""
+)
 def nearest_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_neighbor(fixture(spark, sf_dir, "ellipses"), fixture(spark, sf_dir, "points2d"), m.METRICS["ellipses"])
     return near.select("point_id", "object_id", _r(c("dist")).alias("dist"))
@@ -715,7 +751,11 @@ def _updated(rows: DataFrame, axes: str = "xy") -> DataFrame:
     return rows.select(c("idx").cast("long").alias("label"), *(_r(F.get("c", F.lit(i))).alias(a) for i, a in enumerate(axes)), "n")
 
 
-@_query()
+@_query(
+    f"""{with_sql('ellipses')}, s AS (SELECT CAST(i AS BIGINT) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES (0, 75.0, 75.0), (1, 225.0, 75.0), (2, 150.0, 225.0)) AS s(i, x, y)), near AS (SELECT * FROM ellipses, s),
+l AS (SELECT object_id, any_value(h) AS h, any_value(k) AS k, arg_min(i, (round(d, 9), i)) AS label FROM {_ellipse_sql('near', 'object_id, h, k, i')} GROUP BY object_id)
+SELECT label, round(avg(h), 6) AS x, round(avg(k), 6) AS y, count(*) AS n FROM l GROUP BY label"""
+)
 def update_centroids_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(kmeans.update_centroids(_labelled(spark, sf_dir, "ellipses"), "ellipses"))
 
