@@ -19,7 +19,7 @@ from orbitree.functions.metrics import Metric
 from orbitree.operators.neighbors import nearest_neighbor
 from orbitree.operators.tree import DIGITS
 
-#: Nodes that routing ships to tasks at most; deeper trees are routed in parts.
+#: Inner nodes that routing ships to tasks at once; ``route_in_parts`` takes larger trees.
 MAX_NODES = 50_000
 
 _ROUTER = "path string, shapes array<int>, weights array<double>, accuracy double, history array<double>"
@@ -119,7 +119,11 @@ def inner_nodes(nodes: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
     """Node table for routing: weights of inner nodes only, refused above MAX_NODES."""
     inner = nodes.where("!is_leaf").select("path", "centroids")
     if inner.count() > MAX_NODES:
-        raise ValueError("too many nodes to ship: route one subtree at a time")
+        raise ValueError("too many nodes to ship at once: see route_in_parts")
+    return _shipped(inner, routers)
+
+
+def _shipped(inner: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
     rows = inner.join(routers.drop("accuracy", "history"), "path", "left") if routers is not None else inner.withColumn("shapes", F.lit(None)).withColumn("weights", F.lit(None))
     return {r.path: Node(np.array(r.centroids, dtype=float), _unpack(list(r.shapes), np.array(r.weights)) if r.shapes else None) for r in rows.collect()}
 
@@ -132,13 +136,18 @@ def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFram
     """(point_id, x, y[, z], visited array<string>): the nodes below the root on the way to a leaf.
 
     Works on a streaming DataFrame as well, for rows don't depend on each other."""
+    return _walk(points.withColumn("visited", F.array().cast("array<string>")), tree, dim)
+
+
+def _walk(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
+    """Points go on from the last node they have visited as far as the table knows the way."""
     axes = ["x", "y", "z"][:dim]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _coordinates(pdf, axes)
-            at = np.array(["0"] * len(pdf), dtype=object)
-            seen: list[list[str]] = [[] for _ in range(len(pdf))]
+            seen = [list(v) for v in pdf.visited]
+            at = np.array([v[-1] if v else "0" for v in seen], dtype=object)
             while True:
                 moved = False
                 for path in sorted(set(at.tolist()) & tree.keys()):
@@ -151,7 +160,27 @@ def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFram
                     break
             yield pdf[["point_id", *axes]].assign(visited=seen)
 
-    return points.select("point_id", *axes).mapInPandas(run, f"point_id long, {', '.join(f'{a} double' for a in axes)}, visited array<string>")
+    return points.select("point_id", *axes, "visited").mapInPandas(run, f"point_id long, {', '.join(f'{a} double' for a in axes)}, visited array<string>")
+
+
+def route_in_parts(points: DataFrame, nodes: DataFrame, routers: DataFrame | None, dim: int, bound: int = MAX_NODES) -> DataFrame:
+    """The routes of ``route_greedy`` for a tree of any size: the upper levels that fit ``bound`` go
+    first, then each level in parts of about ``bound`` nodes by the hash of their path. Each part is one
+    pass over the points."""
+    inner = nodes.where("!is_leaf").select("path", "depth", "centroids")
+    counts = {r.depth: r["count"] for r in inner.groupBy("depth").count().collect()}  # one row a level
+    passes, upper, total = [], -1, 0
+    for depth in sorted(counts):
+        total += counts[depth]
+        if total <= bound:
+            upper = depth
+        else:
+            parts = -(-counts[depth] // bound)
+            passes += [(F.col("depth") == depth) & (F.pmod(F.xxhash64("path"), F.lit(parts)) == i) for i in range(parts)]
+    rows = points.withColumn("visited", F.array().cast("array<string>"))
+    for part in ([F.col("depth") <= upper] if upper >= 0 else []) + passes:
+        rows = _walk(rows, _shipped(inner.where(part).drop("depth"), routers), dim)
+    return rows
 
 
 def score_router(points: DataFrame, tree: dict[str, Node], dim: int, every: bool = False) -> DataFrame:

@@ -134,6 +134,8 @@ def test_tree_and_routing(spark, tmp_path):
     exact = {r.point_id: r.object_id for r in neighbors.nearest_neighbor(objects, points, metric).collect()}
     got = {r.point_id: r.object_id for r in router.query_tree(points, table, assign, metric).collect()}
     assert set(got) == set(exact) and sum(got[i] == exact[i] for i in exact) > len(exact) / len(leaves)
+    routes = {r.point_id: r.visited for r in router.route_greedy(points, table, 2).collect()}
+    assert {r.point_id: r.visited for r in router.route_in_parts(points, nodes, routers, 2, 2).collect()} == routes
     everything = router.route_beam(points, table, 2, 100, 1e9)
     near = router.query_leaf(everything.join(points, "point_id"), assign, metric).groupBy("point_id").agg(F.min(F.struct(F.round("dist", 9), "object_id")).alias("m"))
     assert {r.point_id: r.m.object_id for r in near.collect()} == exact
