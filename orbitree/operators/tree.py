@@ -98,10 +98,10 @@ def assign_by_centroids(objects: DataFrame, nodes: DataFrame, metric: Metric) ->
     cols = ["object_id", *metric.columns]
     inner = nodes.where("!is_leaf").select("path", F.posexplode("centroids").alias("idx", "c"))
     rows = objects.select(*cols, F.lit("0").alias("path"))
-    height = nodes.agg(F.max("depth")).first()[0] or 0
+    height, k = (v or 1 for v in nodes.agg(F.max("depth"), F.max(F.size("centroids"))).first())
     done = None
     for _ in range(height):
         stop = rows.join(inner.select("path").distinct(), "path", "left_anti").select(*cols, "path")
         done = stop if done is None else done.union(stop)
-        rows = materialize(divide(assign_nearest_centroid(rows, inner, metric)).select(*cols, "path"), "walk")
+        rows = materialize(divide(assign_nearest_centroid(rows, inner, metric, k)).select(*cols, "path"), "walk")
     return rows.select(*cols, "path") if done is None else done.union(rows.select(*cols, "path"))
