@@ -11,6 +11,7 @@ from orbitree.llm.decontaminate import contaminated
 from orbitree.llm.html import extract_text, train_on
 from orbitree.llm.licenses import license_report
 from orbitree.llm.line_dedup import line_dedup_report
+from orbitree.llm.merkle import manifest, manifest_sql
 from orbitree.llm.mixing import mix, mix_sql
 from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.oracles import decontamination_sql, line_dedup_sql, near_dedup_sql, phrases_sql, quality_sql
@@ -71,8 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the check of tampered texts."""
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_chat_formatting, op3_secret_scan, op4_html_extraction, op5_near_dedup, op6_substring_dedup, op7_mixing, op8_license_scan, op9_decontamination, op10_quality_rules]
+    found = [op1_line_dedup, op2_chat_formatting, op3_secret_scan, op4_html_extraction, op5_near_dedup, op6_substring_dedup, op7_mixing, op8_license_scan, op9_decontamination, op10_quality_rules, op13_merkle_manifest]
     return {query.__name__: query for query in found}
 
 
@@ -85,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mix_sql(),
         "op9_decontamination": decontamination_sql(),
         "op10_quality_rules": quality_sql(),
+        "op13_merkle_manifest": manifest_sql(),
     }
