@@ -19,6 +19,8 @@ from orbitree.llm.phrases import repeated_phrases
 from orbitree.llm.quality import quality
 from orbitree.llm.secrets import secret_report
 from orbitree.llm.shared import table
+from orbitree.llm.trie import TRIE_SQL, prefix_trie
+from orbitree.llm.urls import judge_urls, listed_by_words, rule_table, url_sql
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +74,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with sums over its subtree."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, rule_table(spark), listed_by_words(pages))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the check of tampered texts."""
     return manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_chat_formatting, op3_secret_scan, op4_html_extraction, op5_near_dedup, op6_substring_dedup, op7_mixing, op8_license_scan, op9_decontamination, op10_quality_rules, op13_merkle_manifest]
+    found = [op1_line_dedup, op2_chat_formatting, op3_secret_scan, op4_html_extraction, op5_near_dedup, op6_substring_dedup, op7_mixing, op8_license_scan, op9_decontamination, op10_quality_rules, op11_prefix_trie, op12_url_filters, op13_merkle_manifest]
     return {query.__name__: query for query in found}
 
 
@@ -91,5 +104,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mix_sql(),
         "op9_decontamination": decontamination_sql(),
         "op10_quality_rules": quality_sql(),
+        "op11_prefix_trie": TRIE_SQL,
+        "op12_url_filters": url_sql(),
         "op13_merkle_manifest": manifest_sql(),
     }
