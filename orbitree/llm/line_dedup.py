@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from orbitree.llm.shared import has_repeats, materialize
+from orbitree.llm.shared import digest_of, has_repeats, materialize, row_keys
 
 MIN_CHARS = 200
 _SPACE = " \t\n\x0b\x0c\r"
@@ -98,15 +98,8 @@ def _later(suffixes: DataFrame, least: DataFrame, k: int) -> DataFrame:
     return mine.join(first, key).where(place > F.col("first")).select("doc_id", "start", (F.col("start") + F.col("m")).alias("end"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Line spans to delete: (doc_id, spans array<struct<start,end>>), documents with any.
-
-    Lines are what "\\n" separates; characters of white space don't count for ``min_chars``. Null
-    ids and null texts take no part. Rows that repeat an id count as one document (the least
-    of their texts). Empty tables give no rows. Other columns are ignored."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    if has_repeats(source, "doc_id"):
-        source = source.groupBy("doc_id").agg(F.min("text").alias("text"))
+def _runs(source: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, spans) of rows (doc_id, text) with unique ids."""
     lines = source.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     suffixes = materialize(lines.select("doc_id", "line", F.length(F.translate("body", _SPACE, "")).cast("long").alias("chars"), F.md5("body").alias("line_id")), "suffixes")
     suffixes, k, blocks = materialize(_ranked(suffixes), "ranked"), 1, []
@@ -130,6 +123,37 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Line spans to delete: (doc_id, digest, spans array<struct<start,end>>), documents with any.
+
+    Lines are what "\\n" separates; characters of white space don't count for ``min_chars``. Null
+    ids and null texts take no part. Where ids repeat, rows with the same id and text are one document
+    and those with another text are documents of their own, in order of (id, MD5 of the text), which
+    ``digest`` names; it is null where ids are unique. Empty tables give no rows. Other columns are ignored."""
+    return _spans(docs, id_col, text_col, min_chars)[0]
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, bool]:
+    """The spans, and whether ids repeat."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    if not has_repeats(source, "doc_id"):
+        return _runs(source, min_chars).select("doc_id", F.lit(None).cast("string").alias("digest"), "spans"), False
+    keys = row_keys(source)
+    one = source.withColumn("digest", digest_of(F.col("text"))).groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    found = _runs(materialize(one.join(keys, ["doc_id", "digest"]).select(F.col("row").alias("doc_id"), "text"), "documents"), min_chars)
+    return keys.join(found.withColumnRenamed("doc_id", "row"), "row").select("doc_id", "digest", "spans"), True
+
+
+def _with_spans(rows: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """The rows with their ``_spans``, null where nothing goes; the same plan at every size."""
+    spans, repeated = _spans(rows, id_col, text_col, min_chars)
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    same = F.col(id_col).cast("long") == F.col("_id")
+    if repeated:
+        same &= digest_of(F.col(text_col)) == F.col("_digest")
+    return rows.join(spans.hint("merge"), same, "left")
+
+
 def _kept_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
 
@@ -140,8 +164,7 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where a text changes, ``chars_col`` (if the table has it) is set to its new length. Documents
     that lose all their lines with a word are left out if ``drop_emptied``; documents that came
     empty or null stay as they are."""
-    spans = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left")  # the same plan at every size
+    joined = _with_spans(docs, id_col, text_col, min_chars)
     hit = F.col("_spans").isNotNull()
     out = joined.withColumn(text_col, F.when(hit, F.array_join(_kept_lines(F.col(text_col)), "\n")).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
@@ -154,8 +177,7 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5), one row per input row; a null text has no lines
     and counts as empty."""
-    spans = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(spans.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text", min_chars)
     gone = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     kept = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(_kept_lines(F.col("text")), "\n"))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.md5(F.coalesce(kept, F.lit(""))).alias("kept_md5"))

@@ -9,12 +9,10 @@ level, however large a group is.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitree.llm.shared import materialize
+from orbitree.llm.shared import materialize, numbered
 
 FANOUT = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -31,22 +29,6 @@ def leaf_digest(fields: list[Column]) -> Column:
     return sha(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)))
 
 
-def numbered(rows: DataFrame, order: list[str], slice_rows: int = 1_000_000) -> DataFrame:
-    """Adds idx (0-based, by ``order`` inside each group g) and cnt (rows of the group), without one
-    window over a group: rows are cut into sorted slices, slices are counted, then rows inside them.
-    Rows that tie in every column are dealt over several slices; they are alike, so their order is free."""
-    spark = rows.sparkSession
-    n = rows.count()
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // slice_rows + 1)
-    spread = rows.withColumn("tie", F.monotonically_increasing_id())
-    cut = materialize(spread.repartitionByRange(slices, "g", *(F.col(c).asc_nulls_first() for c in order), "tie").withColumn("slice", F.spark_partition_id()), "slices")
-    counts = cut.groupBy("g", "slice").agg(F.count("*").alias("n"))
-    by_group = Window.partitionBy("g")
-    base = counts.select("g", "slice", (F.sum("n").over(by_group.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"), F.sum("n").over(by_group).alias("cnt"))
-    inside = F.row_number().over(Window.partitionBy("g", "slice").orderBy(*(F.col(c).asc_nulls_first() for c in order), "tie"))
-    return cut.withColumn("inside", inside).join(base, ["g", "slice"]).withColumn("idx", F.col("base") + F.col("inside") - 1).drop("slice", "tie", "inside", "base")
-
-
 def _height(most: int) -> int:
     levels = 0
     while most > 1:

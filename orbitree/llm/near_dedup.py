@@ -146,10 +146,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A-Z count as lower case; words are runs of characters other than space and U+0009..U+000D.
     A text of fewer words than a shingle is one shingle; a null text, or one without words, has
-    no shingle, is linked with nothing and is kept. Repeated ids give repeated rows. A null id
+    no shingle, is linked with nothing and is kept. Rows that repeat an id are compared each by its own
+    text; a row is kept if its id is the smallest of its component. A null id
     names nothing: its row is linked with nothing, has a null component and is kept. Other
     columns are ignored, so their names don't matter."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not has_repeats(source, "doc_id"):
+        found = _classes(source, threshold, shingle, bands, rows)
+    else:
+        keyed = materialize(_with_rows(source, "doc_id"), "keyed")
+        found = _named(_classes(keyed.select(F.col("_row").alias("doc_id"), "text"), threshold, shingle, bands, rows), keyed)
+        found = found.select(F.col("first.doc_id").alias("component_id"), "doc_id", "n_shingles").unionByName(_nameless(keyed, shingle, bands, rows))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _with_rows(rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows with a number of their own where they have an id; to be written before use."""
+    return rows.withColumn("_row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id()))
+
+
+def _named(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Classes of numbered rows with each row's id, and ``first``, the least (doc_id, row) of its component."""
+    rows = materialize(found.where("doc_id is not null").withColumnRenamed("doc_id", "_row").join(keyed.where("_row is not null").select("_row", "doc_id"), "_row"), "classes")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", F.col("_row").alias("row"))).alias("first"))
+    return rows.join(first, "component_id")
+
+
+def _nameless(keyed: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """Rows without an id."""
+    alone = keyed.where("doc_id is null").select("doc_id", "text").mapInArrow(_describe(shingle, bands, rows), _SIGNATURES)
+    return alone.select(F.col("doc_id").alias("component_id"), "doc_id", "n_shingles")
+
+
+def _classes(source: DataFrame, threshold: int, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, text) whose ids are unique or null."""
     described = materialize(source.mapInArrow(_describe(shingle, bands, rows), _SIGNATURES), "signatures")
     sized = described.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(sized.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("key1", "key2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
@@ -162,8 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = shared.join(centre, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")  # the same plan at every size
-    texts = source.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if has_repeats(described, "doc_id") else source.join(wanted, "doc_id")
-    texts = materialize(texts.select("doc_id", "text"), "texts")
+    texts = materialize(source.join(wanted, "doc_id").select("doc_id", "text"), "texts")
     tested = materialize(_compare(star, texts, shingle), "star")
     linked = f"100 * shared >= {threshold} * (size_a + size_b - shared)"
     links = tested.where(linked).select("a", "b")
@@ -176,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = described.join(classes.drop("bands"), ["key1", "key2", "n_shingles"], "left").where("n_shingles > 0 and doc_id is not null")
     found = members.join(parts, members.rep == parts.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = described.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.union(alone)
 
 
 def _rest_pairs(tested: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
@@ -209,14 +238,21 @@ def _rest_pairs(tested: DataFrame, parts: DataFrame, threshold: int) -> DataFram
     return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, **how) -> DataFrame:
-    """The documents with the smallest id of each near-duplicate group, all columns as they came.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest id, all columns as they came.
 
-    Rows that repeat an id count as one document, of which one row stays; rows with a null id
-    or without words all stay."""
-    kept = near_duplicates(docs, id_col, text_col, threshold, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    Rows that repeat an id are compared each by its own text, so an id stays with every text that is
+    no near copy of another one. Rows with a null id or without words all stay."""
+    ids = F.col(id_col).cast("long")
+    how = (threshold, shingle, bands, rows)
     nameless = docs.where(F.col(id_col).isNull())
     named = docs.where(F.col(id_col).isNotNull())
-    if has_repeats(named, id_col):
-        named = named.dropDuplicates([id_col])
-    return named.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").unionByName(nameless)
+    if not has_repeats(named, id_col):
+        found = _classes(named.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text")), *how)
+        kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+        return named.join(kept, ids == F.col("_kept"), "left_semi").unionByName(nameless)
+    keyed = materialize(_with_rows(named, id_col), "keyed")
+    own = keyed.select("_row", ids.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _named(_classes(own.select(F.col("_row").alias("doc_id"), "text"), *how), own)
+    kept = found.where("_row = first.row").select(F.col("_row").alias("_kept"))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(nameless)

@@ -61,7 +61,8 @@ def keep_quality_sql(rel: str) -> str:
 
 def _lines(rel: str, min_chars: int) -> str:
     """CTEs: ``gone`` (doc_id, lines) by the least blocks of lines that hold ``min_chars``."""
-    return f"""src AS MATERIALIZED (SELECT doc_id, string_split(min(text), chr(10)) AS ls FROM {rel} WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+    return f"""named AS MATERIALIZED (SELECT doc_id AS id, text AS body, row_number() OVER (ORDER BY doc_id, md5(text)) AS doc_id FROM (SELECT DISTINCT doc_id, text FROM {rel} WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+    src AS MATERIALIZED (SELECT doc_id, string_split(body, chr(10)) AS ls FROM named),
     sized AS (SELECT doc_id, line, length({_bare('ls[line + 1]')}) AS chars FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS line FROM src)),
     summed AS (SELECT doc_id, line, chars, sum(chars) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM sized),
     bounds AS MATERIALIZED (SELECT doc_id, line, upto - chars AS before FROM summed UNION ALL SELECT doc_id, max(line) + 1, max(upto) FROM summed GROUP BY doc_id),
@@ -70,7 +71,7 @@ def _lines(rel: str, min_chars: int) -> str:
         UNION SELECT b.doc_id, s.most, b.line FROM (SELECT *, before - {min_chars} AS want FROM bounds) b ASOF JOIN steps s ON b.doc_id = s.doc_id AND b.want >= s.before),
     keyed AS (SELECT doc_id, start, stop, md5(array_to_string(ls[start + 1:stop], chr(10))) AS k FROM blocks JOIN src USING (doc_id)),
     later AS (SELECT doc_id, start, stop FROM keyed QUALIFY row_number() OVER (PARTITION BY k, stop - start ORDER BY doc_id, start) > 1),
-    gone AS MATERIALIZED (SELECT doc_id, list(DISTINCT line) AS gone FROM (SELECT doc_id, unnest(range(start, stop)) AS line FROM later) GROUP BY doc_id)"""
+    gone AS MATERIALIZED (SELECT id, body, list(DISTINCT line) AS gone FROM (SELECT doc_id, unnest(range(start, stop)) AS line FROM later) JOIN named USING (doc_id) GROUP BY id, body)"""
 
 
 _LEFT = "CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END"
@@ -78,12 +79,12 @@ _LEFT = "CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(strin
 
 def line_dedup_sql(rel: str = "documents", min_chars: int = line_dedup.MIN_CHARS) -> str:
     return f"""WITH {_lines(rel, min_chars)} SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
-    CAST(COALESCE(len(gone), 0) AS BIGINT) AS n_removed, md5(COALESCE({_LEFT}, '')) AS kept_md5 FROM {rel} LEFT JOIN gone USING (doc_id)"""
+    CAST(COALESCE(len(gone), 0) AS BIGINT) AS n_removed, md5(COALESCE({_LEFT}, '')) AS kept_md5 FROM {rel} LEFT JOIN gone ON id = doc_id AND body = text"""
 
 
 def delete_lines_sql(rel: str, min_chars: int = line_dedup.MIN_CHARS) -> str:
-    return f"""WITH {_lines(rel, min_chars)}, cut AS (SELECT doc_id, gone IS NOT NULL AS hit, {_LEFT} AS kept_text FROM {rel} LEFT JOIN gone USING (doc_id))
-    SELECT s.* REPLACE (CASE WHEN hit THEN kept_text ELSE s.text END AS text, CASE WHEN hit THEN length(kept_text) ELSE s.n_chars END AS n_chars) FROM {rel} s JOIN cut USING (doc_id) WHERE NOT hit OR {_bare('kept_text')} <> ''"""
+    return f"""WITH {_lines(rel, min_chars)}, cut AS (SELECT DISTINCT doc_id, text AS body, gone IS NOT NULL AS hit, {_LEFT} AS kept_text FROM {rel} LEFT JOIN gone ON id = doc_id AND body = text)
+    SELECT s.* REPLACE (CASE WHEN hit THEN kept_text ELSE s.text END AS text, CASE WHEN hit THEN length(kept_text) ELSE s.n_chars END AS n_chars) FROM {rel} s JOIN cut ON s.doc_id IS NOT DISTINCT FROM cut.doc_id AND s.text IS NOT DISTINCT FROM cut.body WHERE NOT hit OR {_bare('kept_text')} <> ''"""
 
 
 # --- near duplicates -------------------------------------------------------------------------

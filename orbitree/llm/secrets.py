@@ -153,8 +153,8 @@ def _of_kind(kind: str) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) from ``find_secrets``."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy) from ``find_secrets``."""
     found = find_secrets(docs, id_col, text_col)
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts[:3], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), counts[3])

@@ -66,3 +66,15 @@ def test_runs_of_every_length_go_whole(spark):
         spans = {r.doc_id: {n for s in r.spans for n in range(s.start, s.end)} for r in repeated_lines(docs, min_chars=min_chars).collect()}
         assert spans == brute_all(rows, min_chars)
     assert spans[6] >= {1, 2, 3} and len(spans[7]) >= 7 and spans[8] >= {1, 2, 3}
+
+
+def test_rows_that_share_an_id(spark):
+    run = [f"line {i} of a run that repeats " + "z" * 40 for i in range(6)]
+    unique = [f"only here {i} " + "u" * 60 for i in range(6)]
+    rows = [(1, "\n".join(run), "a"), (5, "\n".join([*run, "mine"]), "b"), (5, "\n".join(unique), "c"), (5, "\n".join(unique), "d"), (6, "\n".join([*unique, "end"]), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    out = {r.digest: r.text for r in delete_repeated_lines(docs).collect()}
+    assert out == {"a": rows[0][1], "b": "mine", "c": rows[2][1], "d": rows[2][1], "e": "end"}
+    many = [(7, "\n".join([f"head {i}", *run]), str(i)) for i in range(40)]
+    left = delete_repeated_lines(spark.createDataFrame(many, "doc_id long, text string, digest string")).collect()
+    assert sorted(len(r.text.split("\n")) for r in left) == [1] * 39 + [7]

@@ -6,7 +6,8 @@ import hashlib
 import random
 import zlib
 
-from orbitree.llm.merkle import fold_up, manifest, numbered
+from orbitree.llm.merkle import fold_up, manifest
+from orbitree.llm.shared import numbered
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

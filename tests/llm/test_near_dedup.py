@@ -69,3 +69,17 @@ def test_partitioning_does_not_matter(spark):
     docs = spark.createDataFrame(_corpus(), "doc_id long, text string")
     one, many = (near_duplicates(docs.repartition(n)).orderBy(F.col("doc_id")).collect() for n in (1, 9))
     assert one == many
+
+
+def test_rows_that_share_an_id(spark):
+    draw = random.Random(9)
+    text = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    one, other, third = text(200), text(200), text(200)
+    rows = [(1, " ".join(one), "a"), (1, " ".join(other), "b"), (2, " ".join([*one[:-1], "x"]), "c"), (3, " ".join([*other[:-1], "y"]), "d"), (3, " ".join(third), "e"), (3, " ".join(third), "f"), (None, " ".join(one), "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(docs).collect())
+    assert got == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False), ("3", "3", True), ("3", "3", True), ("None", "None", True)]
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    names = sorted(r.name for r in kept.collect())
+    assert names[:2] == ["a", "b"] and len(names) == 4 and names[2] in "ef" and names[3] == "g"

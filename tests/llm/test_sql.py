@@ -15,7 +15,7 @@ from orbitree.llm.near_dedup import near_duplicates
 from orbitree.llm.quality import quality
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "conversations")
+TABLES = ("documents", "benchmark", "conversations", "pages")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
