@@ -1,18 +1,20 @@
 """Nearest-neighbour joins between objects and points.
 
-Exact, and without comparing all pairs: a search down a pyramid of grid cells, for all points at
-once, one join a level.
+Exact, and without comparing all pairs: a search down a space tree that follows the density of the
+objects, for all points at once, one join a level.
 
-1. Every object lives in one cell: the cell of its box's centre at the level whose cells are about
-   as wide as the object, or at the finest level if it is smaller. So one large object
-   doesn't change where the others live.
+1. Objects of about one size make a tree of their own, so a large object doesn't widen the cells of
+   small ones. A cell that holds more than a bound of objects is cut at quantiles of its own
+   objects' centres, so far or clustered objects change the cuts but not the depth. Cells of few
+   thousand objects are finished by halving in one task each (see ``_leaves``).
 2. A cell's row knows the box around all its objects and the box around their anchors. A metric is
    never less than the Chebyshev distance to an object's box, and never more than the Euclidean
    distance to its anchor, so the two boxes bound the distances to a cell's objects from below
    and, if the cell holds k of them, the k-th distance from above.
-3. Points start at the root. At each level, cells that can't hold one of the k nearest are dropped;
-   what lives in the cells that are left is compared.
-4. The distance orders by (distance rounded to 9 digits, object id).
+3. Points start at the roots. At each level, cells that can't hold one of the k nearest are dropped;
+   what lives in the leaves that are left is compared.
+4. The distance orders by (distance rounded to 9 digits, object id). Of objects that are alike in all
+   columns only the k smallest ids can be among the nearest, so the others of a cell that no cut divides are left out.
 
 A metric without such bounds, or in more than ``GRID_DIM`` dimensions, is compared block by block
 (see ``blocks``).
@@ -20,8 +22,11 @@ A metric without such bounds, or in more than ``GRID_DIM`` dimensions, is compar
 
 from __future__ import annotations
 
-from math import ceil, log2
+from collections.abc import Callable
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,39 +34,122 @@ from orbitree.functions.metrics import Metric
 from orbitree.operators.blocks import knn_blocks
 from orbitree.storage import materialize
 
-_MAX_LEVEL = 20
-#: Grids of more dimensions prune too little.
+#: Trees of more dimensions prune too little.
 GRID_DIM = 3
-
-
-def _pyramid(objects: DataFrame, metric: Metric, k: int, by: str | None) -> tuple[list[float], float, int, int]:
-    """Origin, side of the top cell, finest level and levels per step (from one aggregate)."""
-    d = metric.dim
-    groups = F.approx_count_distinct(by) if by else F.lit(1)
-    lows, highs = ([F.get(c, F.lit(i)) for i in range(d)] for c in ("lo", "hi"))
-    a = objects.agg(F.count("*"), groups, *(F.min(c) for c in lows), *(F.max(c) for c in highs)).first()
-    low = [0.0 if v is None else v for v in a[2 : 2 + d]]
-    side = max([h - w for h, w in zip(a[2 + d :], low) if h is not None] + [1e-12]) * (1 + 1e-9)
-    step = 2 if d <= 2 else 1
-    levels = ceil(log2(max(1.0, a[0] / max(a[1], 1) / (2 * k))) / d / step)
-    return low, side, min(_MAX_LEVEL // step, levels + (levels > 0)) * step, step
-
-
-def _cells(objects: DataFrame, metric: Metric, key: list[str], low: list[float], side: float, top: int, step: int) -> DataFrame:
-    """Objects with ``home`` (level) and c0, c1, ... (cell at that level)."""
-    d = metric.dim
+#: Objects of a cell that one task goes on to divide.
+LOCAL_OBJECTS = 20_000
+#: Size classes that get trees of their own, at most.
+MAX_CLASSES = 12
+#: Cuts per axis of one division, by dimension; children are numbered by one hex digit.
+_CUTS = {1: 15, 2: 3, 3: 1}
+#: Cells of a level that are broadcast to the points.
+_FEW_CELLS = 50_000
+_DIGITS = "0123456789abcdef"
+
+
+def _classed(rows: DataFrame, d: int) -> DataFrame:
+    """Rows with ``cell``, a name for their size class: widths within a power of 4, or of 16 and so on
+    if there are more than ``MAX_CLASSES``; objects without extent are a class."""
     wide = F.greatest(*(F.get("hi", F.lit(i)) - F.get("lo", F.lit(i)) for i in range(d))) if d > 1 else F.get("hi", F.lit(0)) - F.get("lo", F.lit(0))
-    fits = F.when(wide > 0, F.floor(F.log2(F.lit(side) / F.when(wide > 0, wide)))).otherwise(top)
-    home = (F.floor(F.greatest(F.least(fits, F.lit(top)), F.lit(0)) / step) * step).cast("int")
-    out = objects.withColumn("home", home)
-    scale = F.pow(F.lit(2.0), F.col("home")) / side
-    for i in range(d):
-        at = F.floor(((F.get("lo", F.lit(i)) + F.get("hi", F.lit(i))) / 2 - low[i]) * scale).cast("long")
-        out = out.withColumn(f"c{i}", F.least(F.greatest(at, F.lit(0).cast("long")), F.pow(F.lit(2.0), F.col("home")).cast("long") - 1))
-    return out
-
-
-def candidates(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    power = F.when(wide > 0, F.floor(F.log2(F.when(wide > 0, wide)) / 2)).cast("int")
+    rows = rows.withColumn("power", power)
+    used = [r.power for r in rows.select("power").distinct().collect() if r.power is not None]  # at most 1100 numbers
+    width = 1
+    while len({v // width for v in used}) > MAX_CLASSES:
+        width *= 2
+    return rows.withColumn("cell", F.coalesce(F.floor(F.col("power") / width).cast("string"), F.lit("-"))).withColumn("cell", F.concat("cell", F.lit(":"))).drop("power")
+
+
+def _behind(centre: Column, least: Column) -> Callable[[Column], Column]:
+    """Whether a cut lies in front of a centre. A cut at the least centre divides after it, any other one before
+    itself, so every cut divides."""
+    return lambda cut: (cut < centre) | ((cut == centre) & (cut > least))
+
+
+def _divided(rows: DataFrame, key: list[str], d: int, k: int, columns: tuple[str, ...], local: int) -> DataFrame:
+    """Rows whose cells hold at most ``local`` objects: larger cells are cut at their quantiles, all at
+    once, until none is left. Cells to cut are at most objects / local rows."""
+    done = None
+    while True:
+        counts = rows.groupBy(*key, "cell").agg(F.count("*").alias("n_")).where(F.col("n_") > local)
+        q = _CUTS[d]
+        at = [(i + 1) / (q + 1) for i in range(q)]
+        middle = [(F.get("lo", F.lit(i)) + F.get("hi", F.lit(i))) / 2 for i in range(d)]
+        big = materialize(counts, "big")
+        if big.isEmpty():
+            return rows if done is None else rows.unionByName(done)
+        small = rows.join(F.broadcast(big.drop("n_")), [*key, "cell"], "left_anti")
+        dense = materialize(rows.join(F.broadcast(big.drop("n_")), [*key, "cell"]).select(rows.columns), "dense")
+        cuts = dense.groupBy(*key, "cell").agg(*(F.percentile_approx(m, at, 1000).alias(f"cut{i}_") for i, m in enumerate(middle)), *(F.min(m).alias(f"least{i}_") for i, m in enumerate(middle)), *(F.max(m).alias(f"most{i}_") for i, m in enumerate(middle)))
+        cut = dense.join(F.broadcast(materialize(cuts, "cuts")), [*key, "cell"])
+        number = F.lit(0)
+        for i, m in enumerate(middle):
+            number = number * (q + 1) + F.size(F.filter(f"cut{i}_", _behind(m, F.col(f"least{i}_"))))
+        # a cell whose centres are one point can't be cut: its like objects shrink to k, the rest is dealt by id
+        point = F.lit(True)
+        for i in range(d):
+            point = point & (F.col(f"least{i}_") == F.col(f"most{i}_"))
+        cut = cut.withColumn("stuck_", point).withColumn("number_", F.when(point, F.pmod(F.xxhash64("object_id"), F.lit((q + 1) ** d))).otherwise(number).cast("int"))
+        alike = Window.partitionBy(*key, "cell", *columns).orderBy("object_id")
+        thinned = cut.where("stuck_").withColumn("rank_", F.row_number().over(alike)).where(F.col("rank_") <= k).drop("rank_")
+        cut = cut.where("!stuck_").unionByName(thinned)
+        after = cut.withColumn("cell", F.concat("cell", F.substring(F.lit(_DIGITS), F.col("number_") + 1, F.lit(1)))).select(rows.columns)
+        done = small if done is None else done.unionByName(small)
+        rows = materialize(after, "cut")
+
+
+def _halved(cell: np.ndarray, centre: np.ndarray, leaf: int) -> list[str]:
+    """Digits below each row's cell: cells of more than ``leaf`` rows are halved across their longest
+    side, four times a digit, until none is left."""
+    n = len(cell)
+    digits = np.full(n, "", dtype=object)
+    part = cell.astype(np.int64)
+    open_ = np.arange(n)
+    while len(open_):
+        names, part_of, count = np.unique(part[open_], return_inverse=True, return_counts=True)
+        open_ = open_[count[part_of] > leaf]
+        if not len(open_):
+            break
+        own = np.zeros(len(open_), dtype=np.int64)
+        group = np.unique(part[open_], return_inverse=True)[1]
+        points = centre[open_]
+        for _ in range(4):
+            group = np.unique(group * 2 + (own & 1), return_inverse=True)[1] if _ else group
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            size = np.diff(np.append(starts, len(order)))
+            spread = np.maximum.reduceat(points[order], starts) - np.minimum.reduceat(points[order], starts)
+            value = points[np.arange(len(points)), spread.argmax(1)[group]]
+            order = np.lexsort((value, group))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order)) - np.repeat(starts, size)
+            own = own * 2 + ((rank >= (size[group] + 1) // 2) & (size[group] > leaf))
+        digits[open_] = [d + _DIGITS[v] for d, v in zip(digits[open_], own)]
+        part[open_] = np.unique(np.column_stack([part[open_], own]), axis=0, return_inverse=True)[1].ravel() + n
+    return digits.tolist()
+
+
+def _leaves(rows: DataFrame, key: list[str], d: int, k: int, columns: tuple[str, ...], leaf: int, local: int) -> DataFrame:
+    """Rows with ``cell``, the name of their leaf: of at most ``leaf`` objects, a class and one digit a level."""
+    divided = materialize(_divided(_classed(rows, d), key, d, k, columns, local), "divided")
+    tasks = max(1, ceil(divided.count() / local))
+    dealt = divided.withColumn("task_", F.pmod(F.xxhash64(*key, "cell"), F.lit(tasks)))
+
+    def finish(part: pa.Table) -> pa.Table:
+        names = part.select([*key, "cell"])
+        group = names.append_column("at_", pa.array(np.arange(len(names)))).group_by([*key, "cell"]).aggregate([("at_", "list")])
+        cell = np.empty(len(part), dtype=np.int64)
+        for i, at in enumerate(group.column("at__list").combine_chunks()):
+            cell[np.asarray(at.values)] = i
+        middle = [np.array(part.column(c).combine_chunks().flatten(), dtype=float).reshape(-1, d) for c in ("lo", "hi")]
+        digits = _halved(cell, (middle[0] + middle[1]) / 2, leaf)
+        full = [c + g for c, g in zip(part.column("cell").to_pylist(), digits)]
+        return part.drop_columns(["task_"]).set_column(part.schema.get_field_index("cell"), "cell", pa.array(full, pa.string()))
+
+    return materialize(dealt.groupBy("task_").applyInArrow(finish, divided.schema), "leaves")
+
+
+def candidates(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by: str | None = None, only: DataFrame | None = None, local: int = LOCAL_OBJECTS) -> DataFrame:
     """(point_id, [by], object_id, dist) of all pairs that can be among a point's k nearest.
 
     With ``by``, the nearest of each group of objects are meant; ``only`` (point_id, by) names the
@@ -69,46 +157,45 @@ def candidates(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by
     null box are left out; a group of fewer than k objects is compared whole."""
     d, axes, o = metric.dim, list(metric.axes), metric.of()
     key = [by] if by else []
-    cells = [f"c{i}" for i in range(d)]
-    rows = objects.select("object_id", *key, *metric.columns, F.array(*(lo for lo, _ in metric.box(o))).alias("lo"), F.array(*(hi for _, hi in metric.box(o))).alias("hi"), F.array(*metric.anchor(o)).alias("anchor")).where("!exists(lo, v -> v is null) and !exists(anchor, v -> v is null)")
+    rows = objects.select("object_id", *key, *metric.columns, F.array(*(lo for lo, _ in metric.box(o))).alias("lo"), F.array(*(hi for _, hi in metric.box(o))).alias("hi"), F.array(*metric.anchor(o)).alias("anchor")).where("!exists(lo, v -> v is null) and !exists(hi, v -> v is null) and !exists(anchor, v -> v is null)")
     spots = points.select("point_id", *axes).where(" and ".join(f"{c} is not null" for c in axes))
-    low, side, top, step = _pyramid(rows, metric, k, by)
-    homed = _cells(rows, metric, key, low, side, top, step)
+    leaves = _leaves(rows, key, d, k, metric.columns, k, local)
 
-    levels = homed.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("home"), F.lit(step))))
-    placed = levels.select(*key, "level", "home", "lo", "hi", "anchor", *(F.expr(f"shiftright({c}, home - level)").alias(c) for c in cells))
+    digits = F.length("cell") - F.instr("cell", ":")
+    placed = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), digits))).withColumn("rest", digits - F.col("level"))
+    placed = placed.withColumn("cell", F.expr("substring(cell, 1, length(cell) - rest)"))
     bounds = [f(F.get(v, F.lit(i))).alias(f"{n}{i}") for i in range(d) for n, f, v in (("lo", F.min, "lo"), ("hi", F.max, "hi"), ("al", F.min, "anchor"), ("ah", F.max, "anchor"))]
-    nodes = materialize(placed.groupBy(*key, "level", *cells).agg(F.count("*").alias("n"), F.sum((F.col("home") == F.col("level")).cast("long")).alias("residents"), *bounds), "cells")
+    nodes = materialize(placed.groupBy(*key, "level", "cell").agg(F.count("*").alias("n"), (F.max("rest") == 0).alias("leaf"), *bounds), "cells")
+    counts = {r.level: r["count"] for r in nodes.groupBy("level").count().collect()}  # one row a level
 
     def approached(met: DataFrame) -> DataFrame:
-        """Cells near a point: (point_id, [by], axes, reach, cell, residents, least)."""
+        """Cells near a point: (point_id, [by], axes, reach, cell, leaf, least)."""
         least = F.greatest(F.lit(0.0), *(F.greatest(F.col(f"lo{i}") - F.col(axes[i]), F.col(axes[i]) - F.col(f"hi{i}")) for i in range(d)))
         far = [F.greatest(F.abs(F.col(axes[i]) - F.col(f"al{i}")), F.abs(F.col(axes[i]) - F.col(f"ah{i}"))) for i in range(d)]
         most = F.when(F.col("n") >= k, F.sqrt(sum((x * x for x in far[1:]), far[0] * far[0])) * (1 + 1e-9) + 1e-9)
         near = met.withColumn("least", least).where("least <= reach").withColumn("most", most)
         own = Window.partitionBy("point_id", *key)
         near = near.withColumn("reach", F.least("reach", F.min("most").over(own))).where("least <= reach")
-        return near.select("point_id", *key, *axes, "reach", *cells, "residents", "least")
+        return near.select("point_id", *key, *axes, "reach", "cell", "leaf", "least")
+
+    def at(level: int) -> DataFrame:
+        cells = nodes.where(f"level = {level}").drop("level")
+        return F.broadcast(cells) if counts.get(level, 0) <= _FEW_CELLS else cells
 
     asked = spots.join(only.select("point_id", *key), "point_id") if only is not None else spots
     asked = asked.withColumn("reach", F.lit(float("inf")))
-    for c in cells:
-        asked = asked.withColumn(c, F.lit(0).cast("long"))
-    root = nodes.where("level = 0").drop("level")
-    front = approached(asked.join(root, [*(key if only is not None else []), *cells]))
+    roots = at(0)  # a few size classes, of each group
+    front = materialize(approached(asked.join(roots, key) if only is not None else asked.crossJoin(roots)), "front")
     visited = None
-    for level in range(0, top + 1, step):
+    for level in range(0, max(counts, default=0) + 1):
         if level:
-            below = nodes.where(f"level = {level}").drop("level")
-            for c in cells:
-                below = below.withColumn(f"p{c}", F.shiftright(c, step))
-            above = front.select("point_id", *key, *axes, "reach", *(F.col(c).alias(f"p{c}") for c in cells))
-            front = approached(above.join(below, [*key, *(f"p{c}" for c in cells)]))
-        front = materialize(front, "front")
-        here = front.where("residents > 0").withColumn("home", F.lit(level))
+            below = at(level).withColumn("parent", F.expr("substring(cell, 1, length(cell) - 1)"))
+            above = front.where("!leaf").select("point_id", *key, *axes, "reach", F.col("cell").alias("parent"))
+            front = materialize(approached(above.join(below, [*key, "parent"])), "front")
+        here = front.where("leaf")
         visited = here if visited is None else visited.union(here)
-    final = visited.withColumn("reach", F.min("reach").over(Window.partitionBy("point_id", *key))).where("least <= reach").drop("residents", "least")
-    met = final.join(homed.drop("anchor"), [*key, "home", *cells])
+    final = visited.withColumn("reach", F.min("reach").over(Window.partitionBy("point_id", *key))).where("least <= reach").drop("leaf", "least")
+    met = final.join(leaves.drop("anchor"), [*key, "cell"])
     gaps = [F.greatest(F.get("lo", F.lit(i)) - F.col(axes[i]), F.col(axes[i]) - F.get("hi", F.lit(i))) <= F.col("reach") for i in range(d)]
     for gap in gaps:
         met = met.where(gap)
@@ -119,11 +206,11 @@ def _bounded(metric: Metric) -> bool:
     return metric.box is not None and metric.anchor is not None and metric.dim <= GRID_DIM
 
 
-def nearest_neighbor(objects: DataFrame, points: DataFrame, metric: Metric, by: str | None = None, tie: str = "first", only: DataFrame | None = None) -> DataFrame:
+def nearest_neighbor(objects: DataFrame, points: DataFrame, metric: Metric, by: str | None = None, tie: str = "first", only: DataFrame | None = None, local: int = LOCAL_OBJECTS) -> DataFrame:
     """(point_id, [by], object_id, dist) of the nearest object; ties by ``tie`` id."""
     key = ["point_id", *([by] if by else [])]
     sign = 1 if tie == "first" else -1
-    pairs = candidates(objects, points, metric, 1, by, only) if _bounded(metric) else knn_blocks(objects, points, metric, 1, by, only, last=tie != "first")
+    pairs = candidates(objects, points, metric, 1, by, only, local) if _bounded(metric) else knn_blocks(objects, points, metric, 1, by, only, last=tie != "first")
     near = pairs.groupBy(*key).agg(F.min(F.struct(F.round("dist", 9).alias("r"), (F.col("object_id") * sign).alias("o"), "dist")).alias("m"))
     return near.select(*key, (F.col("m.o") * sign).alias("object_id"), F.col("m.dist").alias("dist"))
 

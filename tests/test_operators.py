@@ -209,3 +209,17 @@ def test_more_than_ten_children(spark):
     assert nodes.where("path rlike '[a-d]$'").count() > 0
     again = tree.assign_by_centroids(objects, nodes, metric)
     assert {(r.object_id, r.path) for r in again.collect()} == {(r.object_id, r.path) for r in assign.collect()}
+
+
+@pytest.mark.parametrize("local", [20_000, 60])
+def test_search_follows_the_density(spark, local):
+    draw = random.Random(12)
+    metric = METRICS["squares"]
+    spots = lambda side: [(i, draw.uniform(0, side), draw.uniform(0, side)) for i in range(200)]
+    even = [(i, draw.uniform(0, 60), draw.uniform(0, 60), 1.0, 0.0) for i in range(1200)]
+    dense = [(i, *((draw.random(), draw.random()) if i % 100 else (draw.uniform(0, 100), draw.uniform(0, 100))), 0.01, 0.0) for i in range(1200)]
+    alike = [(i, 5.0, 5.0, 1.0, 0.0) for i in range(500)] + [(500 + i, 5.0, 5.0 - i % 2, 1.0, 0.3) for i in range(60)]
+    for rows, at, most in ((even + [(1200, 1e6, 1e6, 1.0, 0.0)], spots(60), 4), (dense, spots(1), 4), (alike + even[560:], spots(60), 200)):
+        objects, points = spark.createDataFrame(rows, SQUARE), spark.createDataFrame(at, "point_id long, x double, y double")
+        assert neighbors.candidates(objects, points, metric, 1, local=local).count() < most * len(at)
+        assert {r.point_id: [r.object_id] for r in neighbors.nearest_neighbor(objects, points, metric, local=local).collect()} == _brute(objects, points, metric, 1)
