@@ -200,6 +200,10 @@ class Metric:
         """Columns of a point: x, y, z, or one array p in more dimensions."""
         return ("x", "y", "z")[: self.dim] if self.dim <= 3 else ("p",)
 
+    def at(self, point: Column) -> list[Column]:
+        """The coordinates of an array as ``distance`` takes them: one column an axis, or the array itself."""
+        return [F.get(point, F.lit(i)) for i in range(self.dim)] if self.dim <= 3 else [point]
+
     def of(self, prefix: str = "") -> dict[str, Column]:
         return {c: F.col(prefix + c) for c in self.columns}
 
@@ -261,6 +265,13 @@ def linf_kernel(column: str) -> Kernel:
     return kernel
 
 
+def vector_metric(column: str, dim: int, name: str = "vectors") -> Metric:
+    """Chebyshev distance of vectors in a column of arrays, for search, means and trees in any dimension."""
+    each = lambda o: [F.get(o[column], F.lit(i)).cast("double") for i in range(dim)]
+    point = lambda p: p[0] if len(p) == 1 else F.array(*p)
+    return Metric(name, (column,), dim, lambda o, p: linf_point(o[column], point(p)), lambda o: [(v, v) for v in each(o)], each, each, linf_kernel(column))
+
+
 def _square_box(o: dict[str, Column]) -> list[tuple[Column, Column]]:
     reach = o["size"] / 2 * (F.abs(F.cos(o["theta"])) + F.abs(F.sin(o["theta"])))
     return [(o["x0"] - reach, o["x0"] + reach), (o["y0"] - reach, o["y0"] + reach)]

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitree.functions.metrics import Metric
+from orbitree.functions.metrics import METRICS, Metric
 from orbitree.operators.kmeans import hashed_uniform
 
 
-def bounding_boxes(objects: DataFrame, kind: str) -> DataFrame:
+def bounding_boxes(objects: DataFrame, kind: str | Metric) -> DataFrame:
     """(path, n, bbox array<struct<lo,hi>>) per path.
 
     squares, cuboids, ellipses: centre range widened by the largest size of the axis on both
-    sides. segments: start points less and plus the length. polygons: vertex range."""
+    sides. segments: start points less and plus the length. polygons: vertex range. A metric that isn't
+    registered: the range of its boxes, or of its centres if it has none."""
+    if isinstance(kind, Metric):
+        if METRICS.get(kind.name) is not kind:
+            sides = kind.box(kind.of()) if kind.box else [(v, v) for v in kind.centre(kind.of())]
+            return objects.groupBy("path").agg(F.count("*").alias("n"), F.array(*(F.struct(F.min(lo).cast("double").alias("lo"), F.max(hi).cast("double").alias("hi")) for lo, hi in sides)).alias("bbox"))
+        kind = kind.name
     c = F.col
     axes = {
         "squares": [("x0", "size"), ("y0", "size")],

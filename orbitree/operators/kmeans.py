@@ -32,19 +32,24 @@ def assign_nearest_centroid(objects: DataFrame, centroids: DataFrame, metric: Me
     joined = objects.join(F.broadcast(_arrayed(centroids)) if few else _arrayed(centroids), "path")
     at = [F.get("cs", F.lit(i)) for i in range(k)]
     # the distances get a projection of their own, so each is computed once
-    dists = joined.select("*", *(metric.distance(o, [F.get(c["c"], F.lit(j)) for j in range(metric.dim)]).alias(f"d{i}_") for i, c in enumerate(at)))
+    dists = joined.select("*", *(metric.distance(o, metric.at(c["c"])).alias(f"d{i}_") for i, c in enumerate(at)))
     each = [F.when(c.isNotNull(), F.struct(F.round(f"d{i}_", 9).alias("r"), c["idx"].alias("idx"), F.col(f"d{i}_").alias("dist"))) for i, c in enumerate(at)]
     best = F.least(*each) if k > 1 else each[0]
     return dists.select("*", best.alias("best_")).select(*objects.columns, F.col("best_.idx").cast("long").alias("label"), F.col("best_.dist").alias("dist"))
 
 
-def contribution(kind: str, shifted_update: bool = False) -> tuple[list[Column], Column]:
+def contribution(kind: str | Metric, shifted_update: bool = False) -> tuple[list[Column], Column]:
     """What an object adds to its centroid: sums per axis and a weight.
 
     squares (shifted update): x + size/2 cos(theta), y + size/2 sin(theta); else the centre.
-    ellipses and cuboids: the centre. segments: both ends. polygons: all vertices."""
+    ellipses and cuboids: the centre. segments: both ends. polygons: all vertices. A metric that isn't
+    registered: its centre."""
     c = F.col
     one = F.lit(1.0)
+    if isinstance(kind, Metric):
+        if METRICS.get(kind.name) is not kind:
+            return kind.centre(kind.of()), one
+        kind = kind.name
     if kind == "squares" and shifted_update:
         return [c("x0") + c("size") * 0.5 * F.cos("theta"), c("y0") + c("size") * 0.5 * F.sin("theta")], one
     if kind == "polygons":
@@ -52,7 +57,7 @@ def contribution(kind: str, shifted_update: bool = False) -> tuple[list[Column],
     return METRICS[kind].centre(METRICS[kind].of()), one
 
 
-def update_centroids(labelled: DataFrame, kind: str, shifted_update: bool = False) -> DataFrame:
+def update_centroids(labelled: DataFrame, kind: str | Metric, shifted_update: bool = False) -> DataFrame:
     """(path, idx, c, n) of the groups that exist; labels without objects have no row."""
     sums, weight = contribution(kind, shifted_update)
     means = F.array(*(F.sum(s) / F.sum(weight) for s in sums))
@@ -107,7 +112,7 @@ def kmeans_fit(objects: DataFrame, metric: Metric, seeds: DataFrame, n_iter: int
         labelled = assign_nearest_centroid(objects, centroids, metric, k, few)
         step = divergence(labelled).withColumn("iteration", F.lit(i))
         history = step if history is None else history.union(step)
-        centroids = update_centroids(labelled, metric.name, shifted_update).select("path", "idx", "c")
+        centroids = update_centroids(labelled, metric, shifted_update).select("path", "idx", "c")
         if not few or i % 5 == 4 or i == n_iter - 1:
             centroids = materialize(centroids, "centroids")
             if until_stable and i % 5 == 4 and centroids.join(written.select("path", "idx", F.col("c").alias("c_")), ["path", "idx"], "full").where("c is null or c_ is null or c != c_").isEmpty():

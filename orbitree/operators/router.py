@@ -29,9 +29,9 @@ def label_uncertainty(points: DataFrame, children: DataFrame, metric: Metric) ->
     """(path, grid_id, p, label): the child whose nearest object is closest to each point.
 
     children: (object_id, object columns, path, label), objects with their node and the child's digit."""
-    axes = ["x", "y", "z"][: metric.dim]
+    axes = metric.axes
     named = points.withColumn("point_id", F.xxhash64("path", "grid_id"))
-    spots = named.select("point_id", *(F.get("p", F.lit(i)).alias(a) for i, a in enumerate(axes)))
+    spots = named.select("point_id", *(v.alias(a) for v, a in zip(metric.at(F.col("p")), axes)))
     groups = children.withColumn("child", F.concat("path", F.col("label").cast("string")))
     asked = named.select("point_id", "path").join(groups.select("path", "child").distinct(), "path").select("point_id", "child")
     near = nearest_neighbor(groups, spots, metric, by="child", only=asked)
@@ -128,8 +128,19 @@ def _shipped(inner: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
     return {r.path: Node(np.array(r.centroids, dtype=float), _unpack(list(r.shapes), np.array(r.weights)) if r.shapes else None) for r in rows.collect()}
 
 
-def _coordinates(pdf: pd.DataFrame, axes: list[str]) -> np.ndarray:
-    return pdf[axes].to_numpy(dtype=float)
+def _axes(dim: int) -> list[str]:
+    """Columns of a point: x, y, z, or one array p in more dimensions."""
+    return ["x", "y", "z"][:dim] if dim <= 3 else ["p"]
+
+
+def _types(dim: int) -> str:
+    return ", ".join(f"{a} double" for a in _axes(dim)) if dim <= 3 else "p array<double>"
+
+
+def _coordinates(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+    if dim <= 3:
+        return pdf[_axes(dim)].to_numpy(dtype=float)
+    return np.array([np.full(dim, np.nan) if v is None else v for v in pdf.p], dtype=float).reshape(-1, dim)
 
 
 def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
@@ -141,11 +152,11 @@ def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFram
 
 def _walk(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
     """Points go on from the last node they have visited as far as the table knows the way."""
-    axes = ["x", "y", "z"][:dim]
+    axes = _axes(dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _coordinates(pdf, axes)
+            x = _coordinates(pdf, dim)
             seen = [list(v) for v in pdf.visited]
             at = np.array([v[-1] if v else "0" for v in seen], dtype=object)
             while True:
@@ -160,7 +171,7 @@ def _walk(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
                     break
             yield pdf[["point_id", *axes]].assign(visited=seen)
 
-    return points.select("point_id", *axes, "visited").mapInPandas(run, f"point_id long, {', '.join(f'{a} double' for a in axes)}, visited array<string>")
+    return points.select("point_id", *axes, "visited").mapInPandas(run, f"point_id long, {_types(dim)}, visited array<string>")
 
 
 def route_in_parts(points: DataFrame, nodes: DataFrame, routers: DataFrame | None, dim: int, bound: int = MAX_NODES) -> DataFrame:
@@ -185,11 +196,11 @@ def route_in_parts(points: DataFrame, nodes: DataFrame, routers: DataFrame | Non
 
 def score_router(points: DataFrame, tree: dict[str, Node], dim: int, every: bool = False) -> DataFrame:
     """(point_id, path, child, best): each node's choice and its score, for all inner nodes."""
-    axes = ["x", "y", "z"][:dim]
+    axes = _axes(dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _coordinates(pdf, axes)
+            x = _coordinates(pdf, dim)
             for path, node in sorted(tree.items()):
                 scores = node.logits(x)
                 yield pd.DataFrame({"point_id": pdf.point_id, "path": path, "child": scores.argmax(1).astype(np.int64), "best": scores.max(1)})
@@ -197,35 +208,76 @@ def score_router(points: DataFrame, tree: dict[str, Node], dim: int, every: bool
     return points.select("point_id", *axes).mapInPandas(run, "point_id long, path string, child long, best double")
 
 
-def route_by_sums(points: DataFrame, tree: dict[str, Node], leaves: list[str], dim: int, running: bool = False) -> DataFrame:
-    """(point_id, x, y[, z], path, score): the leaf with the largest sum of scores on its path, or
-    with ``running`` the largest sum of running sums. Leaves are scored in blocks in place."""
-    axes = ["x", "y", "z"][:dim]
+def _children(tree: dict[str, Node], path: str) -> list[str]:
+    node = tree[path]
+    return [path + DIGITS[z] for z in range(len(node.centroids) if node.router is None else node.router[2][-1][0].shape[1])]
+
+
+def route_by_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: bool = False) -> DataFrame:
+    """(point_id, x, y[, z] or p, path, score): the leaf with the largest sum of scores on its path, or
+    with ``running`` the largest sum of running sums; of equal ones the first.
+
+    The best way down from a node follows from those of its children. A score counts in each running
+    sum from its node to the leaf, so ``running`` keeps the best way for each number of steps left. A batch
+    holds the ways of the nodes on one path and of their children, never a column for each leaf."""
+    axes = _axes(dim)
+
+    def ways(x: np.ndarray, path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Steps left to a leaf (0 for any number unless ``running``): best score and leaf of each point."""
+        if path not in tree:
+            return {0: (np.zeros(len(x)), np.full(len(x), path, dtype=object))}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        scores = tree[path].logits(x)
+        for z, child in enumerate(_children(tree, path)):
+            for left, (score, leaf) in ways(x, child).items():
+                steps = left + 1 if running else 0
+                own = scores[:, z] * (steps if running else 1) + score
+                if steps not in best:
+                    best[steps] = own, leaf
+                else:
+                    more = own > best[steps][0]
+                    best[steps] = np.where(more, own, best[steps][0]), np.where(more, leaf, best[steps][1])
+        return best
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = list(ways(_coordinates(pdf, dim), "0").values())
+            score, leaf = found[0]
+            for other, path in found[1:]:
+                more = (other > score) | ((other == score) & (path < leaf))
+                score, leaf = np.where(more, other, score), np.where(more, path, leaf)
+            yield pdf[["point_id", *axes]].assign(path=leaf, score=score)
+
+    return points.select("point_id", *axes).mapInPandas(run, f"point_id long, {_types(dim)}, path string, score double")
+
+
+def leaf_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: bool = False) -> DataFrame:
+    """(point_id, path, score) for every leaf: the sum of the scores on its path, or with ``running``
+    the sum of the running sums. The points are a query set; a batch holds the sums of one path at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _coordinates(pdf, axes)
-            sums = {"0": (np.zeros(len(pdf)), np.zeros(len(pdf)))}
-            for path in sorted(tree, key=len):
+            x = _coordinates(pdf, dim)
+            waiting = [("0", np.zeros(len(x)), np.zeros(len(x)))]
+            while waiting:
+                path, own, total = waiting.pop()
+                if path not in tree:
+                    yield pd.DataFrame({"point_id": pdf.point_id, "path": path, "score": total if running else own})
+                    continue
                 scores = tree[path].logits(x)
-                for z in range(scores.shape[1]):
-                    own = sums[path][0] + scores[:, z]
-                    sums[path + DIGITS[z]] = (own, sums[path][1] + own)
-            table = np.stack([sums[leaf][int(running)] for leaf in leaves], axis=1)
-            best = table.argmax(1)
-            yield pdf[["point_id", *axes]].assign(path=np.array(leaves, dtype=object)[best], score=table[np.arange(len(pdf)), best])
+                waiting += [(child, own + scores[:, z], total + own + scores[:, z]) for z, child in enumerate(_children(tree, path))]
 
-    return points.select("point_id", *axes).mapInPandas(run, f"point_id long, {', '.join(f'{a} double' for a in axes)}, path string, score double")
+    return points.select("point_id", *_axes(dim)).mapInPandas(run, "point_id long, path string, score double")
 
 
 def route_beam(points: DataFrame, tree: dict[str, Node], dim: int, k: int, eps: float) -> DataFrame:
     """(point_id, path): leaves reached when each layer keeps up to k nodes whose score is within
     eps of the layer's best for that point."""
-    axes = ["x", "y", "z"][:dim]
+    axes = _axes(dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _coordinates(pdf, axes)
+            x = _coordinates(pdf, dim)
             layer = [(i, "0", 0.0) for i in range(len(pdf))]
             out = []
             while layer:
@@ -256,7 +308,7 @@ def prefixes(assign: DataFrame, metric: Metric) -> DataFrame:
 
 def query_leaf(routed: DataFrame, assign: DataFrame, metric: Metric) -> DataFrame:
     """(point_id, path, object_id, dist): the nearest object within the named leaf (or leaves)."""
-    axes = ["x", "y", "z"][: metric.dim]
+    axes = list(metric.axes)
     spots = routed.select("point_id", *axes).distinct()
     return nearest_neighbor(assign, spots, metric, by="path", only=routed.select("point_id", "path").distinct())
 
@@ -270,7 +322,7 @@ def query_tree(points: DataFrame, tree: dict[str, Node], assign: DataFrame, metr
 def query_tree_verbose(points: DataFrame, tree: dict[str, Node], assign: DataFrame, metric: Metric) -> DataFrame:
     """(point_id, layer, node, object_id, dist): the nearest object in each node below the root that
     greedy routing visits."""
-    axes = ["x", "y", "z"][: metric.dim]
+    axes = list(metric.axes)
     visits = route_greedy(points, tree, metric.dim).select("point_id", F.explode("visited").alias("node"))
     near = nearest_neighbor(prefixes(assign, metric), points.select("point_id", *axes), metric, by="node", only=visits)
     return near.select("point_id", (F.length("node") - 1).cast("long").alias("layer"), "node", "object_id", "dist")

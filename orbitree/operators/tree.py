@@ -34,6 +34,8 @@ def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n
     """(assign, nodes). All nodes of a level with more than ``threshold`` objects are split in the
     same jobs, level by level until none is left; a node whose clusters collapse into one stays a
     leaf. Children are smaller than their parent, so the levels end. k = 0 means 2**dim."""
+    if metric.centre is None:
+        raise ValueError(f"the metric {metric.name} has no centre, so its objects have no means")
     k = k or 2**metric.dim
     if k > len(DIGITS):
         raise ValueError(f"a path has one digit per level: at most {len(DIGITS)} children")
@@ -41,7 +43,7 @@ def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n
     active = materialize(objects.select(*cols, F.lit("0").alias("path")), "level")
     done, nodes = None, None
     for depth in count():
-        boxes = bounding_boxes(active, metric.name)
+        boxes = bounding_boxes(active, metric)
         split = materialize(boxes.withColumn("split", F.col("n") > threshold), "boxes")
         go = split.where("split").select("path")
         few = _few(go)

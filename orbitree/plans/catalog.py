@@ -37,11 +37,15 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from orbitree.plans import fixed_tree
+
+    return _QUERIES | fixed_tree.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    from orbitree.plans import fixed_tree
+
+    return _ORACLE | fixed_tree.ORACLE
 
 
 def _r(c: Column, digits: int = 6) -> Column:
@@ -1077,9 +1081,8 @@ def query_tree_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_sums(spark: SparkSession, sf_dir: str, running: bool) -> DataFrame:
-    assign, nodes, _, table = _tree(spark, sf_dir)
-    leaves = [r.path for r in nodes.where("is_leaf").select("path").orderBy("path").collect()]
-    return router.query_leaf(router.route_by_sums(_points(spark, sf_dir), table, leaves, 2, running), assign, _SEGMENTS)
+    assign, _, _, table = _tree(spark, sf_dir)
+    return router.query_leaf(router.route_by_sums(_points(spark, sf_dir), table, 2, running), assign, _SEGMENTS)
 
 
 @_query()
