@@ -177,7 +177,8 @@ class Metric:
     (see ``metric_of`` for a plain function). box(object columns) gives (lo, hi) per axis; the
     distance is never less than the Chebyshev distance to that box. anchor gives a point from which
     the Euclidean distance to a point is never less than the metric. Without box and anchor,
-    neighbours are found by comparing blocks. centre gives the point that stands for an object in
+    neighbours are found by pivots if between(m points, n points) gives the most that the metric can change
+    between two points (for a distance to a set, the distance of the points), else by comparing blocks. centre gives the point that stands for an object in
     means; clustering needs it."""
 
     name: str
@@ -188,6 +189,7 @@ class Metric:
     anchor: Callable[[dict[str, Column]], list[Column]] | None = None
     centre: Callable[[dict[str, Column]], list[Column]] | None = None
     kernel: Kernel | None = None
+    between: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         if self.distance is None and self.kernel is None:
@@ -252,6 +254,19 @@ def metric_of(name: str, columns: tuple[str, ...], dim: int, function: Callable[
     return Metric(name, columns, dim, kernel=kernel, **bounds)
 
 
+def linf_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chebyshev distances of m points to n points."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        np.maximum(out, np.abs(a[:, d, None] - b[None, :, d]), out=out)
+    return out
+
+
+def euclid_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of m points to n points."""
+    return np.sqrt(sum((a[:, d, None] - b[None, :, d]) ** 2 for d in range(a.shape[1])))
+
+
 def linf_kernel(column: str) -> Kernel:
     """Chebyshev distance of vectors in a column of arrays."""
 
@@ -269,7 +284,7 @@ def vector_metric(column: str, dim: int, name: str = "vectors") -> Metric:
     """Chebyshev distance of vectors in a column of arrays, for search, means and trees in any dimension."""
     each = lambda o: [F.get(o[column], F.lit(i)).cast("double") for i in range(dim)]
     point = lambda p: p[0] if len(p) == 1 else F.array(*p)
-    return Metric(name, (column,), dim, lambda o, p: linf_point(o[column], point(p)), lambda o: [(v, v) for v in each(o)], each, each, linf_kernel(column))
+    return Metric(name, (column,), dim, lambda o, p: linf_point(o[column], point(p)), lambda o: [(v, v) for v in each(o)], each, each, linf_kernel(column), linf_between)
 
 
 def _square_box(o: dict[str, Column]) -> list[tuple[Column, Column]]:

@@ -16,8 +16,8 @@ objects, for all points at once, one join a level.
 4. The distance orders by (distance rounded to 9 digits, object id). Of objects that are alike in all
    columns only the k smallest ids can be among the nearest, so the others of a cell that no cut divides are left out.
 
-A metric without such bounds, or in more than ``GRID_DIM`` dimensions, is compared block by block
-(see ``blocks``).
+A metric without such bounds, or in more than ``GRID_DIM`` dimensions, is searched by a pivot table if it
+obeys the triangle inequality (see ``pivots``), else compared block by block (see ``blocks``).
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
 from orbitree.operators.blocks import knn_blocks
+from orbitree.operators.pivots import knn_pivots
 from orbitree.storage import materialize
 
 #: Trees of more dimensions prune too little.
@@ -206,11 +207,19 @@ def _bounded(metric: Metric) -> bool:
     return metric.box is not None and metric.anchor is not None and metric.dim <= GRID_DIM
 
 
+def _unbounded(objects: DataFrame, points: DataFrame, metric: Metric, k: int, by: str | None = None, only: DataFrame | None = None, last: bool = False) -> DataFrame:
+    """Pairs that hold the k nearest, without boxes: by pivots, or for groups and functions that
+    are no metric by all blocks."""
+    if metric.between is not None and metric.kernel is not None and by is None:
+        return knn_pivots(objects, points, metric, k, last).drop("compared")
+    return knn_blocks(objects, points, metric, k, by, only, last)
+
+
 def nearest_neighbor(objects: DataFrame, points: DataFrame, metric: Metric, by: str | None = None, tie: str = "first", only: DataFrame | None = None, local: int = LOCAL_OBJECTS) -> DataFrame:
     """(point_id, [by], object_id, dist) of the nearest object; ties by ``tie`` id."""
     key = ["point_id", *([by] if by else [])]
     sign = 1 if tie == "first" else -1
-    pairs = candidates(objects, points, metric, 1, by, only, local) if _bounded(metric) else knn_blocks(objects, points, metric, 1, by, only, last=tie != "first")
+    pairs = candidates(objects, points, metric, 1, by, only, local) if _bounded(metric) else _unbounded(objects, points, metric, 1, by, only, tie != "first")
     near = pairs.groupBy(*key).agg(F.min(F.struct(F.round("dist", 9).alias("r"), (F.col("object_id") * sign).alias("o"), "dist")).alias("m"))
     return near.select(*key, (F.col("m.o") * sign).alias("object_id"), F.col("m.dist").alias("dist"))
 
@@ -219,7 +228,7 @@ def knn(objects: DataFrame, points: DataFrame, metric: Metric, k: int) -> DataFr
     """(point_id, rank, object_id, dist) of the k nearest objects of each point. The filter on the
     rank lets Spark keep k rows a point before the shuffle."""
     order = Window.partitionBy("point_id").orderBy(F.round("dist", 9), "object_id")
-    pairs = candidates(objects, points, metric, k) if _bounded(metric) else knn_blocks(objects, points, metric, k)
+    pairs = candidates(objects, points, metric, k) if _bounded(metric) else _unbounded(objects, points, metric, k)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", F.col("rank").cast("long").alias("rank"), "object_id", "dist")
 
 

@@ -582,9 +582,9 @@ d AS (SELECT point_id, object_id, list_max(list_transform(list_zip(u, v), lambda
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), object_id) AS rank FROM d)
 SELECT point_id, rank, object_id, round(d, 6) AS dist FROM r WHERE rank <= 3""")
 def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest other vectors in 64 dimensions, by a kernel."""
+    """The three nearest other vectors in 64 dimensions, by a pivot table."""
     vectors = fixture(spark, sf_dir, "vectors")
-    metric = m.Metric("vectors", ("embedding",), 64, kernel=m.linf_kernel("embedding"))
+    metric = m.vector_metric("embedding", 64)
     points = vectors.select(c("vec_id").alias("point_id"), F.transform("embedding", lambda v: v.cast("double")).alias("p"))
     near = neighbors.knn(vectors.select(c("vec_id").alias("object_id"), "embedding"), points, metric, 4)
     # a vector is its own nearest, unless copies with smaller ids come first
