@@ -40,10 +40,13 @@ SLICE_NODES = 50_000
 #: A block that so many training pages repeat is no content.
 REPEATED = 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: Quotes hold a tag open only behind an equals sign. The groups are possessive, so a tag is read once; a value
+#: without a closing quote can occur once for each kind of quote.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
+_HEADING = re.compile("h[1-6]")
 
 _RAW = frozenset("script style template noscript title textarea svg iframe object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,7 +61,13 @@ _NOISE_TAGS = ("nav", "header", "footer", "aside", "form", "button", "select", "
 _CONTENT_WORDS = ("article", "content", "main", "post", "entry", "story", "body")
 _NOISE_WORDS = ("nav", "navigation", "menu", "navbar", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "share", "social", "related", "recommended", "comment", "comments", "reply", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar", "copyright", "legal", "skip", "adsbygoogle", "werbung", "anzeige", "anzeigen", "kommentar", "kommentare", "seitenleiste", "hinweis", "fusszeile", "kopfzeile", "publicite", "commentaire", "commentaires", "pied", "entete", "publicidad", "anuncio", "anuncios", "comentario", "comentarios", "pie", "cabecera", "barra")
 
-_FEATURES = ["bias", "text", *(f"<{t}>" for t in _CONTENT_TAGS), *(f"<{t}>" for t in _NOISE_TAGS), "<p>", "<h>", "<li>", "<div>", "<table>", "<pre>", *(f"+{w}" for w in _CONTENT_WORDS), *(f"-{w}" for w in _NOISE_WORDS), "links", "long", "short", "stops"]
+#: Marks that tell content from noise outside of an article, but not inside, where lists and links are content, too.
+_LOOKS = ("<p>", "<h>", "<li>", "<div>", "<table>", "<pre>", "links", "long", "short", "stops")
+#: Headings of reader comments have at most so many words, one of them from this list (fixed values).
+_COMMENT_HEADING = 4
+_COMMENT_WORDS = frozenset("comment comments reply replies discussion responses kommentar kommentare commentaire commentaires comentario comentarios".split())
+
+_FEATURES = ["bias", "text", "within", *(f"<{t}>" for t in _CONTENT_TAGS), *(f"<{t}>" for t in _NOISE_TAGS), "<p>", "<h>", "<li>", "<div>", "<table>", "<pre>", *(f"+{w}" for w in _CONTENT_WORDS), *(f"-{w}" for w in _NOISE_WORDS), "links", "long", "short", "stops"]
 _AT = {name: i for i, name in enumerate(_FEATURES)}
 
 
@@ -71,7 +80,7 @@ def _prior() -> np.ndarray:
             w[_AT[name]] = -8.0
         elif name[0] == "+":
             w[_AT[name]] = 2.5
-    for name, value in (("<article>", 20.0), ("<main>", 15.0), ("<p>", 0.8), ("<h>", 0.4), ("<pre>", 0.8), ("links", -1.2), ("long", 1.0), ("short", -0.2), ("stops", 0.5)):
+    for name, value in (("<article>", 20.0), ("<main>", 15.0), ("within", 2.0), ("<p>", 0.8), ("<h>", 0.4), ("<pre>", 0.8), ("links", -1.2), ("long", 1.0), ("short", -0.2), ("stops", 0.5)):
         w[_AT[name]] = value
     return w
 
@@ -100,10 +109,14 @@ class Page:
 
 @lru_cache(maxsize=4096)
 def _element_features(tag: str, attributes: str) -> tuple[list[tuple[int, float]], bool]:
-    names = {f"<{'h' if re.fullmatch('h[1-6]', tag) else tag}>"}
+    names = {f"<{'h' if _HEADING.fullmatch(tag) else tag}>"}
     for m in _MARKS.finditer(attributes):
-        for word in _WORD.findall(m[1] or m[2] or m[3] or ""):
-            names |= {f"+{word.lower()}", f"-{word.lower()}"}
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {word.lower() for word in _WORD.findall(name)}
+            names |= {f"+{word}" for word in words}
+            # "entry-header" is the head of an entry, and an article is one whatever else it is called
+            if tag not in (*_CONTENT_TAGS, "body", "html") and not (words & {"header", "title"} and words & set(_CONTENT_WORDS)):
+                names |= {f"-{word}" for word in words}
     known = [(_AT[n], 1.0) for n in sorted(names) if n in _AT]
     return [(_AT["bias"], 1.0), *known], tag in _NOISE_TAGS or any(_FEATURES[i][0] == "-" for i, _ in known)
 
@@ -113,6 +126,7 @@ def parse(html: str) -> Page:
     page = Page()
     page.add(-1, [(_AT["bias"], 1.0)], False, False)
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and the node each stands for
+    opened: dict[str, list[int]] = {}  # where in the stack each open tag is
     parts: list[str] = []
     linked = links = 0
 
@@ -122,18 +136,23 @@ def parse(html: str) -> Page:
             block = _SPACES.sub(" ", unescape("".join(parts))).strip()
             if block:
                 n = len(block)
+                if len(stack) > 2 and _HEADING.fullmatch(stack[-1][0]) and stack[-2][0] not in (*_CONTENT_TAGS, "body", "html"):
+                    words = block.lower().split(None, _COMMENT_HEADING)
+                    if len(words) <= _COMMENT_HEADING and _COMMENT_WORDS & {w.strip("():,.!?") for w in words}:
+                        for node in (stack[-2][1], stack[-1][1]):
+                            page.features[node] = [*page.features[node], (_AT["-comments"], 1.0)]
+                            page.noise[node] = True
                 page.add(stack[-1][1], [(_AT["bias"], 1.0), (_AT["text"], 1.0), (_AT["links"], min(1.0, linked / n)), (_AT["long"], float(n >= 100)), (_AT["short"], float(n < 25)), (_AT["stops"], float(block[-1] in ".!?…:\"”"))], False, False, block)
             parts.clear()
         linked = 0
 
     def close(names: tuple[str, ...], stops: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in stops:
-                return
+        last = max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        if last and last > max((opened[n][-1] for n in stops if n not in names and opened.get(n)), default=0):
+            flush()
+            for name, _ in stack[last:]:
+                opened[name].pop()
+            del stack[last:]
 
     at = 0
     while m := _TAG.search(html, at):
@@ -153,11 +172,10 @@ def parse(html: str) -> Page:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            parts.append(" ")
         elif tag in _VOID:
             if tag == "hr":
                 flush()
-            else:
+            elif tag == "br":
                 parts.append(" ")
         elif tag in _INLINE:
             links += tag == "a"
@@ -168,6 +186,7 @@ def parse(html: str) -> Page:
             if tag in _CLOSES:
                 close(_CLOSES[tag], _SCOPES)
             features, noise = _element_features(tag, m[3])
+            opened.setdefault(tag, []).append(len(stack))
             stack.append((tag, page.add(stack[-1][1], features, noise, tag in _CONTENT_TAGS)))
     parts.append(html[at:])
     flush()
@@ -206,6 +225,14 @@ def _forest(pages: list[Page]) -> Forest:
     return Forest(node, feature, value, parent, depth, kind)
 
 
+def _told(page: Page) -> Page:
+    """The page as it is judged: inside an article looks don't count, so a list there is no menu."""
+    looks = {_AT[name] for name in _LOOKS}
+    within = [inside and not noise for inside, noise in zip(page.inside, page.noise)]
+    features = [[*(f for f in own if f[0] not in looks), (_AT["within"], 1.0)] if w else own for own, w in zip(page.features, within)]
+    return Page(page.parent, page.depth, features, page.noise, page.inside, page.text)
+
+
 def _blind(page: Page) -> Page:
     """The page without its article and main tags and its class and id words."""
     hidden = {_AT[f"<{t}>"] for t in _CONTENT_TAGS} | {i for i, name in enumerate(_FEATURES) if name[0] in "+-"}
@@ -223,7 +250,7 @@ def train(pages: list[Page], steps: int = 200, rate: float = 1.0, pull: float =
     seen = Counter(t for p in shown for t in {t for t in p.text if t is not None})
     label = np.array([inside and not noise and not (text is not None and seen[text] >= REPEATED) for p in shown for inside, noise, text in zip(p.inside, p.noise, p.text)] * 2, dtype=np.int64)
     told = np.array([not (inside and noise) for p in shown for inside, noise in zip(p.inside, p.noise)] * 2)
-    f = _forest(shown + [_blind(p) for p in shown])
+    f = _forest([_told(p) for p in shown] + [_blind(p) for p in shown])
     child = np.flatnonzero((f.parent >= 0) & told)
     up, text = f.parent[child], f.kind[child]
     used = told[f.node]
@@ -257,12 +284,13 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 def marginals(pages: list[Page], model: Model) -> np.ndarray:
     """Content marginals of all nodes by one pass of messages up and one down."""
-    f = _forest(pages)
+    f = _forest([_told(p) for p in pages])
     parent, depth, kind = f.parent, f.depth, f.kind
     score = f.score(model.weights)
     belief = np.stack([-score / 2, score / 2], axis=1)
     up = np.zeros_like(belief)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
     for nodes in reversed(levels[1:]):
         up[nodes] = _lse(model.edge[kind[nodes]] + belief[nodes][:, None, :], 2)
         np.add.at(belief, parent[nodes], up[nodes])
@@ -293,10 +321,36 @@ def page_texts(htmls: list[str | None], model: Model) -> list[str]:
         for page in pages:
             own = chance[at : at + len(page.text)]
             at += len(page.text)
-            out.append("\n".join(t for t, p in zip(page.text, own) if t is not None and p >= 0.5))
+            out.append("\n".join(page.text[i] for i in _chosen(page, own)))
     return out
 
 
+def _chosen(page: Page, chance: np.ndarray) -> list[int]:
+    """The text blocks of a page: those more likely content than not. A page without any falls back to
+    the element whose blocks outweigh half of the page's mean chance the most; blocks in parts that a tag or
+    class word calls noise, and mere links, don't count for it."""
+    blocks = [i for i, t in enumerate(page.text) if t is not None]
+    sure = [i for i in blocks if chance[i] >= 0.5]
+    links = _AT["links"]
+    open_ = [i for i in blocks if not page.noise[i] and not any(j == links and v > 0.5 for j, v in page.features[i])]
+    if sure or not open_:
+        return sure
+    size = np.array([len(page.text[i]) for i in open_], dtype=float)
+    odds = np.log(np.maximum(chance[open_], 1e-300))
+    worth = np.zeros(len(page.parent))
+    worth[open_] = size * (odds - (odds * size).sum() / size.sum() + np.log(2))
+    parent = page.parent
+    for i in range(len(parent) - 1, 0, -1):
+        worth[parent[i]] += worth[i]
+    elements = [i for i in range(len(parent)) if page.text[i] is None]
+    best = max(elements, key=lambda i: (worth[i], -i))
+    held = np.zeros(len(parent), dtype=bool)
+    held[best] = True
+    for i in range(best + 1, len(parent)):
+        held[i] = held[parent[i]]
+    return [i for i in open_ if held[i]]
+
+
 def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bound: int = TRAIN_PAGES) -> Model:
     """Fit the model on at most ``bound`` pages; an empty table leaves the priors.
 

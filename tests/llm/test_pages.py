@@ -3,7 +3,13 @@ from __future__ import annotations
 import random
 from html import escape
 
-from orbitree.llm.html import extract_text, page_texts, parse, train
+from itertools import product
+from time import perf_counter
+
+import numpy as np
+import pytest
+
+from orbitree.llm.html import Page, _forest, _told, extract_text, marginals, page_texts, parse, train, train_on
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in ("n", "r", "st", "m", "lt")]
 
@@ -61,3 +67,55 @@ def test_a_very_long_page_and_odd_rows(spark):
     rows = [(1, "u", "<nav><a>M</a></nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"), (1, "v", "<p"), (2, None, None), (None, "w", "")]
     got = sorted((str(r.page_id), r.n_chars) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect())
     assert got == sorted([("1", len("\n".join(lines))), ("1", 0), ("2", 0), ("None", 0)])
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    """The model as the query trains it."""
+    return train_on(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+LONG = "A sentence that is long enough to be a paragraph of its own, with some words more than a menu has."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><h1>T</h1><ul><li>alpha</li><li><a>beta</a></li></ul><p>{LONG}</p></article>", f"T\nalpha\nbeta\n{LONG}"),
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p></article>', f"Title\n{LONG}"),
+        (f'<nav><a href="/">Home</a></nav><main class="search-results-page related"><p>{LONG}</p></main>', LONG),
+        (f"<body><p>{LONG}</p><p>Short one.</p></body>", f"{LONG}\nShort one."),
+        ("just plain text", "just plain text"),
+        (f"<table><tr><td><div>{LONG}</div></td></tr></table>", LONG),
+        (f'<article><p>{LONG}</p><section id="c"><h3>3 Comments</h3><p>Nice post by you.</p></section></article>', LONG),
+        (f"<article><p>super<wbr>long foo<script>x()</script>bar a<!-- c -->b one<br>two</p><p>{LONG}</p></article>", f"superlong foobar ab one two\n{LONG}"),
+        ("<nav><ul><li><a>Menu</a></li></ul></nav><footer>Legal text of the site.</footer>", ""),
+        ("<article><p title='it > that' data-x=a\"b>kept</p><p don't>too</p></article>", "kept\ntoo"),
+    ],
+)
+def test_pages_of_other_layouts(given, html, want):
+    assert page_texts([html], given) == [want]
+
+
+@pytest.mark.parametrize("make", [lambda n: "<a " * n + '"', lambda n: '<a ="' * n, lambda n: "<x>" * (n // 20) + "</y>" * (n // 20) + "t", lambda n: "<p><x>" * (n // 20) + "t", lambda n: "a <b " * n, lambda n: "<!-- " * n, lambda n: "<li>" * (n // 20) + "</ul>" * n])
+def test_odd_pages_take_linear_time(given, make):
+    began = perf_counter()
+    page_texts([make(200_000)], given)
+    assert perf_counter() - began < 8
+
+
+def test_marginals_equal_enumeration(given):
+    draw = random.Random(8)
+    for n in range(1, 13):
+        page = Page()
+        for i in range(n):
+            leaf = i > 0 and draw.random() < 0.4
+            up = draw.choice([j for j in range(i) if page.text[j] is None]) if i else -1
+            page.add(up, [(draw.randrange(len(given.weights)), draw.random() / 4) for _ in range(2)], draw.random() < 0.1, draw.random() < 0.2, "t" if leaf else None)
+        f = _forest([_told(page)])
+        score, total, each = f.score(given.weights), 0.0, np.zeros(n)
+        for labels in product((0, 1), repeat=n):
+            power = sum(s * (v - 0.5) for s, v in zip(score, labels)) + sum(given.edge[f.kind[i], labels[f.parent[i]], labels[i]] for i in range(1, n))
+            total += np.exp(power)
+            each += np.exp(power) * np.array(labels)
+        assert marginals([page], given) == pytest.approx(each / total, abs=1e-9)
