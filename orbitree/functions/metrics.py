@@ -165,6 +165,9 @@ def ellipse_dist(a: Column, b: Column, h: Column, k: Column, px: Column, py: Col
     return _ellipse_udf(a, b, px - h, py - k)
 
 
+#: Dimensions up to which vectors are searched by pivots.
+PIVOT_DIM = 16
+
 Kernel = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
 
 
@@ -281,10 +284,11 @@ def linf_kernel(column: str) -> Kernel:
 
 
 def vector_metric(column: str, dim: int, name: str = "vectors") -> Metric:
-    """Chebyshev distance of vectors in a column of arrays, for search, means and trees in any dimension."""
+    """Chebyshev distance of vectors in a column of arrays, for search, means and trees in any dimension.
+    Beyond ``PIVOT_DIM`` dimensions distances differ too little for pivots, so blocks are compared."""
     each = lambda o: [F.get(o[column], F.lit(i)).cast("double") for i in range(dim)]
     point = lambda p: p[0] if len(p) == 1 else F.array(*p)
-    return Metric(name, (column,), dim, lambda o, p: linf_point(o[column], point(p)), lambda o: [(v, v) for v in each(o)], each, each, linf_kernel(column), linf_between)
+    return Metric(name, (column,), dim, lambda o, p: linf_point(o[column], point(p)), lambda o: [(v, v) for v in each(o)], each, each, linf_kernel(column), linf_between if dim <= PIVOT_DIM else None)
 
 
 def _square_box(o: dict[str, Column]) -> list[tuple[Column, Column]]:
