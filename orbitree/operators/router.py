@@ -3,24 +3,29 @@
 A router is a multi-layer perceptron fitted on the uncertainty points of its node, each labelled
 with the child that holds its nearest object. Fitting is one ``applyInPandas`` group per node with
 at most m + 1 rows. Routing runs in place over the points: the node table (weights, not objects)
-is collected after a check of its size and shipped with the function."""
+is collected after a check of its bytes and shipped with the function. A larger table is dealt to parts
+that fit, level by level, each one pass over the points (``Parts``); the answers are the same."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
 from orbitree.operators.neighbors import nearest_neighbor
 from orbitree.operators.tree import DIGITS
+from orbitree.storage import materialize
 
-#: Inner nodes that routing ships to tasks at once; ``route_in_parts`` takes larger trees.
-MAX_NODES = 50_000
+#: Bytes of weights and centroids that are shipped to tasks at once.
+MAX_BYTES = 256 << 20
+#: Bytes of a node besides its numbers, about.
+_NODE_BYTES = 400
 
 _ROUTER = "path string, shapes array<int>, weights array<double>, accuracy double, history array<double>"
 
@@ -115,12 +120,54 @@ class Node:
         return _forward((x - centre) / scale, layers)[-1]
 
 
-def inner_nodes(nodes: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
-    """Node table for routing: weights of inner nodes only, refused above MAX_NODES."""
-    inner = nodes.where("!is_leaf").select("path", "centroids")
-    if inner.count() > MAX_NODES:
-        raise ValueError("too many nodes to ship at once: see route_in_parts")
-    return _shipped(inner, routers)
+class Parts:
+    """The inner nodes of a tree in parts of bounded bytes: the upper levels that fit together, then each level
+    by the hash of the path. Only sizes by level reach the driver; a part is collected when its pass runs."""
+
+    def __init__(self, inner: DataFrame, routers: DataFrame | None, max_bytes: int):
+        self.inner, self.routers = inner, routers
+        self.levels: list[list] = []
+        sizes = {r.depth: r.bytes for r in inner.groupBy("depth").agg(F.sum("bytes").alias("bytes")).collect()}  # one row a level
+        self.place: dict[int, int] = {}
+        upper = [depth for depth in sorted(sizes) if sum(v for d, v in sizes.items() if d <= depth) <= max_bytes]
+        if upper:
+            self.levels.append([F.col("depth") <= upper[-1]])
+            self.place |= dict.fromkeys(upper, 0)
+        for depth in sorted(sizes.keys() - set(upper)):
+            parts = -(-sizes[depth] // max_bytes)
+            self.place[depth] = len(self.levels)
+            self.levels.append([(F.col("depth") == depth) & (F.pmod(F.xxhash64("path"), F.lit(parts)) == i) for i in range(parts)])
+
+    @property
+    def whole(self) -> bool:
+        return sum(map(len, self.levels)) <= 1
+
+    def of_depth(self, depth: int) -> list:
+        """Conditions of the parts that make one level."""
+        return [(F.col("depth") == depth) & part for part in self.levels[self.place[depth]]]
+
+    def tables(self) -> Iterator[dict[str, Node]]:
+        for level in self.levels:
+            for part in level:
+                yield self.table(part)
+
+    def table(self, part=None) -> dict[str, Node]:
+        inner = self.inner if part is None else self.inner.where(part)
+        return _shipped(inner.select("path", "centroids"), self.routers)
+
+
+Tree = dict[str, "Node"] | Parts
+
+
+def inner_nodes(nodes: DataFrame, routers: DataFrame | None, max_bytes: int = MAX_BYTES) -> Tree:
+    """Routing table of a tree's inner nodes: one dictionary if it fits ``max_bytes``, else ``Parts``."""
+    inner = nodes.where("!is_leaf").select("path", "depth", "centroids")
+    numbers = F.size(F.flatten("centroids"))
+    if routers is not None:
+        inner = inner.join(routers.select("path", F.size("weights").alias("own")), "path", "left")
+        numbers = numbers + F.coalesce("own", F.lit(0))
+    parts = Parts(materialize(inner.select("path", "depth", "centroids", (numbers * 8 + _NODE_BYTES).cast("long").alias("bytes")), "inner"), routers, max_bytes)
+    return parts.table() if parts.whole else parts
 
 
 def _shipped(inner: DataFrame, routers: DataFrame | None) -> dict[str, Node]:
@@ -143,11 +190,16 @@ def _coordinates(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     return np.array([np.full(dim, np.nan) if v is None else v for v in pdf.p], dtype=float).reshape(-1, dim)
 
 
-def route_greedy(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
-    """(point_id, x, y[, z], visited array<string>): the nodes below the root on the way to a leaf.
+def route_greedy(points: DataFrame, tree: Tree, dim: int) -> DataFrame:
+    """(point_id, x, y[, z] or p, visited array<string>): the nodes below the root on the way to a leaf.
 
-    Works on a streaming DataFrame as well, for rows don't depend on each other."""
-    return _walk(points.withColumn("visited", F.array().cast("array<string>")), tree, dim)
+    Works on a streaming DataFrame as well, for rows don't depend on each other, if the tree is one table."""
+    rows = points.withColumn("visited", F.array().cast("array<string>"))
+    if isinstance(tree, dict):
+        return _walk(rows, tree, dim)
+    for table in tree.tables():
+        rows = materialize(_walk(rows, table, dim), "walk")
+    return rows
 
 
 def _walk(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
@@ -174,29 +226,12 @@ def _walk(points: DataFrame, tree: dict[str, Node], dim: int) -> DataFrame:
     return points.select("point_id", *axes, "visited").mapInPandas(run, f"point_id long, {_types(dim)}, visited array<string>")
 
 
-def route_in_parts(points: DataFrame, nodes: DataFrame, routers: DataFrame | None, dim: int, bound: int = MAX_NODES) -> DataFrame:
-    """The routes of ``route_greedy`` for a tree of any size: the upper levels that fit ``bound`` go
-    first, then each level in parts of about ``bound`` nodes by the hash of their path. Each part is one
-    pass over the points."""
-    inner = nodes.where("!is_leaf").select("path", "depth", "centroids")
-    counts = {r.depth: r["count"] for r in inner.groupBy("depth").count().collect()}  # one row a level
-    passes, upper, total = [], -1, 0
-    for depth in sorted(counts):
-        total += counts[depth]
-        if total <= bound:
-            upper = depth
-        else:
-            parts = -(-counts[depth] // bound)
-            passes += [(F.col("depth") == depth) & (F.pmod(F.xxhash64("path"), F.lit(parts)) == i) for i in range(parts)]
-    rows = points.withColumn("visited", F.array().cast("array<string>"))
-    for part in ([F.col("depth") <= upper] if upper >= 0 else []) + passes:
-        rows = _walk(rows, _shipped(inner.where(part).drop("depth"), routers), dim)
-    return rows
-
-
-def score_router(points: DataFrame, tree: dict[str, Node], dim: int, every: bool = False) -> DataFrame:
-    """(point_id, path, child, best): each node's choice and its score, for all inner nodes."""
+def score_router(points: DataFrame, tree: Tree, dim: int) -> DataFrame:
+    """(point_id, path, child, best): each node's choice and its score, for all inner nodes. The points are a
+    query set: the result has a row for each point and node."""
     axes = _axes(dim)
+    if isinstance(tree, Parts):
+        return reduce(DataFrame.union, [materialize(score_router(points, table, dim), "scores") for table in tree.tables()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,14 +248,47 @@ def _children(tree: dict[str, Node], path: str) -> list[str]:
     return [path + DIGITS[z] for z in range(len(node.centroids) if node.router is None else node.router[2][-1][0].shape[1])]
 
 
-def route_by_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: bool = False) -> DataFrame:
+def _expanded(rows: DataFrame, table: dict[str, Node], dim: int, columns: str, grow: Callable[[pd.DataFrame, np.ndarray], dict]) -> DataFrame:
+    """Rows (point_id, axes, path, ...) at nodes of a table, one for each child; ``grow`` gives the other columns."""
+    axes = _axes(dim)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, own in pdf.groupby("path"):
+                if path in table:
+                    scores = table[path].logits(_coordinates(own, dim))
+                    for z, child in enumerate(_children(table, path)):
+                        yield own[["point_id", *axes]].assign(path=child, **grow(own, scores[:, z]))
+
+    return rows.mapInPandas(run, f"point_id long, {_types(dim)}, path string, {columns}")
+
+
+def _in_parts(rows: DataFrame, tree: Parts, dim: int, columns: str, grow: Callable[[pd.DataFrame, np.ndarray], dict], keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Rows at the root grown to the leaves, level by level, for a tree that is not shipped whole."""
+    inner = tree.inner.select("path", "depth")
+    first = min(r.depth for r in inner.select("depth").distinct().collect())
+    done = None
+    for depth in range(first, inner.agg(F.max("depth")).first()[0] + 1):
+        here = inner.where(F.col("depth") == depth).select("path")
+        at_leaf = rows.join(here, "path", "left_anti").select(rows.columns)
+        done = at_leaf if done is None else done.unionByName(at_leaf)
+        grown = [materialize(_expanded(rows, tree.table(part), dim, columns, grow), "grown") for part in tree.of_depth(depth)]
+        rows = materialize(keep(reduce(DataFrame.union, grown)), "layer")
+    return rows if done is None else done.unionByName(rows)
+
+
+def route_by_sums(points: DataFrame, tree: Tree, dim: int, running: bool = False) -> DataFrame:
     """(point_id, x, y[, z] or p, path, score): the leaf with the largest sum of scores on its path, or
     with ``running`` the largest sum of running sums; of equal ones the first.
 
     The best way down from a node follows from those of its children. A score counts in each running
     sum from its node to the leaf, so ``running`` keeps the best way for each number of steps left. A batch
-    holds the ways of the nodes on one path and of their children, never a column for each leaf."""
+    holds the ways of the nodes on one path and of their children, never a column for each leaf. A tree
+    in parts is summed leaf by leaf, in rows."""
     axes = _axes(dim)
+    if isinstance(tree, Parts):
+        best = leaf_sums(points, tree, dim, running).groupBy("point_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "score")).alias("m"))
+        return points.select("point_id", *axes).join(best, "point_id").select("point_id", *axes, "m.path", "m.score")
 
     def ways(x: np.ndarray, path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Steps left to a leaf (0 for any number unless ``running``): best score and leaf of each point."""
@@ -251,9 +319,13 @@ def route_by_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: b
     return points.select("point_id", *axes).mapInPandas(run, f"point_id long, {_types(dim)}, path string, score double")
 
 
-def leaf_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: bool = False) -> DataFrame:
+def leaf_sums(points: DataFrame, tree: Tree, dim: int, running: bool = False) -> DataFrame:
     """(point_id, path, score) for every leaf: the sum of the scores on its path, or with ``running``
     the sum of the running sums. The points are a query set; a batch holds the sums of one path at a time."""
+    if isinstance(tree, Parts):
+        start = points.select("point_id", *_axes(dim), F.lit("0").alias("path"), F.lit(0.0).alias("own"), F.lit(0.0).alias("total"))
+        grown = _in_parts(start, tree, dim, "own double, total double", lambda rows, s: {"own": rows["own"] + s, "total": rows["total"] + rows["own"] + s})
+        return grown.select("point_id", "path", F.col("total" if running else "own").alias("score"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -270,10 +342,19 @@ def leaf_sums(points: DataFrame, tree: dict[str, Node], dim: int, running: bool
     return points.select("point_id", *_axes(dim)).mapInPandas(run, "point_id long, path string, score double")
 
 
-def route_beam(points: DataFrame, tree: dict[str, Node], dim: int, k: int, eps: float) -> DataFrame:
+def route_beam(points: DataFrame, tree: Tree, dim: int, k: int, eps: float) -> DataFrame:
     """(point_id, path): leaves reached when each layer keeps up to k nodes whose score is within
     eps of the layer's best for that point."""
     axes = _axes(dim)
+    if isinstance(tree, Parts):
+        own = Window.partitionBy("point_id")
+
+        def keep(rows: DataFrame) -> DataFrame:
+            ranked = rows.withColumn("rank_", F.row_number().over(own.orderBy(F.desc("score"), "path"))).withColumn("best_", F.max("score").over(own))
+            return ranked.where((F.col("rank_") <= k) & (F.col("best_") - F.col("score") <= eps)).select(rows.columns)
+
+        start = points.select("point_id", *axes, F.lit("0").alias("path"), F.lit(0.0).alias("score"))
+        return _in_parts(start, tree, dim, "score double", lambda rows, s: {"score": s}, keep).select("point_id", "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -313,13 +394,13 @@ def query_leaf(routed: DataFrame, assign: DataFrame, metric: Metric) -> DataFram
     return nearest_neighbor(assign, spots, metric, by="path", only=routed.select("point_id", "path").distinct())
 
 
-def query_tree(points: DataFrame, tree: dict[str, Node], assign: DataFrame, metric: Metric) -> DataFrame:
+def query_tree(points: DataFrame, tree: Tree, assign: DataFrame, metric: Metric) -> DataFrame:
     """The nearest object within the leaf that greedy routing reaches."""
     routes = route_greedy(points, tree, metric.dim)
     return query_leaf(routes.withColumn("path", F.coalesce(F.try_element_at("visited", F.lit(-1)), F.lit("0"))), assign, metric)
 
 
-def query_tree_verbose(points: DataFrame, tree: dict[str, Node], assign: DataFrame, metric: Metric) -> DataFrame:
+def query_tree_verbose(points: DataFrame, tree: Tree, assign: DataFrame, metric: Metric) -> DataFrame:
     """(point_id, layer, node, object_id, dist): the nearest object in each node below the root that
     greedy routing visits."""
     axes = list(metric.axes)

@@ -135,7 +135,12 @@ def test_tree_and_routing(spark, tmp_path):
     got = {r.point_id: r.object_id for r in router.query_tree(points, table, assign, metric).collect()}
     assert set(got) == set(exact) and sum(got[i] == exact[i] for i in exact) > len(exact) / len(leaves)
     routes = {r.point_id: r.visited for r in router.route_greedy(points, table, 2).collect()}
-    assert {r.point_id: r.visited for r in router.route_in_parts(points, nodes, routers, 2, 2).collect()} == routes
+    parts = router.inner_nodes(nodes, routers, 9000)
+    assert isinstance(parts, router.Parts) and sum(map(len, parts.levels)) > 2
+    assert {r.point_id: r.visited for r in router.route_greedy(points, parts, 2).collect()} == routes
+    alike = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows.collect())
+    for call in (lambda t: router.score_router(points, t, 2), lambda t: router.route_beam(points, t, 2, 2, 5.0), lambda t: router.leaf_sums(points, t, 2, True), lambda t: router.route_by_sums(points, t, 2).select("point_id", "path", "score")):
+        assert alike(call(parts)) == alike(call(table))
     everything = router.route_beam(points, table, 2, 100, 1e9)
     near = router.query_leaf(everything.join(points, "point_id"), assign, metric).groupBy("point_id").agg(F.min(F.struct(F.round("dist", 9), "object_id")).alias("m"))
     assert {r.point_id: r.m.object_id for r in near.collect()} == exact
