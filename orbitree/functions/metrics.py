@@ -308,6 +308,21 @@ def _ends(o: dict[str, Column]) -> list[tuple[Column, Column]]:
     return [(o["x0"], e["x"]), (o["y0"], e["y"])]
 
 
+def segment_kernel(o: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+    """Euclidean distance of segments in two or three dimensions; one without length is a point."""
+    if "z0" in o:
+        way = np.column_stack([np.sin(o["theta"]) * np.cos(o["phi"]), np.sin(o["theta"]) * np.sin(o["phi"]), np.cos(o["theta"])])
+        start = np.column_stack([o["x0"], o["y0"], o["z0"]])
+    else:
+        way = np.column_stack([np.cos(o["theta"]), np.sin(o["theta"])])
+        start = np.column_stack([o["x0"], o["y0"]])
+    way = way * np.asarray(o["length"], dtype=float)[:, None]
+    length2 = (way * way).sum(1)
+    ahead = sum((points[None, :, d] - start[:, d, None]) * way[:, d, None] for d in range(points.shape[1]))
+    t = np.clip(ahead / np.where(length2 > 0, length2, 1.0)[:, None], 0.0, 1.0)
+    return np.sqrt(sum((points[None, :, d] - start[:, d, None] - t * way[:, d, None]) ** 2 for d in range(points.shape[1])))
+
+
 def _segment(name: str, columns: tuple[str, ...], dim: int, distance: Callable[..., Column]) -> Metric:
     return Metric(
         name,
@@ -317,6 +332,7 @@ def _segment(name: str, columns: tuple[str, ...], dim: int, distance: Callable[.
         lambda o: [(F.least(a, b), F.greatest(a, b)) for a, b in _ends(o)],
         lambda o: [a for a, _ in _ends(o)],
         lambda o: [(a + b) / 2 for a, b in _ends(o)],
+        segment_kernel,
     )
 
 

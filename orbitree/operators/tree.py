@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitree.functions.metrics import Metric
 from orbitree.operators.grids import bounding_boxes
-from orbitree.operators.kmeans import assign_nearest_centroid, kmeans_fit, kmeanspp_seed, relabel_dense
+from orbitree.operators.kmeans import assign_nearest_centroid, contribution, kmeans_fit, kmeanspp_seed, relabel_dense
 from orbitree.storage import materialize
 
 
@@ -30,10 +32,85 @@ def divide(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("path", F.concat("path", digit(F.col("label"))))
 
 
-def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n_iter: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+#: Objects of a node whose whole subtree one task builds.
+LOCAL_OBJECTS = 50_000
+
+
+def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """The numbers of ``hashed_uniform``."""
+    mixed = np.fmod(np.fmod(ids, 1000003) * 48271 + (seed * 69621 + 12345), 2147483647) * 16807
+    return (np.fmod(mixed, 2147483647) + 0.5) / 2147483647.0
+
+
+def _split(ids: np.ndarray, dist, sums: np.ndarray, weight: np.ndarray, centre: np.ndarray, k: int, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels from 0, centroids of the used labels) of one node, by the draws and rules of ``kmeans_fit``;
+    dist gives the distances to points."""
+
+    def nearest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = dist(points)
+        label = np.round(every, 9).argmin(1)
+        return label, every[np.arange(len(ids)), label]
+
+    chosen: list[np.ndarray] = []
+    for i in range(k):
+        race = -np.log(_uniform(ids, seed * 31 + i))
+        if chosen:
+            far = nearest(np.array(chosen))[1]
+            race = np.divide(race, far, out=np.full(len(ids), np.inf), where=far > 0)
+        chosen.append(centre[np.lexsort((ids, race))[0]])
+    points = np.array(chosen)
+    for _ in range(n_iter):
+        label = nearest(points)[0]
+        total = np.zeros((len(points), points.shape[1]))
+        np.add.at(total, label, sums)
+        mass = np.bincount(label, weight, len(points))
+        after = total[mass > 0] / mass[mass > 0][:, None]
+        if after.shape == points.shape and (after == points).all():
+            break
+        points = after
+    label = nearest(points)[0]
+    used, dense = np.unique(label, return_inverse=True)
+    return dense, points[used]
+
+
+def _subtrees(rows: DataFrame, metric: Metric, threshold: int, k: int, n_iter: int, seed: int) -> DataFrame:
+    """(object_id, object columns, path, centroids): the subtrees of nodes that fit a task, each in one group:
+    a row for every object with its leaf, and one without an object for every node that was split."""
+    cols = ["object_id", *metric.columns]
+    sums, weight = contribution(metric)
+    ready = rows.select(*cols, "path", F.array(*sums).alias("sums_"), weight.alias("weight_"), F.array(*metric.centre(metric.of())).alias("centre_"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.select(*cols, "path").schema) + ", centroids array<array<double>>"
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, weight_ = pdf["object_id"].to_numpy(np.int64), pdf["weight_"].to_numpy(float)
+        sums_, centre_ = (np.array(pdf[c].tolist(), dtype=float) for c in ("sums_", "centre_"))
+        columns = {c: pdf[c] for c in metric.columns}
+        path = pdf["path"].to_numpy(object).copy()
+        inner, waiting = [], [(path[0], np.arange(len(pdf)))]
+        while waiting:
+            name, at = waiting.pop()
+            if len(at) <= threshold:
+                continue
+            part = {c: v.iloc[at] for c, v in columns.items()}
+            label, points = _split(ids[at], lambda p, part=part: metric.matrix(part, p), sums_[at], weight_[at], centre_[at], k, n_iter, seed + len(name) - 1)
+            if len(points) < 2:
+                continue
+            inner.append((name, points.tolist()))
+            for z in range(len(points)):
+                path[at[label == z]] = name + DIGITS[z]
+                waiting.append((name + DIGITS[z], at[label == z]))
+        out = pdf[cols].assign(path=path, centroids=None)
+        nodes = pd.DataFrame({"path": [n for n, _ in inner], "centroids": [c for _, c in inner]})
+        return pd.concat([out, nodes.reindex(columns=out.columns)]) if inner else out
+
+    return ready.groupBy("path").applyInPandas(build, schema)
+
+
+def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n_iter: int = 10, seed: int = 0, local: int = LOCAL_OBJECTS) -> tuple[DataFrame, DataFrame]:
     """(assign, nodes). All nodes of a level with more than ``threshold`` objects are split in the
     same jobs, level by level until none is left; a node whose clusters collapse into one stays a
-    leaf. Children are smaller than their parent, so the levels end. k = 0 means 2**dim."""
+    leaf. Children are smaller than their parent, so the levels end. k = 0 means 2**dim. Nodes of at most
+    ``local`` objects are finished with their whole subtree in one task each, if the metric has a kernel."""
     if metric.centre is None:
         raise ValueError(f"the metric {metric.name} has no centre, so its objects have no means")
     k = k or 2**metric.dim
@@ -44,7 +121,19 @@ def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n
     done, nodes = None, None
     for depth in count():
         boxes = bounding_boxes(active, metric)
-        split = materialize(boxes.withColumn("split", F.col("n") > threshold), "boxes")
+        small = (F.col("n") > threshold) & (F.col("n") <= local) if metric.kernel is not None else F.lit(False)
+        sized = materialize(boxes.withColumn("split", F.col("n") > threshold).withColumn("small", small), "boxes")
+        finished = sized.where("small").select("path")
+        if not finished.isEmpty():
+            apart = active.join(F.broadcast(finished) if _few(finished) else finished, "path").select(*cols, "path")
+            built = materialize(_subtrees(apart, metric, threshold, k, n_iter, seed), "subtrees")
+            placed = built.where("object_id is not null").select(*cols, "path")
+            below = placed.withColumn("path", F.explode(F.transform(F.sequence(F.lit(depth + 1), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))))
+            found = built.where("object_id is null").select("path", "centroids")
+            deep = _node_rows(bounding_boxes(below, metric).join(found, "path", "left"))
+            done, nodes = (new if old is None else old.union(new) for old, new in ((done, placed), (nodes, materialize(deep, "nodes"))))
+        split = sized.where("!small").drop("small")
+        active = active.join(finished, "path", "left_anti").select(*cols, "path") if metric.kernel is not None else active
         go = split.where("split").select("path")
         few = _few(go)
         rows = active.join(F.broadcast(go) if few else go, "path")
@@ -60,7 +149,7 @@ def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n
             children = labelled.join(good, ["path", "label"]).drop("label", "dist").withColumnRenamed("dense", "label")
         level = split.drop("split")
         level = level.join(centroids, "path", "left") if centroids is not None else level.withColumn("centroids", F.lit(None).cast("array<array<double>>"))
-        level = materialize(level.select("path", F.expr("substring(path, 1, length(path) - 1)").alias("parent"), F.lit(depth).alias("depth"), "n", "bbox", "centroids", F.col("centroids").isNull().alias("is_leaf")), "nodes")
+        level = materialize(_node_rows(level), "nodes")
         nodes = level if nodes is None else nodes.union(level)
         leaves = active.join(level.where("is_leaf").select("path"), "path", "left_semi").select(*cols, "path")
         done = leaves if done is None else done.union(leaves)
@@ -70,6 +159,10 @@ def build_tree(objects: DataFrame, metric: Metric, threshold: int, k: int = 3, n
     return materialize(done, "assign"), materialize(nodes, "tree")
 
 
+def _node_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.expr("substring(path, 1, length(path) - 1)").alias("parent"), (F.length("path") - 1).cast("int").alias("depth"), "n", "bbox", "centroids", F.col("centroids").isNull().alias("is_leaf"))
+
+
 def _few(paths: DataFrame, bound: int = 100_000) -> bool:
     return paths.count() <= bound
 

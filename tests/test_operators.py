@@ -230,3 +230,11 @@ def test_search_follows_the_density(spark, local):
         objects, points = spark.createDataFrame(rows, SQUARE), spark.createDataFrame(at, "point_id long, x double, y double")
         assert neighbors.candidates(objects, points, metric, 1, local=local).count() < most * len(at)
         assert {r.point_id: [r.object_id] for r in neighbors.nearest_neighbor(objects, points, metric, local=local).collect()} == _brute(objects, points, metric, 1)
+
+
+def test_subtrees_in_one_task_are_those_of_the_levels(spark):
+    objects, metric = _segments(spark, 400), METRICS["segments2d"]
+    told = lambda nodes: {r.path: (r.parent, r.depth, r.n, r.is_leaf, [[round(b.lo, 9), round(b.hi, 9)] for b in r.bbox], [[round(v, 9) for v in c] for c in r.centroids or []]) for r in nodes.collect()}
+    (a, wide), (b, deep), (_, mixed) = (tree.build_tree(objects, metric, 50, 3, 4, local=n) for n in (0, 50_000, 200))
+    assert told(wide) == told(deep) == told(mixed)
+    assert {(r.object_id, r.path) for r in a.collect()} == {(r.object_id, r.path) for r in b.collect()}
