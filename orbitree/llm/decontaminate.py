@@ -1,10 +1,11 @@
 """Benchmark decontamination by templates (operator 9), DataFrame functions only.
 
 Texts become templates, word by word: numbers, units and names (words with one capital letter in
-front, but for common words) turn into typed placeholders; other words lose case and punctuation.
+front, but for common words) turn into typed placeholders; other words lose case and punctuation. Numbers part
+from their units first (300km), and number words that follow each other are one number (three hundred).
 A word's placeholder doesn't depend on its neighbours, so a passage has the same template wherever
 it stands. Items have a second template of their lower-case text, so documents in other case meet
-by that one. Windows of ``window`` template tokens are joined by hash; documents and items give all
+by that one; a document's window of mostly capitals (a title) asks in lower case, too. Windows of ``window`` template tokens are joined by hash; documents and items give all
 of theirs, so a shared run of ``window`` tokens always meets. A window in which placeholders
 outnumber words says too little: it carries the values themselves and meets equal values only.
 Items shorter than 2 * window - 1 tokens take windows of half their length, those of fewer than
@@ -42,13 +43,19 @@ UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "in
 #: Words that are often written with a capital letter and are no names (fixed values).
 STARTERS = ("a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "did", "do", "does", "during", "each", "every", "explain", "find", "first", "for", "from", "given", "had", "has", "have", "he", "her", "his", "how", "however", "i", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "no", "not", "now", "of", "on", "one", "or", "our", "she", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
 
+#: Number words (fixed values).
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
+
 _RUN = r"[ \t-\r]+"
+_WORDS = "(?:" + "|".join(NUMBER_WORDS) + ")"
 #: Replacements on a text before it is cut into words, read alike by Java and RE2: marks between
-#: digits stay as an x, other marks go.
-_CLEAN = ((r"([0-9])[.,:/]([0-9])", r"\1x\2"), (r"[!-/:-@\[-`{-~¡-¿×÷‐-⁞]+", ""))
+#: digits stay as an x, other marks go, but for a hyphen between number words; a number parts from its unit; pairs of
+#: number words join by an x, three times over (up to eight words).
+_JOIN = (rf"(?i)\b({_WORDS}(?:x{_WORDS})*)[ -]({_WORDS})\b", r"\1x\2")
+_CLEAN = (_JOIN, (r"([0-9])[.,:/]([0-9])", r"\1x\2"), (r"[!-/:-@\[-`{-~¡-¿×÷‐-⁞]+", ""), ("(?i)\\b([0-9][0-9x]*)(" + "|".join(UNITS) + ")\\b", r"\1 \2"), _JOIN, _JOIN)
 _NUMBER = "^[0-9][0-9x]*$"
-_NUMBER_UNIT = "^[0-9][0-9x]*(?:" + "|".join(UNITS) + ")$"
-_SLOTS = ("<num>", "<num><unit>", "<name>", "<unit>")
+_NUMBER_WORD = f"^{_WORDS}(?:x{_WORDS})*$"
+_SLOTS = ("<num>", "<name>", "<unit>")
 
 
 def words_of(text: Column) -> Column:
@@ -61,39 +68,44 @@ def words_of(text: Column) -> Column:
 def token(word: Column) -> Column:
     """A word's template token: a number, a name (a capital letter, then none), a unit, or the word."""
     low, first = F.lower(word), F.substring(word, 1, 1)
-    number = F.when(word.rlike(_NUMBER), _SLOTS[0]).when(low.rlike(_NUMBER_UNIT), _SLOTS[1]).otherwise(low)
+    number = F.when(word.rlike(_NUMBER), _SLOTS[0]).otherwise(low)
     name = (first != F.lower(first)) & (F.length(word) > 1) & (F.substring(word, 2, 1) == F.lower(F.substring(word, 2, 1))) & ~low.isin(*STARTERS)
-    return F.when((first >= "0") & (first <= "9"), number).when(name, _SLOTS[2]).when(low.isin(*UNITS), _SLOTS[3]).otherwise(low)
+    return F.when((first >= "0") & (first <= "9"), number).when(low.rlike(_NUMBER_WORD), _SLOTS[0]).when(name, _SLOTS[1]).when(low.isin(*UNITS), _SLOTS[2]).otherwise(low)
 
 
-def _hashed(words: Column) -> Column:
-    """(t, v): hashes of each word's token and of the word itself."""
-    return F.transform(words, lambda w: F.struct(F.xxhash64(token(w)).alias("t"), F.xxhash64(F.lower(w)).alias("v")))
+def _hashed(words: Column, capitals: bool = False) -> Column:
+    """(t, v): hashes of each word's token and of the word itself; with ``capitals`` also l, that of the
+    token in lower case, null if the word has no capital letter in front."""
+    more = lambda w: [F.when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.xxhash64(token(F.lower(w)))).alias("l")] if capitals else []
+    return F.transform(words, lambda w: F.struct(F.xxhash64(token(w)).alias("t"), F.xxhash64(F.lower(w)).alias("v"), *more(w)))
 
 
-def _window(hashed: str, at: str, width: int, exact: bool) -> Column:
-    """The hash of ``width`` tokens from a place on. Written for rows of places, so that Spark
-    compiles it."""
+def _window(hashed: str, at: str, width: int, exact: bool, lower: bool = False) -> Column:
+    """The hash of ``width`` tokens from a place on; with ``lower`` that of a window of mostly capitals in lower case,
+    else null. Written for rows of places, so that Spark compiles it."""
     part = [F.get(hashed, F.col(at) + j) for j in range(width)]
     values = F.xxhash64(F.lit(-width), *(p["v"] for p in part))
     if exact:
         return values
-    slots = sum(F.when(p["t"].isin(*(F.xxhash64(F.lit(s)) for s in _SLOTS)), 1).otherwise(0) for p in part)
-    return F.when(2 * slots > width, values).otherwise(F.xxhash64(F.lit(width), *(p["t"] for p in part)))
+    tokens = [F.coalesce(p["l"], p["t"]) for p in part] if lower else [p["t"] for p in part]
+    slots = sum(F.when(t.isin(*(F.xxhash64(F.lit(s)) for s in _SLOTS)), 1).otherwise(0) for t in tokens)
+    template = F.when(2 * slots > width, values).otherwise(F.xxhash64(F.lit(width), *tokens))
+    capitals = sum(F.when(p["l"].isNotNull(), 1).otherwise(0) for p in part) if lower else None
+    return F.when(2 * capitals > width, template) if lower else template
 
 
-def _windows(rows: DataFrame, columns: list[str], typed: list[int], whole: list[int]) -> DataFrame:
+def _windows(rows: DataFrame, columns: list[str], typed: list[int], whole: list[int], capitals: bool = False) -> DataFrame:
     """(columns, width, at, hash): all windows of the widths in ``typed``, and those by value of the
-    widths in ``whole``, of rows with a column ``hashed``."""
-    kinds = [(w, False) for w in typed] + [(w, True) for w in whole]
+    widths in ``whole``, of rows with a column ``hashed``; with ``capitals`` windows of mostly capitals in lower case, too."""
+    kinds = [(w, False, False) for w in typed] + [(w, True, False) for w in whole] + [(w, False, True) for w in typed if capitals]
     if not kinds:
         return rows.select(*columns, F.lit(0).alias("width"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash")).limit(0)
-    n, least = F.size("hashed"), min(w for w, _ in kinds)
+    n, least = F.size("hashed"), min(w for w, *_ in kinds)
     places = rows.select(*columns, "hashed", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("at"))
     if len(kinds) == 1:
         return places.select(*columns, F.lit(least).alias("width"), "at", _window("hashed", "at", *kinds[0]).alias("hash"))
-    fits = [F.when(F.col("at") + w <= n, F.struct(F.lit(w).alias("width"), _window("hashed", "at", w, exact).alias("hash"))) for w, exact in kinds]
-    return places.select(*columns, "at", F.explode(F.array(*fits)).alias("w")).where("w is not null").select(*columns, "w.width", "at", "w.hash")
+    fits = [F.when(F.col("at") + w <= n, F.struct(F.lit(w).alias("width"), _window("hashed", "at", w, exact, lower).alias("hash"))) for w, exact, lower in kinds]
+    return places.select(*columns, "at", F.explode(F.array(*fits)).alias("w")).where("w.hash is not null").select(*columns, "w.width", "at", "w.hash")
 
 
 def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, short: int) -> tuple[DataFrame, list[int], list[int]]:
@@ -126,8 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     items, typed, whole = _item_windows(benchmark, item_col, item_text_col, window, short)
     known = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    hashed = source.select("doc_id", F.xxhash64("text").alias("version"), _hashed(words_of(F.col("text"))).alias("hashed"))
-    met = _windows(hashed, ["doc_id", "version"], typed, whole).withColumnRenamed("at", "there")
+    hashed = source.select("doc_id", F.xxhash64("text").alias("version"), _hashed(words_of(F.col("text")), True).alias("hashed"))
+    met = _windows(hashed, ["doc_id", "version"], typed, whole, True).withColumnRenamed("at", "there")
     hits = met.join(known, ["hash", "width"]).select("doc_id", "version", "item_id", "n_tokens", "width", "at", (F.col("there") - F.col("at")).alias("shift"))
     spots = materialize(hits.select("doc_id", "version", "item_id", "n_tokens", "shift", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct(), "spots")
 

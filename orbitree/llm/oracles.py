@@ -124,22 +124,26 @@ def phrases_sql(rel: str = "documents", window: int = 50) -> str:
 
 
 def _tokens(text: str) -> str:
-    """A list of {t, v}: template token and value."""
+    """A list of {t, v, l}: template token, value, and the token in lower case if the word has a capital letter in front."""
     for pattern, into in d._CLEAN:
         text = f"regexp_replace({text}, '{pattern}', '{into}', 'g')"
     listed = lambda words: ", ".join(f"'{w}'" for w in words)
-    num, num_unit, name, unit = (f"'{s}'" for s in d._SLOTS)
-    token = f"""CASE WHEN w[1] >= '0' AND w[1] <= '9' THEN CASE WHEN regexp_matches(w, '{d._NUMBER}') THEN {num} WHEN regexp_matches(lower(w), '{d._NUMBER_UNIT}') THEN {num_unit} ELSE lower(w) END
-        WHEN w[1] <> lower(w[1]) AND length(w) > 1 AND w[2] = lower(w[2]) AND lower(w) NOT IN ({listed(d.STARTERS)}) THEN {name} WHEN lower(w) IN ({listed(d.UNITS)}) THEN {unit} ELSE lower(w) END"""
-    return f"list_transform({_WORDS.format(text=text)}, lambda w: {{'t': {token}, 'v': lower(w)}})"
+    num, name, unit = (f"'{s}'" for s in d._SLOTS)
+    rest = f"WHEN regexp_matches(lower(w), '{d._NUMBER_WORD}') THEN {num} {{}} WHEN lower(w) IN ({listed(d.UNITS)}) THEN {unit} ELSE lower(w) END"
+    token = f"CASE WHEN w[1] >= '0' AND w[1] <= '9' THEN CASE WHEN regexp_matches(w, '{d._NUMBER}') THEN {num} ELSE lower(w) END " + rest.format(f"WHEN w[1] <> lower(w[1]) AND length(w) > 1 AND w[2] = lower(w[2]) AND lower(w) NOT IN ({listed(d.STARTERS)}) THEN {name}")
+    return f"list_transform({_WORDS.format(text=text)}, lambda w: {{'t': {token}, 'v': lower(w), 'l': CASE WHEN w[1] <> lower(w[1]) THEN CASE {rest.format('')} END}})"
 
 
 def _window_rows(rel: str, key: str, windows: str) -> str:
-    """(key, width, pos, h): windows of the widths in ``windows`` (key, width, exact) of each row."""
+    """(key, width, pos, h): windows of the widths in ``windows`` (key, width, exact) of each row; those of mostly capitals in lower case, too."""
     part = "p[pos + 1:pos + width]"
-    slots = f"len(list_filter({part}, lambda x: x.t[1] = '<'))"
-    return f"""(SELECT {key}, width, pos, CASE WHEN exact OR 2 * {slots} > width THEN '=' || array_to_string(list_transform({part}, lambda x: x.v), ' ') ELSE array_to_string(list_transform({part}, lambda x: x.t), ' ') END AS h
-        FROM (SELECT {key}, p, width, exact, unnest(range(0, len(p) - width + 1)) AS pos FROM {rel} JOIN {windows} ON len(p) >= width))"""
+
+    def template(token: str) -> str:
+        tokens = f"list_transform({part}, lambda x: {token})"
+        return f"CASE WHEN exact OR 2 * len(list_filter({tokens}, lambda x: x[1] = '<')) > width THEN '=' || array_to_string(list_transform({part}, lambda x: x.v), ' ') ELSE array_to_string({tokens}, ' ') END"
+
+    places = f"(SELECT {key}, p, width, exact, unnest(range(0, len(p) - width + 1)) AS pos FROM {rel} JOIN {windows} ON len(p) >= width)"
+    return f"(SELECT {key}, width, pos, {template('x.t')} AS h FROM {places} UNION ALL SELECT {key}, width, pos, {template('COALESCE(x.l, x.t)')} FROM {places} WHERE NOT exact AND 2 * len(list_filter({part}, lambda x: x.l IS NOT NULL)) > width)"
 
 
 def _leaks(rel: str, bench: str) -> str:
