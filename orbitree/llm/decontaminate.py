@@ -2,7 +2,8 @@
 
 Texts become templates, word by word: numbers, units and names (words with one capital letter in
 front, but for common words) turn into typed placeholders; other words lose case and punctuation. Numbers part
-from their units first (300km), and number words that follow each other are one number (three hundred).
+from their units first (300km), and of number words that belong together the first stands for all (three hundred,
+twenty five).
 A word's placeholder doesn't depend on its neighbours, so a passage has the same template wherever
 it stands. Items have a second template of their lower-case text, so documents in other case meet
 by that one; a document's window of mostly capitals (a title) asks in lower case, too. Windows of ``window`` template tokens are joined by hash; documents and items give all
@@ -43,18 +44,17 @@ UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "in
 #: Words that are often written with a capital letter and are no names (fixed values).
 STARTERS = ("a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "did", "do", "does", "during", "each", "every", "explain", "find", "first", "for", "from", "given", "had", "has", "have", "he", "her", "his", "how", "however", "i", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "no", "not", "now", "of", "on", "one", "or", "our", "she", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
 
-#: Number words (fixed values).
-NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
+#: Number words (fixed values): those that only follow a number, tens, those that follow tens, and the others.
+_POWERS = ("hundred", "thousand", "million", "billion")
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+_ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+NUMBER_WORDS = ("zero", *_ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", *_TENS, *_POWERS)
 
 _RUN = r"[ \t-\r]+"
-_WORDS = "(?:" + "|".join(NUMBER_WORDS) + ")"
 #: Replacements on a text before it is cut into words, read alike by Java and RE2: marks between
-#: digits stay as an x, other marks go, but for a hyphen between number words; a number parts from its unit; pairs of
-#: number words join by an x, three times over (up to eight words).
-_JOIN = (rf"(?i)\b({_WORDS}(?:x{_WORDS})*)[ -]({_WORDS})\b", r"\1x\2")
-_CLEAN = (_JOIN, (r"([0-9])[.,:/]([0-9])", r"\1x\2"), (r"[!-/:-@\[-`{-~¡-¿×÷‐-⁞]+", ""), ("(?i)\\b([0-9][0-9x]*)(" + "|".join(UNITS) + ")\\b", r"\1 \2"), _JOIN, _JOIN)
+#: digits stay as an x, other marks go, and a number parts from its unit.
+_CLEAN = ((r"([0-9])[.,:/]([0-9])", r"\1x\2"), (r"[!-/:-@\[-`{-~¡-¿×÷‐-⁞]+", ""), ("([0-9])((?i:" + "|".join(UNITS) + "))\\b", r"\1 \2"))
 _NUMBER = "^[0-9][0-9x]*$"
-_NUMBER_WORD = f"^{_WORDS}(?:x{_WORDS})*$"
 _SLOTS = ("<num>", "<name>", "<unit>")
 
 
@@ -62,7 +62,15 @@ def words_of(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     for pattern, into in _CLEAN:
         text = F.regexp_replace(text, pattern, into.replace("\\", "$"))
-    return F.filter(F.split(text, _RUN), lambda w: w != "")
+    words = F.filter(F.split(text, _RUN), lambda w: w != "")
+
+    def first(every: Column) -> Column:
+        before = lambda i: F.lower(F.get(every, i - 1))
+        power = lambda w, i: F.lower(w).isin(*_POWERS) & (before(i).isin(*NUMBER_WORDS) | before(i).rlike(_NUMBER))
+        one = lambda w, i: F.lower(w).isin(*_ONES) & before(i).isin(*_TENS)
+        return F.filter(every, lambda w, i: F.coalesce(~(power(w, i) | one(w, i)), F.lit(True)))
+
+    return F.get(F.transform(F.array(words), first), F.lit(0))  # a variable of a lambda is computed once
 
 
 def token(word: Column) -> Column:
@@ -70,7 +78,7 @@ def token(word: Column) -> Column:
     low, first = F.lower(word), F.substring(word, 1, 1)
     number = F.when(word.rlike(_NUMBER), _SLOTS[0]).otherwise(low)
     name = (first != F.lower(first)) & (F.length(word) > 1) & (F.substring(word, 2, 1) == F.lower(F.substring(word, 2, 1))) & ~low.isin(*STARTERS)
-    return F.when((first >= "0") & (first <= "9"), number).when(low.rlike(_NUMBER_WORD), _SLOTS[0]).when(name, _SLOTS[1]).when(low.isin(*UNITS), _SLOTS[2]).otherwise(low)
+    return F.when((first >= "0") & (first <= "9"), number).when(low.isin(*NUMBER_WORDS), _SLOTS[0]).when(name, _SLOTS[1]).when(low.isin(*UNITS), _SLOTS[2]).otherwise(low)
 
 
 def _hashed(words: Column, capitals: bool = False) -> Column:

@@ -129,9 +129,14 @@ def _tokens(text: str) -> str:
         text = f"regexp_replace({text}, '{pattern}', '{into}', 'g')"
     listed = lambda words: ", ".join(f"'{w}'" for w in words)
     num, name, unit = (f"'{s}'" for s in d._SLOTS)
-    rest = f"WHEN regexp_matches(lower(w), '{d._NUMBER_WORD}') THEN {num} {{}} WHEN lower(w) IN ({listed(d.UNITS)}) THEN {unit} ELSE lower(w) END"
+    rest = f"WHEN lower(w) IN ({listed(d.NUMBER_WORDS)}) THEN {num} {{}} WHEN lower(w) IN ({listed(d.UNITS)}) THEN {unit} ELSE lower(w) END"
     token = f"CASE WHEN w[1] >= '0' AND w[1] <= '9' THEN CASE WHEN regexp_matches(w, '{d._NUMBER}') THEN {num} ELSE lower(w) END " + rest.format(f"WHEN w[1] <> lower(w[1]) AND length(w) > 1 AND w[2] = lower(w[2]) AND lower(w) NOT IN ({listed(d.STARTERS)}) THEN {name}")
-    return f"list_transform({_WORDS.format(text=text)}, lambda w: {{'t': {token}, 'v': lower(w), 'l': CASE WHEN w[1] <> lower(w[1]) THEN CASE {rest.format('')} END}})"
+    # of number words that belong together the first stands for all
+    prior = "lower(a[i - 1])"
+    power = f"lower(x) IN ({listed(d._POWERS)}) AND ({prior} IN ({listed(d.NUMBER_WORDS)}) OR regexp_matches({prior}, '{d._NUMBER}'))"
+    one = f"lower(x) IN ({listed(d._ONES)}) AND {prior} IN ({listed(d._TENS)})"
+    words = f"list_transform([{_WORDS.format(text=text)}], lambda a: list_filter(a, lambda x, i: i = 1 OR NOT (({power}) OR ({one}))))[1]"
+    return f"list_transform({words}, lambda w: {{'t': {token}, 'v': lower(w), 'l': CASE WHEN w[1] <> lower(w[1]) THEN CASE {rest.format('')} END}})"
 
 
 def _window_rows(rel: str, key: str, windows: str) -> str:

@@ -31,7 +31,7 @@ def test_units_capitals_and_number_words_fold(spark):
         (2, item.replace("120 km in 2 hours", "300km in 4h")),
         (3, " ".join(w.capitalize() for w in item.split())),
         (4, item.replace("120", "three hundred")),
-        (5, item.replace("120", "Two-Hundred twenty five").replace("2 hours", "nine hours")),
+        (5, item.replace("120", "Two Hundred").replace("2 hours", "twenty nine hours")),
         (6, item.upper()),
         (7, "a text about something else with one train and two hundred other words that have nothing to do with any of the items at all"),
     ]
