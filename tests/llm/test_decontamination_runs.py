@@ -22,19 +22,10 @@ def test_names_at_the_start_of_sentences(spark):
     assert _leaks(spark, docs, [(1, told("Anna", 3))]) == {(1, 1): "reparameterised", (2, 1): "verbatim"}
 
 
-def test_units_capitals_and_number_words_fold(spark):
+def test_numbers_part_from_units(spark):
     from orbitree.llm.decontaminate import contaminated
 
     item = "A train travels 120 km in 2 hours at a steady pace so what is the average speed of the train over the whole way"
-    docs = [
-        (1, f"before {item} after"),
-        (2, item.replace("120 km in 2 hours", "300km in 4h")),
-        (3, " ".join(w.capitalize() for w in item.split())),
-        (4, item.replace("120", "three hundred")),
-        (5, item.replace("120", "Two Hundred").replace("2 hours", "twenty nine hours")),
-        (6, item.upper()),
-        (7, "a text about something else with one train and two hundred other words that have nothing to do with any of the items at all"),
-    ]
+    docs = [(1, f"before {item} after"), (2, item.replace("120 km in 2 hours", "300km in 4h")), (3, item.replace("120 km", "120Km")), (4, "a text about one train and 200km of other words that have nothing to do with any of the items at all")]
     found = {r.doc_id: r.kind for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
-    assert set(found) == {1, 2, 3, 4, 5, 6}
-    assert found[1] == found[3] == "verbatim" and found[2] == found[4] == found[5] == "reparameterised"
+    assert found == {1: "verbatim", 2: "reparameterised", 3: "verbatim"}
