@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from orbitree.storage import materialize
 Box = Callable[[str], list[tuple[Column, Column]]]
 #: Levels of size that are told apart; smaller boxes share the finest.
 MAX_LEVELS = 24
+#: Overlaps that one task of a thinning round settles, about.
+BLOCK_EDGES = 200_000
 
 
 def square_boxes(prefix: str) -> list[tuple[Column, Column]]:
@@ -66,24 +71,61 @@ def intersects_any(objects: DataFrame, box: Box) -> DataFrame:
     return objects.join(ids, "object_id", "left_semi")
 
 
-def thin_non_overlapping(objects: DataFrame, box: Box) -> DataFrame:
+def thin_non_overlapping(objects: DataFrame, box: Box, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(object_id): objects kept when candidates come in id order and one that overlaps a kept one is refused.
 
-    That is the first maximal independent set of the overlap graph. In rounds, an undecided object
-    without an undecided earlier neighbour is kept and its neighbours are refused."""
-    edges = materialize(overlap_join(objects, box), "overlaps")
-    later = edges.select(F.col("b").alias("object_id")).distinct()
-    fresh = kept = materialize(objects.select("object_id").join(later, "object_id", "left_anti"), "kept")
-    undecided = materialize(later, "undecided")
-    while True:
-        refused = edges.join(fresh, edges.a == fresh.object_id, "left_semi").select(F.col("b").alias("object_id")).distinct()
-        undecided = materialize(undecided.join(refused, "object_id", "left_anti"), "undecided")
-        if undecided.isEmpty():
+    That is the first maximal independent set of the overlap graph. In rounds, the undecided objects are cut
+    into blocks of neighbours along one axis after the other, at quantiles, with about ``block_edges`` overlaps
+    each. A task settles its block in id order as far as that doesn't hang on an undecided object of
+    another block; then the blocks exchange what they decided. So a component within one block takes one round,
+    and a chain as many as blocks lie along it. An object that overlaps more than ``block_edges`` earlier ones
+    enters no block: it is refused when one of them is kept, and kept when all are refused."""
+    sides = box("")
+    names = [f"p{i}" for i in range(len(sides))]
+    place = objects.select(F.col("object_id").alias("b"), *(lo.cast("double").alias(n) for n, (lo, _) in zip(names, sides)))
+    edges = materialize(overlap_join(objects, box).join(place, "b").select("a", "b", *names), "overlaps")
+    crowded = materialize(edges.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > block_edges).select("b"), "crowded")
+    kept = materialize(objects.select("object_id").join(_ends(edges, "b"), "object_id", "left_anti"), "kept")
+    kind = objects.schema["object_id"].dataType.simpleString()
+    for turn in count():
+        n = edges.count()
+        if not n:
             return kept
-        waiting = edges.join(undecided.withColumnRenamed("object_id", "a"), "a", "left_semi").select(F.col("b").alias("object_id")).distinct()
-        fresh = materialize(undecided.join(waiting, "object_id", "left_anti"), "fresh")
-        kept = materialize(kept.union(fresh), "kept")
-        undecided = materialize(undecided.join(fresh, "object_id", "left_anti"), "undecided")
+        waiting = _ends(edges, "b")
+        known = edges.join(waiting.select(F.col("object_id").alias("a"), F.lit(True).alias("open")), "a", "left").withColumn("first", F.col("open").isNull())
+        order = [*names[turn % len(names) :], *names[: turn % len(names)], "b"]
+        blocks = known.join(crowded, "b", "left_anti").repartitionByRange(-(-n // block_edges), *order)
+        decided = materialize(blocks.select("a", "b", "first").mapInPandas(_settle, f"object_id {kind}, kept boolean"), "decided")
+        won = decided.where("kept").select("object_id")
+        beside = known.join(won.withColumnRenamed("object_id", "a"), "a", "left_semi").union(known.where("first"))
+        lost = materialize(decided.where("!kept").select("object_id").union(_ends(beside, "b")).distinct(), "lost")
+        settled = won.union(lost).withColumnRenamed("object_id", "b")
+        edges = materialize(edges.join(settled, "b", "left_anti").join(lost.withColumnRenamed("object_id", "a"), "a", "left_anti").select("a", "b", *names), "overlaps")
+        free = waiting.join(settled.union(_ends(edges, "b")), F.col("object_id") == F.col("b"), "left_anti")
+        kept = kept.union(materialize(won.union(free), "kept"))
+
+
+def _ends(edges: DataFrame, side: str) -> DataFrame:
+    return edges.select(F.col(side).alias("object_id")).distinct()
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(object_id, kept) of what a block decides by itself, from all overlaps (a, b) of its objects b with
+    undecided earlier ones; ``first`` marks an a without earlier ones, which is kept."""
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values(["b", "a"])
+    a, b, first = rows["a"].tolist(), rows["b"].tolist(), rows["first"].tolist()
+    starts = np.flatnonzero(np.append(True, rows["b"].to_numpy()[1:] != rows["b"].to_numpy()[:-1])).tolist()
+    state: dict = {}
+    for start, end in zip(starts, [*starts[1:], len(b)]):
+        seen = [True if first[i] else state.get(a[i]) for i in range(start, end)]
+        if True in seen:
+            state[b[start]] = False
+        elif None not in seen:
+            state[b[start]] = True
+    yield pd.DataFrame({"object_id": list(state), "kept": list(state.values())})
 
 
 def ranked(kept: DataFrame, id_col: str = "object_id", slices: int = 256) -> DataFrame:

@@ -80,6 +80,27 @@ def test_overlap_and_thinning(spark):
     assert overlap.thin_non_overlapping(squares.limit(0), square_boxes).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 40, 10_000])
+def test_thinning_in_blocks_of_any_size(spark, block):
+    draw = random.Random(block)
+    rows = [(i, draw.gauss(0, 5), draw.gauss(0, 5), draw.choice([0.5, 1.0, 3.0])) for i in range(300)] + [(1000, 0.0, 0.0, 40.0), (1001, 0.0, 60.0, 1.0), (1002, None, 0.0, 1.0)]
+    squares = spark.createDataFrame(rows, "object_id long, x0 double, y0 double, size double")
+    kept = []
+    for row in rows:
+        if row[1] is None or not any(k[1] is not None and abs(row[1] - k[1]) <= (row[3] + k[3]) / 2 and abs(row[2] - k[2]) <= (row[3] + k[3]) / 2 for k in kept):
+            kept.append(row)
+    assert sorted(r.object_id for r in overlap.thin_non_overlapping(squares.repartition(3), square_boxes, block).collect()) == [k[0] for k in kept]
+
+
+def test_thinning_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tags, write = [], overlap.materialize
+    monkeypatch.setattr(overlap, "materialize", lambda df, tag: (tags.append(tag), write(df, tag))[1])
+    chain = spark.range(100_000).select(F.col("id").alias("object_id"), (F.col("id") * 0.9).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("size"))
+    kept = overlap.thin_non_overlapping(chain, square_boxes, 10_000)
+    assert kept.agg(F.count("*"), F.max("object_id"), F.sum(F.col("object_id") % 2)).first() == (50_000, 99_998, 0)
+    assert tags.count("decided") < 20
+
+
 def test_kmeans_against_numpy(spark):
     metric, seeds = METRICS["segments2d"], [[0.2, 0.2], [0.8, 0.2], [0.5, 0.9]]
     objects = _segments(spark, 200).withColumn("path", F.lit("0"))
