@@ -382,9 +382,14 @@ def route_beam(points: DataFrame, tree: Tree, dim: int, k: int, eps: float) -> D
     return points.select("point_id", *axes).mapInPandas(run, "point_id long, path string")
 
 
+def upwards(rows: DataFrame) -> DataFrame:
+    """Rows with a path, once for every node on it from the root, as ``node``."""
+    return rows.withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))))
+
+
 def prefixes(assign: DataFrame, metric: Metric) -> DataFrame:
     """Objects once for every node below the root that holds them, and for the root, as ``node``."""
-    return assign.select("object_id", *metric.columns, F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("node"))
+    return upwards(assign.select("object_id", *metric.columns, "path")).drop("path")
 
 
 def query_leaf(routed: DataFrame, assign: DataFrame, metric: Metric) -> DataFrame:
