@@ -6,6 +6,9 @@ numbers from the root "0", one digit to the base 36 for each level; an ancestor
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -177,14 +180,46 @@ def tree_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.max(F.length("path")).cast("long").alias("height"), F.sum(size).alias("n_objects"), F.min(size).alias("smallest_leaf"), F.max(size).alias("largest_leaf"))
 
 
-def save_tree(assign: DataFrame, nodes: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    assign.withColumn("depth1", F.substring("path", 1, 2)).write.mode("overwrite").partitionBy("depth1").parquet(f"{path}/assign")
+@dataclass
+class Snapshot:
+    """A saved tree; ``routers`` are those of its inner nodes with their training history, if any were saved."""
 
+    version: str
+    assign: DataFrame
+    nodes: DataFrame
+    routers: DataFrame | None
 
-def load_tree(spark: SparkSession, path: str, objects: DataFrame, metric: Metric) -> tuple[DataFrame, DataFrame]:
+
+def save_tree(assign: DataFrame, nodes: DataFrame, path: str, routers: DataFrame | None = None) -> str:
+    """Save a tree, with its routers and what was recorded in training, as a new version; its name is returned.
+
+    The parts go to a folder of their own; one row in the manifest, written last, makes them a version. So
+    a save that was cut short is never loaded, and readers of older versions aren't disturbed."""
+    spark, version = nodes.sparkSession, uuid.uuid4().hex
+    home = f"{path}/versions/{version}"
+    nodes.write.parquet(f"{home}/nodes")
+    assign.withColumn("depth1", F.substring("path", 1, 2)).write.partitionBy("depth1").parquet(f"{home}/assign")
+    if routers is not None:
+        routers.write.parquet(f"{home}/routers")
+    spark.range(1, numPartitions=1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("saved_at"), F.lit(routers is not None).alias("routers")).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def load_snapshot(spark: SparkSession, path: str, version: str | None = None) -> Snapshot:
+    """The named version of a saved tree, or the newest. Unknown versions are an error."""
+    found = spark.read.parquet(f"{path}/manifest")
+    found = found if version is None else found.where(F.col("version") == version)
+    row = found.orderBy(F.desc("saved_at"), "version").first()
+    if row is None:
+        raise ValueError(f"no version {version} of a tree in {path}")
+    home = f"{path}/versions/{row.version}"
+    routers = spark.read.parquet(f"{home}/routers") if row.routers else None
+    return Snapshot(row.version, spark.read.parquet(f"{home}/assign").drop("depth1"), spark.read.parquet(f"{home}/nodes"), routers)
+
+
+def load_tree(spark: SparkSession, path: str, objects: DataFrame, metric: Metric, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The saved nodes, and objects routed from the root by nearest centroid."""
-    nodes = spark.read.parquet(f"{path}/nodes")
+    nodes = load_snapshot(spark, path, version).nodes
     return assign_by_centroids(objects, nodes, metric), nodes
 
 

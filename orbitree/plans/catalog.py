@@ -867,7 +867,8 @@ def _rivals(eps: str) -> str:
 @_query(f"{_BORDER}, k AS (SELECT *, row_number() OVER (ORDER BY grid_id) AS n FROM f WHERE {_rivals('eps')} > 1 OR ({_rivals('eps')} = 1 AND {_rivals('(eps / (least_ * 0.002))')} > 0)) SELECT grid_id, round(x, 6) AS x, round(y, 6) AS y FROM k WHERE n <= 900")
 def uncertainty_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _root(spark, sf_dir)
-    return _spread(grids.uncertainty_points(grids.lattice(nodes, 60, 2), kmeans.centroid_table(nodes, {"0": _SEEDS}), nodes, 0.15, 2, 899))
+    cents = kmeans.centroid_table(nodes, {"0": _SEEDS})
+    return _spread(grids.uncertainty_points(grids.border_lattice(nodes, cents, 60, 2, 0.15), cents, nodes, 0.15, 2, 899))
 
 
 @_query(f"{with_sql('squares')}, {_ROOT_BOX} SELECT i AS grid_id, round(lx + (hx - lx) * (i // 17) / 16, 6) AS x, round(ly + (hy - ly) * (i % 17) / 16, 6) AS y FROM b, range(289) AS r(i)")
@@ -964,7 +965,7 @@ def _labelled_border(spark: SparkSession, sf_dir: str, anew: bool = False) -> Da
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
         inner = _nodes(spark, sf_dir).where("!is_leaf")
         cents = inner.select("path", F.posexplode("centroids").alias("idx", "c"))
-        border = materialize(grids.uncertainty_points(grids.lattice(inner, LATTICE, 2), cents, inner, EPSILON, 2, BORDER), "border")
+        border = materialize(grids.uncertainty_points(grids.border_lattice(inner, cents, LATTICE, 2, EPSILON), cents, inner, EPSILON, 2, BORDER), "border")
         held = router.prefixes(_assign(spark, sf_dir), _SEGMENTS).where(F.length("node") > 1)
         children = held.select("object_id", *_SEGMENTS.columns, F.expr("substring(node, 1, length(node) - 1)").alias("path"), F.expr("substring(node, length(node), 1)").alias("label"))
         labelled = router.label_uncertainty(border, materialize(children, "children"), _SEGMENTS)
@@ -1006,10 +1007,10 @@ def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def save_load_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved, loaded, and the objects assigned again from the root."""
-    assign, nodes = _assign(spark, sf_dir), _nodes(spark, sf_dir)
+    """Saved with its routers, loaded, and the objects assigned again from the root."""
+    assign, nodes, routers, _ = _tree(spark, sf_dir)
     path = _fresh(spark, "saved")
-    tree.save_tree(assign, nodes, path)
+    tree.save_tree(assign, nodes, path, routers)
     again, _ = tree.load_tree(spark, path, fixture(spark, sf_dir, "segments2d"), _SEGMENTS)
     return again.select("object_id", "path")
 

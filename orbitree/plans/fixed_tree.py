@@ -131,6 +131,16 @@ def tree_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.route_greedy(_points(spark, sf_dir), _tree(spark, sf_dir)[1], 2).select("point_id", F.element_at("visited", -1).alias("path"))
 
 
+@_query(f"{_TREE} SELECT point_id, {_PATH} AS path FROM r2")
+def tree_routes_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of a tree that was saved with its routers and loaded again."""
+    nodes = _nodes(spark, sf_dir)
+    path = _fresh(spark, "fixed")
+    tree.save_tree(tree.assign_by_centroids(fixture(spark, sf_dir, "segments2d"), nodes, _SEGMENTS), nodes, path, _routers(nodes))
+    saved = tree.load_snapshot(spark, path)
+    return router.route_greedy(_points(spark, sf_dir), router.inner_nodes(saved.nodes, saved.routers), 2).select("point_id", F.element_at("visited", -1).alias("path"))
+
+
 @_query(f"{_TREE} SELECT point_id, {_PATH} AS path FROM r2")
 def tree_routes_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points as a stream of files."""

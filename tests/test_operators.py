@@ -101,6 +101,18 @@ def test_thinning_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert tags.count("decided") < 20
 
 
+@pytest.mark.parametrize("dim, per_axis", [(2, 1), (2, 2), (2, 41), (3, 20)])
+def test_border_by_refinement_equals_the_whole_lattice(spark, dim, per_axis):
+    draw = random.Random(dim)
+    boxes = [(path, [(draw.uniform(-3, 0), draw.uniform(1, 4)) for _ in range(dim)]) for path in ("0", "01", "02")] + [("03", [(1.0, 1.0)] * dim)]
+    nodes = spark.createDataFrame(boxes, "path string, bbox array<struct<lo: double, hi: double>>")
+    cents = spark.createDataFrame([(path, i, [draw.uniform(lo, hi) for lo, hi in box]) for path, box in boxes for i in range(1 if path == "02" else 4)], "path string, idx int, c array<double>")
+    for epsilon in (0.001, 0.15):
+        whole, fine = (sorted((r.path, r.grid_id, tuple(r.p)) for r in grids.uncertainty_points(points, cents, nodes, epsilon, dim, 10**6).collect()) for points in (grids.lattice(nodes, per_axis, dim), grids.border_lattice(nodes, cents, per_axis, dim, epsilon)))
+        assert fine == whole and (per_axis < 3 or whole)
+    assert per_axis < 20 or grids.border_lattice(nodes, cents, per_axis, dim, 0.001).count() < 0.75 * grids.lattice(nodes, per_axis, dim).count()
+
+
 def test_kmeans_against_numpy(spark):
     metric, seeds = METRICS["segments2d"], [[0.2, 0.2], [0.8, 0.2], [0.5, 0.9]]
     objects = _segments(spark, 200).withColumn("path", F.lit("0"))
@@ -156,6 +168,18 @@ def test_tree_and_routing(spark, tmp_path):
     got = {r.point_id: r.object_id for r in router.query_tree(points, table, assign, metric).collect()}
     assert set(got) == set(exact) and sum(got[i] == exact[i] for i in exact) > len(exact) / len(leaves)
     routes = {r.point_id: r.visited for r in router.route_greedy(points, table, 2).collect()}
+    first = tree.save_tree(assign, nodes, str(tmp_path / "u"), routers)
+    saved = tree.load_snapshot(spark, str(tmp_path / "u"))
+    assert saved.version == first and {(r.object_id, r.path) for r in saved.assign.collect()} == {(r.object_id, r.path) for r in assign.collect()}
+    assert {r.point_id: r.visited for r in router.route_greedy(points, router.inner_nodes(saved.nodes, saved.routers), 2).collect()} == routes
+    assert {(r.path, r.step, r.accuracy) for r in accuracy.router_training_accuracy(saved.routers).collect()} == {(r.path, r.step, r.accuracy) for r in accuracy.router_training_accuracy(routers).collect()}
+    tree.save_tree(assign, nodes.where("path = '0'"), str(tmp_path / "u"))
+    newest = tree.load_snapshot(spark, str(tmp_path / "u"))
+    assert newest.routers is None and newest.nodes.count() == 1 and tree.load_snapshot(spark, str(tmp_path / "u"), first).nodes.count() == len(rows)
+    nodes.write.parquet(str(tmp_path / "u" / "versions" / "cut_short" / "nodes"))
+    assert tree.load_snapshot(spark, str(tmp_path / "u")).version == newest.version
+    with pytest.raises(ValueError):
+        tree.load_snapshot(spark, str(tmp_path / "u"), "cut_short")
     parts = router.inner_nodes(nodes, routers, 9000)
     assert isinstance(parts, router.Parts) and sum(map(len, parts.levels)) > 2
     assert {r.point_id: r.visited for r in router.route_greedy(points, parts, 2).collect()} == routes
