@@ -102,9 +102,10 @@ def _subtrees(rows: DataFrame, metric: Metric, threshold: int, k: int, n_iter: i
             for z in range(len(points)):
                 path[at[label == z]] = name + DIGITS[z]
                 waiting.append((name + DIGITS[z], at[label == z]))
-        out = pdf[cols].assign(path=path, centroids=None)
-        nodes = pd.DataFrame({"path": [n for n, _ in inner], "centroids": [c for _, c in inner]})
-        return pd.concat([out, nodes.reindex(columns=out.columns)]) if inner else out
+        # as objects, what is missing stays None beside ids and arrays; else ids become floats and arrays NaN
+        out = pdf[cols].assign(path=path, centroids=None).astype(object)
+        nodes = pd.DataFrame([dict.fromkeys(cols) | {"path": n, "centroids": c} for n, c in inner], columns=out.columns, dtype=object)
+        return pd.concat([out, nodes], ignore_index=True)
 
     return ready.groupBy("path").applyInPandas(build, schema)
 

@@ -76,3 +76,53 @@ def test_vectors_through_the_tree(spark):
     for r in found.collect():
         assert r.c == pytest.approx(np.mean([v for i, v in rows if i % 4 == r.idx], axis=0))
     assert METRICS["squares"].at(F.col("p"))[1] is not None
+
+
+def test_vector_tree_query(spark):
+    from __spark_entry__ import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    rows = queries()["vector_tree"](spark, sf_dir).collect()
+    assert sorted(r.point_id for r in rows) == sorted(vectors) and len({r.path for r in rows}) > 1
+    for r in rows:
+        same = min(i for i, v in vectors.items() if (v == vectors[r.point_id]).all())
+        assert (r.object_id, r.dist) == (same, 0.0)
+
+
+def test_ids_and_whole_numbers_stay_through_subtrees(spark):
+    large = 2**60 + 1
+    kernel = lambda o, p: np.hypot(o["ax"].astype(float)[:, None] % 1000 - p[None, :, 0], o["ay"][:, None] - p[None, :, 1])
+    metric = Metric("whole", ("ax", "ay", "name"), 2, kernel=kernel, centre=lambda o: [(o["ax"] % 1000).cast("double"), o["ay"]])
+    rows = [(large + 2 * i, 10**18 + i % 5 * 100 + 1, i / 7, None if i % 3 else str(i)) for i in range(60)]
+    assign, nodes = tree.build_tree(spark.createDataFrame(rows, "object_id long, ax long, ay double, name string"), metric, 20, 3, 2)
+    assert sorted(tuple(r) for r in assign.select("object_id", "ax", "ay", "name").collect()) == rows and nodes.count() > 3
+
+
+@pytest.mark.parametrize("last", [False, True])
+@pytest.mark.parametrize("k", [1, 3])
+def test_only_asked_groups_are_compared(spark, k, last):
+    """The kernel fails if a point meets an object of another group."""
+
+    def kernel(o, p):
+        gap = np.abs(o["ax"][:, None] - p[None, :, 0])
+        if (gap > 50).any():
+            raise ValueError("another group")
+        return np.maximum(gap, np.abs(o["ay"][:, None] - p[None, :, 1]))
+
+    metric, draw = Metric("apart", ("ax", "ay"), 2, kernel=kernel), random.Random(5)
+    objects = [(i, f"g{i % 4}", i % 4 * 100 + draw.random(), draw.random()) for i in range(120)]
+    objects += [(200 + i, "g1", 100.5, 0.5) for i in range(60)] + [(300, None, 0.0, 0.0), (301, "g9", 900.0, 0.0)]
+    points = [(i, i % 4 * 100 + draw.random(), draw.random()) for i in range(90)] + [(500 + i, 100.5, 0.5) for i in range(30)] + [(600, None, 0.5)]
+    asks = [(i, f"g{i % 4 if i < 500 else 1}") for i, *_ in points] * 2 + [(0, None), (0, "g7"), (700, "g1")]
+    o, p = spark.createDataFrame(objects, "object_id long, g string, ax double, ay double"), spark.createDataFrame(points, "point_id long, x double, y double")
+    found = knn_blocks(o, p, metric, k, "g", spark.createDataFrame(asks, "point_id long, g string"), last, block=16)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.point_id, r.g), []).append((round(r.dist, 9), -r.object_id if last else r.object_id))
+    want = {}
+    for i, x, y in points:
+        if x is not None:
+            g = dict(asks[: len(points)])[i]
+            want[i, g] = sorted((round(max(abs(ax - x), abs(ay - y)), 9), -j if last else j) for j, h, ax, ay in objects if h == g)[:k]
+    assert {key: sorted(v)[:k] for key, v in got.items()} == want
