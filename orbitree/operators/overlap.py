@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -17,51 +18,104 @@ Box = Callable[[str], list[tuple[Column, Column]]]
 MAX_LEVELS = 24
 #: Overlaps that one task of a thinning round settles, about.
 BLOCK_EDGES = 200_000
+#: Objects that are thinned first, and how many times as many the first ids hold in each further step.
+FIRST_OBJECTS, GROWTH = 50_000, 4
 
 
-def square_boxes(prefix: str) -> list[tuple[Column, Column]]:
-    """Axis-aligned boxes of squares around their centres; prefix names the side of the join."""
-    half = F.col(f"{prefix}size") / 2
-    return [(F.col(f"{prefix}x0") - half, F.col(f"{prefix}x0") + half), (F.col(f"{prefix}y0") - half, F.col(f"{prefix}y0") + half)]
+@dataclass(frozen=True)
+class Centred:
+    """Boxes by a column for the centre and one for the width of each axis. Two of them overlap where the centres' distance is at
+    most half the sum of the widths; ends would round boxes that touch to either side."""
 
+    axes: tuple[tuple[str, str], ...]
 
-def cuboid_boxes(prefix: str) -> list[tuple[Column, Column]]:
-    return [(F.col(f"{prefix}{c}") - F.col(f"{prefix}{s}") / 2, F.col(f"{prefix}{c}") + F.col(f"{prefix}{s}") / 2) for c, s in (("x0", "w"), ("y0", "h"), ("z0", "d"))]
+    def __call__(self, prefix: str) -> list[tuple[Column, Column]]:
+        return [(F.col(prefix + c) - F.col(prefix + s) / 2, F.col(prefix + c) + F.col(prefix + s) / 2) for c, s in self.axes]
 
 
-def overlap_join(objects: DataFrame, box: Box) -> DataFrame:
-    """(a, b), a < b: ids of objects whose closed boxes overlap. Objects with a null side are left out.
+#: Axis-aligned boxes of squares around their centres, and of cuboids; the prefix names the side of the join.
+square_boxes = Centred((("x0", "size"), ("y0", "size")))
+cuboid_boxes = Centred((("x0", "w"), ("y0", "h"), ("z0", "d")))
 
-    A box is dealt to the cells of the level of its own size, whose width is the power of two at or
-    above its largest side, so it lies in at most 2**dim cells. It also asks in its cells of every
-    coarser level that is in use, where larger boxes live; so one large box is compared
-    with the boxes of its few cells and changes nothing for the others. A pair that meets in
-    several cells counts in the first one it shares."""
-    sides = box("")
-    dim = len(sides)
-    names = [f"{n}{i}" for n in ("lo", "hi") for i in range(dim)]
-    rows = objects.select("object_id", *(lo.alias(f"lo{i}") for i, (lo, _) in enumerate(sides)), *(hi.alias(f"hi{i}") for i, (_, hi) in enumerate(sides)))
-    rows = rows.where(" and ".join(f"{n} is not null" for n in names))
-    wide = F.greatest(*(F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dim)))
-    level = F.when(wide > 0, F.ceil(F.log2(F.when(wide > 0, wide)))).cast("int")
-    rows = rows.withColumn("level", level)
+
+def _carried(objects: DataFrame, box: Box) -> DataFrame:
+    """object_id and two columns an axis, p and q: centre and width, or the ends. Objects with a null side are left out."""
+    sides = [(F.col(c), F.col(s)) for c, s in box.axes] if isinstance(box, Centred) else box("")
+    names = [(f"p{i}", f"q{i}") for i in range(len(sides))]
+    rows = objects.select("object_id", *(v.alias(n) for name, side in zip(names, sides) for n, v in zip(name, side)))
+    return rows.where(" and ".join(f"{n} is not null" for name in names for n in name))
+
+
+def _ends_of(box: Box, i: int, prefix: str = "") -> tuple[Column, Column]:
+    """The ends of axis i; those of centred boxes are moved out by far more than they are rounded, so boxes that touch share a cell."""
+    p, q = F.col(f"{prefix}p{i}"), F.col(f"{prefix}q{i}")
+    if not isinstance(box, Centred):
+        return p, q
+    more = (F.abs(p) + F.abs(q)) * 1e-12
+    return p - q / 2 - more, p + q / 2 + more
+
+
+def _levelled(rows: DataFrame, box: Box, dim: int) -> tuple[DataFrame, list[int]]:
+    """Rows with the level of their own size, and the levels in use."""
+    wide = F.greatest(*(F.col(f"q{i}") - (F.lit(0.0) if isinstance(box, Centred) else F.col(f"p{i}")) for i in range(dim)), F.lit(0.0))
+    rows = rows.withColumn("level", F.when(wide > 0, F.ceil(F.log2(F.when(wide > 0, wide)))).cast("int"))
     span = rows.agg(F.min("level"), F.max("level")).first()
     top = 0 if span[1] is None else span[1]
     least = top if span[0] is None else max(span[0], top - MAX_LEVELS)
     rows = rows.withColumn("level", F.greatest(F.coalesce("level", F.lit(least)), F.lit(least)))
-    used = sorted(r.level for r in rows.select("level").distinct().collect())  # at most MAX_LEVELS + 1 numbers
-    asked = rows.withColumn("at", F.explode(F.filter(F.array(*(F.lit(v) for v in used or [0])), lambda v: v >= F.col("level"))))
+    return rows, sorted(r.level for r in rows.select("level").distinct().collect()) or [0]  # at most MAX_LEVELS + 1 numbers
+
+
+def _dealt(rows: DataFrame, box: Box, dim: int, used: list[int] | None) -> DataFrame:
+    """Rows once for each of their cells, (at, c0, c1, ...), of their own level, or of all levels in use from their own on."""
+    at = F.col("level") if used is None else F.explode(F.filter(F.array(*(F.lit(v) for v in used)), lambda v: v >= F.col("level")))
+    rows = rows.withColumn("at", at)
     scale = F.pow(F.lit(2.0), -F.col("at"))
     for i in range(dim):
-        asked = asked.withColumn(f"f{i}", F.floor(F.col(f"lo{i}") * scale)).withColumn(f"c{i}", F.explode(F.sequence(F.floor(F.col(f"lo{i}") * scale), F.floor(F.col(f"hi{i}") * scale))))
+        lo, hi = _ends_of(box, i)
+        rows = rows.withColumn(f"c{i}", F.explode(F.sequence(F.floor(lo * scale), F.floor(hi * scale))))
+    return rows
+
+
+def _met(held: DataFrame, asking: DataFrame, box: Box, dim: int, used: list[int], order: bool) -> DataFrame:
+    """(a, b): overlaps of held objects a with asking ones b of at most their level; of one level only a < b with ``order``, else all."""
     cells = ["at", *(f"c{i}" for i in range(dim))]
-    held = [*names, *(f"f{i}" for i in range(dim))]
-    left = asked.where("level = at").select(F.col("object_id").alias("a"), *cells, *(F.col(n).alias(f"a_{n}") for n in held))
-    right = asked.select(F.col("object_id").alias("b"), (F.col("level") < F.col("at")).alias("finer"), *cells, *(F.col(n).alias(f"b_{n}") for n in held))
-    met = left.join(right, cells).where("finer or a < b")
+    names = [f"{n}{i}" for i in range(dim) for n in "pq"]
+    side = lambda rows, name: rows.select(F.col("object_id").alias(name), "level" if name == "b" else F.lit(True).alias("held"), *cells, *(F.col(n).alias(f"{name}_{n}") for n in names))
+    met = side(_dealt(held, box, dim, None), "a").join(side(_dealt(asking, box, dim, used), "b"), cells)
+    met = met.where("level < at or a < b") if order else met
     for i in range(dim):
-        met = met.where((F.col(f"a_lo{i}") <= F.col(f"b_hi{i}")) & (F.col(f"b_lo{i}") <= F.col(f"a_hi{i}")) & (F.col(f"c{i}") == F.greatest(f"a_f{i}", f"b_f{i}")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        (a_lo, a_hi), (b_lo, b_hi) = _ends_of(box, i, "a_"), _ends_of(box, i, "b_")
+        scale = F.pow(F.lit(2.0), -F.col("at"))
+        met = met.where(F.col(f"c{i}") == F.greatest(F.floor(a_lo * scale), F.floor(b_lo * scale)))
+        if isinstance(box, Centred):
+            met = met.where(F.abs(F.col(f"a_p{i}") - F.col(f"b_p{i}")) <= (F.col(f"a_q{i}") + F.col(f"b_q{i}")) / 2)
+        else:
+            met = met.where((a_lo <= b_hi) & (b_lo <= a_hi))
+    return met.select("a", "b")
+
+
+def overlap_join(objects: DataFrame, box: Box) -> DataFrame:
+    """(a, b), a < b: ids of objects whose closed boxes overlap. Objects with a null side are left out.
+
+    A box is dealt to the cells of the level of its own size, whose width is the power of two at or
+    above its largest side, so it lies in few cells. It also asks in its cells of every
+    coarser level that is in use, where larger boxes live; so one large box is compared
+    with the boxes of its few cells and changes nothing for the others. A pair that meets in
+    several cells counts in the first one it shares."""
+    dim = len(box(""))
+    rows, used = _levelled(_carried(objects, box), box, dim)
+    return _met(rows, rows, box, dim, used, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def overlapping(objects: DataFrame, others: DataFrame, box: Box) -> DataFrame:
+    """(object_id): objects that overlap one of other objects. Only ids move on, so of the overlaps nothing is written."""
+    dim = len(box(""))
+    mark = lambda df, v: _carried(df, box).withColumn("other", F.lit(v))
+    rows, used = _levelled(mark(objects, False).unionByName(mark(others, True)), box, dim)
+    own, rest = rows.where("!other"), rows.where("other")
+    found = _met(rest, own, box, dim, used, False).select("b").union(_met(own, rest, box, dim, used, False).select("a"))
+    return found.distinct().withColumnRenamed("b", "object_id")
 
 
 def intersects_any(objects: DataFrame, box: Box) -> DataFrame:
@@ -71,10 +125,35 @@ def intersects_any(objects: DataFrame, box: Box) -> DataFrame:
     return objects.join(ids, "object_id", "left_semi")
 
 
-def thin_non_overlapping(objects: DataFrame, box: Box, block_edges: int = BLOCK_EDGES) -> DataFrame:
+def thin_non_overlapping(objects: DataFrame, box: Box, block_edges: int = BLOCK_EDGES, first: int = FIRST_OBJECTS) -> DataFrame:
     """(object_id): objects kept when candidates come in id order and one that overlaps a kept one is refused.
 
-    That is the first maximal independent set of the overlap graph. In rounds, the undecided objects are cut
+    That is the first maximal independent set of the overlap graph. The ``first`` objects by id are settled, then ``GROWTH`` times as
+    many, and so on: what overlaps a kept object is refused before overlaps are listed, so where objects are dense
+    few overlaps are left to write; their number follows the objects, not its square."""
+    n = objects.count()
+    shares = []
+    while first < n:
+        shares.append(first / n)
+        first *= GROWTH
+    cuts = objects.select(F.percentile_approx("object_id", shares, 10_000)).first()[0] if shares else []
+    kept, after = None, None
+    for upto in [*sorted(set(cuts)), None]:
+        part = objects if after is None else objects.where(F.col("object_id") > after)
+        part = part if upto is None else part.where(F.col("object_id") <= upto)
+        if kept is not None:
+            part = materialize(part.join(overlapping(part, kept, box), "object_id", "left_anti").select(objects.columns), "open")
+        won = _thin(part, box, block_edges)
+        if upto is None:
+            return won if kept is None else kept.select("object_id").union(won)
+        won = materialize(part.join(won, "object_id", "left_semi").select(objects.columns), "won")
+        kept = won if kept is None else kept.union(won)
+        after = upto
+    return kept
+
+
+def _thin(objects: DataFrame, box: Box, block_edges: int) -> DataFrame:
+    """The objects that are kept, of one step. In rounds, the undecided objects are cut
     into blocks of neighbours along one axis after the other, at quantiles, with about ``block_edges`` overlaps
     each. A task settles its block in id order as far as that doesn't hang on an undecided object of
     another block; then the blocks exchange what they decided. So a component within one block takes one round,
